@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixture, rules
+from . import mixture, packing, rules, secrets, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_rules": rules.op2_rules,
+    "op7_secrets": secrets.op7_secrets,
     "op9_mixture": mixture.op9_mixture,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {
     "op2_rules": rules.OP2_SQL,
     "op9_mixture": mixture.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
