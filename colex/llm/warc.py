@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import materialise, scratch, table
 
 #: Payloads below this many bytes are always stored: a revisit record would be as long.
 LEAST_REVISIT = 100
 #: Records in one archive at most, so that a reader's task holds a bounded file.
 RECORDS_PER_FILE = 2_000
+#: Pages with shared payloads (about 100 bytes each) up to which their table is broadcast.
+BROADCAST_ROWS = 200_000
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -45,7 +47,7 @@ def _digested(pages: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, payload_digest, first_id for every page whose payload another record has too.
+    """page_id, payload_digest, first_id, times for every page whose payload another record has too.
 
     first_id is the smallest page_id with the payload, null ids last.  Only headers are
     shuffled; the groups are counted and their first id found before the shuffle, so a
@@ -54,7 +56,8 @@ def resolve(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """
     heads = _digested(pages).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     groups = heads.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).where("n > 1")
-    return heads.distinct().join(groups.drop("n"), "payload_digest")
+    times = heads.groupBy("page_id", "payload_digest").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(groups.drop("n"), "payload_digest")
 
 
 def _record_id(page_id: Column, digest: Column, nth: Column) -> Column:
@@ -71,14 +74,19 @@ def _one_line(text: Column) -> Column:
 def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """One string column `value`: each page's WARC record up to the blank line that ends it.
 
-    Payloads travel once, keyed by page and digest, which no hot payload makes uneven.
-    Of repeated rows (one page_id and payload) one is taken for the first.
+    Only pages with a shared payload have anything to look up.  While those are few (checked
+    by count) their table is broadcast and payloads go from the scan into the archives;
+    beyond that payloads travel once, keyed by page and digest, which no hot payload makes
+    uneven.  Of repeated rows (one page_id and payload) one is taken for the first.
     """
-    found = resolve(pages, least).withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
+    found = materialise(resolve(pages, least), "warc-resolved").withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
     whole = _digested(pages)
     same = whole["page_id"].eqNullSafe(found["id"]) & (whole["payload_digest"] == found["digest"])
+    joined = whole.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left")
+    repeated = F.col("times") > 1
     nth = F.row_number().over(W.partitionBy("page_id", "payload_digest").orderBy("url"))
-    joined = whole.join(found, same, "left").withColumn("nth", nth)
+    single = joined.where(~F.coalesce(repeated, F.lit(False))).withColumn("nth", F.lit(1))
+    joined = single.unionByName(joined.where(repeated).withColumn("nth", nth)) if found.where(repeated).head(1) else single
     joined = joined.withColumn("revisit", F.col("digest").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("nth") > 1)))
     joined = joined.withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id")))
     http = F.when(F.col("revisit"), F.lit("HTTP/1.1 200 OK" + END)).otherwise(
