@@ -148,3 +148,23 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     power = _POW if longest <= len(_POW) else powers(BASE, longest)
     with np.errstate(over="ignore"):
         return mix(np.add.reduceat(BYTE_WEIGHT[packed] * power[place], first)), counts
+
+
+ROLL = int(_splitmix(37, 1)[0])
+UNROLL = pow(ROLL, -1, 1 << 64)
+
+
+class Rolling:
+    """Hashes of any run of words of a chunk, from prefix sums: the sum of h[i] * ROLL**i,
+    scaled back by the run's start, so that equal runs hash alike wherever they are."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(ROLL, n), dtype=np.uint64)))
+        self.back = powers(UNROLL, n + 1)
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[end] - self.sums[first]) * self.back[first]
+            return mix(h + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import classifier, mixture, packing, rules, secrets, warc
+from . import classifier, mixture, packing, rules, secrets, substring, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_rules": rules.op2_rules,
+    "op4_substring": substring.op4_substring,
     "op7_secrets": secrets.op7_secrets,
     "op8_classifier": classifier.op8_classifier,
     "op9_mixture": mixture.op9_mixture,
