@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, jaccard, mixture, packing, rules, secrets, substring, warc
+from . import classifier, embeddings, jaccard, mixture, packing, rules, secrets, substring, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_rules": rules.op2_rules,
     "op4_substring": substring.op4_substring,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op7_secrets": secrets.op7_secrets,
     "op8_classifier": classifier.op8_classifier,
     "op9_mixture": mixture.op9_mixture,
