@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import classifier, embeddings, jaccard, mixture, packing, rules, secrets, substring, warc
+from . import classifier, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_rules": rules.op2_rules,
+    "op3_html": html_text.op3_html,
     "op4_substring": substring.op4_substring,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_embeddings": embeddings.op6_embeddings,
