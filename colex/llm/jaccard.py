@@ -34,7 +34,12 @@ ORDERS = 3
 #: Shingles that more classes hold count as held by this many: they come last in any case,
 #: and a block of texts need not send more of them than this.
 COMMON = 33
-HUB_ROUNDS = 2
+#: Hubs of a posting list in a round: its least classes under so many hashes.
+HUBS = 4
+HUB_ROUNDS = 3
+
+#: Words of the parity sketch of a set (64 bits each).
+SKETCH = 8
 
 _ENTRY = np.dtype([("hash", "<u4"), ("high", "<u2"), ("doc", "<u2")])
 _SETS = np.dtype([("digest", "<u8"), ("size", "<u4")])
@@ -171,6 +176,27 @@ def _count(sent: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "payload"])
 
 
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A set's parity sketch: each element flips one of 64 * SKETCH bits.  Two sketches differ
+    in at most as many bits as the sets differ in elements."""
+    bit = mix(hashes ^ np.uint64(0x5BD1E995)) % np.uint64(64 * SKETCH)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def may_link(a: str, b: str, threshold: int) -> Column:
+    """False only for pairs that can't link.  With n elements in both sets together, a link
+    has at most n * (100 - t) / (100 + t) elements in one set only; at least those no other
+    class holds are, and one for every bit in which the sketches differ."""
+    part = lambda c: (F.col(f"{c}_{a}"), F.col(f"{c}_{b}"))
+    (size_a, size_b), (alone_a, alone_b) = part("size"), part("alone")
+    differ = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in map(part, SKETCHES)], alone_a + alone_b)
+    return (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & ((100 + threshold) * differ <= (100 - threshold) * (size_a + size_b))
+
+
 def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
     """For one block: each class with a joinable prefix, its shared shingles, its prefixes."""
     sets, backs = None, []
@@ -194,11 +220,12 @@ def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
             continue
         hashes, held = back["hash"][a:b], back["held"][a:b]
         row = {"digest": int(sets["digest"][back["doc"][a]].view(np.int64)), "size": size, "shared": hashes.astype(np.int64)}
+        row |= dict(zip(SKETCHES, parity(hashes).tolist(), strict=True))
         for k in range(orders):
             order = np.lexsort((mix(hashes + np.uint64(k * 0x1000193)), held))
             row[f"prefix{k}"] = hashes[order[:prefix]].astype(np.int64)
         rows.append(row)
-    return pd.DataFrame(rows, columns=["digest", "size", "shared", *[f"prefix{k}" for k in range(orders)]])
+    return pd.DataFrame(rows, columns=["digest", "size", "shared", *SKETCHES, *[f"prefix{k}" for k in range(orders)]])
 
 
 def _verified(pairs: DataFrame, active: DataFrame, threshold: int, orders: int) -> DataFrame:
@@ -206,12 +233,11 @@ def _verified(pairs: DataFrame, active: DataFrame, threshold: int, orders: int)
 
     Shingles that only one class holds are in no intersection, so the shared ones suffice.
     """
-    side = active.select("digest", "size", "shared", *[f"prefix{k}" for k in range(1, orders)])
+    side = active.select("digest", "size", "alone", "shared", *SKETCHES, *[f"prefix{k}" for k in range(1, orders)])
     left = side.select([F.col(c).alias(f"{c}_a") for c in side.columns])
     right = side.select([F.col(c).alias(f"{c}_b") for c in side.columns])
     both = pairs.join(left, pairs["a"] == left["digest_a"]).join(right, pairs["b"] == right["digest_b"])
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    may = reduce(Column.__and__, [F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b") for k in range(1, orders)], 100 * small >= threshold * large)
+    may = reduce(Column.__and__, [F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b") for k in range(1, orders)], may_link("a", "b", threshold))
     shared = F.size(F.array_intersect("shared_a", "shared_b"))
     return both.where(may).where(100 * shared >= threshold * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b")
 
@@ -223,15 +249,20 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     parts = parts_of(spark)
     heard = by_part(_sent(docs, k, parts), _count, "block long, payload binary")
     arrays = ", ".join(f"prefix{i} array<long>" for i in range(orders))
-    schema = f"digest long, size int, shared array<long>, {arrays}"
+    schema = f"digest long, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"
     active = heard.groupBy("block").applyInPandas(lambda sent: _prefixes(sent, threshold, orders), schema)
-    active = materialise(active, "jaccard-classes")
-    posting = materialise(active.select("digest", "size", F.explode("prefix0").alias("token")), "jaccard-postings")
+    # a class whose texts lie in several blocks may come from each; the first heard of all its shingles
+    whole = F.max_by(F.struct(*active.columns), F.size("shared"))
+    active = materialise(active.groupBy("digest").agg(whole.alias("c")).select("c.*", (F.col("c.size") - F.size("c.shared")).alias("alone")), "jaccard-classes")
+    posting = materialise(active.select("digest", F.explode("prefix0").alias("token")), "jaccard-postings")
     links = None
     label = active.select("digest", F.col("digest").alias("component"))
     for turn in range(HUB_ROUNDS):
-        hub = posting.groupBy("token").agg(F.min_by("digest", F.xxhash64("digest", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n"))
-        pairs = posting.join(hub.where("n > 1"), "token").where("digest <> hub")
+        hubs = F.transform(
+            F.array(*[F.min(F.struct(F.xxhash64("digest", F.lit(turn * HUBS + i)), "digest")) for i in range(HUBS)]), lambda x: x["digest"]
+        )
+        hub = posting.groupBy("token").agg(F.array_distinct(hubs).alias("hubs"), F.count(F.lit(1)).alias("n"))
+        pairs = posting.join(hub.where("n > 1"), "token").select("digest", F.explode("hubs").alias("hub")).where("digest <> hub")
         pairs = _apart(pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct(), label if turn else None)
         links, label = _grow(links, pairs, active, threshold, orders)
     # the rest: pairs from different components.  Of a list's components the one with most
@@ -240,11 +271,14 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     parted = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     lists = parted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
     open_lists = materialise(known.join(lists.drop("components"), "token"), "jaccard-open")
-    minor = open_lists.where("component <> main").select("token", F.col("digest").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"))
-    rest = minor.join(open_lists, "token").where("cx <> component").where(
-        100 * F.least("sx", "size") >= threshold * F.greatest("sx", "size")
-    )
-    pairs = rest.select(F.least("x", "digest").alias("a"), F.greatest("x", "digest").alias("b")).distinct()
+    # filters stand in the join itself, so that only pairs that may link are ever rows
+    sketch = active.select("digest", "size", "alone", *SKETCHES)
+    open_lists = materialise(open_lists.join(sketch, "digest"), "jaccard-open-sketches")
+    x = open_lists.where("component <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("digest", "component", "size", "alone", *SKETCHES)])
+    y = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("digest", "component", "main", "size", "alone", *SKETCHES)])
+    once = (F.col("component_y") == F.col("main_y")) | (F.col("digest_x") < F.col("digest_y"))
+    rest = x.join(y, "token").where("component_x <> component_y").where(once & may_link("x", "y", threshold))
+    pairs = rest.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
     _, label = _grow(links, pairs, active, threshold, orders)
     return label
 
