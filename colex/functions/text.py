@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE_SET = r"\s   -     　﻿"
 SPACE = f"[{SPACE_SET}]"
@@ -79,13 +80,13 @@ def get_reading(c: Column) -> Column:
     return F.regexp_replace(c, "[^ぁ-ゖァ-ヶ]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def nfkc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC of every text of an array."""
     for s in batches:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..plans.schemas import DICT_META
@@ -230,7 +231,7 @@ def flatten_content(node) -> str:
     return text if isinstance(text, str) else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """flatten_content of JSON texts: recursion of any depth, which columns can't express."""
     import json

@@ -162,3 +162,25 @@ def word_list(spark: SparkSession, text: str) -> DataFrame:
     """Words of a comma-separated list, trimmed, blanks dropped, in order, once each."""
     words = dict.fromkeys(w.strip() for w in text.split(",") if w.strip())
     return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "ord long, word string")
+
+
+def context_by(records: DataFrame, category: str | None = None, function: str | None = None, speaker: str | None = None, group: str | None = None) -> DataFrame:
+    """Context records by each given criterion.  `functions` is empty at ingest, so a search by
+    function finds only records that got one later."""
+    if category is not None:
+        records = records.where(F.col("category") == category)
+    if function is not None:
+        records = records.where(F.array_contains("functions", function))
+    if speaker is not None:
+        records = records.where(F.col("speaker") == speaker)
+    return records if group is None else records.where(F.col("connection_group") == group)
+
+
+#: Fixed value: the order in which a listing of all categories goes through them.
+CATEGORIES = ("hedging", "epistemic", "interactional", "causal-logical", "enumerative", "referential", "stance", "structural")
+
+
+def by_all_categories(records: DataFrame, order_by: tuple[str, ...] = ("graph_id", "bit_idx")) -> DataFrame:
+    """All records, category after category in the fixed order."""
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    return records.orderBy(place, *order_by)

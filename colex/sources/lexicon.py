@@ -27,10 +27,22 @@ def seed(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, LEXICON)
 
 
+def _other_name(column: str) -> str:
+    """The name of a column in files of note-taking tools: headword_pos is headwordPOS there."""
+    first, *rest = column.split("_")
+    return first + "".join(x.upper() if x == "pos" else x.capitalize() for x in rest)
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array or JSON lines under a fixed schema; `ord` is the place in the file(s)."""
-    df = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return df.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id())).where("_corrupt IS NULL").drop("_corrupt")
+    """A JSON array or JSON lines under a fixed schema, in either naming; `ord` is the place
+    in the file(s).  Broken records are left out."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    both = [*fields, *((_other_name(n), t) for n, t in fields if "_" in n), ("_corrupt", "string")]
+    line = spark.read.text(path).where("trim(value) <> ''").head()
+    reader = spark.read.schema(", ".join(f"{n} {t}" for n, t in both)).option("columnNameOfCorruptRecord", "_corrupt")
+    df = reader.option("multiLine", bool(line and line[0].lstrip().startswith("["))).json(path)
+    df = df.where("_corrupt IS NULL").withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    return df.select(*[F.coalesce(n, _other_name(n)).alias(n) if "_" in n else F.col(n) for n, _ in fields])
 
 
 def read_lexicon(spark: SparkSession, path: str, on_error: str = "raise", seed_path: str | None = None) -> DataFrame:
