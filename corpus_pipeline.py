@@ -57,6 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, at most twice.  A document without
     words weighs nothing and is taken once."""
+    docs = docs.select(COLUMNS)
     plan = mixture.mix(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("times"))
     plan = plan.groupBy("doc_id").agg(F.max("times").cast("int").alias("times")).withColumnRenamed("doc_id", "d")
     taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["d"])).where("times > 0")
