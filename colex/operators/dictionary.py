@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..plans import known_dictionaries
 from ..plans.schemas import DICT_META
 
 #: Result caps, scores, shelf order, circled numbers.
 LIMIT, SUGGEST_LIMIT, VIEW_LIMIT = 50, 10, 80
 EQUAL, EQUAL_READING, PREFIX, PREFIX_READING, WITHIN, WITHIN_READING, IN_TEXT = 100, 95, 80, 75, 60, 55, 40
 CATEGORY_ORDER = ("国語辞典", "漢和辞典", "古語辞典", "類語辞典", "アクセント", "漢字", "専門用語", "英和・和英")
-DEFAULT_CATEGORY, DEFAULT_LANGUAGE, DEFAULT_COLOR = "専門用語", "ja", "#888888"
+DEFAULT_CATEGORY, DEFAULT_LANGUAGE, DEFAULT_COLOR = "専門用語", "ja", "#6B7280"
 BILINGUAL = ("en-ja", "ja-en")
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 
@@ -135,16 +136,8 @@ def suggest(terms: DataFrame, dictionaries: DataFrame, query: str, max_results:
 
 # ------------------------------------------------------------------ metadata
 
-# Abbreviation, title, English title, colour, category, language, publisher of
-# dictionaries with a colour of their own.  More rows are a parameter of meta_table.
-KNOWN = (
-    ("大辞林4", "大辞林 第四版", None, "#2E6DA4", "国語辞典", "ja", "三省堂"),
-    ("大辞泉", "デジタル大辞泉", None, "#1A8C5B", "国語辞典", "ja", "小学館"),
-)
-
-
 def meta_table(spark: SparkSession, more: tuple = ()) -> DataFrame:
-    rows = [(*row, i) for i, row in enumerate((*KNOWN, *more))]
+    rows = [(*row, i) for i, row in enumerate((*known_dictionaries.ROWS, *more))]
     return spark.createDataFrame(rows, f"{DICT_META}, ord long")
 
 
