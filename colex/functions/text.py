@@ -95,8 +95,9 @@ def nfkc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def normalize_japanese(c: Column) -> Column:
     """Full-width ASCII and the ideographic space to ASCII, then NFKC, which contains both.
-    Spark has no NFKC; for a whole column of ASCII see operators.search, which skips this."""
-    return _nfkc(c)
+    Spark has no NFKC.  A text that is plain ASCII is its own normal form, so Python gets a
+    null for it."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def fold_width(c: Column) -> Column:

@@ -79,16 +79,15 @@ def filtered(lexicon: DataFrame, o: SearchOptions) -> DataFrame:
 
 
 def with_fields(lexicon: DataFrame) -> DataFrame:
-    """Adds `fields`: (raw, norm) of every non-empty field.  Rows that are plain ASCII are
-    their own normal form and take a branch without Python."""
+    """Adds `fields`: (raw, norm) of every non-empty field.  Texts that are plain ASCII are their
+    own normal form: Python gets a null for such rows, and the table is read once."""
     single = F.array("headword", "headword_reading", "collocate", "full_phrase", "pattern")
     empty = F.array().cast("array<string>")
     raw = F.concat(single, F.coalesce("tags", empty), F.coalesce("example_sentences", empty))
     known = lexicon.withColumn("raw_fields", F.filter(raw, lambda x: F.length(x) > 0))
     wide = F.exists("raw_fields", lambda x: x.rlike(r"[^\x00-\x7f]"))
-    ascii_rows = known.where(~wide).withColumn("norm_fields", F.col("raw_fields"))
-    other = known.where(wide).withColumn("norm_fields", T.nfkc_all("raw_fields"))
-    both = ascii_rows.unionByName(other)
+    normal = T.nfkc_all(F.when(wide, F.col("raw_fields")))
+    both = known.withColumn("norm_fields", normal).withColumn("norm_fields", F.coalesce("norm_fields", "raw_fields"))
     return both.withColumn("fields", F.arrays_zip(F.col("raw_fields").alias("raw"), F.col("norm_fields").alias("norm"))).drop("raw_fields", "norm_fields")
 
 
