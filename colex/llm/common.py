@@ -23,7 +23,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 #: Texts are cut into chunks of about this many bytes before numpy sees them, so
 #: memory follows the chunk (or the longest single text), not the Arrow batch.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,14 +48,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     only the tasks it ran; everything behind the written table stays done."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads, through Hadoop's file system."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

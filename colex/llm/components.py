@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 MOST_ROUNDS = 60
 
@@ -35,7 +35,8 @@ def connect(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u")
         stars = small.select("u", F.col("low").alias("v")).union(small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")))
-        now = materialise(stars.distinct(), "components")
+        last, now = now, materialise(stars.distinct(), "components")
+        discard(last)
         # stars iff no centre has an edge to something smaller; sums tell when nothing moves
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
         if state == before:

@@ -8,8 +8,8 @@ pair must share such a prefix shingle in every order.  A shingle that only one c
 holds joins with nothing, so most classes have no shingle left to join on.
 
 Components are what is asked for, so pairs that are already connected need no look:
-first every class of a posting list is compared with the list's hub; then, until none
-is left, only pairs of classes from different components are compared.
+first every class of a posting list is compared with the list's hubs; then only pairs of
+classes from different components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, hash_words, materialise, mix, table
+from .common import Rolling, chunks, discard, hash_words, materialise, mix, table
 from .components import connect
 from .exchange import SCHEMA, blocks, by_part, parts_of, runs, split
 
@@ -34,14 +34,14 @@ ORDERS = 3
 #: Shingles that more classes hold count as held by this many: they come last in any case,
 #: and a block of texts need not send more of them than this.
 COMMON = 33
-#: Hubs of a posting list in a round: its least classes under so many hashes.
-HUBS = 4
-HUB_ROUNDS = 3
-
+#: Hubs of a posting list.
+HUBS = 6
 #: Words of the parity sketch of a set (64 bits each).
 SKETCH = 8
 
 _ENTRY = np.dtype([("hash", "<u4"), ("high", "<u2"), ("doc", "<u2")])
+#: A class as the key partitions know it: 48 bits of its digest, and its place in the block.
+_TAG = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2")])
 _SETS = np.dtype([("digest", "<u8"), ("size", "<u4")])
 _BACK = np.dtype([("hash", "<u8"), ("doc", "<u2"), ("held", "u1")])
 HASH_BITS = 48
@@ -132,10 +132,11 @@ def _sent(docs: DataFrame, k: int, parts: int) -> DataFrame:
             for part, packed in split(value, entry, parts):
                 some = np.frombuffer(packed, _ENTRY)
                 used, index = np.unique(some["doc"], return_inverse=True)
-                tags = (sets["digest"][used] >> np.uint64(32)).astype("<u4")
+                tags = np.empty(len(used), _TAG)
+                tags["high"], tags["low"], tags["doc"] = sets["digest"][used] >> np.uint64(32), (sets["digest"][used] >> np.uint64(16)) & np.uint64(0xFFFF), used
                 some = some.copy()
                 some["doc"] = index
-                yield part, number, b"\1" + np.array([len(used)], "<u8").tobytes() + tags.tobytes() + used.astype("<u2").tobytes() + some.tobytes()
+                yield part, number, b"\1" + np.array([len(used)], "<u8").tobytes() + tags.tobytes() + some.tobytes()
 
     return docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
 
@@ -149,11 +150,12 @@ def _count(sent: pd.DataFrame) -> pd.DataFrame:
             out.append((number, payload))
             continue
         n = int(np.frombuffer(payload, "<u8", 1, 1)[0])
-        tag, used = np.frombuffer(payload, "<u4", n, 9), np.frombuffer(payload, "<u2", n, 9 + 4 * n)
-        entry = np.frombuffer(payload, _ENTRY, offset=9 + 6 * n)
+        tag = np.frombuffer(payload, _TAG, n, 9)
+        entry = np.frombuffer(payload, _ENTRY, offset=9 + n * _TAG.itemsize)
+        of_class = tag["high"].astype(np.uint64) << np.uint64(16) | tag["low"]
         short.append(entry["hash"].astype(np.uint64) | (entry["high"].astype(np.uint64) << np.uint64(32)))
-        tags.append(tag[entry["doc"]])
-        owner.append(used[entry["doc"]])
+        tags.append(of_class[entry["doc"]])
+        owner.append(tag["doc"][entry["doc"]])
         block.append(np.full(len(entry), len(numbers)))
         numbers.append(number)
     if short:
@@ -254,49 +256,47 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     # a class whose texts lie in several blocks may come from each; the first heard of all its shingles
     whole = F.max_by(F.struct(*active.columns), F.size("shared"))
     active = materialise(active.groupBy("digest").agg(whole.alias("c")).select("c.*", (F.col("c.size") - F.size("c.shared")).alias("alone")), "jaccard-classes")
-    posting = materialise(active.select("digest", F.explode("prefix0").alias("token")), "jaccard-postings")
-    links = None
-    label = active.select("digest", F.col("digest").alias("component"))
-    for turn in range(HUB_ROUNDS):
-        hubs = F.transform(
-            F.array(*[F.min(F.struct(F.xxhash64("digest", F.lit(turn * HUBS + i)), "digest")) for i in range(HUBS)]), lambda x: x["digest"]
-        )
-        hub = posting.groupBy("token").agg(F.array_distinct(hubs).alias("hubs"), F.count(F.lit(1)).alias("n"))
-        pairs = posting.join(hub.where("n > 1"), "token").select("digest", F.explode("hubs").alias("hub")).where("digest <> hub")
-        pairs = _apart(pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct(), label if turn else None)
-        links, label = _grow(links, pairs, active, threshold, orders)
+    posting = materialise(active.select("digest", "alone", F.explode("prefix0").alias("token")), "jaccard-postings")
+    # classes with few shingles of their own are near the middle of their group; chance makes the hubs differ
+    distance = [(F.col("alone") + 1) * (1000 + F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(1000))) for i in range(HUBS)]
+    least = [F.min(F.struct(x, "digest")) for x in distance]
+    hubs = F.array_distinct(F.transform(F.array(*least), lambda x: x["digest"]))
+    # written before the join, so that Spark may split a hot token's side of it
+    hub = posting.groupBy("token").agg(hubs.alias("hubs"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hub = materialise(hub.drop("n"), "jaccard-hubs")
+    pairs = posting.join(hub, "token").select("digest", F.explode("hubs").alias("hub")).where("digest <> hub")
+    pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+    links = materialise(_verified(pairs, active, threshold, orders), "jaccard-links")
+    label = materialise(_labels(active, links), "jaccard-components")
     # the rest: pairs from different components.  Of a list's components the one with most
     # classes isn't joined with itself, so a list costs (classes outside it) * (classes).
-    known = posting.join(label, "digest")
+    known = posting.drop("alone").join(label, "digest")
     parted = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     lists = parted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    open_lists = materialise(known.join(lists.drop("components"), "token"), "jaccard-open")
+    lists = materialise(lists, "jaccard-lists")
+    open_lists = known.join(lists.drop("components"), "token")
     # filters stand in the join itself, so that only pairs that may link are ever rows
     sketch = active.select("digest", "size", "alone", *SKETCHES)
-    open_lists = materialise(open_lists.join(sketch, "digest"), "jaccard-open-sketches")
+    open_lists = materialise(open_lists.join(sketch, "digest"), "jaccard-open")
     x = open_lists.where("component <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("digest", "component", "size", "alone", *SKETCHES)])
     y = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("digest", "component", "main", "size", "alone", *SKETCHES)])
     once = (F.col("component_y") == F.col("main_y")) | (F.col("digest_x") < F.col("digest_y"))
     rest = x.join(y, "token").where("component_x <> component_y").where(once & may_link("x", "y", threshold))
     pairs = rest.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
-    _, label = _grow(links, pairs, active, threshold, orders)
-    return label
-
-
-def _apart(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Only the pairs whose classes aren't connected yet."""
-    if label is None:
-        return pairs
+    more = materialise(_verified(pairs, active, threshold, orders), "jaccard-links")
+    # components of components: the first ones' labels stand for their classes
     a, b = label.toDF("a", "ca"), label.toDF("b", "cb")
-    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b")
+    joined = connect(more.join(a, "a").join(b, "b").select("ca", "cb")).toDF("component", "c")
+    final = label.join(joined, "component", "left").select("digest", F.coalesce("c", "component").alias("component"))
+    final = materialise(final, "jaccard-components")
+    discard(active, posting, hub, links, label, lists, open_lists, more)
+    return final
 
 
-def _grow(links: DataFrame | None, pairs: DataFrame, active: DataFrame, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    new = materialise(_verified(pairs, active, threshold, orders), "jaccard-links")
-    links = new if links is None else links.unionByName(new)
-    found = connect(links)
-    label = active.select("digest").join(found.toDF("digest", "c"), "digest", "left").select("digest", F.coalesce("c", "digest").alias("component"))
-    return links, materialise(label, "jaccard-components")
+def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
+    """digest, component of every class; a class without links is its own component."""
+    found = connect(links).toDF("digest", "c")
+    return active.select("digest").join(found, "digest", "left").select("digest", F.coalesce("c", "digest").alias("component"))
 
 
 def join_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
