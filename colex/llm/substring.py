@@ -258,6 +258,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     info = materialise(_info(whole), "substring-documents")
     long = info.where(F.col("n_words") >= window)
     firsts = long.groupBy("kept_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = materialise(firsts, "substring-firsts")  # written first, so that Spark may split a hot group's side of the join
     copies = long.join(firsts, "kept_sha256").where("doc_id > first").select("doc_id", "text_key").distinct()
     keys = ["doc_id", "text_key"]
     suspects = _repeated(whole, window).join(copies, keys, "left_anti")
