@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import WORD, discard, materialise, table
 
 #: Fixed by the contract: weights in source order, share of all words, most repeats.
 WEIGHTS = (5, 2, 1)
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             F.coalesce(F.min(F.when(~fits, F.col("bucket"))), F.max("bucket") + 1).alias("end"),
             F.max(F.when(fits, F.col("upto"))).alias("used"),
         )
-        state = materialise(
+        last, state = state, materialise(
             _by_source(state, full, small, "left").select(
                 "source",
                 (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"),
@@ -116,6 +116,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             ),
             "mix-level",
         )
+        if level:
+            discard(last)
     thresholds = _by_source(plan.drop("rest"), state.select("source", F.col("low").alias("threshold")), small)
     times = F.col("whole") + F.when((F.col("place") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)
     return _by_source(sizes, thresholds, small).select(
