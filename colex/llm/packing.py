@@ -49,15 +49,20 @@ def encoder(name: str = TOKENIZER):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        slow: list = []
+
         def encode(text: str) -> list[int]:
             try:
                 return fast.encode_ordinary(text)
-            except Exception:  # its regular expression engine gave up
-                from tokenizers import Tokenizer
-
-                slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-                slow.encode_special_tokens = True
-                return slow.encode(text, add_special_tokens=False).ids
+            except (KeyboardInterrupt, SystemExit):
+                raise
+            except BaseException:  # its regular expression engine gave up: a panic, which is no Exception
+                if not slow:
+                    from tokenizers import Tokenizer
+
+                    slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+                    slow[0].encode_special_tokens = True
+                return slow[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[name] = encode
     return _ENCODERS[name]
