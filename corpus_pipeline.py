@@ -7,6 +7,7 @@ the shared folder and rereads them, so a lost executor repeats no earlier stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Of rows that share that doc_id one stays.  Documents without words link with nothing and stay.
+    Of rows that share that doc_id one stays, the same on every rerun.  Documents without words link with nothing and stay.
     """
     found = jaccard.join_components(docs)
     first = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_anti").select(COLUMNS)
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    # the join has brought equal ids together already
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
+    named = kept.where(F.col("doc_id").isNotNull()).withColumn("nth", nth).where("nth = 1").select(COLUMNS)
+    return named.unionByName(kept.where(F.col("doc_id").isNull()))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
