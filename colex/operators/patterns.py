@@ -32,13 +32,18 @@ POSTPOSITIONS = (
     "に基づいて に基づいた|に応じて に応じた|にわたって にわたる|に際して に際した|に沿って に沿った|に向けて に向けた|に伴って に伴う|に続いて に続く|に先立って に先立つ"
 )
 ASPECTS = "始める 始めた 出す 出した 続ける 続けた 終わる 終わった 終える 終えた かける かけた 込む 込んだ 切る 切った 切れない 切れなかった 上げる 上げた 下げる 下げた 直す 直した 返す 返した 抜く 抜いた".split()
-NEGATIVES = (
-    "わけにはいかない わけにもいかない わけがない わけではない わけでもない はずがない はずもない ざるを得ない ざるを得なかった ないではいられない ずにはいられない "
-    "なしにはいられない まい ないでいられない"
-).split()
+NEGATIVES = "ざるを得ない ざるを得なかった ないではいられない ずにはいられない なしにはいられない まい ないでいられない を問わず にかかわらず にもかかわらず どころか どころではない かねない かねる".split()
 FIXED = "とはいえ とはいっても とはいえども はともかく はともかくとして はさておき はさておいて もさることながら".split()
 
 
+def crossed(*parts: str) -> tuple[str, ...]:
+    """Markers put together from alternatives: crossed("a b", "c d") is ac, ad, bc, bd."""
+    out = [""]
+    for part in parts:
+        out = [head + tail for head in out for tail in part.split(" ")]
+    return tuple(dict.fromkeys(out))
+
+
 @dataclass(frozen=True)
 class Family:
     """A rule for specifications: one per marker."""
@@ -62,6 +67,13 @@ FAMILIES = (
     Family("複合後置詞型(連体)", CONTENT_WORD, "N+", NOUN, EXPRESSION, 73, _postpositions()[1]),
     Family("複合動詞型", STEM, "V+", VERB, VERB, 68, tuple(ASPECTS)),
     Family("否定制限型", CONTENT_WORD, "V+", VERB, EXPRESSION, 80, tuple(NEGATIVES)),
+    Family("否定推論型", CONTENT_WORD, "V+", VERB, EXPRESSION, 80, crossed("わけ はず", "がない もない ではない でもない にはいかない にもいかない")),
+    Family("認識否定型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 78, crossed("とは", "思えない 言えない 考えられない 信じられない")),
+    Family("断定推量型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 82, crossed("に", "違いない 相違ない ほかならない 他ならない 決まっている")),
+    Family("様態推量型", CONTENT_WORD, "V+", EXPRESSION, AUX, 70, crossed("ように", "見える 見えた 思える 感じる 聞こえる 受け取れる 映る")),
+    Family("伝聞見解型", CONTENT_WORD, "V+", EXPRESSION, AUX, 73, crossed("と", "思われる 考えられる みられる 推測される される されている")),
+    Family("条件義務型", CONTENT_WORD, "V+", VERB, AUX, 75, crossed("なければ なくては ないと", "ならない いけない だめ")),
+    Family("仮定逆接型", CONTENT_WORD, "V+", VERB, AUX, 71, crossed("と", "したら すれば なれば しても はいっても")),
     Family("慣用複合型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 80, tuple(FIXED)),
 )
 
