@@ -79,4 +79,5 @@ class Workspace:
 
     def totals(self, hits: DataFrame) -> DataFrame:
         """n_hits, n_all: what a result list shows above itself."""
-        return hits.agg(F.count(F.lit(1)).alias("n_hits")).crossJoin(self.lexicon.agg(F.count(F.lit(1)).alias("n_all")))
+        everything = self.lexicon.agg(F.count(F.lit(1))).scalar()
+        return hits.agg(F.count(F.lit(1)).alias("n_hits")).withColumn("n_all", everything)

@@ -26,9 +26,8 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     whole = W.partitionBy("id")
     place = F.struct(F.min("is_new").over(whole).alias("appended"), F.coalesce(F.min(F.when(~F.col("is_new"), F.col("ord"))).over(whole), F.min("ord").over(whole)).alias("at"))
     kept = ranked.withColumn("place", place).where("nth = 1")
-    base = store.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
-    kept = kept.crossJoin(F.broadcast(base))  # an aggregate without groups: one row
-    return kept.withColumn("ord", F.when(F.col("place.appended"), F.col("top") + 1 + F.col("place.at")).otherwise(F.col("place.at"))).select(store.columns)
+    top = store.agg(F.coalesce(F.max("ord"), F.lit(-1))).scalar()
+    return kept.withColumn("ord", F.when(F.col("place.appended"), top + 1 + F.col("place.at")).otherwise(F.col("place.at"))).select(store.columns)
 
 
 def bulk_import(store: DataFrame, batch: DataFrame) -> tuple[DataFrame, int]:
@@ -100,12 +99,17 @@ def all_patterns(store: DataFrame) -> DataFrame:
     return store.select("pattern").distinct().orderBy("pattern")
 
 
-def inverted_index(store: DataFrame, key: str) -> DataFrame:
-    """key, ids in insertion order once each; an array column is indexed by its elements."""
+def inverted_index(store: DataFrame, key: str, span: int | None = None) -> DataFrame:
+    """key, ids in insertion order once each; an array column is indexed by its elements.
+
+    With `span`, a key's list comes in rows (key, part, ids) of the places part * span up to
+    the next, so that no row and no task grows with a frequent key.
+    """
     column = F.explode(key) if store.schema[key].dataType.typeName() == "array" else F.col(key)
     entries = store.select(column.alias("key"), "id", "ord").groupBy("key", "id").agg(F.min("ord").alias("ord"))
+    by = ["key"] if span is None else ["key", F.floor(F.col("ord") / span).alias("part")]
     listed = F.array_sort(F.collect_list(F.struct("ord", "id")))
-    return entries.groupBy("key").agg(F.transform(listed, lambda x: x["id"]).alias("ids"))
+    return entries.groupBy(*by).agg(F.transform(listed, lambda x: x["id"]).alias("ids"))
 
 
 # chunks and context bits

@@ -162,3 +162,14 @@ def test_files_of_either_naming(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"id": "a", "headword": "風", "headwordPOS": "名詞", "fullPhrase": "風が吹く", "tags": ["t"], "createdAt": 5},\n {"id": "b", "headword_pos": "動詞"}]', encoding="utf-8")
     rows = I.read_lexicon(spark, str(tmp_path / "x.json")).orderBy("ord").collect()
     assert [(r["id"], r["headword_pos"], r["full_phrase"], r["created_at"]) for r in rows] == [("a", "名詞", "風が吹く", 5), ("b", "動詞", None, None)]
+
+
+def test_index_lists_in_parts(spark, sf_dir):
+    lex = Q.lexicon(spark, sf_dir)
+    whole = {r["key"]: r["ids"] for r in K.inverted_index(lex, "tags").collect()}
+    parts = K.inverted_index(lex, "tags", span=50).orderBy("key", "part").collect()
+    joined = {}
+    for r in parts:
+        assert len(r["ids"]) <= 50
+        joined[r["key"]] = joined.get(r["key"], []) + r["ids"]
+    assert joined == whole
