@@ -304,13 +304,15 @@ def join_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
 
     component_id is the smallest doc_id reachable by links.  Texts without words, null texts
     included, link with nothing: their component is themselves.  Rows with equal sets link
-    with each other, rows that share a doc_id as well; other columns are ignored.
+    with each other; rows that share a doc_id are compared like any others, and rows without
+    one take their component's smallest id.  Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     known = materialise(_classes(docs, k), "jaccard-documents")
     label = class_links(docs, k, threshold).where("component <> digest").withColumnRenamed("digest", "d")
     full = known.join(label, known["digest"] == label["d"], "left").withColumn("component", F.coalesce("component", "digest"))
     least = full.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = materialise(least, "jaccard-least")
     out = full.join(least.withColumnRenamed("component", "c"), (F.col("component") == F.col("c")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.col("digest").alias("class_digest"))
 
