@@ -149,17 +149,36 @@ def score(vectors: DataFrame, model: Model) -> DataFrame:
     return vectors.select("doc_id", "x").mapInArrow(work, f"doc_id {key}, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels (doc_id, quality)
-    outside the held-out fold are learnt.  Null and empty texts are scored like any other,
-    labels without a document or without a quality don't count, and repeated labels count
-    each.  Without labels every score is 0.5."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """(features of all docs, the model of the labels (doc_id, quality) outside the held-out fold).
+
+    Labels without a document or without a quality don't count, and repeated labels count each.
+    """
     vectors = materialise(features(docs), "statistics")
     learnt = labels.select("doc_id", "quality").where(fold(F.col("doc_id")) != HELD_OUT)
-    model = fit(vectors.join(learnt, "doc_id"))
+    return vectors, fit(vectors.join(learnt, "doc_id"))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs.  Null and empty texts are scored
+    like any other.  Without labels every score is 0.5."""
+    vectors, model = train(docs, labels)
     return score(vectors, model).withColumn("held_out", fold(F.col("doc_id")) == HELD_OUT)
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text the model predicts to be good: a filter, so that no text is
+    shuffled to its verdict."""
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(v.as_py()) for v in batch.column(at)]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) >= 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scores over the whole documents table."""
     out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -69,18 +69,15 @@ def _by_source(left: DataFrame, right: DataFrame, small: bool, how: str = "inner
     return left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["source_r"]), how).drop("source_r")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, place for every row of `docs`.
+def word_count(text: str = "text"):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-    A source's sum ends nearest to its target, at most half a document away.
-    Whole repeats come first: every document of a source is taken floor(target / source_size)
-    times.  What is left of the target is filled with the documents whose place lies below
-    the source's threshold.  Null and empty texts have size 0 and are taken as 0 words.
-    Repeated rows with one doc_id share a place: they are taken together or not at all.
-    Only `doc_id`, `text` and `source` are read; an empty table gives an empty result.
+
+def thresholds(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, bool]:
+    """(sizes, plan, small): doc_id, source, size, place of every row of `docs`; source,
+    source_size, target, whole, threshold of every source; whether the plan may be broadcast.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialise(docs.select("doc_id", "source", size.alias("size"), place(F.col("doc_id")).alias("place")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", word_count().alias("size"), place(F.col("doc_id")).alias("place")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     plan = targets.select(
@@ -118,11 +115,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         )
         if level:
             discard(last)
-    thresholds = _by_source(plan.drop("rest"), state.select("source", F.col("low").alias("threshold")), small)
-    times = F.col("whole") + F.when((F.col("place") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)
-    return _by_source(sizes, thresholds, small).select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), "source", "place", times.alias("times")
-    )
+    plan = _by_source(plan.drop("rest"), state.select("source", F.col("low").alias("threshold")), small)
+    return sizes, materialise(plan, "mix-plan"), small
+
+
+def taken(rows: DataFrame, plan: DataFrame, small: bool, most: float = MOST) -> DataFrame:
+    """rows (with source and place) with their source's plan and `times`, how often each is taken."""
+    extra = F.when((F.col("place") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)
+    return _by_source(rows, plan, small).withColumn("times", F.col("whole") + extra)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, place, times for every row of `docs`.
+
+    A source's sum ends nearest to its target, at most half a document away.
+    Whole repeats come first: every document of a source is taken floor(target / source_size)
+    times.  What is left of the target is filled with the documents whose place lies below
+    the source's threshold.  Null and empty texts have size 0 and are taken as 0 words.
+    Repeated rows with one doc_id share a place: they are taken together or not at all.
+    Only `doc_id`, `text` and `source` are read; an empty table gives an empty result.
+    """
+    sizes, plan, small = thresholds(docs, weights, share, most)
+    columns = ["doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source", "place", "times"]
+    return taken(sizes, plan, small, most).select(*columns)
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
