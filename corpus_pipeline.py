@@ -12,20 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colex.llm import classifier, jaccard, mixture, packing, secrets
-from colex.llm.common import materialise, table
+from colex.llm.common import discard, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good.
-
-    Predictions are joined back by doc_id; rows that share a doc_id stay if any of their
-    texts is good.  Rows without a doc_id can't be told apart and stay.
-    """
-    good = classifier.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    kept = docs.join(good, "doc_id", "left_semi").select(COLUMNS)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
+    """Documents that the quality classifier predicts to be good, each row by its own text."""
+    docs = docs.select(COLUMNS)
+    vectors, model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    discard(vectors)
+    return classifier.keep(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +57,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, at most twice.  A document without
-    words weighs nothing and is taken once."""
+    words weighs nothing and is taken once.  Texts meet their source's plan where they are."""
     docs = docs.select(COLUMNS)
-    plan = mixture.mix(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("times"))
-    plan = plan.groupBy("doc_id").agg(F.max("times").cast("int").alias("times")).withColumnRenamed("doc_id", "d")
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["d"])).where("times > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    sizes, plan, small = mixture.thresholds(docs)
+    discard(sizes)
+    rows = mixture.taken(docs.withColumn("place", mixture.place(F.col("doc_id"))), plan, small)
+    times = F.when(mixture.word_count() == 0, 1).otherwise(F.col("times")).cast("int")
+    return rows.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
