@@ -49,7 +49,12 @@ DROP_WORDS = frozenset(
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 KEEP_TAGS = frozenset("html body main article".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
+# Possessive, so that no input makes it go back: a tag ends at the first > outside quotes, with a
+# quote that is never closed at the first >, and without any > it takes the rest of the page.
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|{_NAME}((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|{_NAME}([^>]*+)>|</?[a-zA-Z][^>]*+\Z|[^<]++|<", re.S
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 
@@ -57,6 +62,8 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 CONSTANT = 200
 #: An element is the main region if it holds this share of the slots' text.
 MAIN_SHARE = 0.6
+#: Levels that a wrapper tells apart; extraction itself reads any depth.
+DEPTH = 100
 BROADCAST_HOSTS = 20_000
 SALT = 16
 
@@ -67,16 +74,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
-        if m[2] is None:
+        ends, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
             if page[m.start()] != "<" or at - m.start() == 1:
                 yield "text", m[0], ""
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if ends:
             yield "close", name, ""
             continue
-        yield "open", name, m[3]
-        if name in RAW and not m[3].endswith("/"):
+        yield "open", name, attributes
+        if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             yield "close", name, ""
@@ -146,9 +154,14 @@ def fold(page: str) -> list:
     """A page's expression.  Neighbours with one label become a repeated group at once."""
     root = ["", False, False, []]
     open_nodes = [root]
+    deeper = 0  # open elements below DEPTH, which count as part of their ancestor there
     for event, value, path, drop in walk(page):
-        if event == "open":
+        if event == "open" and len(open_nodes) > DEPTH:
+            deeper += 1
+        elif event == "open":
             open_nodes.append([path[-1], False, False, []])
+        elif event == "close" and deeper:
+            deeper -= 1
         elif event == "close":
             node = open_nodes.pop()
             kids = open_nodes[-1][3]

@@ -74,6 +74,21 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert json.loads(json.dumps(tree)) == tree
 
 
+def test_broken_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.extract("<p>a</p><b " + "x" * 1_000_000) == "a"
+    assert html_text.extract("<p title='open>a</p><p>b</p>") == "a\nb"
+    assert html_text.extract("<" + "a" * 1_000_000) == ""
+    assert html_text.extract("a < b " * 100_000).startswith("a < b a < b")
+    assert html_text.extract("<script>" * 1000 + "x") == ""
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    tree = html_text.align(html_text.fold(deep), html_text.fold(deep + "<p>x</p>"))
+    assert html_text.extract(deep, html_text.main_region(json.loads(json.dumps(tree)))) == "deep" and html_text.expression(tree)
+    assert time.time() - began < 20
+
+
 def test_archives_against_sql(spark, pages):
     path = scratch(spark, "test-warc")
     warc.write_archives(pages, path, per_file=3)
