@@ -15,6 +15,9 @@ from colex.llm import classifier, jaccard, mixture, packing, secrets
 from colex.llm.common import discard, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The near-duplicate stage's own link: a similarity of 0.8 or more of five-word shingles (op5's contract has other values).
+SHINGLE = 5
+THRESHOLD = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
+    Texts link from a Jaccard similarity of THRESHOLD hundredths of their SHINGLE-word shingles on.
     Of rows that share that doc_id one stays, the same on every rerun.  Documents without words link with nothing and stay.
     """
-    found = jaccard.join_components(docs)
+    found = jaccard.join_components(docs, k=SHINGLE, threshold=THRESHOLD)
     first = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_anti").select(COLUMNS)
     # the join has brought equal ids together already

@@ -42,3 +42,19 @@ def test_run(spark):
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
     good = jaccard.join_components(spark.read.parquet(f"{SF}/documents.parquet")).where("doc_id = component_id").toPandas()
     assert set(out["doc_id"]) <= set(good["doc_id"]) | set(out["doc_id"][out["doc_tokens"] < 5])
+
+
+def test_near_duplicates_link_from_four_fifths_on(spark):
+    """Pairs with a block of their text replaced: a five-word similarity of 0.80 to 0.85 links, less doesn't."""
+    rows, gone = [], set()
+    for i, block in enumerate(range(6, 30)):
+        words = [f"p{i}w{j}" for j in range(204)]
+        changed = words[:90] + [f"p{i}c{j}" for j in range(block)] + words[90 + block :]
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(changed), "en", "s", 0)]
+        a, b = (data.shingles(r[1], 5) for r in rows[-2:])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            gone.add(2 * i + 1)
+    between = [i for i in gone if 100 * len(data.shingles(rows[i][1]) & data.shingles(rows[i - 1][1])) < 85 * len(data.shingles(rows[i][1]) | data.shingles(rows[i - 1][1]))]
+    assert between and len(gone) < 24
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, data.SCHEMA), SF).collect()}
+    assert kept == {r[0] for r in rows} - gone
