@@ -11,6 +11,7 @@ sequence from k alone.  Ranks come from bucket counts, so no class is sorted as
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,30 +40,34 @@ _ENCODERS: dict[str, object] = {}
 
 def encoder(name: str = TOKENIZER):
     """text -> ids.  The ranks file holds the vocabulary of the tokenizer's .json, and gives
-    the same ids several times faster; a text its regular expression can't take goes to
-    the tokenizer itself."""
+    the same ids several times faster; a text that holds one of the tokenizer's added tokens
+    (<|endoftext|>, an id of its own) or that its regular expression can't take goes to the
+    tokenizer itself."""
     if name not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as whole:
+            added = [t["content"] for t in json.load(whole)["added_tokens"]]
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         slow: list = []
 
         def encode(text: str) -> list[int]:
-            try:
-                return fast.encode_ordinary(text)
-            except (KeyboardInterrupt, SystemExit):
-                raise
-            except BaseException:  # its regular expression engine gave up: a panic, which is no Exception
-                if not slow:
-                    from tokenizers import Tokenizer
-
-                    slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
-                    slow[0].encode_special_tokens = True
-                return slow[0].encode(text, add_special_tokens=False).ids
+            if not any(token in text for token in added):
+                try:
+                    return fast.encode_ordinary(text)
+                except (KeyboardInterrupt, SystemExit):
+                    raise
+                except BaseException:  # its regular expression engine gave up: a panic, which is no Exception
+                    pass
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return slow[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[name] = encode
     return _ENCODERS[name]

@@ -161,6 +161,21 @@ def test_a_text_the_fast_encoder_gives_up_on():
     assert len(ids) >= 3 and ids[0] == packing.encoder()("a")[0]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    """The ids of the tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y", "<|endoftext|", "a <|ENDOFTEXT|> b", "<|endoftext|>" + " word" * 3000]
+    assert packing.encoder()(texts[0]) == [64, 220, 50256, 275]
+    assert [packing.encoder()(t) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    rows_ = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("start = 0").collect()
+    for r in rows_:
+        ids = np.array([*slow.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids[:1024].tobytes()))
+
+
 def test_patterns_fill_their_sequences():
     rng = np.random.default_rng(4)
     kinds = np.clip(np.exp(rng.normal(4, 0.9, 4000)).astype(int), 1, 255)
