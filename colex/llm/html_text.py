@@ -7,13 +7,14 @@ element a repeated group, and differing texts a slot.  Partial wrappers are alig
 every batch of a scan, then by (host, salt), then by host, so every page counts, a hot
 host is spread, and what travels are wrappers, never pages.
 
-The wrapper names the host's main region: an article element if it has one, else the
-innermost element that holds most of the slots' text.  Extraction then reads each page
-once, within that region, without the parts that no article has (menus, headers, ...).
+The wrapper names the host's main region: its article elements if it has any, else all but
+the blocks whose text is the same on every page.  Extraction then reads each page once,
+within that region, without the parts that no article has (menus, headers, ...).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -58,10 +59,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 
-#: A text longer than this counts as a slot at once: no template repeats it.
+#: A wrapper holds a text longer than this as its digest.
 CONSTANT = 200
-#: An element is the main region if it holds this share of the slots' text.
-MAIN_SHARE = 0.6
 #: Levels that a wrapper tells apart; extraction itself reads any depth.
 DEPTH = 100
 BROADCAST_HOSTS = 20_000
@@ -147,13 +146,19 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
 
 
 # ------------------------------------------------------------------ wrappers
-# A node is [label, repeated, optional, kids] for an element, ["#", text or None, chars, 0] for text.
+# A node is [label, repeated, optional, kids] for an element, ["#", text or None, chars, optional] for
+# text.  The root has the least two digests of its pages' texts as well: copies prove nothing.
+
+
+def _digest(text: str) -> str:
+    return "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def fold(page: str) -> list:
     """A page's expression.  Neighbours with one label become a repeated group at once."""
-    root = ["", False, False, []]
+    root = ["", False, False, [], []]
     open_nodes = [root]
+    texts = []
     deeper = 0  # open elements below DEPTH, which count as part of their ancestor there
     for event, value, path, drop in walk(page):
         if event == "open" and len(open_nodes) > DEPTH:
@@ -171,24 +176,27 @@ def fold(page: str) -> list:
                 kids.append(node)
         elif not value.isspace() and not drop:
             text = " ".join(html.unescape(value).split())
-            node = ["#", text if len(text) <= CONSTANT else None, len(text), 0]
+            texts.append(text)
+            node = ["#", text if len(text) <= CONSTANT else _digest(text), len(text), False]
             kids = open_nodes[-1][3]
             if kids and kids[-1][0] == "#":
                 kids[-1] = align(kids[-1], node, True)
             else:
                 kids.append(node)
+    root[4].append(_digest("\n".join(texts)))
     return root
 
 
 def align(a: list, b: list, repeated: bool = False) -> list:
     """The expression of two expressions with one label."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], 0]
-    return [a[0], repeated or a[1] or b[1], a[2] or b[2], align_kids(a[3], b[3])]
+        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] or b[3]]
+    pages = [sorted({*a[4], *b[4]})[:2]] if len(a) > 4 else []
+    return [a[0], repeated or a[1] or b[1], a[2] or b[2], align_kids(a[3], b[3]), *pages]
 
 
 def _maybe(node: list) -> list:
-    return node if node[0] == "#" else [node[0], node[1], True, node[3]]
+    return [*node[:3], True] if node[0] == "#" else [node[0], node[1], True, node[3]]
 
 
 def align_kids(a: list, b: list) -> list:
@@ -218,47 +226,73 @@ def align_kids(a: list, b: list) -> list:
 def expression(node: list) -> str:
     """The wrapper as text: <p>, (..)+ repeated, (..)? optional, # a slot, and constant texts."""
     if node[0] == "#":
-        return "#" if node[1] is None else node[1]
+        return "#" if node[1] is None or node[1].startswith("\0") else node[1]
     inner = "".join(map(expression, node[3]))
     text = f"<{node[0]}>{inner}</{node[0].split('.')[0]}>" if node[0] else inner
     return f"({text}){'*' if node[1] and node[2] else '+' if node[1] else '?'}" if node[1] or node[2] else text
 
 
-def _slot_text(node: list) -> int:
-    if node[0] == "#":
-        return node[2] if node[1] is None else 0
-    return sum(map(_slot_text, node[3]))
+def _has_text(node: list) -> bool:
+    return node[0] == "#" or any(map(_has_text, node[3]))
+
+
+def _articles(node: list, tag: str, path: tuple = ()) -> Iterator[tuple]:
+    """The paths of the outermost elements with text that are a tag (or have the role main)."""
+    for kid in node[3] if node[0] != "#" else []:
+        name, _, rest = kid[0].partition(".")
+        if (name == tag or (tag == "main" and rest == "main")) and _has_text(kid):
+            yield (*path, kid[0])
+        else:
+            yield from _articles(kid, tag, (*path, kid[0]))
+
+
+def _constant_blocks(wrapper: list) -> dict[tuple, bool]:
+    """Path of every block with text of its own -> whether that text is the same on all pages."""
+    found: dict[tuple, bool] = {}
+
+    def look(node: list, path: tuple, block: tuple, everywhere: bool) -> None:
+        for kid in node[3]:
+            if kid[0] == "#":
+                found[block] = found.get(block, True) and everywhere and kid[1] is not None and not kid[3]
+            else:
+                at = (*path, kid[0])
+                look(kid, at, at if kid[0].partition(".")[0] in BLOCK else block, everywhere and not kid[2])
+
+    look(wrapper, (), (), True)
+    return found
 
 
 def main_region(wrapper: list) -> str:
-    """The path of labels to the main region, joined by spaces; empty for the whole page."""
-
-    def find(node: list, path: tuple, tag: str) -> tuple | None:
-        for kid in node[3] if node[0] != "#" else []:
-            at = (*path, kid[0])
-            name, _, rest = kid[0].partition(".")
-            if (name == tag or (tag == "main" and rest == "main")) and _slot_text(kid) + len(kid[3]):
-                return at
-            if deeper := find(kid, at, tag):
-                return deeper
-        return None
+    """Lines of label paths, joined by spaces; empty for the whole page.
 
+    All article elements of the host, else all main elements.  Without either the first line is
+    what the blocks have in common whose text varies or isn't on all pages, and lines with a -
+    are the other blocks inside it.  A single page, or only copies, prove no block constant.
+    """
     for tag in ("article", "main"):
-        if path := find(wrapper, (), tag):
-            return " ".join(path)
-    total, node, path = _slot_text(wrapper), wrapper, []
-    while total:
-        heavy = [k for k in node[3] if k[0] != "#" and _slot_text(k) >= MAIN_SHARE * total]
-        if not heavy or heavy[0][1] or heavy[0][0] == "p":  # a repeated group is the article's parts, not the article
-            break
-        node = heavy[0]
-        path.append(node[0])
-    return " ".join(path)
+        if paths := list(dict.fromkeys(_articles(wrapper, tag))):
+            return "\n".join(map(" ".join, paths))
+    blocks = _constant_blocks(wrapper) if len(wrapper[4]) > 1 else {}
+    kept = [path for path, constant in blocks.items() if not constant]
+    if not kept:
+        return ""
+    first, last = min(kept), max(kept)
+    n = next((i for i, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+    common = first[:n]
+    return "\n".join([" ".join(common), *("-" + " ".join(p) for p, constant in blocks.items() if constant and p[:n] == common)])
 
 
 # ------------------------------------------------------------------ extraction
 
 
+def _block(path: list[str]) -> tuple:
+    """The path to the innermost block."""
+    n = len(path)
+    while n and path[n - 1].partition(".")[0] not in BLOCK:
+        n -= 1
+    return tuple(path[:n])
+
+
 def extract(page: str | None, region: str = "") -> str:
     """The text of the blocks within the region, joined by newlines.
 
@@ -267,7 +301,9 @@ def extract(page: str | None, region: str = "") -> str:
     """
     if not page:
         return ""
-    want = region.split(" ") if region else []
+    lines = region.split("\n") if region else []
+    wants = [line.split(" ") if line else [] for line in lines if not line.startswith("-")]
+    unwanted = {tuple(line[1:].split(" ")) if line[1:] else () for line in lines if line.startswith("-")}
     found: dict[str, list[str]] = {"region": [], "own": [], "all": []}
     buffers: dict[str, list[str]] = {k: [] for k in found}
 
@@ -289,7 +325,7 @@ def extract(page: str | None, region: str = "") -> str:
             buffers["all"].append(text)
             if own_depth:
                 buffers["own"].append(text)
-            if want and path[: len(want)] == want:
+            if any(path[: len(want)] == want for want in wants) and not (unwanted and _block(path) in unwanted):
                 buffers["region"].append(text)
     flush()
     return "\n".join(found["region"] or found["own"] or found["all"])

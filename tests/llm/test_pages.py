@@ -74,6 +74,23 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert json.loads(json.dumps(tree)) == tree
 
 
+def test_all_blocks_that_vary_are_kept(spark):
+    long = "A sentence of this page alone. " * 12
+    page = lambda i, lead: f"<body><div class=top>Home</div><div class=wrap><div class=lead>Lead {i}</div><div class=text><h2>Story</h2><p>{long}{i} <b>Note</b> end</p>{lead}</div><div class=bar>Same bar</div></div></body>"
+    want = lambda i: f"Lead {i}\n{long}{i} Note end"
+    two = lambda i, text: f"<body><article class=teaser><p>More {i}</p></article><article class=post><h1>Head {i}</h1><p>{text} {i}</p></article></body>"
+    alone = "<body><h1>Head</h1><div class=a><p>Short one.</p></div><div class=b><p>" + long + "</p></div></body>"
+    some = [
+        (1, "http://lead.example/1", page(1, "")), (2, "http://lead.example/2", page(2, "")), (3, "http://lead.example/3", page(3, "<p>Only here</p>")),
+        (4, "http://two.example/1", two(1, "Text")), (5, "http://two.example/2", two(2, "Text")),
+        (6, "http://one.example/1", alone), (7, "http://copies.example/1", alone), (8, "http://copies.example/2", alone),
+    ]
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(some, SCHEMA).repartition(3)).collect()}
+    assert found[1] == want(1) and found[2] == want(2) and found[3] == want(3) + "\nOnly here"
+    assert found[4] == "More 1\nHead 1\nText 1" and found[5] == "More 2\nHead 2\nText 2"
+    assert found[6] == found[7] == found[8] == "Head\nShort one.\n" + long.strip()
+
+
 def test_broken_markup_takes_linear_time():
     import time
 
