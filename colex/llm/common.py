@@ -24,6 +24,8 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 #: Texts are cut into chunks of about this many bytes before numpy sees them, so
 #: memory follows the chunk (or the longest single text), not the Arrow batch.
 CHUNK_BYTES = 1_000_000
+#: Texts in a chunk at most, so that 16 bits number them.
+CHUNK_TEXTS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set (tests) a temporary one."""
+    """The folder all executors share; only where none is set and executors are threads of this
+    machine (tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster executors need a folder they share")
         folder = "file://" + tempfile.mkdtemp(prefix="colex-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,12 +48,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops a query's shuffle files at its end if this is set (4.1 on; unknown before, and harmless).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back.  A lost executor costs
-    only the tasks it ran; everything behind the written table stays done."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    only the tasks it ran; everything behind the written table stays done, so the shuffle
+    files that led to it are dropped."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
 
@@ -65,6 +81,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, by Spark's statistics; those it knows nothing of count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    return sum(size for size in sizes if size < unknown)
+
+
 def let(value, body):
     """Bind a column to a name inside an expression, so that it is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -117,12 +141,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, most: int = CHUNK_TEXTS) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) for slices of about `limit` bytes; a null text is empty."""
     first, size, out = 0, 0, []
     for i, text in enumerate(texts.cast(pa.large_binary())):
         value = text.as_py() or b""
-        if out and size + len(value) > limit:
+        if out and (size + len(value) > limit or len(out) == most):
             yield first, out
             first, size, out = i, 0, []
         out.append(value)

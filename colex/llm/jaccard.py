@@ -248,7 +248,7 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     """digest, component: the classes that link with another one and the least digest of their
     component; (doc_id, text) in."""
     spark = docs.sparkSession
-    parts = parts_of(spark)
+    parts = parts_of(docs)
     heard = by_part(_sent(docs, k, parts), _count, "block long, payload binary")
     arrays = ", ".join(f"prefix{i} array<long>" for i in range(orders))
     schema = f"digest long, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"

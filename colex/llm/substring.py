@@ -1,15 +1,21 @@
-"""Substring deduplication by recompression.
-
-1. A document whose words are those of a smaller doc_id is a copy: every window of it
-   starts earlier there.
-2. Every other window has an anchor, a symbol of the recompressed text (see recompress).
-   Equal windows have equal anchor keys, so only documents with an anchor key that occurs
-   elsewhere (or twice) can hold a repeat.  Keys travel packed, once per block.
-3. The windows of those documents are compared: within an anchor key, the window's own
-   128 bits (key and hash) decide, and all but its first place are removed.
-
-Both exchanges send a key or window at most twice per block of texts, so a passage that
-a third of all documents share is a few entries per block, not one per document.
+"""Substring deduplication by recompression, in Spark rounds.
+
+Symbols of the recompressed texts (see recompress) have global names: equal substrings have
+equal interior symbols wherever they are.  Each round asks, of all texts that are still in
+question, which symbols have another place too, and only what is shared goes on:
+
+1. Low symbols.  Every window has an anchor, the least low symbol in it.  Equal windows have
+   equal anchors, so windows whose anchor has no other place can't repeat.  What stays are
+   the zones of a text whose anchors are shared.
+2. High symbols of the zones, of all levels, from twice the window up.  Two places of one name
+   (128 bits: the name and a hash of its words) verify a repeat of the symbol's whole length:
+   all windows inside are removed at every place but the first.
+3. Windows at the edges: those of the zones that no repeat of round 2 covers are compared by
+   128 bits each (anchor and hash), and all but the first place of each are removed.
+
+A text whose words are those of a smaller doc_id is a copy: all of it is removed before.  All
+rounds send a key at most twice per block of texts, so a passage that a third of all documents
+share is a few entries per block, not one per document.
 """
 
 from __future__ import annotations
@@ -18,23 +24,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, hash_words, materialise, mix, table
-from .exchange import SCHEMA, blocks, by_part, parts_of, runs, split
-from .recompress import anchors
+from .common import Rolling, chunks, discard, hash_words, materialise, mix, table
+from .exchange import HIT, LAST, SPAN, ask, hits, ids_of
+from .recompress import anchors, high_symbols
 
 WINDOW = 20
-LAST = np.iinfo(np.int64).max  # a null doc_id comes after all others
 
-_KEY = np.dtype([("key", "<u8"), ("tag", "<u4"), ("doc", "<u4")])
-_DOC = np.dtype([("id", "<i8"), ("text", "<i8")])
-_WIN = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<u4"), ("start", "<u4")])
-_HIT = np.dtype([("doc", "<u4"), ("start", "<u4")])
-FOUND = "doc_id long, text_key long, starts binary"
+_LOW = np.dtype([("key", "<u8"), ("tag", "<u4"), ("tag2", "<u2"), ("doc", "<u2"), ("at", "<u4")])
+_HIGH = np.dtype([("key", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("at", "<u4"), ("size", "<u4"), ("doc", "<u2")])
+_WIN = np.dtype([("key", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("at", "<u4"), ("doc", "<u2")])
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _info(docs: DataFrame) -> DataFrame:
@@ -56,185 +59,174 @@ def _info(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, text_key long, n_words long, kept_sha256 string")
 
 
-def _rows(batch: pa.RecordBatch, first: int, count: int) -> np.ndarray:
-    """The (doc_id, text_key) records of rows of a batch."""
-    out = np.empty(count, _DOC)
-    for name, column in zip(("id", "text"), (0, 1), strict=True):
-        out[name] = batch.column(column).slice(first, count).fill_null(LAST).to_numpy(zero_copy_only=False)
-    return out
-
-
-def _with_table(rows: np.ndarray, docs: np.ndarray, entries: np.ndarray, settled: bytes = b"") -> bytes:
-    """A payload: settled rows, the documents that the entries name (renumbered), and the entries."""
-    used, entries["doc"] = np.unique(docs, return_inverse=True)
-    return b"".join([np.array([len(settled), len(used)], "<u8").tobytes(), settled, rows[used].tobytes(), entries.tobytes()])
-
+# ------------------------------------------------------------------ round 1: low symbols
 
-def _read(payload: bytes, kind: np.dtype) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """settled, documents, entries of a payload."""
-    a, n = (int(x) for x in np.frombuffer(payload, "<u8", 2))
-    b = 16 + a + n * _DOC.itemsize
-    return payload[16 : 16 + a], np.frombuffer(payload, _DOC, n, 16 + a), np.frombuffer(payload, kind, offset=b)
 
+def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_key, spans (of size 0): the anchors' places of each document that are shared,
+    where the same place of two copies counts once."""
 
-def _repeated(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_key of the documents with an anchor key that occurs at two places, where
-    the same place of two copies counts once."""
-    parts = parts_of(docs.sparkSession)
-
-    def send(batch: pa.RecordBatch, first: int, texts: list[bytes], block: int) -> Iterator[tuple[int, int, bytes]]:
+    def entries(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, counts = hash_words(texts)
         doc = np.repeat(np.arange(len(texts)), counts)
         roll = Rolling(h)
         starts, key, place = anchors(h, doc, roll, window)
         if not len(starts):
-            return
+            return np.empty(0, _LOW), np.empty(0, HIT)
         ends = np.cumsum(counts)
         whole = roll.of(ends - counts, ends)
-        # one entry per anchor; its tag is the same at one place of equal texts
-        _, at = np.unique(place, return_index=True)
-        starts, key, place = starts[at], key[at], place[at]
-        owner = doc[starts]
-        with np.errstate(over="ignore"):
-            tag = mix(whole[owner] + (place - (ends - counts)[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        rows = _rows(batch, first, len(texts))
-        ids = rows["id"][owner]
+        _, one = np.unique(place, return_index=True)  # one entry per anchor
+        key, place, owner = key[one], place[one], doc[starts[one]]
+        at = place - (ends - counts)[owner]
+        with np.errstate(over="ignore"):  # the same at one place of equal texts
+            tag = mix(whole[owner] + at.astype(np.uint64) * _GOLD)
+        ids = ids_of(batch, first, len(texts))[owner]
         order = np.lexsort((ids, tag, key))
-        key, tag, owner, ids = key[order], tag[order], owner[order], ids[order]
+        key, tag, owner, ids, at = key[order], tag[order], owner[order], ids[order], at[order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         group = np.cumsum(new) - 1
         fresh = new | np.concatenate(([True], tag[1:] != tag[:-1]))
         nth = np.cumsum(fresh)
-        twice = (np.bincount(group, weights=fresh) > 1)[group]
-        settled = rows[np.unique(owner[twice])]
-        if len(settled):  # needs no answer; spread by block
-            yield block % parts, block, _with_table(rows, np.empty(0, int), np.empty(0, _KEY), settled.tobytes())
-        # of copies the first asks for all; a key known to repeat sends two different
-        # tags, so that the other blocks learn it
+        shared = (np.bincount(group, weights=fresh) > 1)[group]
+        # a key known to be shared sends two different tags, so that other blocks learn it and needs
+        # no answer; else of copies the first asks for all
         leads = ids == ids[np.flatnonzero(fresh)[nth - 1]]
-        send_it = np.where(twice, fresh & (nth - nth[np.flatnonzero(new)][group] < 2), leads)
-        entries = np.empty(int(send_it.sum()), _KEY)
-        entries["key"], entries["tag"], entries["doc"] = key[send_it], (tag[send_it] >> np.uint64(32)).astype("<u4"), owner[send_it]
-        for part, packed in split(entries["key"], entries, parts):
-            entry = np.frombuffer(packed, _KEY).copy()
-            yield part, block, _with_table(rows, entry["doc"].copy(), entry)
-
-    def answer(sent: pd.DataFrame) -> pd.DataFrame:
-        found, tables, entries, shift = [], [], [], 0
-        for payload in sent["payload"]:
-            settled, rows, entry = _read(payload, _KEY)
-            found.append(np.frombuffer(settled, _DOC))
-            entry = entry.copy()
-            entry["doc"] += shift
-            shift += len(rows)
-            tables.append(rows)
-            entries.append(entry)
-        rows, entry = np.concatenate(tables), np.concatenate(entries)
-        if len(entry):
-            entry = entry[np.argsort(entry["key"], kind="stable")]
-            start = np.flatnonzero(np.concatenate(([True], entry["key"][1:] != entry["key"][:-1])))
-            differ = np.minimum.reduceat(entry["tag"], start) != np.maximum.reduceat(entry["tag"], start)
-            many = np.repeat(differ, np.diff(np.append(start, len(entry))))
-            found.append(rows[np.unique(entry["doc"][many])])
-        out = np.unique(np.concatenate(found))
-        return pd.DataFrame({"doc_id": out["id"], "text_key": out["text"]})
-
-    sent = docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
-    return by_part(sent, answer, "doc_id long, text_key long").distinct()
-
-
-def _repeats(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_key, starts: the windows of these documents that also start earlier among them."""
-    parts = parts_of(docs.sparkSession)
-
-    def settle(rows: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted entries, and which of them have an equal window at an earlier place."""
-        entry = entry[np.lexsort((entry["start"], rows["id"][entry["doc"]], entry["hash"], entry["key"]))]
-        new = np.ones(len(entry), bool)
-        new[1:] = (entry["key"][1:] != entry["key"][:-1]) | (entry["hash"][1:] != entry["hash"][:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        ids = rows["id"][entry["doc"]]
-        later = (ids != ids[head]) | (entry["start"] != entry["start"][head])
-        return entry, later
-
-    def send(batch: pa.RecordBatch, first: int, texts: list[bytes], block: int) -> Iterator[tuple[int, int, bytes]]:
-        h, counts = hash_words(texts)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        roll = Rolling(h)
-        starts, key, _ = anchors(h, doc, roll, window)
-        if not len(starts):
-            return
-        rows = _rows(batch, first, len(texts))
-        entry = np.empty(len(starts), _WIN)
-        entry["key"], entry["hash"], entry["doc"] = key, roll.of(starts, starts + window), doc[starts]
-        entry["start"] = starts - (np.cumsum(counts) - counts)[doc[starts]]
-        entry, later = settle(rows, entry)
-        hits = np.empty(int(later.sum()), _HIT)
-        hits["doc"], hits["start"] = entry["doc"][later], entry["start"][later]
-        if len(hits):
-            used, hits["doc"] = np.unique(hits["doc"], return_inverse=True)
-            yield block % parts, block, _with_table(rows, used, np.empty(len(used), _WIN), hits.tobytes())
-        entry = entry[~later]
-        for part, packed in split(entry["key"], entry, parts):
-            some = np.frombuffer(packed, _WIN).copy()
-            yield part, block, _with_table(rows, some["doc"].copy(), some)
-
-    def answer(sent: pd.DataFrame) -> pd.DataFrame:
-        tables, entries, hits, shift = [], [], [], 0
-        for payload in sent["payload"]:
-            settled, rows, entry = _read(payload, _WIN)
-            hit = np.frombuffer(settled, _HIT).copy()
-            if len(hit):  # its entries only name the documents
-                entry = entry[:0]
-            hit["doc"] += shift
-            entry = entry.copy()
-            entry["doc"] += shift
-            shift += len(rows)
-            tables.append(rows)
-            entries.append(entry)
-            hits.append(hit)
-        rows, entry, hit = np.concatenate(tables), np.concatenate(entries), np.concatenate(hits)
-        if len(entry):
-            entry, later = settle(rows, entry)
-            more = np.empty(int(later.sum()), _HIT)
-            more["doc"], more["start"] = entry["doc"][later], entry["start"][later]
-            hit = np.concatenate([hit, more])
-        ids, inverse = np.unique(rows, return_inverse=True)
-        owner = inverse[hit["doc"]] if len(hit) else np.empty(0, int)
-        order = np.argsort(owner, kind="stable")
-        owner, start = owner[order], hit["start"][order]
-        first, end = runs(owner)
-        return pd.DataFrame(
-            {
-                "doc_id": ids["id"][owner[first]],
-                "text_key": ids["text"][owner[first]],
-                "starts": [start[a:b].tobytes() for a, b in zip(first, end, strict=True)],
-            }
-        )
-
-    sent = docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
-    return by_part(sent, answer, FOUND)
-
-
-def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[list[bytes], int]:
-    """The words that no removed window covers, and how many are covered."""
+        send = np.where(shared, fresh & (nth - nth[np.flatnonzero(new)][group] < 2), leads)
+        out = np.empty(int(send.sum()), _LOW)
+        out["key"], out["tag"], out["tag2"] = key[send], tag[send] >> np.uint64(32), (tag[send] >> np.uint64(16)) & np.uint64(0xFFFF)
+        out["doc"], out["at"] = owner[send], at[send]
+        return out, hits(owner[shared], at[shared], 0)
+
+    def judge(found: np.ndarray) -> np.ndarray:
+        order = np.argsort(found["key"], kind="stable")
+        key, at = found["key"][order], found["at"][order]
+        tag = found["tag"][order].astype(np.uint64) << np.uint64(16) | found["tag2"][order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        differ = np.zeros(len(start), bool)
+        for x in (tag, at):
+            differ |= np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start)
+        out = np.empty(len(found), bool)
+        out[order] = np.repeat(differ, np.diff(np.append(start, len(found))))
+        return out
+
+    return ask(docs, entries, judge, _LOW)
+
+
+# ------------------------------------------------------------------ rounds 2 and 3
+
+
+def _later(found: np.ndarray) -> np.ndarray:
+    """Which entries have the name of one at an earlier place."""
+    order = np.lexsort((found["at"], found["id"], found["hash"], found["key"]))
+    some = found[order]
+    new = np.ones(len(some), bool)
+    new[1:] = (some["key"][1:] != some["key"][:-1]) | (some["hash"][1:] != some["hash"][:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.empty(len(found), bool)
+    out[order] = (some["id"] != some["id"][head]) | (some["at"] != some["at"][head])
+    return out
+
+
+def _settled(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that a block can't settle by itself (one per name and place), and its hits."""
+    later = _later(found)
+    return found[~later], hits(found["doc"][later], found["at"][later], found["size"][later] if "size" in found.dtype.names else 0)
+
+
+def _spans(column: pa.Array, first: int, count: int) -> list[np.ndarray]:
+    """The spans of each text of a block; the column holds lists of packed SPANs, or null."""
+    return [np.frombuffer(b"".join(v.as_py() or ()), SPAN) for v in column.slice(first, count)]
+
+
+class Zones:
+    """The windows of a block of texts whose anchors are shared: `starts` (in the block), their
+    anchors' keys, and `doc`; `inside(a, b)` says whether all windows of the words [a, b) are."""
+
+    def __init__(self, batch: pa.RecordBatch, first: int, texts: list[bytes], window: int):
+        self.window = window
+        self.h, counts = hash_words(texts)
+        self.begin = np.cumsum(counts) - counts
+        self.doc = np.repeat(np.arange(len(texts)), counts)
+        self.roll = Rolling(self.h)
+        starts, key, place = anchors(self.h, self.doc, self.roll, window)
+        shared = np.zeros(len(self.h) + 1, bool)
+        for i, span in enumerate(_spans(batch.column(2), first, len(texts))):
+            shared[self.begin[i] + span["at"].astype(np.int64)] = True
+        some = shared[place]
+        self.starts, self.key = starts[some], key[some]
+        self.outside = np.ones(len(self.h) + 1, np.int64)
+        self.outside[self.starts] = 0
+        self.outside = np.concatenate(([0], np.cumsum(self.outside)))
+
+    def inside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.outside[b - self.window + 1] == self.outside[a]
+
+
+def _long_repeats(texts_: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_key, spans: high symbols that also have an earlier place; rows (doc_id, text_key, zones, text)."""
+
+    def entries(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        zones = Zones(batch, first, texts, window)
+        ids = ids_of(batch, first, len(texts))
+        out = [np.empty(0, _HIGH)]
+        for name, start, end in high_symbols(zones.h, zones.doc, 2 * window):
+            some = zones.inside(start, end)
+            name, start, end = name[some], start[some], end[some]
+            owner = zones.doc[start]
+            entry = np.empty(len(name), _HIGH)
+            entry["key"], entry["hash"], entry["id"], entry["doc"] = name, zones.roll.of(start, end), ids[owner], owner
+            entry["at"], entry["size"] = start - zones.begin[owner], end - start
+            out.append(entry)
+        return _settled(np.concatenate(out))
+
+    return ask(texts_, entries, _later, _HIGH)
+
+
+def _edge_repeats(texts_: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_key, spans (of size 0): starts of windows outside the long repeats that also
+    have an earlier place; rows (doc_id, text_key, zones, long, text)."""
+
+    def entries(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        zones = Zones(batch, first, texts, window)
+        ids = ids_of(batch, first, len(texts))
+        step = np.zeros(len(zones.h) + 1, np.int64)
+        for i, span in enumerate(_spans(batch.column(3), first, len(texts))):
+            at = zones.begin[i] + span["at"].astype(np.int64)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + span["size"].astype(np.int64) - window + 1, -1)
+        some = np.cumsum(step)[zones.starts] == 0
+        start = zones.starts[some]
+        owner = zones.doc[start]
+        out = np.empty(len(start), _WIN)
+        out["key"], out["hash"], out["id"], out["doc"] = zones.key[some], zones.roll.of(start, start + window), ids[owner], owner
+        out["at"] = start - zones.begin[owner]
+        return _settled(out)
+
+    return ask(texts_, entries, _later, _WIN)
+
+
+# ------------------------------------------------------------------ the cut
+
+
+def kept_words(text: bytes, spans: np.ndarray, window: int) -> tuple[list[bytes], int]:
+    """The words that no removed span covers, and how many are covered; a span of size 0 is a window."""
     words = text.split()
     step = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.asarray(starts) + window, -1)
+    at, size = spans["at"].astype(np.int64), spans["size"].astype(np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + np.where(size == 0, window, size), -1)
     covered = np.cumsum(step[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c], int(covered.sum())
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_key, n_removed, kept_sha256 for rows (doc_id, text_key, starts, text)."""
+    """doc_id, text_key, n_removed, cut_sha256 for rows (doc_id, text_key, spans, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha = [], []
-            for starts, text in zip(batch.column(2), batch.column(3), strict=True):
-                at = np.frombuffer(b"".join(starts.as_py()), "<u4").astype(np.int64)
-                kept, n = kept_words((text.as_py() or "").encode(), at, window)
+            for spans, text in zip(batch.column(2), batch.column(3), strict=True):
+                kept, n = kept_words((text.as_py() or "").encode(), np.frombuffer(b"".join(spans.as_py()), SPAN), window)
                 removed.append(n)
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +234,15 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 names=["doc_id", "text_key", "n_removed", "cut_sha256"],
             )
 
-    return docs.select("doc_id", "text_key", "starts", "text").mapInArrow(work, "doc_id long, text_key long, n_removed long, cut_sha256 string")
+    return docs.mapInArrow(work, "doc_id long, text_key long, n_removed long, cut_sha256 string")
+
+
+KEYS = ["doc_id", "text_key"]
+
+
+def _listed(found: DataFrame, name: str) -> DataFrame:
+    """A row per document with all its spans; only repeated rows and rounds bring more than one list."""
+    return found.groupBy(*KEYS).agg(F.collect_list("spans").alias(name))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -250,7 +250,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A window is removed if its words also start earlier, by (doc_id, start); a null doc_id
     comes last, and rows that share a doc_id count as one document.  Texts of fewer words
-    than a window, empty and null texts lose nothing.  Other columns are ignored.
+    than a window, empty and null texts lose nothing; an empty table gives an empty result.
+    A very long text takes memory in proportion to its own length, in the task that reads it.
+    Other columns are ignored.
     """
     whole = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text"
@@ -259,14 +261,19 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     long = info.where(F.col("n_words") >= window)
     firsts = long.groupBy("kept_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     firsts = materialise(firsts, "substring-firsts")  # written first, so that Spark may split a hot group's side of the join
-    copies = long.join(firsts, "kept_sha256").where("doc_id > first").select("doc_id", "text_key").distinct()
-    keys = ["doc_id", "text_key"]
-    suspects = _repeated(whole, window).join(copies, keys, "left_anti")
-    texts = materialise(whole.join(suspects, keys), "substring-suspects")
-    repeats = _repeats(texts, window).groupBy(*keys).agg(F.collect_list("starts").alias("starts"))
-    cut = _cut(texts.dropDuplicates(keys).join(repeats, keys), window)
+    copies = materialise(long.join(firsts, "kept_sha256").where("doc_id > first").select(*KEYS).distinct(), "substring-copies")
+    zones = _listed(_shared_anchors(whole, window).join(copies, KEYS, "left_anti"), "zones")
+    zones = materialise(zones, "substring-zones")
+    texts = materialise(whole.join(zones, KEYS).select(*KEYS, "zones", "text"), "substring-texts")
+    repeats = materialise(_long_repeats(texts, window), "substring-long")
+    rest = texts.join(_listed(repeats, "long"), KEYS, "left").select(*KEYS, "zones", "long", "text")
+    edges = materialise(_edge_repeats(rest, window), "substring-edges")
+    spans = _listed(repeats.union(edges), "spans")
+    cut = _cut(texts.join(spans, KEYS).select(*KEYS, "spans", "text"), window).dropDuplicates(KEYS)
+    cut = materialise(cut, "substring-cut")
+    discard(firsts, zones, texts, repeats, edges)
     empty = hashlib.sha256(b"").hexdigest()
-    out = info.join(cut, keys, "left").join(copies.withColumn("copy", F.lit(True)), keys, "left")
+    out = info.join(cut, KEYS, "left").join(copies.withColumn("copy", F.lit(True)), KEYS, "left")
     return out.select(
         F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
         "n_words",
