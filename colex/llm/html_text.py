@@ -1,26 +1,28 @@
 """Main text of web pages by union-free wrapper inference.
 
-The pages of a host come from few templates.  A page's token stream is folded into an
-expression without unions: tags, text slots, repeated groups and optional groups.  Two
-expressions are aligned at equal tags; what only one has becomes optional, runs of one
-element a repeated group, and differing texts a slot.  Partial wrappers are aligned in
-every batch of a scan, then by (host, salt), then by host, so every page counts, a hot
-host is spread, and what travels are wrappers, never pages.
-
-The wrapper names the host's main region: its article elements if it has any, else all but
-the blocks whose text is the same on every page.  Extraction then reads each page once,
-within that region, without the parts that no article has (menus, headers, ...).
+The pages of a host come from few templates.  A page is folded into an expression without
+unions: elements, text slots, repeated groups and optional groups, where the children of an
+element are one repeated group of optional elements, one per label: ((<h2>#</h2>)?(<p>#</p>)?)+.
+Folded so, two expressions are aligned label by label, in linear time: what only one has
+becomes optional, what one has twice a repeated group, and differing texts a slot.  Pages are
+aligned one after the other within a batch of the scan; batches' wrappers are tables of nodes,
+and aligning these is an ordinary aggregate by (host, node).  So every page counts, a hot host
+is pre-aggregated, no host is ever in one task, and there is no greatest depth or width.
+
+The wrapper decides what a host's main text is: where its varying text is (in its article
+elements, its main elements, or neither), and which blocks are template, because their text is
+the same on the pages that have them.  Extraction then reads each page once, within that
+region, without template blocks and without the parts that no article has (menus, headers, ..).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
-import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ ENDS_P = BLOCK - frozenset("br td th tr tbody thead tfoot html body".split())
 #: A start tag ends an open element of one of these tags, unless a holder is in between.
 ENDS_SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 
-# What is no part of an article.
+# What is no part of an article: tags and roles, and words of the class or id of a container.
 DROP_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg math button select option textarea title dialog menu object canvas".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 DROP_WORDS = frozenset(
@@ -48,7 +50,14 @@ DROP_WORDS = frozenset(
     "comment comments disqus respond reply replies".split()
 )
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Words that may stand beside those: a class or id with any other word (social-impact, related-work) names a subject.
+NEUTRAL = frozenset(
+    "main site page top bottom left right center side box bar block container wrapper wrap inner outer area section list item items thread content "
+    "primary secondary global widget widgets group panel slot unit text message policy buttons links link posts post articles article entry site "
+    "form feed sticky fixed mobile desktop small large first last js the this signup more read story stories news user reader readers google".split()
+)
 KEEP_TAGS = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Possessive, so that no input makes it go back: a tag ends at the first > outside quotes, with a
 # quote that is never closed at the first >, and without any > it takes the rest of the page.
@@ -59,12 +68,11 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 
-#: A wrapper holds a text longer than this as its digest.
-CONSTANT = 200
-#: Levels that a wrapper tells apart; extraction itself reads any depth.
-DEPTH = 100
+#: The host's text is that of its article elements if these hold at least one part in so many of its varying text; likewise for main.
+REGION_SHARE = 4
+#: Pages with different texts that must agree on a block's text to prove it template; within an article the block must have a class as well.
+PROOF, PROOF_IN_ARTICLE = 2, 3
 BROADCAST_HOSTS = 20_000
-SALT = 16
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -89,18 +97,30 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
-def label(name: str, attributes: str) -> tuple[str, bool]:
-    """The element's label (tag, and its first class or id), and whether it is no part of an article."""
+@functools.lru_cache(4096)
+def _names(words: str, unwanted: frozenset) -> bool:
+    """Whether a class or an id names something unwanted: it has such a word, and no word beyond these and the neutral ones."""
+    parts = {p for p in re.split(r"[^a-z]+", words.lower()) if p}
+    return not parts.isdisjoint(unwanted) and parts <= unwanted | NEUTRAL
+
+
+def label(name: str, attributes: str, in_article: bool = False) -> tuple[str, bool]:
+    """The element's label (its tag, and the first class without a digit), and whether it is no part of an article."""
+    of_article = name == "header" and in_article  # it holds the title
     if not attributes or attributes.isspace():
-        return name, name in DROP_TAGS
+        return name, name in DROP_TAGS and not of_article
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    first = (found.get("class", "") or found.get("id", "")).split()
-    words = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    unwanted = COMMENTS if name in KEEP_TAGS else DROP_WORDS
+    role = found.get("role", "").lower()
+    classes = found.get("class", "").split()
     hidden = name not in ("html", "body") and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
-    drop = name in DROP_TAGS or hidden or not words.isdisjoint(unwanted) or found.get("role", "").lower() in DROP_ROLES
-    role = ".main" if found.get("role", "").lower() == "main" else f".{first[0]}" if first else ""
-    return name + role, drop
+    drop = (name in DROP_TAGS and not of_article) or hidden or role in DROP_ROLES
+    if not drop and name not in HEADINGS:
+        unwanted = COMMENTS if name in KEEP_TAGS else DROP_WORDS
+        if of_article or any(c.lower() in ("post-header", "entry-header", "article-header") for c in classes):
+            unwanted = unwanted - {"header"}
+        drop = any(_names(c, unwanted) for c in (*classes, found.get("id", "")))
+    first = next((c for c in classes if not any(map(str.isdigit, c))), "")
+    return name + (".main" if role == "main" else f".{first}" if first else ""), drop
 
 
 def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
@@ -136,7 +156,7 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
                 yield from close_to(i)
             if value in ("html", "body") and value in stack:
                 continue
-            name, drop = label(value, attributes)
+            name, drop = label(value, attributes, value == "header" and not {"article", "main"}.isdisjoint(stack))
             drop = drop or (bool(drops) and drops[-1])
             stack.append(value), path.append(name), drops.append(drop)
             yield "open", value, path, drop
@@ -145,248 +165,223 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
     yield from close_to(0)
 
 
-# ------------------------------------------------------------------ wrappers
-# A node is [label, repeated, optional, kids] for an element, ["#", text or None, chars, optional] for
-# text.  The root has the least two digests of its pages' texts as well: copies prove nothing.
+# ------------------------------------------------------------------ blocks
 
 
-def _digest(text: str) -> str:
-    return "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+@functools.lru_cache(65536)
+def _node(parent: int, name: str) -> int:
+    """The number of a child of a node in every wrapper."""
+    digest = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8, key=parent.to_bytes(8, "big", signed=True)).digest()
+    return int.from_bytes(digest, "big", signed=True)
 
 
-def fold(page: str) -> list:
-    """A page's expression.  Neighbours with one label become a repeated group at once."""
-    root = ["", False, False, [], []]
-    open_nodes = [root]
-    texts = []
-    deeper = 0  # open elements below DEPTH, which count as part of their ancestor there
-    for event, value, path, drop in walk(page):
-        if event == "open" and len(open_nodes) > DEPTH:
-            deeper += 1
-        elif event == "open":
-            open_nodes.append([path[-1], False, False, []])
-        elif event == "close" and deeper:
-            deeper -= 1
-        elif event == "close":
-            node = open_nodes.pop()
-            kids = open_nodes[-1][3]
-            if kids and kids[-1][0] == node[0]:
-                kids[-1] = align(kids[-1], node, True)
-            elif not (drop and node[0] in ("head", "script", "style")):
-                kids.append(node)
-        elif not value.isspace() and not drop:
-            text = " ".join(html.unescape(value).split())
-            texts.append(text)
-            node = ["#", text if len(text) <= CONSTANT else _digest(text), len(text), False]
-            kids = open_nodes[-1][3]
-            if kids and kids[-1][0] == "#":
-                kids[-1] = align(kids[-1], node, True)
-            else:
-                kids.append(node)
-    root[4].append(_digest("\n".join(texts)))
-    return root
-
-
-def align(a: list, b: list, repeated: bool = False) -> list:
-    """The expression of two expressions with one label."""
-    if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] or b[3]]
-    pages = [sorted({*a[4], *b[4]})[:2]] if len(a) > 4 else []
-    return [a[0], repeated or a[1] or b[1], a[2] or b[2], align_kids(a[3], b[3]), *pages]
-
-
-def _maybe(node: list) -> list:
-    return [*node[:3], True] if node[0] == "#" else [node[0], node[1], True, node[3]]
-
-
-def align_kids(a: list, b: list) -> list:
-    """Aligned at a longest common sequence of labels; the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [align(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            node, i, j = align(a[i], b[j]), i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            node, i = _maybe(a[i]), i + 1
-        else:
-            node, j = _maybe(b[j]), j + 1
-        if out and out[-1][0] == node[0]:  # neighbours with one label are a group
-            out[-1] = align(out[-1], node, True)
-        else:
-            out.append(node)
-    return out
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def expression(node: list) -> str:
-    """The wrapper as text: <p>, (..)+ repeated, (..)? optional, # a slot, and constant texts."""
-    if node[0] == "#":
-        return "#" if node[1] is None or node[1].startswith("\0") else node[1]
-    inner = "".join(map(expression, node[3]))
-    text = f"<{node[0]}>{inner}</{node[0].split('.')[0]}>" if node[0] else inner
-    return f"({text}){'*' if node[1] and node[2] else '+' if node[1] else '?'}" if node[1] or node[2] else text
+IN_MAIN, IN_ARTICLE = 1, 2
 
 
-def _has_text(node: list) -> bool:
-    return node[0] == "#" or any(map(_has_text, node[3]))
+def blocks(page: str) -> Iterator[tuple[str, int, int, str, int, str]]:
+    """(event, node, parent, label, region, text) of a page's block elements, in page order, without dropped ones.
 
+    Events are open, and text, which has the text between two block boundaries, its white space
+    made one space; region has the bits IN_MAIN and IN_ARTICLE.
+    """
+    nodes = [(0, 0, "", 0)]
+    depth = [0]  # of the path, for each open block
+    buffer: list[str] = []
 
-def _articles(node: list, tag: str, path: tuple = ()) -> Iterator[tuple]:
-    """The paths of the outermost elements with text that are a tag (or have the role main)."""
-    for kid in node[3] if node[0] != "#" else []:
-        name, _, rest = kid[0].partition(".")
-        if (name == tag or (tag == "main" and rest == "main")) and _has_text(kid):
-            yield (*path, kid[0])
-        else:
-            yield from _articles(kid, tag, (*path, kid[0]))
+    def flush() -> Iterator[tuple]:
+        if buffer and (text := " ".join("".join(buffer).split())):
+            yield "text", *nodes[-1], text
+        buffer.clear()
 
+    for event, value, path, drop in walk(page):
+        if event == "text":
+            if not drop:
+                buffer.append(html.unescape(value))
+        elif value in BLOCK:
+            yield from flush()
+            if event == "open":
+                parent, _, _, region = nodes[-1]
+                name = path[-1]
+                region |= IN_ARTICLE if value == "article" else IN_MAIN if value == "main" or name.endswith(".main") else 0
+                nodes.append((_node(parent, name), parent, name, region))
+                depth.append(len(path))
+                if not drop:
+                    yield "open", *nodes[-1], ""
+            elif depth[-1] == len(path):
+                nodes.pop()
+                depth.pop()
+    yield from flush()
 
-def _constant_blocks(wrapper: list) -> dict[tuple, bool]:
-    """Path of every block with text of its own -> whether that text is the same on all pages."""
-    found: dict[tuple, bool] = {}
 
-    def look(node: list, path: tuple, block: tuple, everywhere: bool) -> None:
-        for kid in node[3]:
-            if kid[0] == "#":
-                found[block] = found.get(block, True) and everywhere and kid[1] is not None and not kid[3]
+# ------------------------------------------------------------------ wrappers
+# A node of a wrapper: [parent, label, region, pages, times, least and greatest digest of its text,
+# chars, least and greatest digest of its pages' whole texts].  Node 0 is the page.
+NODE = "node long, parent long, label string, region int, pages long, times long, low long, high long, chars long, page_low long, page_high long"
+_TEXT = slice(5, 7)
+
+
+def fold(page: str) -> dict[int, list]:
+    """A page's expression.  Children with one label are a repeated group at once."""
+    nodes: dict[int, list] = {0: [0, "", 0, 1, 1, None, None, 0, 0, 0]}
+    whole = hashlib.blake2b(digest_size=8)
+    for event, node, parent, name, region, text in blocks(page):
+        if event == "open":
+            if node in nodes:
+                nodes[node][4] += 1
             else:
-                at = (*path, kid[0])
-                look(kid, at, at if kid[0].partition(".")[0] in BLOCK else block, everywhere and not kid[2])
+                nodes[node] = [parent, name, region, 1, 1, None, None, 0, 0, 0]
+            continue
+        x, d = nodes[node], _digest(text)
+        x[_TEXT] = (d, d) if x[5] is None else (min(x[5], d), max(x[6], d))
+        x[7] += len(text)
+        whole.update(f"{text}\n".encode("utf-8", "surrogatepass"))
+    of_page = int.from_bytes(whole.digest(), "big", signed=True)
+    for x in nodes.values():
+        x[8:] = of_page, of_page
+    return nodes
+
+
+def align(a: dict[int, list], b: dict[int, list]) -> dict[int, list]:
+    """The expression of two expressions."""
+    out = dict(a)
+    for node, y in b.items():
+        x = out.get(node)
+        if x is None:
+            out[node] = y
+            continue
+        texts = [t for t in (*x[_TEXT], *y[_TEXT]) if t is not None]
+        out[node] = [*x[:3], x[3] + y[3], max(x[4], y[4]), *((min(texts), max(texts)) if texts else (None, None)), x[7] + y[7], min(x[8], y[8]), max(x[9], y[9])]
+    return out
+
 
-    look(wrapper, (), (), True)
-    return found
+def expression(nodes: dict[int, list]) -> str:
+    """The wrapper as text: <p>, (..)+ repeated, (..)? optional, # a slot, and = a constant text.  Children in order of label."""
+    kids: dict[int, list[int]] = {}
+    for node, x in sorted(nodes.items(), key=lambda kv: kv[1][1]):
+        if node:
+            kids.setdefault(x[0], []).append(node)
+    out: list[str] = []
+    todo: list = [0]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+            continue
+        parent, name, _, pages, times, low, high, *_ = nodes[at]
+        optional = at != 0 and pages < nodes[parent][3]
+        group = "*" if times > 1 and optional else "+" if times > 1 else "?" if optional else ""
+        text = "" if low is None else "=" if low == high else "#"
+        shut = f"</{name.partition('.')[0]}>" * bool(name) + f"){group}" * bool(group)
+        todo += [shut, *reversed(kids.get(at, []))]
+        out.append("(" * bool(group) + f"<{name}>" * bool(name) + text)
+    return "".join(out)
 
 
-def main_region(wrapper: list) -> str:
-    """Lines of label paths, joined by spaces; empty for the whole page.
+def wrappers(pages: DataFrame) -> DataFrame:
+    """The wrapper of every host of (host, html) as rows: host and the fields of NODE."""
 
-    All article elements of the host, else all main elements.  Without either the first line is
-    what the blocks have in common whose text varies or isn't on all pages, and lines with a -
-    are the other blocks inside it.  A single page, or only copies, prove no block constant.
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, dict[int, list]] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                one = fold(page.as_py() or "")
+                known[host] = align(known[host], one) if host in known else one
+            rows = [(host, node, *x) for host, nodes in known.items() for node, x in nodes.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
+
+    long, text = pa.int64(), pa.string()
+    schema = {"host": text} | {f.split()[0]: {"long": long, "int": pa.int32(), "string": text}[f.split()[1]] for f in NODE.split(", ")}
+    parts = pages.select("host", "html").mapInArrow(partial, f"host string, {NODE}")
+    least, most, total = (lambda c: F.min(c).alias(c)), (lambda c: F.max(c).alias(c)), (lambda c: F.sum(c).alias(c))
+    return parts.groupBy("host", "node").agg(
+        *map(least, ("parent", "label", "region")), total("pages"), most("times"), least("low"), most("high"), total("chars"), least("page_low"), most("page_high")
+    )
+
+
+def regions(nodes: DataFrame) -> DataFrame:
+    """host, region (IN_ARTICLE, IN_MAIN, or 0 for the whole page), template (nodes whose blocks aren't
+    main text) of every host of wrappers().
+
+    A block is template if all its texts are equal on pages that differ, and it is on at least half of
+    the host's pages, so a host has at most twice as many as a page has blocks.  h1 never is, and
+    within articles only blocks with a class are.  Two pages that agree on most of their text may
+    be near copies and prove nothing.  What varies decides on the region.
     """
-    for tag in ("article", "main"):
-        if paths := list(dict.fromkeys(_articles(wrapper, tag))):
-            return "\n".join(map(" ".join, paths))
-    blocks = _constant_blocks(wrapper) if len(wrapper[4]) > 1 else {}
-    kept = [path for path, constant in blocks.items() if not constant]
-    if not kept:
-        return ""
-    first, last = min(kept), max(kept)
-    n = next((i for i, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
-    common = first[:n]
-    return "\n".join([" ".join(common), *("-" + " ".join(p) for p, constant in blocks.items() if constant and p[:n] == common)])
+    root = nodes.where("node = 0").select("host", F.col("pages").alias("all_pages"))
+    known = nodes.where("low IS NOT NULL").join(root, "host")
+    differ = F.col("page_low") != F.col("page_high")
+    inside = F.col("region") != 0
+    enough = F.when(inside, (F.col("pages") >= PROOF_IN_ARTICLE) & F.col("label").contains(".")).otherwise(F.col("pages") >= PROOF)
+    same = (F.col("low") == F.col("high")) & differ & enough & (2 * F.col("pages") >= F.col("all_pages")) & ~F.col("label").rlike(r"^h1\b")
+    known = known.withColumn("same", same)
+    chars = lambda where: F.coalesce(F.sum(F.when(where & ~F.col("same"), F.col("chars"))), F.lit(0))
+    of = lambda bit: F.col("region").bitwiseAND(bit) != 0
+    found = known.groupBy("host").agg(
+        chars(F.lit(True)).alias("all"),
+        chars(of(IN_ARTICLE)).alias("article"),
+        chars(of(IN_MAIN)).alias("main"),
+        F.sum(F.when(F.col("same"), F.col("chars")).otherwise(0)).alias("constant"),
+        F.collect_list(F.when(F.col("same"), F.col("node"))).alias("template"),
+        F.first("all_pages").alias("all_pages"),
+    )
+    proven = F.when((F.col("all_pages") > 2) | (F.col("constant") <= F.col("all")), F.col("template")).otherwise(F.array().cast("array<long>"))
+    big = lambda c: (F.col(c) > 0) & (REGION_SHARE * F.col(c) >= F.col("all"))
+    return found.select("host", F.when(big("article"), IN_ARTICLE).when(big("main"), IN_MAIN).otherwise(0).alias("region"), proven.alias("template"))
 
 
 # ------------------------------------------------------------------ extraction
 
 
-def _block(path: list[str]) -> tuple:
-    """The path to the innermost block."""
-    n = len(path)
-    while n and path[n - 1].partition(".")[0] not in BLOCK:
-        n -= 1
-    return tuple(path[:n])
-
+def extract(page: str | None, region: int = IN_ARTICLE, template: frozenset = frozenset()) -> str:
+    """The text of the blocks within the region that aren't template, joined by newlines.
 
-def extract(page: str | None, region: str = "") -> str:
-    """The text of the blocks within the region, joined by newlines.
-
-    A page without the region (it was optional) is read by its own article or main element,
-    else as a whole.  White space in a block becomes one space; empty blocks are none.
+    A page without the region is read by its article, else its main element, else as a whole.
+    White space in a block becomes one space; empty blocks are none.
     """
     if not page:
         return ""
-    lines = region.split("\n") if region else []
-    wants = [line.split(" ") if line else [] for line in lines if not line.startswith("-")]
-    unwanted = {tuple(line[1:].split(" ")) if line[1:] else () for line in lines if line.startswith("-")}
-    found: dict[str, list[str]] = {"region": [], "own": [], "all": []}
-    buffers: dict[str, list[str]] = {k: [] for k in found}
-
-    def flush() -> None:
-        for kind, buffer in buffers.items():
-            if buffer and (text := " ".join("".join(buffer).split())):
-                found[kind].append(text)
-            buffer.clear()
-
-    own_depth = 0
-    for event, value, path, drop in walk(page):
-        if event != "text":
-            if value in BLOCK:
-                flush()
-            if value in ("article", "main") or path[-1].endswith(".main"):
-                own_depth += 1 if event == "open" else -1
-        elif not drop:
-            text = html.unescape(value)
-            buffers["all"].append(text)
-            if own_depth:
-                buffers["own"].append(text)
-            if any(path[: len(want)] == want for want in wants) and not (unwanted and _block(path) in unwanted):
-                buffers["region"].append(text)
-    flush()
-    return "\n".join(found["region"] or found["own"] or found["all"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), expression, region and pages for every host of (host, html)."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, list] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree, n = fold(page.as_py() or ""), 1
-                if host in known:
-                    old, n = known[host]
-                    tree, n = align(old, tree), n + 1
-                known[host] = (tree, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(known)), pa.array([json.dumps(t) for t, _ in known.values()]), pa.array([n for _, n in known.values()], type=pa.int64())],
-                names=["host", "wrapper", "pages"],
-            )
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = None
-        for text in pdf["wrapper"].sort_values():  # the order of arrival must not matter
-            other = json.loads(text)
-            tree = other if tree is None else align(tree, other)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(tree)], "pages": [pdf["pages"].sum()]})
-
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merged(pdf)
-        tree = json.loads(out["wrapper"].iloc[0])
-        return out.assign(expression=expression(tree), region=main_region(tree))
-
-    schema = "host string, wrapper string, pages long"
-    parts = pages.select("host", "html").mapInArrow(partial, schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALT)))
-    salted = parts.groupBy("host", "salt").applyInPandas(merged, schema)
-    return salted.groupBy("host").applyInPandas(final, f"{schema}, expression string, region string")
+    found: list[tuple[int, str]] = []
+    for event, node, _, _, where, text in blocks(page):
+        if event == "text" and node not in template:
+            found.append((where, text))
+    for bit in (region, IN_ARTICLE, IN_MAIN) if region else ():
+        if some := [text for where, text in found if where & bit]:
+            return "\n".join(some)
+    return "\n".join(text for _, text in found)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html).
 
     Null and empty html give an empty text; a null url or one without a host belongs to the
-    host ''; repeated rows are read each.  Other columns are ignored.
+    host ''; repeated rows are read each, and equal pages prove nothing about a template; an
+    empty table gives an empty result.  Time and memory are linear in a page's length, however
+    long, deep or broken it is.  Other columns are ignored.
     """
     hosted = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), "html")
-    regions = materialise(wrappers(hosted).select("host", "region"), "html-regions")
-    side = regions.withColumnRenamed("host", "h")
-    joined = hosted.join(F.broadcast(side) if regions.count() <= BROADCAST_HOSTS else side, F.col("host") == F.col("h"), "left")
+    found = materialise(regions(wrappers(hosted)), "html-regions")
+    side = found.withColumnRenamed("host", "h")
+    joined = hosted.join(F.broadcast(side) if found.count() <= BROADCAST_HOSTS else side, F.col("host") == F.col("h"), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page.as_py(), region or "") for page, region in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
+            settings = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            texts = [
+                extract(page.as_py(), IN_ARTICLE if region is None else region, frozenset(template or ()))
+                for page, (region, template) in zip(batch.column(4), settings, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array(list(map(len, texts)), type=pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "region", "html").mapInArrow(work, f"page_id {key}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "region", "template", "html").mapInArrow(work, f"page_id {key}, url string, text string, n_chars long")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
