@@ -2,9 +2,11 @@
 
 Strong patterns (the base) stand alone.  Weak parts (endpoints, account names, opaque
 tokens) mean little by themselves and are reported only when parts that complement
-each other lie in one scope: an interval join of the parts of a document on
-[start - SCOPE, end + SCOPE].  All parts of a document are in its row, so the join is
-a sweep over the document's parts in order and needs no shuffle.
+each other lie in one scope: a token beside an access id; an endpoint or account beside a
+secret; or an account, an endpoint and a token (a hex run counts as one) all together.  That
+is an interval join of the parts of a document on [start - scope, end + scope].  All parts of
+a document are in its row, so the join is a binary search over the document's parts in order
+and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ ASSIGN_KEYS = ("passw", "secret", "token", "apikey", "api_key")
 # Weak parts.  Each becomes a report only with a complement in scope.
 ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?:\:\d{1,5})?(?![\d.]))")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
-OPAQUE_HINT = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ACCOUNT_KEYS = ("user", "login", "account")
+#: Characters around a part in which its complements lie.
 SCOPE = 200
 
 #: Kinds in the order in which equal starts are listed.
@@ -52,52 +55,60 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _near(spans: list[tuple[int, int]], longest: int, start: int, end: int, scope: int) -> bool:
-    """Whether a span (sorted by start, none longer than `longest`) meets [start - scope, end + scope]."""
-    i = bisect_left(spans, (start - scope - longest, 0))
-    while i < len(spans) and spans[i][0] <= end + scope:
-        if spans[i][1] >= start - scope:
-            return True
-        i += 1
-    return False
+class Parts:
+    """Spans (start, end) of one sort, in order, to be joined with intervals."""
 
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.longest = max((e - s for s, e in self.spans), default=0)
 
-def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
-    """Weak parts that have a complement in scope; a part inside a base span is no extra find.
+    def meet(self, start: int, end: int) -> bool:
+        """Whether one of them has a character in common with [start, end], or touches it."""
+        i = bisect_left(self.spans, (start - self.longest, 0))
+        while i < len(self.spans) and self.spans[i][0] <= end:
+            if self.spans[i][1] >= start:
+                return True
+            i += 1
+        return False
 
-    A weak part can only be linked to something, so texts without any base assign or
-    access span are done at once.
-    """
-    parts = {"assign": [(s, e) for s, k, e in base if k == 0], "access": [(s, e) for s, k, e in base if k == 1]}
-    if not parts["assign"] and not parts["access"]:
+    def near(self, others: Parts, scope: int) -> Parts:
+        """Those with one of the others in scope."""
+        return Parts([(s, e) for s, e in self.spans if others.meet(s - scope, e + scope)] if others.spans else [])
+
+
+def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
+    """Weak parts that have their complements in scope; a part inside a base span is no extra find."""
+    low = text.lower()
+    assign, access, runs = (Parts([(s, e) for s, k, e in base if k == kind]) for kind in range(BASE))
+    named = any(key in low for key in ACCOUNT_KEYS)
+    if not (assign.spans or access.spans or named):
+        return []
+    covered = Parts([(s, e) for s, _, e in base])
+    found = lambda pattern: Parts([m.span() for m in pattern.finditer(text) if not covered.meet(m.start() + 1, m.end() - 1)])
+    accounts = found(ACCOUNT) if named else Parts([])
+    if not (assign.spans or access.spans or accounts.spans):
         return []
-    covered = [(s, e) for s, _, e in base]  # in order of start, as base is
-    length = {k: max((e - s for s, e in v), default=0) for k, v in parts.items()} | {"base": max(e - s for s, e in covered)}
-    free = lambda s, e: not _near(covered, length["base"], s + 1, e - 1, 0)
-    out: list[Span] = []
-    opaque = []
-    if parts["access"]:
-        opaque = [(m.start(), m.end()) for m in OPAQUE.finditer(text) if free(m.start(), m.end())]
-        opaque = [(s, e) for s, e in opaque if _near(parts["access"], length["access"], s, e, scope)]
-        out += [(s, KINDS.index("linked_secret"), e) for s, e in opaque]
+    endpoints = found(ENDPOINT)
+    tokens = found(OPAQUE) if access.spans or (accounts.spans and endpoints.spans) else Parts([])
+    beside = tokens.near(access, scope)
+    # three weak parts: the token must be none of the other two
+    apart = Parts([(s, e) for s, e in tokens.spans if not (endpoints.meet(s, e) or accounts.meet(s, e))] + runs.spans)
+    whole = apart.near(accounts, scope).near(endpoints, scope)
     # an access id alone doesn't make an endpoint a credential; with a secret beside it, it does
-    whole = sorted(parts["assign"] + opaque)
-    longest = max((e - s for s, e in whole), default=0)
-    for m in ENDPOINT.finditer(text):
-        if whole and free(m.start(), m.end()) and _near(whole, longest, m.start(), m.end(), scope):
-            out.append((m.start(), KINDS.index("linked_endpoint"), m.end()))
-    if parts["assign"]:
-        for m in ACCOUNT.finditer(text):
-            if free(m.start(), m.end()) and _near(parts["assign"], length["assign"], m.start(), m.end(), scope):
-                out.append((m.start(), KINDS.index("linked_account"), m.end()))
-    return out
+    secret = Parts([*assign.spans, *beside.spans, *whole.spans])
+    kinds = {
+        "linked_endpoint": endpoints.near(secret, scope).spans,
+        "linked_account": accounts.near(Parts(assign.spans + whole.spans), scope).spans,
+        "linked_secret": {*beside.spans, *whole.spans} - {*runs.spans},
+    }
+    return [(s, KINDS.index(kind), e) for kind, spans in kinds.items() for s, e in spans]
 
 
 def spans_of(text: str | None, scope: int = SCOPE) -> list[Span]:
     """All spans of a text, by start, then kind as listed; null is empty."""
     text = text or ""
     base = base_spans(text)
-    return sorted(base + linked_spans(text, base, scope)) if base else []
+    return sorted(base + linked_spans(text, base, scope))
 
 
 def listed(spans: list[Span]) -> str:
@@ -119,8 +130,10 @@ def redact(text: str | None, mask: str = "[SECRET]", scope: int = SCOPE) -> str
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, counts per base kind, base_sha256 and spans for every row of (doc_id, text).
 
-    One pass without a shuffle; memory follows one Arrow batch.  Null and empty texts have
-    no spans (the SHA-256 is that of the empty string); repeated rows give repeated rows.
+    One pass without a shuffle, in time linear in a text's length; memory follows one Arrow
+    batch.  Null and empty texts have no spans (the SHA-256 is that of the empty string);
+    repeated rows give repeated rows, an empty table an empty one.  Spans that start together
+    come in the order of KINDS.  Other columns are ignored.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

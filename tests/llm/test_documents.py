@@ -1,5 +1,7 @@
 """The operators over documents: brute force, awkward rows, empty tables, clashing columns."""
 
+import hashlib
+import random
 import re
 import zlib
 
@@ -225,11 +227,70 @@ def test_weak_parts_need_a_complement():
     assert "hunter22" not in secrets.redact(TEXTS[17]) and secrets.redact("clean") == "clean" and secrets.redact(None) is None
 
 
-def test_scan_counts(spark):
-    df = data.clashing(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
+def linked(text, scope):
+    """The linking rules over all pairs and triples of parts."""
+    base = plain_spans(text)
+    near = lambda a, b: a[0] - scope <= b[1] and b[0] <= a[1] + scope
+    cross = lambda a, b: a[0] < b[1] - 1 and b[0] < a[1] - 1
+    weak = {
+        kind: [m.span() for m in re.finditer(p, text, flags) if not any(cross(m.span(), (s, e)) for s, _, e in base)]
+        for kind, p, flags in (
+            ("endpoint", r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?:\:\d{1,5})?(?![\d.]))", 0),
+            ("account", r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.I | re.A),
+            ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 0),
+        )
+    }
+    weak["secret"] = [(s, e) for s, e in weak["secret"] if re.search("[0-9]", text[s:e]) and re.search("[a-z]", text[s:e])]
+    assign, access, runs = ([(s, e) for s, k, e in base if k == kind] for kind in range(3))
+    others = weak["endpoint"] + weak["account"]
+    touch = lambda a, b: a[0] <= b[1] and b[0] <= a[1]
+    apart = [t for t in weak["secret"] if not any(touch(t, o) for o in others)] + runs
+    whole = [t for t in apart if any(near(t, a) for a in weak["account"]) and any(near(t, e) for e in weak["endpoint"])]
+    beside = [t for t in weak["secret"] if any(near(t, a) for a in access)]
+    out = [("linked_secret", t) for t in {*beside, *whole} - {*runs}]
+    out += [("linked_endpoint", p) for p in weak["endpoint"] if any(near(p, t) for t in assign + beside + whole)]
+    out += [("linked_account", p) for p in weak["account"] if any(near(p, t) for t in assign + whole)]
+    return sorted((s, secrets.KINDS.index(kind), e) for kind, (s, e) in out)
+
+
+def part_texts(n=400):
+    rng = random.Random(5)
+    token = lambda k: "".join(rng.choice("abcXYZ0189_-") for _ in range(k))
+    parts = [
+        lambda: f"login: {token(6)}", lambda: "user=bob", lambda: "AKIA" + "Q7" * 9, lambda: token(rng.choice([19, 20, 40, 300])), lambda: "0a1b" * rng.choice([5, 6, 16]), lambda: "https://h.example/" + token(30),
+        lambda: f"10.2.3.{rng.randrange(99)}:5432", lambda: f"password={token(9)}", lambda: "account: " + token(25), lambda: "words " * rng.randrange(60), lambda: "é😀 " * 3,
+    ]
+    return [" ".join(rng.choice(parts)() for _ in range(rng.randrange(14))) for _ in range(n)]
+
+
+def test_linked_spans_against_all_pairs():
+    kinds = set()
+    for text in TEXTS + part_texts():
+        for scope in (0, 30, secrets.SCOPE):
+            found = secrets.spans_of(text, scope)
+            assert found == sorted(plain_spans(text) + linked(text or "", scope)), text
+            kinds |= {k for _, k, _ in found}
+    assert kinds == set(range(len(secrets.KINDS)))
+
+
+def test_three_weak_parts_make_a_credential():
+    text = "login: deploy_bot host 10.2.3.4:5432 key Zx81" + "aQ0" * 80
+    assert [secrets.KINDS[k] for _, k, _ in secrets.spans_of(text)] == ["linked_account", "linked_endpoint", "linked_secret"]
+    assert not secrets.spans_of(text.replace("login", "log")) and not secrets.spans_of(text.replace("10.2.3.4", "10.2.3"))
+    commit = "user: bob at http://h.example/ has " + "0a" * 20
+    assert {secrets.KINDS[k] for _, k, _ in secrets.spans_of(commit)} == {"hex", "linked_account", "linked_endpoint"}
+
+
+def test_scan_columns(spark):
+    texts = TEXTS + part_texts(60)
+    df = data.clashing(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    names = "assign access hex linked_endpoint linked_account linked_secret".split()
+    listed = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
     for r in secrets.scan(df).collect():
-        base = plain_spans(TEXTS[r["doc_id"]])
+        base = plain_spans(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert r["spans"] == listed(sorted(base + linked(texts[r["doc_id"]] or "", secrets.SCOPE)))
 
 
 # ---------------------------------------------------------------- classifier
