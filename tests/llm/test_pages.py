@@ -227,13 +227,33 @@ def brute(rows_, threshold=0.98):
     return sorted((r[0], count[i], least[group[i]], r[0] == least[group[i]]) for i, r in enumerate(rows_))
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [8192, 16])
 def test_near_vectors_against_all_pairs(spark, block):
     df = data.clashing(spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").repartition(3))
     found = [tuple(r) for r in embeddings.near_duplicates(df, block=block).select("vec_id", "n_links", "component_id", "kept").collect()]
     assert sorted(found) == brute(vectors())
 
 
+def test_cosine_in_double_precision(spark):
+    """Doubles that floats can't tell apart or hold, on both sides of the threshold; two dimensions."""
+    angle = np.arccos(0.98)
+    rows_ = [(i, [float(np.cos(a)), float(np.sin(a))], 1) for i, a in enumerate((0, angle - 1e-9, angle + 1e-9, angle / 2 + 1e-12, 2.0))]
+    rows_ += [(10, [1e-200, 1e-200], 1), (11, [1e200, 1e200 * (1 + 1e-9)], 1), (12, [1e-320, 0.0], 2), (13, [3.0, 0.0], 2)]
+    found = [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")).collect()]
+    links = {r[0]: r[1] for r in found}
+    assert links == {0: 2, 1: 3, 2: 2, 3: 3, 4: 0, 10: 1, 11: 1, 12: 1, 13: 1}
+    assert {r[0]: r[2] for r in found} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 10: 10, 11: 10, 12: 12, 13: 12}
+
+
+def test_sketches_of_near_vectors():
+    rng = np.random.default_rng(3)
+    x = embeddings.unit(rng.standard_normal((3000, 64)))
+    y = embeddings.unit(0.98 * x + np.sqrt(1 - 0.98**2) * embeddings.unit(rng.standard_normal((3000, 64)) - (rng.standard_normal((3000, 64)) * x).sum(axis=1)[:, None] * x))
+    near = (x * y).sum(axis=1) >= 0.98
+    differ = np.bitwise_count((embeddings.sketches(x) ^ embeddings.sketches(y)).view(np.uint64))
+    assert near.sum() > 300 and (differ[near] <= embeddings.far()).all() and embeddings.far() < 24
+
+
 def test_empty_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
