@@ -1,15 +1,18 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-Equal shingle sets form classes; only classes are compared.  Shingles are ordered
-globally by (number of classes that hold them, capped; a hash), rarest first, with a
-different hash in each order.  In any one global order, two sets with a Jaccard
+Equal shingle sets form classes (by 128 bits); only classes are compared.  Shingles are
+ordered globally in several ways.  All put first what only one class holds; then the first
+order goes by the number of classes that hold a shingle, rarest first, and each other one by
+a hash of its own, whatever the number.  In any one global order, two sets with a Jaccard
 similarity of at least t share a shingle among the first n - ceil(t n) + 1 of each, so a
 pair must share such a prefix shingle in every order.  A shingle that only one class
 holds joins with nothing, so most classes have no shingle left to join on.
 
 Components are what is asked for, so pairs that are already connected need no look:
 first every class of a posting list is compared with the list's hubs; then only pairs of
-classes from different components are compared, all of them.
+classes from different components are compared, all of them.  A posting list of the first
+order that would make too many such pairs is split by the prefix shingles of the second, and
+then of the third: who can link shares these too.
 """
 
 from __future__ import annotations
@@ -39,12 +42,14 @@ HUBS = 6
 #: Words of the parity sketch of a set (64 bits each).
 SKETCH = 8
 
-_ENTRY = np.dtype([("hash", "<u4"), ("high", "<u2"), ("doc", "<u2")])
-#: A class as the key partitions know it: 48 bits of its digest, and its place in the block.
-_TAG = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2")])
-_SETS = np.dtype([("digest", "<u8"), ("size", "<u4")])
+#: Pairs of a posting list above which it is split by the next order.
+LIST_PAIRS = 1_000_000
+
+_ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u2")])
+#: A class as one posting list knows it: 64 bits of its digest, and its place in the block.
+_TAG = np.dtype([("tag", "<u8"), ("doc", "<u2")])
+_SETS = np.dtype([("digest", "<u8", 2), ("size", "<u4")])
 _BACK = np.dtype([("hash", "<u8"), ("doc", "<u2"), ("held", "u1")])
-HASH_BITS = 48
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,75 +73,70 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def digests(value: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set of hashes; empty sets have digest 0."""
-    out = np.zeros(len(sizes), np.uint64)
+    """A digest of two 64-bit words of each set of hashes; empty sets have zeros."""
+    out = np.zeros((len(sizes), 2), np.uint64)
     if len(value):
         start, _ = runs(text)
         with np.errstate(over="ignore"):
-            out[text[start]] = mix(np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start) + sizes[text[start]].astype(np.uint64))
+            for i, salt in enumerate((0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)):
+                out[text[start], i] = mix(np.add.reduceat(mix(value ^ np.uint64(salt)), start) + sizes[text[start]].astype(np.uint64))
     return out
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, digest, n_shingles of every row of (doc_id, text)."""
+    """doc_id, text_key, digest, n_shingles of every row of (doc_id, text_key, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for _, texts in chunks(batch.column(1)):
+            digest, size = [], [np.empty(0, np.int64)]
+            for _, texts in chunks(batch.column(2)):
                 value, text, sizes = shingle_sets(texts, k)
-                digest.append(digests(value, text, sizes))
+                digest += [d.tobytes() for d in digests(value, text, sizes)]
                 size.append(sizes)
-            columns = [batch.column(0), pa.array(np.concatenate(digest).view(np.int64)), pa.array(np.concatenate(size).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles"])
+            columns = [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(np.concatenate(size).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "digest", "n_shingles"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {key}, digest long, n_shingles long")
+    return docs.mapInArrow(work, f"doc_id {key}, text_key long, digest binary, n_shingles long")
 
 
 def _sent(docs: DataFrame, k: int, parts: int) -> DataFrame:
     """Every block's classes (payload 0, by block) and its packed shingles (by shingle)."""
 
     def send(batch: pa.RecordBatch, first: int, texts: list[bytes], block: int) -> Iterator[tuple[int, int, bytes]]:
-        for at in range(0, len(texts), 1 << 14):  # `doc` has 16 bits
-            value, text, sizes = shingle_sets(texts[at : at + (1 << 14)], k)
-            digest = digests(value, text, sizes)
-            _, lead = np.unique(digest, return_index=True)
-            lead = lead[sizes[lead] > 0]  # of equal sets one is enough
-            if not len(lead):
-                continue
-            number = (block << 12) + (at >> 14)
-            place = np.full(len(sizes), -1)
-            place[lead] = np.arange(len(lead))
-            sets = np.empty(len(lead), _SETS)
-            sets["digest"], sets["size"] = digest[lead], sizes[lead]
-            own = place[text] >= 0
-            value, owner = value[own], place[text[own]]
-            # a shingle that COMMON classes of the block hold is known to be common: the others
-            # needn't hear of more, and its holders need no answer
-            order = np.lexsort((owner, value))
-            value, owner = value[order], owner[order]
-            start, end = runs(value)
-            held = np.repeat(end - start, end - start)
-            nth = np.arange(len(value)) - np.repeat(start, end - start)
-            known = held >= COMMON
-            back = np.empty(int(known.sum()), _BACK)
-            back["hash"], back["doc"], back["held"] = value[known] >> np.uint64(64 - HASH_BITS), owner[known], COMMON
-            head = np.array([len(sets), len(back)], "<u8").tobytes()
-            yield number % parts, number, b"\0" + head + sets.tobytes() + back.tobytes()
-            travels = ~known | (nth < COMMON)
-            value, owner = value[travels], owner[travels]
-            short = value >> np.uint64(64 - HASH_BITS)
-            entry = np.empty(len(value), _ENTRY)
-            entry["hash"], entry["high"], entry["doc"] = short & np.uint64(0xFFFFFFFF), short >> np.uint64(32), owner
-            for part, packed in split(value, entry, parts):
-                some = np.frombuffer(packed, _ENTRY)
-                used, index = np.unique(some["doc"], return_inverse=True)
-                tags = np.empty(len(used), _TAG)
-                tags["high"], tags["low"], tags["doc"] = sets["digest"][used] >> np.uint64(32), (sets["digest"][used] >> np.uint64(16)) & np.uint64(0xFFFF), used
-                some = some.copy()
-                some["doc"] = index
-                yield part, number, b"\1" + np.array([len(used)], "<u8").tobytes() + tags.tobytes() + some.tobytes()
+        value, text, sizes = shingle_sets(texts, k)
+        digest = digests(value, text, sizes)
+        _, lead = np.unique(digest, axis=0, return_index=True)
+        lead = lead[sizes[lead] > 0]  # of equal sets one is enough
+        if not len(lead):
+            return
+        place = np.full(len(sizes), -1)
+        place[lead] = np.arange(len(lead))
+        sets = np.empty(len(lead), _SETS)
+        sets["digest"], sets["size"] = digest[lead], sizes[lead]
+        own = place[text] >= 0
+        value, owner = value[own], place[text[own]]
+        # a shingle that COMMON classes of the block hold is known to be common: the others
+        # needn't hear of more, and its holders need no answer
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        start, end = runs(value)
+        held = np.repeat(end - start, end - start)
+        nth = np.arange(len(value)) - np.repeat(start, end - start)
+        known = held >= COMMON
+        back = np.empty(int(known.sum()), _BACK)
+        back["hash"], back["doc"], back["held"] = value[known], owner[known], COMMON
+        head = np.array([len(sets), len(back)], "<u8").tobytes()
+        yield block % parts, block, b"\0" + head + sets.tobytes() + back.tobytes()
+        travels = ~known | (nth < COMMON)
+        entry = np.empty(int(travels.sum()), _ENTRY)
+        entry["hash"], entry["doc"] = value[travels], owner[travels]
+        for part, packed in split(entry["hash"], entry, parts):
+            some = np.frombuffer(packed, _ENTRY).copy()
+            used, some["doc"] = np.unique(some["doc"], return_inverse=True)
+            tags = np.empty(len(used), _TAG)
+            tags["tag"], tags["doc"] = sets["digest"][used, 0], used
+            yield part, block, b"\1" + np.array([len(used)], "<u8").tobytes() + tags.tobytes() + some.tobytes()
 
     return docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
 
@@ -152,9 +152,8 @@ def _count(sent: pd.DataFrame) -> pd.DataFrame:
         n = int(np.frombuffer(payload, "<u8", 1, 1)[0])
         tag = np.frombuffer(payload, _TAG, n, 9)
         entry = np.frombuffer(payload, _ENTRY, offset=9 + n * _TAG.itemsize)
-        of_class = tag["high"].astype(np.uint64) << np.uint64(16) | tag["low"]
-        short.append(entry["hash"].astype(np.uint64) | (entry["high"].astype(np.uint64) << np.uint64(32)))
-        tags.append(of_class[entry["doc"]])
+        short.append(entry["hash"])
+        tags.append(tag["tag"][entry["doc"]])
         owner.append(tag["doc"][entry["doc"]])
         block.append(np.full(len(entry), len(numbers)))
         numbers.append(number)
@@ -221,10 +220,12 @@ def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
         if prefix <= 0:
             continue
         hashes, held = back["hash"][a:b], back["held"][a:b]
-        row = {"digest": int(sets["digest"][back["doc"][a]].view(np.int64)), "size": size, "shared": hashes.astype(np.int64)}
+        row = {"digest": sets["digest"][back["doc"][a]].tobytes(), "size": size, "shared": hashes.astype(np.int64)}
         row |= dict(zip(SKETCHES, parity(hashes).tolist(), strict=True))
         for k in range(orders):
-            order = np.lexsort((mix(hashes + np.uint64(k * 0x1000193)), held))
+            with np.errstate(over="ignore"):
+                own = mix(hashes + np.uint64(k * 0x1000193))
+            order = np.argsort(own) if k else np.lexsort((own, held))
             row[f"prefix{k}"] = hashes[order[:prefix]].astype(np.int64)
         rows.append(row)
     return pd.DataFrame(rows, columns=["digest", "size", "shared", *SKETCHES, *[f"prefix{k}" for k in range(orders)]])
@@ -244,6 +245,21 @@ def _verified(pairs: DataFrame, active: DataFrame, threshold: int, orders: int)
     return both.where(may).where(100 * shared >= threshold * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b")
 
 
+def _pairs_of_list() -> tuple[Column, Column]:
+    """Of a list, from (n, component) rows: its components, and at least half the pairs of classes that it costs."""
+    return F.count(F.lit(1)).alias("components"), (F.sum("n") * (F.sum("n") - F.max("n"))).alias("pairs")
+
+
+def _open_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of classes with one key, from different components, that may link."""
+    own = ("digest", "component", "size", "alone", *SKETCHES)
+    x = rows.where("component <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in own])
+    y = rows.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in own])
+    once = (F.col("component_y") == F.col("main")) | (F.col("digest_x") < F.col("digest_y"))
+    met = x.join(y, "key").where("component_x <> component_y").where(once & may_link("x", "y", threshold))
+    return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b"))
+
+
 def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """digest, component: the classes that link with another one and the least digest of their
     component; (doc_id, text) in."""
@@ -251,7 +267,7 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     parts = parts_of(docs)
     heard = by_part(_sent(docs, k, parts), _count, "block long, payload binary")
     arrays = ", ".join(f"prefix{i} array<long>" for i in range(orders))
-    schema = f"digest long, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"
+    schema = f"digest binary, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"
     active = heard.groupBy("block").applyInPandas(lambda sent: _prefixes(sent, threshold, orders), schema)
     # a class whose texts lie in several blocks may come from each; the first heard of all its shingles
     whole = F.max_by(F.struct(*active.columns), F.size("shared"))
@@ -272,24 +288,35 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     # classes isn't joined with itself, so a list costs (classes outside it) * (classes).
     known = posting.drop("alone").join(label, "digest")
     parted = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = parted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    lists = parted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), *_pairs_of_list()).where("components > 1")
     lists = materialise(lists, "jaccard-lists")
-    open_lists = known.join(lists.drop("components"), "token")
     # filters stand in the join itself, so that only pairs that may link are ever rows
     sketch = active.select("digest", "size", "alone", *SKETCHES)
-    open_lists = materialise(open_lists.join(sketch, "digest"), "jaccard-open")
-    x = open_lists.where("component <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("digest", "component", "size", "alone", *SKETCHES)])
-    y = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("digest", "component", "main", "size", "alone", *SKETCHES)])
-    once = (F.col("component_y") == F.col("main_y")) | (F.col("digest_x") < F.col("digest_y"))
-    rest = x.join(y, "token").where("component_x <> component_y").where(once & may_link("x", "y", threshold))
-    pairs = rest.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+    rows = known.join(lists.drop("components"), "token").withColumn("key", F.xxhash64("token"))
+    rows = materialise(rows.join(sketch, "digest"), "jaccard-open")
+    ready, written = [], [lists, rows]
+    for k in range(1, orders):
+        hot = rows.where(f"pairs > {LIST_PAIRS}")
+        ready.append(rows.where(f"pairs <= {LIST_PAIRS}"))
+        if not hot.head(1):
+            break
+        # who can link shares a prefix shingle of the next order as well
+        prefix = active.select("digest", F.explode(f"prefix{k}").alias("next"))
+        hot = hot.drop("pairs").join(prefix, "digest").withColumn("key", F.xxhash64("key", "next")).drop("next")
+        parted = hot.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        lists = parted.groupBy("key").agg(*_pairs_of_list()).where("components > 1").drop("components")
+        rows = materialise(hot.join(lists, "key").select(ready[0].columns), "jaccard-open")
+        written.append(rows)
+    else:
+        ready.append(rows)
+    pairs = reduce(DataFrame.unionByName, [_open_pairs(r, threshold) for r in ready]).distinct()
     more = materialise(_verified(pairs, active, threshold, orders), "jaccard-links")
     # components of components: the first ones' labels stand for their classes
     a, b = label.toDF("a", "ca"), label.toDF("b", "cb")
     joined = connect(more.join(a, "a").join(b, "b").select("ca", "cb")).toDF("component", "c")
     final = label.join(joined, "component", "left").select("digest", F.coalesce("c", "component").alias("component"))
     final = materialise(final, "jaccard-components")
-    discard(active, posting, hub, links, label, lists, open_lists, more)
+    discard(active, posting, hub, links, label, *written, more)
     return final
 
 
@@ -300,21 +327,26 @@ def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_digest for every row of (doc_id, text).
+    """doc_id, n_shingles, component_id, text_key, component for every row of (doc_id, text).
 
     component_id is the smallest doc_id reachable by links.  Texts without words, null texts
     included, link with nothing: their component is themselves.  Rows with equal sets link
     with each other; rows that share a doc_id are compared like any others, and rows without
-    one take their component's smallest id.  Other columns are ignored.
+    one take their component's smallest id.  Further columns tell rows apart that share an id:
+    text_key hashes the text, and component (null without words) is the same for linked rows.
+    An empty table gives an empty result; a very long text takes memory in proportion to its
+    own length.  Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     known = materialise(_classes(docs, k), "jaccard-documents")
-    label = class_links(docs, k, threshold).where("component <> digest").withColumnRenamed("digest", "d")
-    full = known.join(label, known["digest"] == label["d"], "left").withColumn("component", F.coalesce("component", "digest"))
+    label = class_links(docs.drop("text_key"), k, threshold)
+    linked = label.where("component <> digest").withColumnRenamed("digest", "d")
+    full = known.join(linked, known["digest"] == linked["d"], "left")
+    full = full.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")))
     least = full.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     least = materialise(least, "jaccard-least")
-    out = full.join(least.withColumnRenamed("component", "c"), (F.col("component") == F.col("c")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.col("digest").alias("class_digest"))
+    out = full.join(least.withColumnRenamed("component", "c"), F.col("component") == F.col("c"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_key", "component")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,23 @@ def test_jaccard_of_a_dense_group(spark):
     assert sorted(found, key=str) == data.jaccard(some)
 
 
+def test_jaccard_splits_hot_lists(spark, monkeypatch):
+    """Many unlike texts around one common passage, with pairs at the threshold, by lists of the later orders."""
+    monkeypatch.setattr(jaccard, "LIST_PAIRS", 3)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    some = []
+    for i in range(120):
+        own = [f"o{i // 2}_{j}" for j in range(rng.choice([4, 12, 40, 80]))]
+        if i % 2:
+            own[rng.randrange(len(own))] = f"x{i}"
+        some.append((i, " ".join(own[:2] + passage + own[2:]), "en", "s", 0))
+    for orders in (2, 3):
+        monkeypatch.setattr(jaccard, "ORDERS", orders)
+        found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(some, data.SCHEMA).repartition(3)).collect()]
+        assert sorted(found, key=str) == data.jaccard(some)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
