@@ -7,7 +7,6 @@ the shared folder and rereads them, so a lost executor repeats no earlier stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,18 +28,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near duplicates: the one with the smallest doc_id, null ids last.
 
     Texts link from a Jaccard similarity of THRESHOLD hundredths of their SHINGLE-word shingles on.
-    Of rows that share that doc_id one stays, the same on every rerun.  Documents without words link with nothing and stay.
+    Rows are judged by their texts: of rows that share an id but not a group each group keeps its own,
+    and of repeated rows one stays, the same on every rerun.  Documents without words link with
+    nothing and stay, every row of them.
     """
-    found = jaccard.join_components(docs, k=SHINGLE, threshold=THRESHOLD)
-    first = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_anti").select(COLUMNS)
-    # the join has brought equal ids together already
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    named = kept.where(F.col("doc_id").isNotNull()).withColumn("nth", nth).where("nth = 1").select(COLUMNS)
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+    found = materialise(jaccard.join_components(docs, k=SHINGLE, threshold=THRESHOLD), "near-components")
+    words = found.where("n_shingles > 0")
+    keys = [F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"]
+    chosen = materialise(words.groupBy("component").agg(F.min(F.struct(*keys)).alias("chosen")), "near-chosen")
+    others = words.join(chosen, "component").where(F.struct(*keys) != F.col("chosen")).select("doc_id", "text_key")
+    repeated = words.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key")
+    verdict = others.select("*", F.lit(False).alias("stays")).union(repeated.select("*", F.lit(True).alias("stays")))
+    verdict = verdict.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"))
+    verdict = materialise(verdict.withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "near-verdicts")
+    discard(found, chosen)
+    keyed = docs.select(COLUMNS).withColumn("key_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    judged = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["id"]) & (keyed["key_"] == verdict["key"]), "left").where("coalesce(stays, true)")
+    kept = judged.where("stays IS NULL").select(COLUMNS)
+    if not verdict.where("stays").head(1):
+        return kept
+    # rows with one id and text: map-side aggregation leaves one, however many they are
+    one = judged.where("stays").groupBy("doc_id", "key_").agg(F.min(F.struct([c for c in COLUMNS if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
+    return kept.unionByName(one.select(COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
