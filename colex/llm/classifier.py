@@ -5,7 +5,7 @@ is a Gaussian whose covariance is shrunk towards the pooled one and towards the
 The score is the logistic of the difference of the two log densities (and log priors),
 each a Mahalanobis distance through a Cholesky factor that is computed once.
 
-Fitting uses every labelled training row: class counts, sums and products are ordinary
+Fitting uses every labelled training row: class counts, means and covariances are ordinary
 aggregates, so what reaches the driver is two rows, however many labels there are.
 """
 
@@ -111,16 +111,15 @@ def fit(known: DataFrame, pooled: float = POOLED, ridge: float = RIDGE) -> Model
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = [F.col("x")[i] for i in range(d)]
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]]
-    sums += [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    rows = {r["quality"]: r for r in known.where("quality IN (0, 1)").groupBy("quality").agg(*sums).collect()}
+    columns = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]]
+    columns += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]  # merges centred moments, so it doesn't cancel
+    rows = {r["quality"]: r for r in known.where("quality IN (0, 1)").groupBy("quality").agg(*columns).collect()}
     moments = {}
     for label, r in rows.items():
-        mean = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
-        second = np.zeros((d, d))
+        own = np.zeros((d, d))
         for i, j in pairs:
-            second[i, j] = second[j, i] = r[f"p{i}_{j}"] / r["n"]
-        moments[label] = r["n"], mean, second - np.outer(mean, mean)
+            own[i, j] = own[j, i] = r[f"c{i}_{j}"]
+        moments[label] = r["n"], np.array([r[f"m{i}"] for i in range(d)]), own
     total = sum(n for n, _, _ in moments.values())
     both = sum((n * c for n, _, c in moments.values()), np.zeros((d, d))) / max(total, 1)
 
@@ -160,8 +159,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.  Null and empty texts are scored
-    like any other.  Without labels every score is 0.5."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Null and empty texts are scored like any other, a null id is in the fold of the empty text,
+    and repeated rows are scored each (and learnt each, if labelled).  Without labels every score
+    is 0.5, with labels of one class only it is that class; an empty table gives an empty result.
+    A text's statistics take time linear in its length.  Other columns are ignored.
+    """
     vectors, model = train(docs, labels)
     return score(vectors, model).withColumn("held_out", fold(F.col("doc_id")) == HELD_OUT)
 

@@ -323,6 +323,28 @@ def test_classifier_on_held_out_rows(spark):
     assert out["score"].between(0, 1).all() and ((out["score"] >= 0.5) == (out["predicted"] == 1)).all()
 
 
+def test_scores_against_a_plain_discriminant(docs, spark):
+    """Two Gaussians, from all training rows at once, by solving and determinants."""
+    table_rows = data.documents()
+    known = {i: i % 3 % 2 for i in range(55)}
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    x = np.array([classifier.statistics(r[1]) for r in table_rows])
+    train = [(k, known[r[0]]) for k, r in enumerate(table_rows) if r[0] in known and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    groups = [x[[k for k, q in train if q == label]] for label in (0, 1)]
+    own = [np.cov(g.T, bias=True) for g in groups]
+    both = sum(len(g) * c for g, c in zip(groups, own, strict=True)) / len(train)
+    density = []
+    for g, c in zip(groups, own, strict=True):
+        cov = (1 - classifier.POOLED - classifier.RIDGE) * c + classifier.POOLED * both + classifier.RIDGE * np.eye(x.shape[1])
+        z = x - g.mean(axis=0)
+        density.append(np.log(len(g) / len(train)) - 0.5 * ((z * np.linalg.solve(cov, z.T).T).sum(axis=1) + np.linalg.slogdet(cov)[1]))
+    expected = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / classifier.TEMPERATURE, -700, 700)))
+    found = [(str(r["doc_id"]), r["score"]) for r in classifier.classify(docs, labels).collect()]
+    expected = [(str(r[0]), s) for r, s in zip(table_rows, expected, strict=True)]
+    for (i, a), (j, b) in zip(sorted(found), sorted(expected), strict=True):
+        assert i == j and abs(a - b) < 1e-9
+
+
 def test_labels_outside_training_change_nothing(docs, spark):
     some = [(i, i % 2) for i in range(40)]
     more = [(i, 1 - q) if zlib.crc32(str(i).encode()) % 3 == 1 else (i, q) for i, q in some] + [(None, 1), (2, None), (999, 1)]
