@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -364,7 +364,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     long, deep or broken it is.  Other columns are ignored.
     """
     hosted = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), "html")
-    found = materialise(regions(wrappers(hosted)), "html-regions")
+    nodes = materialise(wrappers(hosted), "html-wrappers")
+    found = materialise(regions(nodes), "html-regions")
+    discard(nodes)
     side = found.withColumnRenamed("host", "h")
     joined = hosted.join(F.broadcast(side) if found.count() <= BROADCAST_HOSTS else side, F.col("host") == F.col("h"), "left")
 
