@@ -14,6 +14,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, table
+from .common import discard, materialise, scratch, table
 
 #: Payloads below this many bytes are always stored: a revisit record would be as long.
 LEAST_REVISIT = 100
-#: Records in one archive at most, so that a reader's task holds a bounded file.
-RECORDS_PER_FILE = 2_000
+#: Records in one archive at most, if their payloads have at most so many bytes (in all 128 MB, so
+#: that a reader's task holds a bounded file); payloads up to 8 times as long go into archives of
+#: their own of an eighth of the records, and so on, down to one record.
+RECORDS_PER_FILE, RECORD_BYTES, STEP = 2_000, 64_000, 8
 #: Pages with shared payloads (about 100 bytes each) up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -71,15 +74,22 @@ def _one_line(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\r\n]+", " ")
 
 
-def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """One string column `value`: each page's WARC record up to the blank line that ends it.
+def size_class(payload_bytes: Column) -> Column:
+    """0 for payloads of RECORD_BYTES or less, 1 up to STEP times as long, ..; the last one has no greatest length."""
+    last = math.ceil(math.log(RECORDS_PER_FILE, STEP))
+    return sum((F.when(payload_bytes > RECORD_BYTES * STEP**i, 1).otherwise(0) for i in range(last)), F.lit(0))
+
+
+def records(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """A string column `value`, each page's WARC record up to the blank line that ends it, and
+    `size_class`; `found` is the written result of resolve().
 
     Only pages with a shared payload have anything to look up.  While those are few (checked
     by count) their table is broadcast and payloads go from the scan into the archives;
     beyond that payloads travel once, keyed by page and digest, which no hot payload makes
     uneven.  Of repeated rows (one page_id and payload) one is taken for the first.
     """
-    found = materialise(resolve(pages, least), "warc-resolved").withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
+    found = found.withColumnsRenamed({"page_id": "id", "payload_digest": "digest"})
     whole = _digested(pages)
     same = whole["page_id"].eqNullSafe(found["id"]) & (whole["payload_digest"] == found["digest"])
     joined = whole.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left")
@@ -119,13 +129,25 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         line("Content-Length", length.cast("string")),
         F.lit(CRLF),
     )
-    return joined.select(F.concat(head, http, F.when(F.col("revisit"), "").otherwise(F.col("html"))).alias("value"))
+    value = F.concat(head, http, F.when(F.col("revisit"), "").otherwise(F.col("html")))
+    return joined.select(value.alias("value"), size_class(F.col("payload_bytes")).alias("size_class"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write deduplicated, compressed archives of all pages into the folder `path`."""
-    out = records(pages, least)
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Write deduplicated, compressed archives of all pages into folders of `path`, one per size class.
+
+    Null html is an empty payload; an empty table writes an empty folder.  Payloads of any length are
+    records, long ones in archives of few.  Of repeated rows one is the response.  Columns other than
+    page_id, url and html are ignored.
+    """
+    pages = pages.select("page_id", "url", "html")
+    found = materialise(resolve(pages, least), "warc-resolved")
+    out = records(pages, found)
+    sizes = _digested(pages).select(size_class(F.col("payload_bytes")).alias("c")).distinct()
+    for c in sorted(r["c"] for r in sizes.collect()) or [0]:
+        some = out.where(F.col("size_class") == c).select("value")
+        some.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file // STEP**c)).text(f"{path}/{c}")
+    discard(found)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -183,7 +205,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(work, READ_SCHEMA)
 
 

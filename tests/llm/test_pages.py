@@ -164,6 +164,26 @@ def test_archives_against_sql(spark, pages):
     assert len(stored) == len(PAGES)
 
 
+def test_long_payloads_have_archives_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1000)
+    sizes = [10, 900, 1001, 8000, 8001, 60_000, 3_000_000] * 3
+    some = [(i, f"http://x.example/{i}", "é" + "x" * (n - 2) if i % 2 else str(i % 7) * n) for i, n in enumerate(sizes)]
+    path = scratch(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(some, SCHEMA).coalesce(1), path, per_file=16)
+    back = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(back) == len(some) and all(back[i]["payload_bytes"] == len(h.encode()) for i, _, h in some)
+    first = {}
+    for i, _, h in some:
+        assert back[i]["refers_to"] == (first.get(h) if len(h) > 10 else None) and (back[i]["payload"] is None or back[i]["payload"].decode() == h)
+        first.setdefault(h, i)
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()
+    classes = {}
+    for f in held:
+        classes.setdefault(int(f["path"].split("/")[-2]), []).append(len(list(warc.parse(f["content"]))))
+    assert {c: sum(n) for c, n in classes.items()} == {0: 6, 1: 6, 2: 9} and max(classes[1]) <= 2 and max(classes[2]) == 1
+
+
 def test_archive_bytes():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nab\r\n\r\ncde\r\n\r\n"
     for archive in (record * 2, gzip.compress(record * 2), gzip.compress(record) * 2):
