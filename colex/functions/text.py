@@ -21,33 +21,44 @@ SOLID = f"[^{SPACE_SET}]"
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 
-# The romaji syllables and their kana, by consonant and vowel.
-_ROWS = {
-    "": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひ へほ", "m": "まみむめも",
-    "r": "らりるれろ", "w": "わゐ ゑを", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ",
+# The syllables that the converter knows; deliberately without hu, dzu, bba, sshi, tcha.
+ROMAJI = {
+    "a": "あ", "i": "い", "u": "う", "e": "え", "o": "お",
+    "ka": "か", "ki": "き", "ku": "く", "ke": "け", "ko": "こ",
+    "sa": "さ", "shi": "し", "su": "す", "se": "せ", "so": "そ",
+    "si": "し",
+    "ta": "た", "chi": "ち", "tsu": "つ", "te": "て", "to": "と",
+    "ti": "ち", "tu": "つ",
+    "na": "な", "ni": "に", "nu": "ぬ", "ne": "ね", "no": "の",
+    "ha": "は", "hi": "ひ", "fu": "ふ", "he": "へ", "ho": "ほ",
+    "ma": "ま", "mi": "み", "mu": "む", "me": "め", "mo": "も",
+    "ya": "や", "yu": "ゆ", "yo": "よ",
+    "ra": "ら", "ri": "り", "ru": "る", "re": "れ", "ro": "ろ",
+    "wa": "わ", "wi": "ゐ", "we": "ゑ", "wo": "を", "n": "ん",
+    "ga": "が", "gi": "ぎ", "gu": "ぐ", "ge": "げ", "go": "ご",
+    "za": "ざ", "ji": "じ", "zu": "ず", "ze": "ぜ", "zo": "ぞ",
+    "zi": "じ",
+    "da": "だ", "di": "ぢ", "du": "づ", "de": "で", "do": "ど",
+    "ba": "ば", "bi": "び", "bu": "ぶ", "be": "べ", "bo": "ぼ",
+    "pa": "ぱ", "pi": "ぴ", "pu": "ぷ", "pe": "ぺ", "po": "ぽ",
+    "kya": "きゃ", "kyu": "きゅ", "kyo": "きょ",
+    "sha": "しゃ", "shu": "しゅ", "sho": "しょ",
+    "cha": "ちゃ", "chu": "ちゅ", "cho": "ちょ",
+    "nya": "にゃ", "nyu": "にゅ", "nyo": "にょ",
+    "hya": "ひゃ", "hyu": "ひゅ", "hyo": "ひょ",
+    "mya": "みゃ", "myu": "みゅ", "myo": "みょ",
+    "rya": "りゃ", "ryu": "りゅ", "ryo": "りょ",
+    "gya": "ぎゃ", "gyu": "ぎゅ", "gyo": "ぎょ",
+    "ja": "じゃ", "ju": "じゅ", "jo": "じょ",
+    "bya": "びゃ", "byu": "びゅ", "byo": "びょ",
+    "pya": "ぴゃ", "pyu": "ぴゅ", "pyo": "ぴょ",
+    "kka": "っか", "kki": "っき", "kku": "っく", "kke": "っけ", "kko": "っこ",
+    "ssa": "っさ", "ssi": "っし", "ssu": "っす", "sse": "っせ", "sso": "っそ",
+    "tta": "った", "tte": "って", "tto": "っと",
+    "tchi": "っち", "cchi": "っち",
+    "ppa": "っぱ", "ppi": "っぴ", "ppu": "っぷ", "ppe": "っぺ", "ppo": "っぽ",
+    "jji": "っじ", "ffu": "っふ",
 }
-_GLIDES = {"k": "き", "g": "ぎ", "n": "に", "h": "ひ", "m": "み", "r": "り", "b": "び", "p": "ぴ", "sh": "し", "ch": "ち"}
-_DOUBLED = {"k": "aiueo", "s": "aiueo", "p": "aiueo", "t": "aeo"}
-_EXTRA = {
-    "shi": "し", "chi": "ち", "tsu": "つ", "fu": "ふ", "ya": "や", "yu": "ゆ", "yo": "よ", "n": "ん", "ja": "じゃ", "ji": "じ", "ju": "じゅ",
-    "jo": "じょ", "tchi": "っち", "cchi": "っち", "jji": "っじ", "ffu": "っふ",
-}
-
-
-def romaji_table() -> dict[str, str]:
-    """Every syllable the converter knows; deliberately without hu, dzu, bba, sshi, tcha."""
-    out = dict(_EXTRA)
-    for consonant, row in _ROWS.items():
-        out |= {consonant + v: k for v, k in zip("aiueo", row, strict=True) if k != " "}
-    for consonant, kana in _GLIDES.items():
-        y = "" if consonant.endswith("h") and consonant != "h" else "y"
-        out |= {consonant + y + v: kana + small for v, small in zip("auo", "ゃゅょ", strict=True)}
-    for consonant, vowels in _DOUBLED.items():
-        out |= {consonant * 2 + v: "っ" + _ROWS[consonant]["aiueo".index(v)] for v in vowels}
-    return out
-
-
-ROMAJI = romaji_table()
 _BY_LENGTH = sorted(ROMAJI, key=lambda k: (-len(k), k))
 ROMAJI_TOKEN = f"(?s)({'|'.join(_BY_LENGTH)}|.)"
 

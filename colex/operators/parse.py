@@ -51,14 +51,15 @@ def extract_bits(text: Column, separator: str = r"\|\|") -> Column:
 
 # ------------------------------------------------------------------ page rows
 
-#: Section labels, the first that a row contains decides.
+#: The source of scraped entries; section labels, of which the first that a row contains decides.
+PAGE_SOURCE = "hyogen.info"
 SECTIONS = ("名詞", "動詞", "い形容詞", "な形容詞", "副詞")
 
 
-def strip_tags(c: Column, rounds: int = 3) -> Column:
-    """Without tags (removed until nothing changes: `rounds` nested levels), with the four named
-    references decoded, & last, and trimmed."""
-    bare = reduce(lambda x, _: F.regexp_replace(x, "<[^>]*>", ""), range(rounds), c)
+def strip_tags(c: Column) -> Column:
+    """Without tags, with the four named references decoded, & last, and trimmed.  One pass is
+    enough: what is left has no < before a >."""
+    bare = F.regexp_replace(c, "<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
     return trim(bare)
@@ -98,6 +99,6 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.col("section").alias("collocate_pos"),
         pattern.alias("pattern"),
         F.when(example == "", F.array().cast("array<string>")).otherwise(F.array(example)).alias("example_sentences"),
-        F.lit("hyogen.info").alias("source"),
+        F.lit(PAGE_SOURCE).alias("source"),
         F.lit(50).alias("frequency"),
     )

@@ -1,130 +1,164 @@
 """Pattern extraction: a catalogue of regular expressions over running text.
 
-A specification is a head atom followed by a marker.  The catalogue is a table (SPEC), built
-by rule from lists of markers, and extended or replaced by rows of the caller.  Applying it is
-this engine's own semantics: every left-to-right match of every specification is a row; nothing
-is suppressed unless best_only is asked for.
-
-Hundreds of expressions per text would be slow, so one scan for the markers of all literal
-specifications comes first; only those whose marker occurs are evaluated.
+The catalogue is a table of specifications: the rows of pattern_catalogue turned into expressions
+by rule, extended or replaced by the caller's own.  Applying it is this engine's own semantics:
+every left-to-right match of every specification is a row; nothing is suppressed unless best_only
+is asked for.
+
+Hundreds of expressions per text would be slow, so one scan of a text finds which markers (the
+literal parts that a specification can't do without) occur in it, and only their specifications
+are evaluated there.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_SET
+from . import pattern_catalogue as given
 
-SPEC = "spec_id int, family string, regex string, pattern string, label string, head_group int, marker string, head_pos string, col_pos string, confidence int"
-NOUN, VERB, AUX, EXPRESSION, ADJ_I = "名詞", "動詞", "助動詞", "表現", "い形容詞"
 CONTENT_WORD = f"[^{SPACE_SET}。、！？「」（）『』【】…〜・]{{1,14}}"
-STEM = f"[^{SPACE_SET}。、！？「」（）]{{2,12}}"
-
-# Markers by family.
-POSTPOSITIONS = (
-    "について について・の|に関して に関する|に対して に対する|にとって にとっての|によって による|をめぐって をめぐる|を通じて を通じた|を通して を通した|を介して を介した|"
-    "に基づいて に基づいた|に応じて に応じた|にわたって にわたる|に際して に際した|に沿って に沿った|に向けて に向けた|に伴って に伴う|に続いて に続く|に先立って に先立つ"
-)
-ASPECTS = "始める 始めた 出す 出した 続ける 続けた 終わる 終わった 終える 終えた かける かけた 込む 込んだ 切る 切った 切れない 切れなかった 上げる 上げた 下げる 下げた 直す 直した 返す 返した 抜く 抜いた".split()
-NEGATIVES = "ざるを得ない ざるを得なかった ないではいられない ずにはいられない なしにはいられない まい ないでいられない を問わず にかかわらず にもかかわらず どころか どころではない かねない かねる".split()
-FIXED = "とはいえ とはいっても とはいえども はともかく はともかくとして はさておき はさておいて もさることながら".split()
-
-
-def crossed(*parts: str) -> tuple[str, ...]:
-    """Markers put together from alternatives: crossed("a b", "c d") is ac, ad, bc, bd."""
-    out = [""]
-    for part in parts:
-        out = [head + tail for head in out for tail in part.split(" ")]
-    return tuple(dict.fromkeys(out))
+OTHER = f"[^{SPACE_SET}。、！？「」（）]"
+#: What {N}, {S}, {M} and {W} stand for in an expression.
+ATOMS = {"{N}": CONTENT_WORD, "{S}": OTHER + "{2,12}", "{M}": OTHER + "{2,14}", "{W}": OTHER}
+MOST_GROUPS = 4
 
 
 @dataclass(frozen=True)
-class Family:
-    """A rule for specifications: one per marker."""
+class Spec:
+    """An expression with at most four groups, and what its matches are called.  $1 .. $4 in head
+    and collocate are the groups, of which absent ones are empty."""
 
-    name: str
+    family: str
+    expression: str
     head: str
-    prefix: str
+    collocate: str
+    pattern: str
+    label: str
     head_pos: str
-    col_pos: str
+    collocate_pos: str
     confidence: int
-    markers: tuple[str, ...]
-
-
-def _postpositions() -> tuple[tuple[str, ...], tuple[str, ...]]:
-    pairs = [p.replace("について・の", "についての").split(" ") for p in POSTPOSITIONS.split("|")]
-    return tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
-
-
-FAMILIES = (
-    Family("複合後置詞型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 75, _postpositions()[0]),
-    Family("複合後置詞型(連体)", CONTENT_WORD, "N+", NOUN, EXPRESSION, 73, _postpositions()[1]),
-    Family("複合動詞型", STEM, "V+", VERB, VERB, 68, tuple(ASPECTS)),
-    Family("否定制限型", CONTENT_WORD, "V+", VERB, EXPRESSION, 80, tuple(NEGATIVES)),
-    Family("否定推論型", CONTENT_WORD, "V+", VERB, EXPRESSION, 80, crossed("わけ はず", "がない もない ではない でもない にはいかない にもいかない")),
-    Family("認識否定型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 78, crossed("とは", "思えない 言えない 考えられない 信じられない")),
-    Family("断定推量型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 82, crossed("に", "違いない 相違ない ほかならない 他ならない 決まっている")),
-    Family("様態推量型", CONTENT_WORD, "V+", EXPRESSION, AUX, 70, crossed("ように", "見える 見えた 思える 感じる 聞こえる 受け取れる 映る")),
-    Family("伝聞見解型", CONTENT_WORD, "V+", EXPRESSION, AUX, 73, crossed("と", "思われる 考えられる みられる 推測される される されている")),
-    Family("条件義務型", CONTENT_WORD, "V+", VERB, AUX, 75, crossed("なければ なくては ないと", "ならない いけない だめ")),
-    Family("仮定逆接型", CONTENT_WORD, "V+", VERB, AUX, 71, crossed("と", "したら すれば なれば しても はいっても")),
-    Family("慣用複合型", CONTENT_WORD, "N+", NOUN, EXPRESSION, 80, tuple(FIXED)),
-)
+
+    @property
+    def regex(self) -> str:
+        out = self.expression
+        for name, atom in ATOMS.items():
+            out = out.replace(name, atom)
+        return out
+
+    @property
+    def markers(self) -> list[str]:
+        """Texts of which each match holds one: the first run of parts that are literal and not optional."""
+        out: list[str] = []
+        for group, optional, plain in re.findall(r"\(([^()]*)\)(\?)?|(\\\d|\{.\}|\[[^\]]*\](?:\{[^}]*\})?|[^()\\{\[])", self.expression):
+            free = optional or re.search(r"[\[\\{]", group or plain)
+            if free:
+                if out:
+                    break
+                continue
+            words = [re.sub(r".\?", "", w) for w in group.split("|")] if group else [plain]
+            out = [a + b for a, b in itertools.product(out or [""], words)]
+        return out
 
 
-def build_specs(families: tuple[Family, ...] = FAMILIES) -> list[tuple]:
-    """A specification per family and marker; markers are literal text."""
-    out = []
-    for family in families:
-        for marker in family.markers:
-            out.append((len(out), family.name, f"({family.head}){re.escape(marker)}", family.prefix + marker, family.name, 1, marker, family.head_pos, family.col_pos, family.confidence))
-    return out
+def built_in() -> tuple[Spec, ...]:
+    """The specifications of the built-in rows."""
+    out = [Spec(*row) for row in given.EXPRESSIONS]
+    for marker, attributive, label, confidence in given.POSTPOSITIONS:
+        common = (given.NOUN, given.EXPRESSION)
+        out.append(Spec("複合後置詞型", f"({{N}}){marker}(の)?", "$1", marker, f"N+{marker}", label, *common, confidence))
+        out.append(Spec("複合後置詞型", f"({{N}}){attributive}({{W}}{{1,10}})?", "$1", f"{attributive}$2", f"N+{marker}+N", f"{label}(連体)", *common, confidence - 2))
+    for family, head, head_pos, collocate_pos, rows in given.MARKERS:
+        out += [Spec(family, head + marker, "$1", marker, pattern, label, head_pos, collocate_pos, confidence) for marker, pattern, label, confidence in rows]
+    for part, verbs, label in given.BODY_IDIOMS:
+        out.append(Spec("複合動詞型", f"{part}が({'|'.join(verbs)})", part, "が$1", f"{part}が+V/Adj", label, given.NOUN, given.VERB, 85))
+    return tuple(out)
 
 
-def load_families(path: str) -> tuple[Family, ...]:
-    """Families from a JSON list of objects with Family's fields: the way to a larger catalogue."""
+SPECS = built_in()
+
+
+def load_catalogue(path: str) -> tuple[Spec, ...]:
+    """Specifications from a JSON list of objects with Spec's fields: the way to a larger catalogue."""
     with open(path, encoding="utf-8") as f:
-        return tuple(Family(**{**x, "markers": tuple(x["markers"])}) for x in json.load(f))
+        return tuple(Spec(**x) for x in json.load(f))
 
 
-def dump_families(families: tuple[Family, ...], path: str) -> None:
+def dump_catalogue(specs: tuple[Spec, ...], path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        json.dump([asdict(x) for x in families], f, ensure_ascii=False)
+        json.dump([asdict(x) for x in specs], f, ensure_ascii=False)
+
+
+def any_of(words: list[str]) -> str:
+    """An expression for the longest of some words at a place, as a tree of their characters."""
+    kids: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            kids.setdefault(word[0], []).append(word[1:])
+    if not kids:
+        return ""
+    inner = "|".join(re.escape(c) + any_of(rest) for c, rest in kids.items())
+    return f"(?:{inner})" + "?" * ("" in words)
+
 
+def _templated(template: str, groups: Column) -> Column:
+    """The text of a template column's parts (text, group)."""
+    return F.array_join(F.transform(template, lambda p: F.when(p["group"] > 0, F.get(groups, p["group"] - 1)).otherwise(p["text"])), "")
 
-def spec_table(spark: SparkSession, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    return spark.createDataFrame(build_specs(families), SPEC)
 
+def _parts(template: str) -> list[tuple[str, int]]:
+    return [("", int(p[1:])) if re.fullmatch(r"\$\d", p) else (p, 0) for p in re.split(r"(\$\d)", template) if p]
 
-def extract_patterns(df: DataFrame, key: str, column: str = "text", families: tuple[Family, ...] = FAMILIES, best_only: bool = False) -> DataFrame:
-    """key, spec_id, family, pattern, headword, collocate, start, end (code points, end exclusive),
-    confidence for every match.
 
-    The catalogue is a literal of the plan: its size is fixed by the caller, not by the data.
+CATALOGUE = (
+    "spec_id int, family string, regex string, groups int, head array<struct<text string, group int>>, collocate_parts array<struct<text string, group int>>, "
+    "pattern string, label string, headword_pos string, collocate_pos string, confidence int"
+)
+MATCH = ("spec_id", "family", "pattern", "label", "headword", "collocate", "headword_pos", "collocate_pos", "start", "end", "confidence")
+
+
+def extract_patterns(df: DataFrame, key: str, column: str = "text", specs: tuple[Spec, ...] = SPECS, best_only: bool = False) -> DataFrame:
+    """key and the columns MATCH for every match of every specification in the texts of `df`; start
+    and end count code points, end exclusive.
+
+    Null texts have no matches; equal and null keys are told apart by nothing, each row is read by
+    itself.  The catalogue is a literal of the plan: its size is fixed by the caller, not by the data.
     """
-    specs = build_specs(families)
-    markers = sorted({s[6] for s in specs}, key=lambda m: (-len(m), m))
-    scan = "|".join(map(re.escape, markers))
-    some = df.select(key, F.col(column).alias("body")).where(F.col("body").rlike(scan))
-    catalogue = some.sparkSession.createDataFrame(specs, SPEC)
-    hit = some.join(F.broadcast(catalogue), F.col("body").contains(F.col("marker")))
-    # regexp_extract_all takes the expression from a column; matches are located one after the other
-    found = hit.withColumn("m", F.explode(F.expr("regexp_extract_all(body, regex, 0)"))).withColumn("head", F.expr("regexp_extract(m, regex, 1)"))
-    # a match's start: the k-th occurrence of equal texts, found from the left without overlap
-    same = W.partitionBy(key, "spec_id", "m").orderBy(F.lit(1))
-    found = found.withColumn("nth", F.row_number().over(same))
-    start = F.expr("aggregate(sequence(1, nth), 0, (a, i) -> locate(m, body, a + 1) + CASE WHEN i < nth THEN length(m) - 1 ELSE 0 END) - 1")
-    out = found.select(
-        key, "spec_id", "family", "pattern", F.col("head").alias("headword"), F.col("marker").alias("collocate"),
-        start.cast("int").alias("start"), (start + F.length("m")).cast("int").alias("end"), "confidence",
-    )
+    by_marker: dict[str, list[int]] = {}
+    for i, spec in enumerate(specs):
+        for marker in spec.markers:
+            by_marker.setdefault(marker, []).append(i)
+    # the scan finds the longest marker at each place; shorter ones that it begins with are there too
+    by_found = {m: sorted({i for k in range(1, len(m) + 1) for i in by_marker.get(m[:k], ())}) for m in by_marker}
+    which = F.map_from_arrays(F.array(*map(F.lit, by_found)), F.array(*[F.array(*map(F.lit, ids)) for ids in by_found.values()]))
+    found = F.array_distinct(F.expr(f"regexp_extract_all(body, r'(?=({any_of(list(by_found))}))', 1)"))
+    scanned = df.select(key, F.col(column).alias("body")).withColumn("found", found).where(F.size("found") > 0)
+    ids = F.array_distinct(F.flatten(F.transform("found", lambda m: F.element_at(which, m))))
+    rows = [
+        (i, s.family, s.regex, re.compile(s.regex).groups, _parts(s.head), _parts(s.collocate), s.pattern, s.label, s.head_pos, s.collocate_pos, s.confidence)
+        for i, s in enumerate(specs)
+    ]
+    catalogue = df.sparkSession.createDataFrame(rows, CATALOGUE)
+    hit = scanned.select(key, "body", F.explode(ids).alias("spec_id")).join(F.broadcast(catalogue), "spec_id")
+    # a match starts behind the matches and the texts between matches before it
+    matches, between = F.expr("regexp_extract_all(body, regex, 0)"), F.expr("split(body, regex, -1)")
+    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    hit = hit.withColumn("matches", matches).withColumn("between", between)
+    start = lambda i: total(F.slice("between", 1, i + 1)) + total(F.slice("matches", 1, i))
+    one = hit.withColumn("m", F.explode(F.transform("matches", lambda m, i: F.struct(m.alias("text"), start(i).alias("start")))))
+    group = lambda k: F.when(F.col("groups") >= k, F.expr(f"regexp_extract(m.text, regex, {k})")).otherwise("")
+    one = one.withColumn("texts", F.array(*[group(k) for k in range(1, MOST_GROUPS + 1)]))
+    one = one.withColumn("headword", _templated("head", F.col("texts"))).withColumn("collocate", _templated("collocate_parts", F.col("texts")))
+    one = one.withColumn("start", F.col("m.start")).withColumn("end", F.col("m.start") + F.length("m.text"))
     if not best_only:
-        return out
-    best = W.partitionBy(key, "start").orderBy(F.desc("confidence"), F.desc(F.col("end") - F.col("start")), "spec_id")
-    return out.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+        return one.select(key, *MATCH)
+    # the best of a text's matches that start at one place; the text tells rows with one key apart
+    best = W.partitionBy(key, F.xxhash64("body"), "start").orderBy(F.desc("confidence"), F.desc("end"), "spec_id")
+    return one.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(key, *MATCH)

@@ -7,6 +7,7 @@ reach the scan; edit distances are computed only where they can still raise a sc
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -80,7 +81,10 @@ def filtered(lexicon: DataFrame, o: SearchOptions) -> DataFrame:
 
 def with_fields(lexicon: DataFrame) -> DataFrame:
     """Adds `fields`: (raw, norm) of every non-empty field.  Texts that are plain ASCII are their
-    own normal form: Python gets a null for such rows, and the table is read once."""
+    own normal form: Python gets a null for such rows, and the table is read once.  A lexicon that
+    was stored with its `fields` is taken as it is, so that its searches need no Python."""
+    if "fields" in lexicon.columns:
+        return lexicon
     single = F.array("headword", "headword_reading", "collocate", "full_phrase", "pattern")
     empty = F.array().cast("array<string>")
     raw = F.concat(single, F.coalesce("tags", empty), F.coalesce("example_sentences", empty))
@@ -103,8 +107,11 @@ def _fuzzy(norm: Column, term: str) -> Column:
     whole = F.when((F.length(norm) * 2 > n) & (F.length(norm) < 2 * n), _rounded(T.similarity(norm, wanted), WHOLE_OVER, WHOLE_WEIGHT)).otherwise(0)
     if n < 4:
         return whole
-    windows = F.transform(F.sequence(F.lit(1), F.length(norm) - n + 1), lambda i: F.levenshtein(F.substring(norm, i, F.lit(n)), wanted))
-    near = F.when(F.length(norm) >= n, _rounded(1 - F.array_min(windows) / F.lit(n), WINDOW_OVER, WINDOW_WEIGHT)).otherwise(0)
+    # beyond `most` edits a window scores nothing: the distance stops there and is -1
+    most = math.ceil(n * (1 - WINDOW_OVER))
+    windows = F.transform(F.sequence(F.lit(1), F.length(norm) - n + 1), lambda i: F.levenshtein(F.substring(norm, i, F.lit(n)), wanted, most))
+    least = F.array_min(F.filter(windows, lambda d: d >= 0))
+    near = F.when(F.length(norm) >= n, F.coalesce(_rounded(1 - least / F.lit(n), WINDOW_OVER, WINDOW_WEIGHT), F.lit(0))).otherwise(0)
     return F.greatest(whole, near)
 
 
@@ -135,9 +142,11 @@ def score(q: QueryTerms, fuzzy: bool = True) -> Column:
 
 
 def order(sort_by: str = "frequency", sort_dir: str = "desc") -> list[Column]:
-    """frequency and score: largest first; created_at, updated_at: newest first; headword: A first.
+    """frequency and score: largest first; created_at, updated_at: newest first; headword: A first, in Japanese collation.
     sort_dir="asc" turns all of it but the last tie-break around, which is the insertion order."""
     key = F.col({"frequency": "frequency", "created_at": "created_at", "updated_at": "updated_at", "headword": "headword", "score": "score"}[sort_by])
+    if sort_by == "headword":
+        key = F.collate(key, "ja")
     rising = (sort_by == "headword") != (sort_dir == "asc")
     keys = [key.asc() if rising else key.desc(), F.col("score").asc() if sort_dir == "asc" else F.col("score").desc()]
     return [*keys, F.col("ord").asc()]

@@ -71,7 +71,7 @@ EDGES = Fixture(
     (
         ("g", 0, 0, 2, "causal-concessive-cascade"), ("g", 1, 2, 4, "connector-compounding"), ("g", 2, 4, 6, "x"), ("g", 3, 6, 8, "assertion-deflation"),
         ("g", 4, 0, 1, "sequential-adjacency"), ("h", 0, 0, 2, "x"), ("h", 1, 2, 0, "y"), ("h", 2, 0, 3, "z"), ("h", 3, 3, 5, "hedge-stance-softening"),
-        ("h", 4, 5, 7, "epistemic-speculation-cascade"),
+        ("h", 4, 5, 7, "epistemic-speculation-cascade"), *(("long", i, i, i + 1, f"t{i}") for i in range(8)), ("loop", 0, 3, 3, "x"), ("loop", 1, 3, 4, "y"),
     ),
 )
 BOOKMARKS = Fixture("id string, term string, dictionary string, saved_at bigint, folder string", (("b1", "風", "T1", 10, ""), ("b2", "雨", "T1", 11, "")))

@@ -123,8 +123,24 @@ def test_pattern_spans_point_at_the_text(spark):
 
 def test_catalogue_files(tmp_path):
     path = str(tmp_path / "c.json")
-    X.dump_families(X.FAMILIES, path)
-    assert X.load_families(path) == X.FAMILIES
+    X.dump_catalogue(X.SPECS, path)
+    assert X.load_catalogue(path) == X.SPECS
+
+
+def test_pattern_matches_against_plain_expressions(spark):
+    """Every specification with re.finditer, on texts made of heads and markers."""
+    rng = random.Random(3)
+    markers = [m for s in X.SPECS for m in s.markers]
+    texts = ["".join(rng.choice([*"雨行書夢。、 ", "きらきら", "\u3000", rng.choice(markers), "𠮷"]) for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    expected = set()
+    for n, text in enumerate(texts):
+        for i, spec in enumerate(X.SPECS):
+            for m in re.finditer(spec.regex, text):
+                head, collocate = (re.sub(r"\$(\d)", lambda g, m=m: m[int(g[1])] or "", t) for t in (spec.head, spec.collocate))
+                expected.add((n, i, head, collocate, m.start(), m.end()))
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    found = {(r["n"], r["spec_id"], r["headword"], r["collocate"], r["start"], r["end"]) for r in X.extract_patterns(df, "n").collect()}
+    assert found == expected and len(expected) > 100
 
 
 def test_scraping_isolates_missing_pages(spark):
