@@ -46,8 +46,9 @@ SKETCH = 8
 LIST_PAIRS = 1_000_000
 
 _ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u2")])
-#: A class as one posting list knows it: 64 bits of its digest, and its place in the block.
-_TAG = np.dtype([("tag", "<u8"), ("doc", "<u2")])
+#: A class as one posting list knows it: 64 bits of its digest, its place in the block, and how many
+#: of the shingles that follow are its.
+_TAG = np.dtype([("tag", "<u8"), ("doc", "<u2"), ("n", "<u4")])
 _SETS = np.dtype([("digest", "<u8", 2), ("size", "<u4")])
 _BACK = np.dtype([("hash", "<u8"), ("doc", "<u2"), ("held", "u1")])
 
@@ -128,15 +129,17 @@ def _sent(docs: DataFrame, k: int, parts: int) -> DataFrame:
         back["hash"], back["doc"], back["held"] = value[known], owner[known], COMMON
         head = np.array([len(sets), len(back)], "<u8").tobytes()
         yield block % parts, block, b"\0" + head + sets.tobytes() + back.tobytes()
-        travels = ~known | (nth < COMMON)
-        entry = np.empty(int(travels.sum()), _ENTRY)
+        travels = np.flatnonzero(~known | (nth < COMMON))
+        travels = travels[np.argsort(owner[travels], kind="stable")]
+        entry = np.empty(len(travels), _ENTRY)
         entry["hash"], entry["doc"] = value[travels], owner[travels]
         for part, packed in split(entry["hash"], entry, parts):
-            some = np.frombuffer(packed, _ENTRY).copy()
-            used, some["doc"] = np.unique(some["doc"], return_inverse=True)
-            tags = np.empty(len(used), _TAG)
-            tags["tag"], tags["doc"] = sets["digest"][used, 0], used
-            yield part, block, b"\1" + np.array([len(used)], "<u8").tobytes() + tags.tobytes() + some.tobytes()
+            some = np.frombuffer(packed, _ENTRY)
+            start, end = runs(some["doc"])
+            tags = np.empty(len(start), _TAG)
+            tags["doc"], tags["n"] = some["doc"][start], end - start
+            tags["tag"] = sets["digest"][tags["doc"], 0]
+            yield part, block, b"\1" + np.array([len(tags)], "<u8").tobytes() + tags.tobytes() + some["hash"].tobytes()
 
     return docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
 
@@ -151,11 +154,10 @@ def _count(sent: pd.DataFrame) -> pd.DataFrame:
             continue
         n = int(np.frombuffer(payload, "<u8", 1, 1)[0])
         tag = np.frombuffer(payload, _TAG, n, 9)
-        entry = np.frombuffer(payload, _ENTRY, offset=9 + n * _TAG.itemsize)
-        short.append(entry["hash"])
-        tags.append(tag["tag"][entry["doc"]])
-        owner.append(tag["doc"][entry["doc"]])
-        block.append(np.full(len(entry), len(numbers)))
+        short.append(np.frombuffer(payload, "<u8", offset=9 + n * _TAG.itemsize))
+        tags.append(np.repeat(tag["tag"], tag["n"]))
+        owner.append(np.repeat(tag["doc"], tag["n"]))
+        block.append(np.full(len(short[-1]), len(numbers)))
         numbers.append(number)
     if short:
         short, tags, owner, block = map(np.concatenate, (short, tags, owner, block))
