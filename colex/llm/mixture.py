@@ -39,6 +39,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     its own words and the excess goes to the others by weight.  A source is stopped iff
     its ratio most*size/weight is at most the common level.  In order of that ratio the
     stopped sources are a prefix, and the first source that isn't stopped sets the level.
+    Sources are ranked in one task, a row of some 50 bytes each: a dimension, up to some 10^8 of them.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -132,7 +133,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     Whole repeats come first: every document of a source is taken floor(target / source_size)
     times.  What is left of the target is filled with the documents whose place lies below
     the source's threshold.  Null and empty texts have size 0 and are taken as 0 words.
-    Repeated rows with one doc_id share a place: they are taken together or not at all.
+    Repeated rows with one doc_id share a place, as do rows without one: they are taken together or not
+    at all.  A very long text is one document like any other and counts its own words.
     Only `doc_id`, `text` and `source` are read; an empty table gives an empty result.
     """
     sizes, plan, small = thresholds(docs, weights, share, most)

@@ -268,8 +268,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, step: int = STEP, tokenizer:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Only doc_id and text are read.  An empty table has no pieces; a null or empty text is
-    one piece of one token; repeated rows are packed once each.  Sequences are at most
-    `sequence` tokens, and padding is what their pieces leave.
+    one piece of one token; repeated rows and rows without an id are packed once each.  A very
+    long text is tokenised as a whole in one task and cut into as many pieces as it takes.
+    Sequences are at most `sequence` tokens, and padding is what their pieces leave.
     """
     spark = docs.sparkSession
     kind = F.ceil(F.col("length") / F.lit(step)).cast("int")

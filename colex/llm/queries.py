@@ -15,9 +15,11 @@ QUERIES = {
     "op8_classifier": classifier.op8_classifier,
     "op9_mixture": mixture.op9_mixture,
     "op10_warc": warc.op10_warc,
+    "rules_ablations": rules.rules_ablations,
 }
 ORACLE_SQL = {
     "op2_rules": rules.OP2_SQL,
     "op9_mixture": mixture.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "rules_ablations": rules.ABLATIONS_SQL,
 }

@@ -90,8 +90,10 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements of every document.
 
-    A null text has no words.  Words are maximal runs without space and U+0009..U+000D;
-    lengths are in code points.  Only doc_id and text are read, other columns are ignored.
+    A null or empty text has no words and measures 0 throughout.  Words are maximal runs without
+    space and U+0009..U+000D; lengths are in code points.  Repeated rows are measured each, and an
+    empty table gives an empty result.  A very long text costs two sorts of its own windows, in
+    memory in proportion to its length.  Only doc_id and text are read, other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
@@ -182,6 +184,11 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and with others, over the whole documents table."""
+    return ablations(ledger(table(spark, sf_dir, "documents"))).select("policy", "rule", "fails", "only", "seen_bits")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -207,3 +214,10 @@ b AS (
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 223) = 0 AS kept, failed FROM b
 """
+
+_POLICY_ROWS = ", ".join(f"('{p.version}', '{r}', {BIT[r]}, {p.mask})" for p in POLICIES for r in p.rules)
+ABLATIONS_SQL = f"""
+WITH book AS ({OP2_SQL}), c(policy, rule, bit, mask) AS (VALUES {_POLICY_ROWS})
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS fails, count(*) FILTER (failed & mask = bit) AS only, bit_or(failed) AS seen_bits
+FROM book, c GROUP BY ALL
+"""

@@ -20,7 +20,10 @@ THRESHOLD = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good, each row by its own text."""
+    """Documents that the quality classifier predicts to be good, each row by its own text.
+
+    Repeated rows and rows without an id are judged each; null and empty texts are scored like any
+    other.  Without labels all documents stay (an undecided score is no rejection)."""
     docs = docs.select(COLUMNS)
     vectors, model = classifier.train(docs, table(spark, sf_dir, "labels"))
     discard(vectors)
@@ -56,7 +59,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked; n_chars follows the text."""
+    """All documents, with their secrets masked; n_chars follows the text.
+
+    Null texts stay null (and so does their n_chars), empty ones empty; repeated rows are masked each,
+    and a very long text is scanned in time linear in its length."""
 
     def work(batches):
         import pyarrow as pa
@@ -83,7 +89,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
+    """The pieces of all documents in sequences of 1,024 tokens: every row, repeated ones each; a null
+    or empty text is one token, and a very long one as many pieces as it takes."""
     return packing.pack(docs)
 
 
@@ -100,8 +107,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table.  A stage's table goes when its successor is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last is not None:
+            discard(last)
+        last = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written
+    discard(last)
+    return packed

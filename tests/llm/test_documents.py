@@ -130,6 +130,7 @@ def test_policies_and_ablations_read_the_ledger(docs):
     applied = rules.apply_policies(book).toPandas()
     for p in rules.POLICIES:
         assert applied[f"kept_{p.version}"].sum() == book.where(f"(failed & {p.mask}) = 0").count()
+    assert rows(rules.ablations(book).toPandas()) == sql_rows(rules.ABLATIONS_SQL, data.documents())
     for r in rules.ablations(book).collect():
         mask = next(p.mask for p in rules.POLICIES if p.version == r["policy"])
         assert r["fails"] == book.where(f"(failed & {rules.BIT[r['rule']]}) <> 0").count()
@@ -161,7 +162,6 @@ def test_packing_round_trip(docs):
     import public_tokenizers
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     out = packing.pack(docs).toPandas()
     expected = []
     for doc_id, text, *_ in data.documents():
@@ -210,6 +210,12 @@ def test_patterns_fill_their_sequences():
     assert packing.plan({}) == [] and packing.plan({256: 3})[0].high == 3
 
 
+def test_padding_of_a_whole_table(spark):
+    out = packing.op1_packing(spark, "/root/testdata/sf0.01").toPandas()
+    used = out.groupby("sequence_id")["length"].sum()
+    assert used.max() <= 1024 and 1024 * len(used) - used.sum() <= 0.005 * 1024 * len(used) + 2 * 1024
+
+
 # ---------------------------------------------------------------- secrets
 
 

@@ -36,6 +36,20 @@ def test_each_stage_on_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_run_is_its_stages_one_by_one(spark):
+    """The rows of run() against the stages, each over the collected rows of the one before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF)
+        if name != pipeline.STAGES[-1][0]:
+            rows = docs.collect()
+            docs = spark.createDataFrame(rows, docs.schema)
+            assert 0 < len(rows) and (name in ("secret_scan", "source_mix") or len(rows) < before.count())
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    one, other = (sorted(map(tuple, df.select(key).collect())) for df in (docs, pipeline.run(spark, SF)))
+    assert one == other
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF).toPandas()
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
