@@ -17,6 +17,11 @@ FILES = "archive string, name string, body string"
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """archive, name, body of the JSON members of all zip archives under a path."""
+    return unpack(spark.read.format("binaryFile").load(path))
+
+
+def unpack(archives: DataFrame) -> DataFrame:
+    """archive, name, body of the JSON members of zip archives (path, content)."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -27,7 +32,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         if body is not None and _is_json(body):
                             yield pd.DataFrame({"archive": [archive], "name": [member], "body": [body]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, FILES)
+    return archives.select("path", "content").mapInPandas(unzip, FILES)
 
 
 def _is_json(text: str) -> bool:

@@ -1,5 +1,6 @@
 import pytest
 
+from colex import more_queries  # noqa: F401
 from colex import queries as Q
 
 from .oracle import assert_same
