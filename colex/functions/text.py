@@ -63,6 +63,34 @@ _BY_LENGTH = sorted(ROMAJI, key=lambda k: (-len(k), k))
 ROMAJI_TOKEN = f"(?s)({'|'.join(_BY_LENGTH)}|.)"
 
 
+def let(value: Column, body) -> Column:
+    """Bind a column to a name inside an expression, so that it is computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements whose sum is taken anew for each place, in running_starts.
+_RUN = 64
+
+
+def running_starts(sizes: Column) -> Column:
+    """For each element of an array of sizes the sum of those before it, in the row.  Sums of runs of
+    elements come first, so that a long array doesn't cost the square of its length."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x)
+    block = lambda i: F.floor(i / _RUN).cast("int")
+
+    def starts(sizes: Column, before: Column) -> Column:
+        return F.transform(sizes, lambda _, i: before[block(i)] + total(F.slice(sizes, block(i) * _RUN + 1, i % _RUN)))
+
+    def with_sums(sizes: Column, sums: Column) -> Column:
+        return let(F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))), lambda before: starts(sizes, before))
+
+    def with_sizes(sizes: Column) -> Column:
+        runs = F.sequence(F.lit(0), block(F.size(sizes) - 1))
+        return let(F.transform(runs, lambda b: total(F.slice(sizes, b * _RUN + 1, _RUN))), lambda sums: with_sums(sizes, sums))
+
+    return F.when(F.size(sizes) > 0, let(sizes, with_sizes)).otherwise(F.array().cast("array<bigint>"))
+
+
 def to_hiragana(c: Column) -> Column:
     return F.translate(c, KATAKANA, HIRAGANA)
 

@@ -186,12 +186,16 @@ def tile(dictionaries: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ results
 
 
-def grouped_results(hits: DataFrame) -> DataFrame:
+def grouped_results(hits: DataFrame, span: int | None = None) -> DataFrame:
     """dictionary, its place among the groups (by its best hit), its terms in order of rank;
-    `hits` carries `rank`, the order of the results."""
+    `hits` carries `rank`, the order of the results.
+
+    With `span`, a dictionary's terms come in rows (dictionary, part, ..) of the ranks part * span up
+    to the next, so that no row and no task grows with a large dictionary.
+    """
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
-    groups = hits.groupBy("dictionary").agg(F.min("rank").alias("first_rank"), listed.alias("terms"))
-    return groups
+    by = ["dictionary"] if span is None else ["dictionary", F.floor(F.col("rank") / span).alias("part")]
+    return hits.groupBy(*by).agg(F.min("rank").alias("first_rank"), listed.alias("terms"))
 
 
 def sense_number(n: Column) -> Column:

@@ -68,12 +68,19 @@ def strip_tags(c: Column) -> Column:
 def page_rows(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td") -> DataFrame:
     """page_id, row_no, section, cells for every row element of a page; sections carry forward."""
     rows = F.regexp_extract_all("html", F.lit(rf"(?is)<{row_tag}[^>]*>.*?</{row_tag}>"), F.lit(0))
-    each = pages.select("page_id", F.posexplode(rows).alias("row_no", "row"))
-    own = reduce(lambda c, s: c.when(F.col("row").contains(s), s), SECTIONS[1:], F.when(F.col("row").contains(SECTIONS[0]), SECTIONS[0]))
-    before = W.partitionBy("page_id").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
-    section = F.coalesce(F.last(own, ignorenulls=True).over(before), F.lit(SECTIONS[0]))
+
+    def label(row: Column) -> Column:
+        return reduce(lambda c, s: c.when(row.contains(s), s), SECTIONS[1:], F.when(row.contains(SECTIONS[0]), SECTIONS[0]))
+
+    # a page is cut where a row names a section, so that sections need no look back over the rows
+    named = F.filter(F.transform("rows", lambda r, i: F.struct(i.alias("at"), label(r).alias("section"))), lambda x: x["section"].isNotNull())
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit(SECTIONS[0]).alias("section")))
+    cuts = pages.select("page_id", rows.alias("rows")).withColumn("cuts", F.concat(first, named))
+    ends = cuts.withColumn("parts", F.transform("cuts", lambda c, i: F.struct(c["at"].alias("at"), c["section"].alias("section"), F.coalesce(F.get("cuts", i + 1)["at"], F.size("rows")).alias("end"))))
+    part = ends.select("page_id", "rows", F.explode("parts").alias("p")).where("p.end > p.at").select("page_id", "p.at", "p.section", F.expr("slice(rows, p.at + 1, p.end - p.at)").alias("rows"))
+    each = part.select("page_id", "at", "section", F.posexplode("rows").alias("nth", "row")).withColumn("row_no", F.col("at") + F.col("nth"))
     cells = F.regexp_extract_all("row", F.lit(rf"(?is)<{cell_tag}[^>]*>.*?</{cell_tag}>"), F.lit(0))
-    return each.select("page_id", "row_no", section.alias("section"), F.transform(cells, lambda c: strip_tags(c)).alias("cells"))
+    return each.select("page_id", "row_no", "section", F.transform(cells, lambda c: strip_tags(c)).alias("cells"))
 
 
 def reading_of(html: Column) -> Column:

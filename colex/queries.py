@@ -729,10 +729,17 @@ def dict_tiles(spark, sf_dir):
     return D.tile(fx.DICTS.spark(spark))
 
 
-@query(f"WITH {_TERMS} SELECT dictionary, min(row_ord) AS first_rank, md5(string_agg(term, ' ' ORDER BY row_ord)) AS terms FROM terms GROUP BY 1")
+@query(f"WITH {_TERMS} SELECT dictionary, CAST(floor(row_ord / 10000) AS BIGINT) AS part, min(row_ord) AS first_rank, md5(string_agg(term, ' ' ORDER BY row_ord)) AS terms FROM terms GROUP BY 1, 2")
 def results_grouped(spark, sf_dir):
     terms, _ = dictionary_tables(spark, sf_dir)
-    return D.grouped_results(terms.withColumn("rank", F.col("row_ord"))).select("dictionary", "first_rank", F.md5(F.array_join("terms", " ")).alias("terms"))
+    return D.grouped_results(terms.withColumn("rank", F.col("row_ord")), span=10_000).select("dictionary", "part", "first_rank", F.md5(F.array_join("terms", " ")).alias("terms"))
+
+
+@query(f"WITH {_TERMS}, h AS (SELECT dictionary, term, row_ord FROM terms WHERE term = 'The') SELECT dictionary, min(row_ord) AS first_rank, count(*) AS n FROM h GROUP BY 1")
+def results_grouped_of_hits(spark, sf_dir):
+    terms, _ = dictionary_tables(spark, sf_dir)
+    hits = D.lookup_term(terms, "The").withColumn("rank", F.col("row_ord"))
+    return D.grouped_results(hits).select("dictionary", "first_rank", F.size("terms").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('風',1,'①','text'), ('風',3,'③','structured-content'), ('夢',1,'①','text'), ('夢',2,'②','text'), ('夢',3,'③','text'), ('雨',1,'①','text')) AS t(term, sense_no, label, type)")
