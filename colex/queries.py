@@ -699,18 +699,14 @@ def dict_meta_lookup(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('風','かぜ','n common',0,'text:wind|image:|structured-content:'), ('夢','','n v common rare',1,'text:dream|text:null|text:7'), ('雨','あめ','n',2,'text:rain'))
+    """SELECT * FROM (VALUES ('風','かぜ','n common',0,'text:wind|image:|structured-content:'), ('夢','','n v common rare',3,'text:dream|text:null|text:7'), ('雨','あめ','n',4,'text:rain'))
     AS t(term, reading, tags, row_ord, content)"""
 )
 def dict_import_terms(spark, sf_dir):
     terms = Z.parse_terms(Z.from_map(spark, fx.BANKS))
     d = F.col("definitions")[0]
     items = F.transform(d["content"], lambda c: F.concat(c["type"], F.lit(":"), F.coalesce(c["text"], F.lit(""))))
-    kept = terms.select("term", "reading", F.array_join(d["tags"], " ").alias("tags"), "row_ord", F.array_join(items, "|").alias("content"))
-    # rows that were left out take a place too; the order is what counts
-    from pyspark.sql import Window as W
-
-    return kept.withColumn("row_ord", (F.row_number().over(W.orderBy("row_ord")) - 1).cast("int"))
+    return terms.select("term", "reading", F.array_join(d["tags"], " ").alias("tags"), F.col("row_ord").cast("int").alias("row_ord"), F.array_join(items, "|").alias("content"))
 
 
 @query("SELECT * FROM (VALUES ('風','フウ フ','かぜ','jouyou','wind','9')) AS t(character, onyomi, kunyomi, tags, meanings, strokes)")

@@ -59,11 +59,13 @@ def _bank_rows(files: DataFrame, kind: str) -> DataFrame:
     """title, row_ord, cells (JSON text of each) for the rows of root-level banks, in the
     lexicographic order of the banks' names."""
     banks = files.where(F.col("name").rlike(rf"^{kind}_bank_\d+\.json$"))
-    rows = F.from_json("body", "array<string>")
-    each = banks.join(manifests(files).select("archive", "title"), "archive").select("title", "name", F.posexplode(rows).alias("at", "row"))
-    cells = each.withColumn("cells", F.from_json("row", "array<string>"))
-    order = W.partitionBy("title").orderBy("name", "at")
-    return cells.withColumn("row_ord", (F.row_number().over(order) - 1).cast("long"))
+    banks = banks.join(manifests(files).select("archive", "title"), "archive").select("title", "archive", "name", F.from_json("body", "array<string>").alias("rows"))
+    # a bank's first number follows from the sizes of the banks before it: only these are ordered
+    before = W.partitionBy("title").orderBy("name", "archive").rowsBetween(W.unboundedPreceding, -1)
+    sizes = banks.select("title", "archive", "name", F.coalesce(F.size("rows"), F.lit(0)).alias("n"))
+    firsts = sizes.select("archive", "name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    each = banks.join(firsts, ["archive", "name"]).select("title", "first", F.posexplode("rows").alias("at", "row"))
+    return each.withColumn("cells", F.from_json("row", "array<string>")).withColumn("row_ord", (F.col("first") + F.col("at")).cast("long"))
 
 
 def _cell(i: int) -> Column:
