@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .api import Workspace
+from .functions import text as T
 from .operators import dictionary as D
 from .operators import discourse as G
 from .operators import library as B
@@ -193,6 +194,22 @@ def dict_search_one(spark, sf_dir):
     return hits.where(F.col("term").startswith("The")).select("row_ord", F.when(F.col("term") == "The", 100).otherwise(80).alias("score"))
 
 
+@query(
+    f"""WITH {_TERMS}, t AS (SELECT row_ord, lower(trim(term)) AS w, lower(trim(text)) AS d FROM terms)
+    SELECT row_ord, CAST(CASE WHEN w = 'he' THEN 100 WHEN starts_with(w, 'he') THEN 80 WHEN contains(w, 'he') THEN 60 WHEN contains(d, 'he') THEN 40 ELSE 0 END AS INTEGER) AS score FROM t"""
+)
+def dict_score_levels(spark, sf_dir):
+    """The score of every term, hits or not: equal, prefix, within, in the definition."""
+    terms, _ = dictionary_tables(spark, sf_dir)
+    return terms.select("row_ord", D.term_score("he").alias("score"))
+
+
+@query("SELECT * FROM (VALUES (0, 100), (1, 95), (2, 80), (3, 75), (4, 60), (5, 55), (6, 0)) AS t(row_ord, score)")
+def dict_score_readings(spark, sf_dir):
+    rows = [(0, "かぜ", "x"), (1, "風", "かぜ"), (2, "かぜぐすり", "y"), (3, "風邪薬", "かぜぐすり"), (4, "はるかぜ", "z"), (5, "春風", "はるかぜ"), (6, "雨", "あめ")]
+    return spark.createDataFrame(rows, "row_ord int, term string, reading string").select("row_ord", D.term_score("かぜ").alias("score"))
+
+
 @query("SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, false), (4, true), (5, false)) AS t(n, english)")
 def english_queries(spark, sf_dir):
     some = fx.texts("風", "wind", "wind 風", "カゼa", "x1", "123")
@@ -202,6 +219,13 @@ def english_queries(spark, sf_dir):
 # ------------------------------------------------------------------ library, words
 
 
+@query("SELECT a.p_partkey AS id, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def similarity_of_neighbours(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return part.join(other, "p_partkey").select(F.col("p_partkey").alias("id"), T.similarity(F.col("p_name"), F.col("other")).alias("similarity"))
+
+
 @query("SELECT * FROM (VALUES ('風','T1',true), ('風','T2',true), ('夢','T1',true), ('雨','T1',false)) AS t(term, dictionary, bookmarked)")
 def bookmark_flags(spark, sf_dir):
     """Bookmarks are added, one is removed, and hits are flagged."""
