@@ -93,10 +93,8 @@ def test_jaccard_splits_hot_lists(spark, monkeypatch):
         if i % 2:
             own[rng.randrange(len(own))] = f"x{i}"
         some.append((i, " ".join(own[:2] + passage + own[2:]), "en", "s", 0))
-    for orders in (2, 3):
-        monkeypatch.setattr(jaccard, "ORDERS", orders)
-        found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(some, data.SCHEMA).repartition(3)).collect()]
-        assert sorted(found, key=str) == data.jaccard(some)
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(some, data.SCHEMA).repartition(3)).collect()]
+    assert sorted(found, key=str) == data.jaccard(some)
 
 
 def test_sketches_bound_the_difference():
@@ -108,7 +106,9 @@ def test_sketches_bound_the_difference():
         assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, components.MANY])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY", many)
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
     found = {r["node"]: r["component"] for r in components.connect(spark.createDataFrame(edges, "a long, b long")).collect()}
