@@ -17,6 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The near-duplicate stage's own link: a similarity of 0.8 or more of five-word shingles (op5's contract has other values).
 SHINGLE = 5
 THRESHOLD = 80
+#: Verdicts (24 bytes each) up to which their table is broadcast; beyond, texts are shuffled to them once.
+BROADCAST_ROWS = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     verdict = verdict.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"))
     verdict = materialise(verdict.withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "near-verdicts")
     discard(found, chosen)
+    side = F.broadcast(verdict) if verdict.count() <= BROADCAST_ROWS else verdict
     keyed = docs.select(COLUMNS).withColumn("key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    judged = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["id"]) & (keyed["key_"] == verdict["key"]), "left").where("coalesce(stays, true)")
+    judged = keyed.join(side, keyed["doc_id"].eqNullSafe(verdict["id"]) & (keyed["key_"] == verdict["key"]), "left").where("coalesce(stays, true)")
     kept = judged.where("stays IS NULL").select(COLUMNS)
     if not verdict.where("stays").head(1):
         return kept
