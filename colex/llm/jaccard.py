@@ -249,7 +249,7 @@ def _verified(pairs: DataFrame, active: DataFrame, threshold: int, orders: int)
 
 def _pairs_of_list() -> tuple[Column, Column]:
     """Of a list, from (n, component) rows: its components, and at least half the pairs of classes that it costs."""
-    return F.count(F.lit(1)).alias("components"), (F.sum("n") * (F.sum("n") - F.max("n"))).alias("pairs")
+    return F.count(F.lit(1)).alias("components"), (F.sum("n").cast("double") * (F.sum("n") - F.max("n"))).alias("pairs")
 
 
 def _open_pairs(rows: DataFrame, threshold: int) -> DataFrame:
