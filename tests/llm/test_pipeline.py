@@ -59,3 +59,19 @@ def test_near_duplicates_link_from_four_fifths_on(spark):
     assert between and len(gone) < 24
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, data.SCHEMA), SF).collect()}
     assert kept == {r[0] for r in rows} - gone
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_near_duplicates_judge_rows_by_their_texts(spark, monkeypatch, few):
+    """Null and shared ids, repeated rows, texts without words; verdicts broadcast and shuffled."""
+    monkeypatch.setattr(pipeline, "BROADCAST_ROWS", few)
+    text = lambda name, changed=False: " ".join(f"{name}{j}" for j in range(100)) + (" x" if changed else "")
+    rows = [
+        (None, text("a"), "en", "s", 0), (None, text("a", True), "en", "s", 0), (None, text("b"), "en", "s", 0), (4, text("b", True), "en", "s", 0), (5, text("c"), "en", "s", 0), (5, text("d"), "en", "s", 0),
+        (6, text("c", True), "en", "s", 0), (7, text("e"), "en", "s", 0), (7, text("e"), "en", "s", 0), (7, text("e"), "de", None, 0), (8, None, "en", "s", 0), (8, None, "en", "s", 0), (9, " ", "en", "s", 0),
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, data.SCHEMA).repartition(3), SF).collect()]
+    one = [t for i, t in kept if i is None]
+    assert len(one) == 1 and one[0] in (text("a"), text("a", True))
+    expected = [(4, text("b", True)), (5, text("c")), (5, text("d")), (7, text("e")), (8, None), (8, None), (9, " ")]
+    assert sorted(((i, t) for i, t in kept if i is not None), key=str) == sorted(expected, key=str)
