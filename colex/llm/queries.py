@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, warc
+from . import classifier, conversations, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_classifier": classifier.op8_classifier,
     "op9_mixture": mixture.op9_mixture,
     "op10_warc": warc.op10_warc,
+    "op11_conversations": conversations.op11_conversations,
     "rules_ablations": rules.rules_ablations,
 }
 ORACLE_SQL = {
     "op2_rules": rules.OP2_SQL,
     "op9_mixture": mixture.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_conversations": conversations.OP11_SQL,
     "rules_ablations": rules.ABLATIONS_SQL,
 }
