@@ -94,6 +94,17 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+#: A DuckDB table of one row, crc_table: what eight steps of the reflected polynomial make of each byte.
+_STEP_SQL = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+CRC_TABLE_SQL = f"(SELECT list_transform(CAST(range(256) AS BIGINT[]), lambda i: list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])), {_STEP_SQL})) AS crc_table)"
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 in DuckDB, which has no such function, beside the table CRC_TABLE_SQL."""
+    code = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {code}), lambda c, b: xor(c >> 8, crc_table[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295)"
+
+
 # --------------------------------------------------------------------------- words
 
 _MASK = (1 << 64) - 1

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACE_CHARS, table
+from .common import CRC_TABLE_SQL, SPACE_CHARS, crc32_sql, table
 
 #: The grammar: what each production's left side stands for.
 GRAMMAR = (("session", ""), ("session", "P"), ("session", "sP"), ("P", "ua"), ("P", "Pua"))
@@ -305,17 +305,9 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ SQL
 
 
-def crc32_sql(text: str) -> str:
-    """The checksum in DuckDB, byte by byte: eight steps of the reflected polynomial each."""
-    bit = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-    one = f"list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), {bit})"
-    bytes_ = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
-    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: {one}), 4294967295)"
-
-
 #: A plain shortest-path statement: states are the last role's initial (z: none yet), an edit is any inserts and one action.
 OP11_SQL = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
-d AS (SELECT *, {crc32_sql("key")} % 20 AS damage FROM k),
+d AS (SELECT k.*, {crc32_sql("key")} % 20 AS damage FROM k, {CRC_TABLE_SQL}),
 w AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE damage WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE damage <> 0),
 q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS said FROM w),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS n FROM q),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, conversations, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, warc
+from . import classifier, conversations, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, variants, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixture": mixture.op9_mixture,
     "op10_warc": warc.op10_warc,
     "op11_conversations": conversations.op11_conversations,
+    "op13_variants": variants.op13_variants,
     "rules_ablations": rules.rules_ablations,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op9_mixture": mixture.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
     "op11_conversations": conversations.OP11_SQL,
+    "op13_variants": variants.OP13_SQL,
     "rules_ablations": rules.ABLATIONS_SQL,
 }
