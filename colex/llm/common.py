@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +167,11 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, most: int = CHUNK_TEXTS) -
         yield first, out
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word, as columns: the halves of one 128-bit hash that isn't a polynomial."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+
+
 def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, in order, and the words of each text."""
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)

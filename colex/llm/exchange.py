@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import chunks, input_bytes, partitions
+from .common import CHUNK_BYTES, chunks, input_bytes, partitions
 
 SCHEMA = "part int, block long, payload binary"
 #: Key partitions per shuffle partition, so that hashing them evens out, and bytes of input per key
@@ -36,13 +36,13 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def blocks(
-    batches: Iterator[pa.RecordBatch], block_texts: Callable[[pa.RecordBatch, int, list[bytes], int], Iterator[tuple[int, int, bytes]]]
+    batches: Iterator[pa.RecordBatch], block_texts: Callable[[pa.RecordBatch, int, list[bytes], int], Iterator[tuple[int, int, bytes]]], limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Runs `block_texts(batch, first row, texts, block number)` over the chunks of all batches
     (text is the last column) and yields its (part, block, payload) rows."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for first, texts in chunks(batch.column(batch.num_columns - 1)):
+        for first, texts in chunks(batch.column(batch.num_columns - 1), limit):
             rows = list(block_texts(batch, first, texts, number))
             number += 1
             for i in range(0, len(rows), 4096):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, conversations, embeddings, html_text, jaccard, mixture, packing, rules, secrets, substring, variants, warc
+from . import classifier, conversations, embeddings, html_text, jaccard, maxent, mixture, packing, rules, secrets, substring, variants, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixture": mixture.op9_mixture,
     "op10_warc": warc.op10_warc,
     "op11_conversations": conversations.op11_conversations,
+    "op12_maxent": maxent.op12_maxent,
     "op13_variants": variants.op13_variants,
     "rules_ablations": rules.rules_ablations,
 }
