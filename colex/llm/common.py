@@ -123,26 +123,6 @@ def _splitmix(seed: int, n: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-BYTE_WEIGHT = _splitmix(11, 256)
-BASE = int(_splitmix(23, 1)[0])
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-TO_LOWER = np.arange(256, dtype=np.uint8)
-TO_LOWER[65:91] += 32
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            out[1:] = np.multiply.accumulate(np.full(n - 1, base & _MASK, dtype=np.uint64))
-    return out
-
-
-_POW = powers(BASE, 4096)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     with np.errstate(over="ignore"):
@@ -172,43 +152,65 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
 
 
-def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and the words of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    solid = ~IS_SPACE[data]
-    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, limits))))
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64), counts
-    packed = data[solid]
-    if lower:
-        packed = TO_LOWER[packed]
-    length = ends - starts
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = np.arange(len(packed)) - np.repeat(first, length)
-    longest = int(length.max())
-    power = _POW if longest <= len(_POW) else powers(BASE, longest)
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(BYTE_WEIGHT[packed] * power[place], first)), counts
+def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of all words of the texts, in order, and the words of each text."""
+    ids: dict[bytes, int] = {}
+    place, counts = [], []
+    for text in texts:
+        found = [ids.setdefault(w, len(ids)) for w in (text.lower() if lower else text).split()]
+        place += found
+        counts.append(len(found))
+    key = word_keys(list(ids))[np.array(place, dtype=np.int64)]
+    return np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), np.array(counts, dtype=np.int64)
+
+
+#: A prime modulus: modulo a power of two, polynomials of Thue-Morse sequences are equal for every base.
+PRIME = np.uint64((1 << 61) - 1)
+_LOW32, _LOW29, _LOW30, _LOW31 = (np.uint64((1 << n) - 1) for n in (32, 29, 30, 31))
+
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
 
-ROLL = int(_splitmix(37, 1)[0])
-UNROLL = pow(ROLL, -1, 1 << 64)
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it: 2**61 is 1 and 2**64 is 8."""
+    ah, al, bh, bl = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    return _reduced((ah * bh << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & _LOW29) << np.uint64(32)) + (low >> np.uint64(61)) + (low & PRIME))
+
+
+class _Powers:
+    """The powers of a base modulo PRIME, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.base, len(self.known), int(PRIME)))
+            self.known = np.concatenate([self.known, times(self.known, np.full(len(self.known), step))])
+        return self.known[:n]
+
+
+_BASE = int(_splitmix(37, 1)[0]) % int(PRIME)
+_POWERS, _BACK = _Powers(_BASE), _Powers(pow(_BASE, -1, int(PRIME)))
 
 
 class Rolling:
-    """Hashes of any run of words of a chunk, from prefix sums: the sum of h[i] * ROLL**i,
+    """Hashes of any run of words of a chunk, from prefix sums modulo a prime: the sum of h[i] * base**i,
     scaled back by the run's start, so that equal runs hash alike wherever they are."""
 
     def __init__(self, h: np.ndarray):
-        n = len(h)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(ROLL, n), dtype=np.uint64)))
-        self.back = powers(UNROLL, n + 1)
+        term = times(_reduced(h), _POWERS.upto(len(h)))
+        # halves are summed apart, so that no sum leaves 64 bits
+        high, low = np.cumsum(term >> np.uint64(31), dtype=np.uint64), np.cumsum(term & _LOW31, dtype=np.uint64)
+        sums = _reduced((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + _reduced(low))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), sums))
+        self.back = _BACK.upto(len(h) + 1)
 
     def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = times(_reduced(self.sums[end] + (PRIME - self.sums[first])), self.back[first])
         with np.errstate(over="ignore"):
-            h = (self.sums[end] - self.sums[first]) * self.back[first]
             return mix(h + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

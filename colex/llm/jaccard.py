@@ -58,7 +58,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
 
     Words are lower-cased (A-Z); a text of fewer than k words has its words as one shingle.
     """
-    h, counts = hash_words(texts, lower=True)
+    h, _, counts = hash_words(texts, lower=True)
     ends = np.cumsum(counts)
     width = np.minimum(counts, k)
     per_text = np.where(counts > 0, counts - width + 1, 0)

@@ -67,9 +67,9 @@ def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     where the same place of two copies counts once."""
 
     def entries(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h, counts = hash_words(texts)
+        h, other, counts = hash_words(texts)
         doc = np.repeat(np.arange(len(texts)), counts)
-        roll = Rolling(h)
+        roll = Rolling(other)
         starts, key, place = anchors(h, doc, roll, window)
         if not len(starts):
             return np.empty(0, _LOW), np.empty(0, HIT)
@@ -144,10 +144,10 @@ class Zones:
 
     def __init__(self, batch: pa.RecordBatch, first: int, texts: list[bytes], window: int):
         self.window = window
-        self.h, counts = hash_words(texts)
+        self.h, other, counts = hash_words(texts)
         self.begin = np.cumsum(counts) - counts
         self.doc = np.repeat(np.arange(len(texts)), counts)
-        self.roll = Rolling(self.h)
+        self.roll = Rolling(other)
         starts, key, place = anchors(self.h, self.doc, self.roll, window)
         shared = np.zeros(len(self.h) + 1, bool)
         for i, span in enumerate(_spans(batch.column(2), first, len(texts))):

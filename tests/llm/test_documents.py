@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colex.llm import classifier, components, jaccard, mixture, packing, recompress, rules, secrets, substring
+from colex.llm import classifier, common, components, jaccard, mixture, packing, recompress, rules, secrets, substring
 from colex.llm.common import Rolling, hash_words
 
 from ..oracle import connect, rows
@@ -52,11 +52,57 @@ def test_substring_other_windows(spark, window):
     assert sorted(found, key=str) == data.substring_dedup(some, window)
 
 
+def thue_morse(n, zero, one):
+    out = [zero]
+    while len(out) < n:
+        out += [one if x == zero else zero for x in out]
+    return out[:n]
+
+
+def test_runs_are_told_apart_by_a_prime_modulus():
+    """Polynomials modulo a power of two are equal for these, whatever the base."""
+    rng = np.random.default_rng(2)
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n, "x", "y"), thue_morse(n, "y", "x")
+        one, two, counts = hash_words([" ".join(["p"] * 7 + a + ["q"] * 3 + b + ["r"] + a).encode()])
+        for h in (one, two):
+            first = np.array([7, 10 + n, 11 + 2 * n])
+            found = Rolling(h).of(first, first + n)
+            assert found[0] == found[2] != found[1]
+        one, two, _ = hash_words(["".join(a).encode(), "".join(b).encode()])
+        assert one[0] != one[1] and two[0] != two[1]
+    a, b = (rng.integers(0, int(common.PRIME), 1000, dtype=np.uint64) for _ in "ab")
+    assert [int(x) for x in common.times(a, b)] == [int(x) * int(y) % int(common.PRIME) for x, y in zip(a, b, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def twins():
+    """Texts that share no window, but words or runs that a polynomial modulo 2**64 takes for equal."""
+    out, rng = [], random.Random(12)
+    for n in (1024, 2048, 4096):
+        a, b = "".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))
+        common_words = [f"c{n}{i}" for i in range(12)]
+        out += [" ".join([*common_words, a, *common_words]), " ".join([*common_words, b, *common_words])]
+        out.append(" ".join([f"z{rng.random()}" for _ in range(5)] + thue_morse(n, f"u{n}", f"v{n}")))
+        out.append(" ".join(thue_morse(n, f"v{n}", f"u{n}")))
+    out.append(" ".join([f"k{i}" if i % 4 else "".join(thue_morse(1024, "a", "b")) for i in range(27)]))
+    out.append(" ".join([f"k{i}" if i % 4 else "".join(thue_morse(1024, "b", "a")) for i in range(27)]))
+    return [(i, text, "en", "s", 0) for i, text in enumerate(out)]
+
+
+def test_twins_are_not_taken_for_each_other(spark, twins):
+    df = spark.createDataFrame(twins, data.SCHEMA).repartition(3)
+    found = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(df).collect()]
+    assert sorted(found, key=str) == data.substring_dedup(twins)
+    links = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect()]
+    assert sorted(links, key=str) == data.jaccard(twins)
+
+
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(5)
     for vocabulary in (2, 3, 40):
-        h, _ = hash_words([" ".join(map(str, rng.integers(0, vocabulary, 900))).encode()])
-        other, _ = hash_words([" ".join(map(str, rng.integers(0, vocabulary, 77))).encode()])
+        h, _, _ = hash_words([" ".join(map(str, rng.integers(0, vocabulary, 900))).encode()])
+        other, _, _ = hash_words([" ".join(map(str, rng.integers(0, vocabulary, 77))).encode()])
         joined = np.concatenate([other, h[100:700], other])
         whole = dict(zip(*recompress.anchors(h, np.zeros(len(h), int), Rolling(h), 20)[:2], strict=True))
         again = dict(zip(*recompress.anchors(joined, np.zeros(len(joined), int), Rolling(joined), 20)[:2], strict=True))
