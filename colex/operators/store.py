@@ -146,8 +146,8 @@ def chunk_collocations(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     return pairs.join(lexicon, "id")
 
 
-def form_entry(form: DataFrame) -> DataFrame:
-    """Form rows (headword, collocate, full_phrase, tags, examples as typed) as clean fields.
+def form_entry(form: DataFrame, *keys: str) -> DataFrame:
+    """Form rows (headword, collocate, full_phrase, tags, examples as typed) as clean fields, beside the keys.
 
     Texts are trimmed, tags split at commas, examples at newlines, blanks dropped; a row
     needs a headword and a collocate, and its phrase defaults to both together.
@@ -157,7 +157,7 @@ def form_entry(form: DataFrame) -> DataFrame:
     def split(column: str, at: str) -> Column:
         return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), at), trim), lambda x: x != "")
 
-    clean = form.select(*[trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("headword", "collocate", "full_phrase")], split("tags", ",").alias("tags"), split("examples", "\n").alias("examples"))
+    clean = form.select(*keys, *[trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("headword", "collocate", "full_phrase")], split("tags", ",").alias("tags"), split("examples", "\n").alias("examples"))
     phrase = F.coalesce(F.nullif("full_phrase", F.lit("")), F.concat("headword", "collocate"))
     return clean.where("headword <> '' AND collocate <> ''").withColumn("full_phrase", phrase)
 

@@ -20,6 +20,7 @@ from .operators import patterns as X
 from .operators import search as S
 from .operators import store as K
 from .plans import fixtures as fx
+from .plans.fixtures import over
 from .plans import schemas as A
 from .sources import dictionary_bank as Z
 from .sources import lexicon as I
@@ -126,15 +127,20 @@ def search_sort_asc(spark, sf_dir):
     return S.search(lexicon(spark, sf_dir), S.SearchOptions("bolt", fuzzy=False, sort_dir="asc", max_results=50)).select(SHOWN)
 
 
+_SEEDS = fx.Derived(fx.Fixture("id string", tuple((row[0],) for row in I.SEED)))
+
+
 @query(
-    """SELECT q, id, CAST(score AS INTEGER) AS score FROM (VALUES ('風','s001',100), ('かぜ','s001',80), ('カゼ','s001',80), ('kaze','s001',80), ('風*','s001',90), ('目','s010',100), ('目','s011',100),
-    ('風を吹く','s001',49)) AS t(q, id, score)"""
+    f"""SELECT q, CAST(n AS VARCHAR) AS id, CAST(score AS INTEGER) AS score FROM {_SEEDS.sql('d')} JOIN (VALUES ('風','s001',100), ('かぜ','s001',80), ('カゼ','s001',80), ('kaze','s001',80), ('風*','s001',90), ('目','s010',100), ('目','s011',100),
+    ('風を吹く','s001',49)) AS t(q, seed, score) ON seed = d.id"""
 )
 def search_ja_fixture(spark, sf_dir):
-    lex = I.seed(spark)
+    """Japanese queries over a lexicon in which every part has the words of a seed entry."""
+    named = _SEEDS.over(spark, sf_dir).select("n", "id")
+    lex = named.join(F.broadcast(I.seed(spark)), "id").withColumn("id", F.col("n").cast("string")).withColumn("ord", F.col("n")).drop("n")
     out = None
     for q in ("風", "かぜ", "カゼ", "kaze", "風*", "目", "風を吹く"):
-        hits = S.search(lex, S.SearchOptions(q)).select(F.lit(q).alias("q"), "id", "score")
+        hits = S.search(lex, S.SearchOptions(q, max_results=None)).select(F.lit(q).alias("q"), "id", "score")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -217,12 +223,13 @@ def bulk_import_count(spark, sf_dir):
     return store.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_imported", F.lit(n).cast("long"))
 
 
-_FORM = fx.Fixture("headword string, collocate string, full_phrase string, tags string, examples string", ((" 風 ", "が吹く", "", "自然, 天気 ,", "a\n\n b "), ("", "x", "y", "", ""), ("雨", "が降る", "雨降る", "", "")))
+_FORM = fx.Fixture("headword string, collocate string, full_phrase string, tags string, examples string", ((" 風 ", "が吹く", "", "自然, 天気 ,", "a\n\n b "), ("", "x", "y", "", ""), ("雨", "が降る", "雨降る", "", ""), ("雪", " ", "雪", "a", "b")))
+_FORMS = fx.Derived(_FORM)
 
 
-@query("SELECT * FROM (VALUES ('風','が吹く','風が吹く','自然|天気','a|b'), ('雨','が降る','雨降る','','')) AS t(headword, collocate, full_phrase, tags, examples)")
+@query(f"SELECT v.* EXCLUDE (k), n AS p_partkey FROM {_FORMS.sql('d')} JOIN (VALUES (0,'風','が吹く','風が吹く','自然|天気','a|b'), (2,'雨','が降る','雨降る','','')) AS v(k, headword, collocate, full_phrase, tags, examples) ON v.k = d.k")
 def form_entries(spark, sf_dir):
-    return K.form_entry(_FORM.spark(spark)).withColumn("tags", F.array_join("tags", "|")).withColumn("examples", F.array_join("examples", "|"))
+    return K.form_entry(_FORMS.over(spark, sf_dir).withColumnRenamed("n", "p_partkey"), "p_partkey").withColumn("tags", F.array_join("tags", "|")).withColumn("examples", F.array_join("examples", "|"))
 
 
 # ------------------------------------------------------------------ text kernel
@@ -231,7 +238,7 @@ def form_entries(spark, sf_dir):
 @query(f"SELECT n, translate(text, '{T.KATAKANA}', '{T.HIRAGANA}') AS hira, translate(text, '{T.HIRAGANA}', '{T.KATAKANA}') AS kata, regexp_replace(text, '[^ぁ-ゖァ-ヶ]', '', 'g') AS reading FROM {fx.KANA.sql()}")
 def kana_convert(spark, sf_dir):
     c = F.col("text")
-    return fx.KANA.spark(spark).select("n", T.to_hiragana(c).alias("hira"), T.to_katakana(c).alias("kata"), T.get_reading(c).alias("reading"))
+    return fx.KANA.over(spark, sf_dir).select("n", T.to_hiragana(c).alias("hira"), T.to_katakana(c).alias("kata"), T.get_reading(c).alias("reading"))
 
 
 _ROMAJI_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.ROMAJI.items()) + "}"
@@ -243,7 +250,7 @@ def _romaji_sql(c: str) -> str:
 
 @query(f"SELECT n, {_romaji_sql('text')} AS kana FROM {fx.ROMAJI.sql()}")
 def romaji_to_hiragana(spark, sf_dir):
-    return fx.ROMAJI.spark(spark).select("n", T.romaji_to_hiragana(F.col("text")).alias("kana"))
+    return fx.ROMAJI.over(spark, sf_dir).select("n", T.romaji_to_hiragana(F.col("text")).alias("kana"))
 
 
 @query(f"SELECT p_partkey, {_romaji_sql('p_name')} AS kana FROM part")
@@ -257,13 +264,13 @@ def romaji_part_names(spark, sf_dir):
 )
 def is_japanese(spark, sf_dir):
     c = F.col("text")
-    return fx.KANA.spark(spark).select("n", T.is_japanese(c).alias("ja"), T.is_hiragana(c).alias("hira"), T.is_katakana(c).alias("kata"), T.is_kanji(c).alias("kanji"))
+    return fx.KANA.over(spark, sf_dir).select("n", T.is_japanese(c).alias("ja"), T.is_hiragana(c).alias("hira"), T.is_katakana(c).alias("kata"), T.is_kanji(c).alias("kanji"))
 
 
-@query("SELECT * FROM (VALUES (0, 'ABC 12', 'ABC 12'), (1, 'abc!', 'abc!'), (2, 'abc', 'abc'), (3, '~', '~')) AS t(n, folded, normal)")
+@query(over(fx.WIDTH, "SELECT * FROM (VALUES (0, 'ABC 12', 'ABC 12'), (1, 'abc!', 'abc!'), (2, 'abc', 'abc'), (3, '~', '~')) AS t(n, folded, normal)"))
 def width_normalise(spark, sf_dir):
     c = F.col("text")
-    return fx.WIDTH.spark(spark).select("n", T.fold_width(c).alias("folded"), T.normalize_japanese(c).alias("normal"))
+    return fx.WIDTH.over(spark, sf_dir).select("n", T.fold_width(c).alias("folded"), T.normalize_japanese(c).alias("normal"))
 
 
 @query("SELECT a.p_partkey, levenshtein(a.p_name, 'small ring') AS distance, 1 - levenshtein(a.p_name, 'small ring') / greatest(len(a.p_name), 10)::DOUBLE AS similarity FROM part a")
@@ -289,17 +296,17 @@ def _unique_sql(array: str) -> str:
 
 @query(f"SELECT n, {_unique_sql(_VERB_SQL)} AS forms FROM {fx.VERBS.sql()}")
 def verb_forms(spark, sf_dir):
-    return fx.VERBS.spark(spark).select("n", F.array_join(T.verb_forms(F.col("text")), " ").alias("forms"))
+    return fx.VERBS.over(spark, sf_dir).select("n", F.array_join(T.verb_forms(F.col("text")), " ").alias("forms"))
 
 
 @query(f"SELECT n, array_to_string({_ADJ_SQL}, ' ') AS forms FROM {fx.ADJECTIVES.sql()}")
 def adjective_forms(spark, sf_dir):
-    return fx.ADJECTIVES.spark(spark).select("n", F.array_join(T.adjective_forms(F.col("text")), " ").alias("forms"))
+    return fx.ADJECTIVES.over(spark, sf_dir).select("n", F.array_join(T.adjective_forms(F.col("text")), " ").alias("forms"))
 
 
 @query(f"SELECT n, array_to_string({_endings_sql('text', T.NA_ADJECTIVE)}, ' ') AS forms FROM {fx.ADJECTIVES.sql()}")
 def na_adjective_forms(spark, sf_dir):
-    return fx.ADJECTIVES.spark(spark).select("n", F.array_join(T.na_adjective_forms(F.col("text")), " ").alias("forms"))
+    return fx.ADJECTIVES.over(spark, sf_dir).select("n", F.array_join(T.na_adjective_forms(F.col("text")), " ").alias("forms"))
 
 
 _EXPAND_SQL = f"list_concat([text], {_ADJ_SQL}, CASE WHEN regexp_matches(text, '[{T.VERB_END}]$') THEN {_VERB_SQL} ELSE [] END)"
@@ -307,7 +314,7 @@ _EXPAND_SQL = f"list_concat([text], {_ADJ_SQL}, CASE WHEN regexp_matches(text, '
 
 @query(f"SELECT n, {_unique_sql(_EXPAND_SQL)} AS forms FROM {fx.EXPAND.sql()}")
 def expand_search(spark, sf_dir):
-    return fx.EXPAND.spark(spark).select("n", F.array_join(T.expand_search(F.col("text")), " ").alias("forms"))
+    return fx.EXPAND.over(spark, sf_dir).select("n", F.array_join(T.expand_search(F.col("text")), " ").alias("forms"))
 
 
 @query(
@@ -315,12 +322,12 @@ def expand_search(spark, sf_dir):
     WHEN suffix(text, '的') OR suffix(text, 'な') THEN 'な形容詞' WHEN suffix(text, 'に') OR suffix(text, 'と') THEN '副詞' ELSE '名詞' END AS pos FROM {fx.POS.sql()}"""
 )
 def detect_pos(spark, sf_dir):
-    return fx.POS.spark(spark).select("n", T.detect_pos(F.col("text")).alias("pos"))
+    return fx.POS.over(spark, sf_dir).select("n", T.detect_pos(F.col("text")).alias("pos"))
 
 
 # ------------------------------------------------------------------ classifier
 
-_TX = f"x AS (SELECT n, regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g') AS text FROM {fx.PHRASES.sql()})"
+_TX = f"x AS (SELECT n, regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g') AS text FROM {fx.PHRASE_PAIRS.sql()})"
 
 
 def _like_any(c: str, words) -> str:
@@ -338,7 +345,7 @@ def _like_any(c: str, words) -> str:
 )
 def classify_register(spark, sf_dir):
     t = T.trim(F.col("text"))
-    return fx.PHRASES.spark(spark).select("n", C.register(t).alias("register"), F.array_join(C.colloquial(t), ", ").alias("spoken"))
+    return fx.PHRASE_PAIRS.over(spark, sf_dir).select("n", C.register(t).alias("register"), F.array_join(C.colloquial(t), ", ").alias("spoken"))
 
 
 _NORM_SQL = "text"
@@ -349,32 +356,28 @@ for _p, _r in L.COLLOQUIAL_FORMS:
 
 @query(f"WITH {_TX} SELECT n, {_NORM_SQL} AS normal FROM x")
 def classify_normalise(spark, sf_dir):
-    return fx.PHRASES.spark(spark).select("n", C.normalise(T.trim(F.col("text"))).alias("normal"))
+    return fx.PHRASE_PAIRS.over(spark, sf_dir).select("n", C.normalise(T.trim(F.col("text"))).alias("normal"))
 
 
 #: Worked out by hand for every phrase, rule by rule.
-@query(
-    """SELECT * FROM (VALUES (0,'勉強','する','N+する',80), (1,'研究','するした結果','N+する+N',80), (2,'そうだ','と思う','Quote+と+V',70), (3,'言る','passive+てる','V+passive+てる',75),
+@query(over(fx.PHRASES, """SELECT * FROM (VALUES (0,'勉強','する','N+する',80), (1,'研究','するした結果','N+する+N',80), (2,'そうだ','と思う','Quote+と+V',70), (3,'言る','passive+てる','V+passive+てる',75),
     (4,'食べ','させられる','V+causative+passive',75), (5,'読んで','た','N+V',60), (6,'割れ','てる','V+て+V',70), (7,'劇的','に変わった','naAdj+に+V',80), (8,'気','が重い','N+が+naAdj',70),
     (9,'じっくり','進む','Adv+V',70), (10,'時間','の無駄','N+の+N',65), (11,'手','を打つ','N+を+V',75), (12,'風','が吹く','N+が+V',75), (13,'気','に入る','N+に+V',70),
     (14,'ボロカス言る','passive+てる','V+passive+てる',75), (15,'abc','','V',60), (16,'すごく高','い山','N+V',60), (17,'言って','た','N+V',60), (18,'やばいで','す','N+V',60),
     (19,'文法','の分析','N+の+N',65), (20,'炎上','を消す','N+を+V',75), (21,'ご覧くだ','さい','N+V',60), (22,'でる','','V',60))
-    AS t(n, headword, collocate, pattern, confidence)"""
-)
+    AS t(n, headword, collocate, pattern, confidence)"""))
 def classify_structure(spark, sf_dir):
-    return C.classify(fx.PHRASES.spark(spark)).select("n", "headword", "collocate", "pattern", F.col("confidence").cast("int").alias("confidence"))
+    return C.classify(fx.PHRASES.over(spark, sf_dir)).select("n", "headword", "collocate", "pattern", F.col("confidence").cast("int").alias("confidence"))
 
 
-@query(
-    """SELECT * FROM (VALUES (0,'勉強する','普通体,日常',80,'','動詞'), (1,'研究した結果','学術',70,'','動詞'), (2,'そうだと思う','普通体,日常',75,'','動詞'), (3,'言われてる','口語,普通体,日常',75,'口語形: てる→ている','助動詞'),
+@query(over(fx.PHRASES, """SELECT * FROM (VALUES (0,'勉強する','普通体,日常',80,'','動詞'), (1,'研究した結果','学術',70,'','動詞'), (2,'そうだと思う','普通体,日常',75,'','動詞'), (3,'言われてる','口語,普通体,日常',75,'口語形: てる→ている','助動詞'),
     (4,'食べさせられる','普通体,日常',65,'','助動詞'), (5,'読んでた','普通体,日常',75,'','動詞'), (6,'割れてる','口語,普通体,日常',75,'口語形: てる→ている','動詞'), (7,'劇的に変わった','普通体,日常',65,'','動詞'),
     (8,'気が重い','普通体,感情',60,'','い形容詞'), (9,'じっくり進む','普通体,日常',75,'','動詞'), (10,'時間の無駄','日常',75,'','名詞'), (11,'手を打つ','普通体,身体',60,'','動詞'), (12,'風が吹く','普通体,日常',75,'','動詞'),
     (13,'気に入る','普通体,感情',60,'','動詞'), (14,'ボロカス言われてる','口語,俗語',60,'口語形: てる→ている','助動詞'), (15,'abc','日常',75,'','動詞'), (16,'すごく高い山','日常',75,'','動詞'),
     (17,'言ってた','口語,普通体,日常',75,'口語形: ってた→と言っていた','動詞'), (18,'やばいです','俗語',55,'','動詞'), (19,'文法の分析','学術,言語学',65,'','名詞'), (20,'炎上を消す','普通体,比喩',60,'','動詞'),
-    (21,'ご覧ください','敬語,日常',75,'','動詞'), (22,'でる','口語,普通体,日常',75,'口語形: でる→でいる','動詞')) AS t(n, full_phrase, tags, frequency, notes, collocate_pos)"""
-)
+    (21,'ご覧ください','敬語,日常',75,'','動詞'), (22,'でる','口語,普通体,日常',75,'口語形: でる→でいる','動詞')) AS t(n, full_phrase, tags, frequency, notes, collocate_pos)"""))
 def classify_full(spark, sf_dir):
-    return C.classify(fx.PHRASES.spark(spark)).select("n", "full_phrase", F.array_join("tags", ",").alias("tags"), "frequency", "notes", "collocate_pos")
+    return C.classify(fx.PHRASES.over(spark, sf_dir)).select("n", "full_phrase", F.array_join("tags", ",").alias("tags"), "frequency", "notes", "collocate_pos")
 
 
 _LING, _ALLOF = _like_any("text", L.LINGUISTIC), "text"
@@ -388,7 +391,7 @@ _LING, _ALLOF = _like_any("text", L.LINGUISTIC), "text"
 )
 def classify_domains(spark, sf_dir):
     t = T.trim(F.col("text"))
-    return fx.PHRASES.spark(spark).select("n", F.array_join(C.domains(t, F.lit(""), F.lit("")), ",").alias("domains"))
+    return fx.PHRASE_PAIRS.over(spark, sf_dir).select("n", F.array_join(C.domains(t, F.lit(""), F.lit("")), ",").alias("domains"))
 
 
 @query(f"WITH {LEX} SELECT id, CASE WHEN frequency >= 70 THEN 'high' WHEN frequency >= 40 THEN 'medium' ELSE 'low' END AS band FROM lex")
@@ -415,7 +418,7 @@ def _candidates_sql(source: str) -> str:
 
 @query(_candidates_sql(fx.CANDIDATES.sql()))
 def parse_collocations(spark, sf_dir):
-    return P.parse_collocations(fx.CANDIDATES.spark(spark), "n")
+    return P.parse_collocations(fx.CANDIDATES.over(spark, sf_dir), "n")
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS bits FROM documents")
@@ -424,12 +427,12 @@ def extract_bits(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 1, '風', 'が吹く', '風が吹く', '動詞', 'N+が+V', '風が吹く。'), (2, 0, '夢', 'の中', '夢の中', '名詞', 'N+の+Adj', 'a & b'), (2, 2, '夢', 'よく', '夢よく', '副詞', 'N+よ+Adj', ''))
-    AS t(page_id, row_no, headword, collocate, full_phrase, collocate_pos, pattern, example)"""
+    f"""SELECT d.n AS page_id, t.* EXCLUDE (k) FROM {fx.SCRAPED.sql('d')} JOIN (VALUES (0, 1, '風', 'が吹く', '風が吹く', '動詞', 'N+が+V', '風が吹く。'), (1, 0, '夢', 'の中', '夢の中', '名詞', 'N+の+Adj', 'a & b'),
+    (1, 2, '夢', 'よく', '夢よく', '副詞', 'N+よ+Adj', '')) AS t(k, row_no, headword, collocate, full_phrase, collocate_pos, pattern, example) ON t.k = d.k"""
 )
 def html_rows(spark, sf_dir):
-    rows = P.parse_pages(fx.PAGES.spark(spark))
-    return rows.select(F.col("page_id").cast("int").alias("page_id"), "row_no", "headword", "collocate", "full_phrase", "collocate_pos", "pattern", F.array_join("example_sentences", "|").alias("example"))
+    rows = P.parse_pages(fx.SCRAPED.over(spark, sf_dir).select(F.col("n").alias("page_id"), "headword", "html"))
+    return rows.select("page_id", "row_no", "headword", "collocate", "full_phrase", "collocate_pos", "pattern", F.array_join("example_sentences", "|").alias("example"))
 
 
 _STRIP = "html"
@@ -444,6 +447,16 @@ def strip_tags(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(bare).alias("digest"), F.length(bare).cast("long").alias("n"))
 
 
+@query(
+    f"""SELECT d.n AS page_id, t.* EXCLUDE (k) FROM {fx.SCRAPED.sql('d')} JOIN (VALUES (0, 0, '動詞', ''), (0, 1, '動詞', 'が吹く'), (0, 2, '動詞', 'x'), (1, 0, '名詞', 'の中'), (1, 1, '副詞', '副詞'), (1, 2, '副詞', 'よく'))
+    AS t(k, row_no, section, cell) ON t.k = d.k"""
+)
+def sections_of_rows(spark, sf_dir):
+    """A row without a label is in the section of the rows before it."""
+    rows = P.page_rows(fx.SCRAPED.over(spark, sf_dir).select(F.col("n").alias("page_id"), "html"))
+    return rows.select("page_id", "row_no", "section", F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("cell"))
+
+
 @query(
     """WITH r AS (SELECT page_id, regexp_extract_all(html, '<li[^>]*>.*?</li>') AS rows FROM pages), e AS (SELECT page_id, unnest(range(len(rows))) AS row_no, unnest(rows) AS row FROM r)
     SELECT page_id, CAST(row_no AS INTEGER) AS row_no, '名詞' AS section, regexp_replace(regexp_extract(row, '<a[^>]*>.*?</a>'), '<[^>]*>', '', 'g') AS cell FROM e"""
@@ -455,7 +468,7 @@ def section_carry_forward(spark, sf_dir):
 
 # ------------------------------------------------------------------ discourse
 
-_SPLIT = f"""p AS (SELECT graph_id, unnest(range(len(string_split(raw, '||')))) AS part, unnest(string_split(raw, '||')) AS text FROM {fx.MARKED.sql()}),
+_SPLIT = f"""{fx.MARKED_GRAPHS}, p AS (SELECT graph_id, unnest(range(len(string_split(raw, '||')))) AS part, unnest(string_split(raw, '||')) AS text FROM graphs),
 o AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY graph_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_offset FROM p),
 bits AS (SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY part) - 1 AS INTEGER) AS bit_idx, text, start_offset, CAST(start_offset + length(text) AS INTEGER) AS end_offset
   FROM o WHERE trim(text) <> '')"""
@@ -463,7 +476,7 @@ bits AS (SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY
 
 @query(f"WITH {_SPLIT} SELECT * FROM bits")
 def bits_split_offsets(spark, sf_dir):
-    return G.split_bits(fx.MARKED.spark(spark))
+    return G.split_bits(fx.marked_graphs(spark, sf_dir))
 
 
 @query(
@@ -482,7 +495,7 @@ def transcript_lines(spark, sf_dir):
 
 @query(f"WITH {_SPLIT} SELECT graph_id, bit_idx, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([{G.PARTICLES}])', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS tokens FROM bits")
 def tokenize_particles(spark, sf_dir):
-    return G.split_bits(fx.MARKED.spark(spark)).select("graph_id", "bit_idx", F.array_join(G.tokenize(F.col("text")), " ").alias("tokens"))
+    return G.split_bits(fx.marked_graphs(spark, sf_dir)).select("graph_id", "bit_idx", F.array_join(G.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 def _rules_sql(bits: str) -> str:
@@ -528,24 +541,27 @@ edges AS (SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER B
 
 @query(f"WITH {_SPLIT}, {_labels_sql('bits')} SELECT graph_id, bit_idx, bit_type, confidence, {_CATEGORY_SQL} AS category FROM lab")
 def bit_labels(spark, sf_dir):
-    return G.label_bits(G.split_bits(fx.MARKED.spark(spark))).select("graph_id", "bit_idx", "bit_type", "confidence", "category")
+    return G.label_bits(G.split_bits(fx.marked_graphs(spark, sf_dir))).select("graph_id", "bit_idx", "bit_type", "confidence", "category")
 
 
-_TURNS = "turns AS (SELECT CAST(conv_id AS VARCHAR) AS graph_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS bit_idx, text FROM conversations)"
+_SAID = "turns AS (SELECT CAST(conv_id AS VARCHAR) AS graph_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS bit_idx, text FROM conversations)"
+
+
+_TURNS = f"{fx.MARKED_TURNS}, turns AS (SELECT * FROM marked)"
 
 
 @query(f"WITH {_TURNS}, {_labels_sql('turns')} SELECT bit_type, {_CATEGORY_SQL} AS category, count(*) AS n FROM lab GROUP BY 1, 2")
 def label_counts(spark, sf_dir):
-    bits = A.bits_from_conversations(read(spark, sf_dir, "conversations"))
+    bits = fx.marked_turns(spark, sf_dir)
     return G.label_bits(bits).groupBy("bit_type", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_SPLIT}, {_labels_sql('bits')}, z AS (SELECT *, {_CATEGORY_SQL} AS category FROM lab) SELECT graph_id, bit_type, count(*) AS n, min(bit_idx) AS first_idx, category FROM z GROUP BY 1, 2, 5")
 def category_counts(spark, sf_dir):
-    return G.summary_table(G.label_bits(G.split_bits(fx.MARKED.spark(spark)))).select("graph_id", "bit_type", "n", "first_idx", "category")
+    return G.summary_table(G.label_bits(G.split_bits(fx.marked_graphs(spark, sf_dir)))).select("graph_id", "bit_type", "n", "first_idx", "category")
 
 
-@query(f"WITH {_TURNS} SELECT graph_id, bit_idx AS src_idx, CAST(bit_idx + 1 AS INTEGER) AS dst_idx FROM turns t WHERE bit_idx < (SELECT max(bit_idx) FROM turns u WHERE u.graph_id = t.graph_id)")
+@query(f"WITH {_SAID} SELECT graph_id, bit_idx AS src_idx, CAST(bit_idx + 1 AS INTEGER) AS dst_idx FROM turns t WHERE bit_idx < (SELECT max(bit_idx) FROM turns u WHERE u.graph_id = t.graph_id)")
 def edges_adjacent(spark, sf_dir):
     bits = A.bits_from_conversations(read(spark, sf_dir, "conversations"))
     return G.edges(bits).where(F.col("relationship_type") == G.ADJACENT).select("graph_id", "src_idx", "dst_idx")
@@ -553,7 +569,7 @@ def edges_adjacent(spark, sf_dir):
 
 @query(f"WITH {_SPLIT}, {_rules_sql('bits')}, {_EDGES_SQL} SELECT * FROM edges")
 def edges_long_range(spark, sf_dir):
-    return G.edges(G.split_bits(fx.MARKED.spark(spark))).drop("direction", "evidence")
+    return G.edges(G.split_bits(fx.marked_graphs(spark, sf_dir))).drop("direction", "evidence")
 
 
 @query(
@@ -563,7 +579,7 @@ def edges_long_range(spark, sf_dir):
     SELECT graph_id, string_agg(line, chr(10) ORDER BY a, b, c) AS text FROM lines GROUP BY 1"""
 )
 def adjacency_list(spark, sf_dir):
-    bits = G.split_bits(fx.MARKED.spark(spark))
+    bits = G.split_bits(fx.marked_graphs(spark, sf_dir))
     return G.adjacency_list(G.label_bits(bits), G.edges(bits))
 
 
@@ -579,7 +595,7 @@ _COLOUR_SQL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G
     SELECT graph_id, string_agg(line, chr(10) ORDER BY a, b) AS text FROM lines GROUP BY 1"""
 )
 def dot_text(spark, sf_dir):
-    bits = G.split_bits(fx.MARKED.spark(spark))
+    bits = G.split_bits(fx.marked_graphs(spark, sf_dir))
     return G.dot_text(G.label_bits(bits), G.edges(bits))
 
 
