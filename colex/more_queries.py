@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +14,15 @@ from .operators import discourse as G
 from .operators import library as B
 from .operators import search as S
 from .operators import store as K
+from .operators.dictionary_store import DictionaryStore
 from .plans import fixtures as fx
 from .plans import schemas as A
 from .plans.shared import shared_path
-from .queries import _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
+from .queries import kanji_files, _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
 from .sources import dictionary_bank as Z
 from .sources import lexicon as I
 from .sources import pages as P
+from .sources.archives import read_rows, write_archives
 from .streaming import ingest
 
 
@@ -35,6 +35,10 @@ def kinds(**finds: DataFrame) -> DataFrame:
     return out
 
 
+def finds_of(finds: dict[str, DataFrame], column: str) -> dict[str, DataFrame]:
+    return {name: df.select(column) for name, df in finds.items()}
+
+
 # ------------------------------------------------------------------ files
 
 
@@ -52,30 +56,43 @@ def chunks_json_round_trip(spark, sf_dir):
     return I.read_chunks(spark, path).select("id", "surface", "category", F.array_join("collocations", ",").alias("collocations"))
 
 
-@query("SELECT * FROM (VALUES ('lexicon', 's001'), ('lexicon', 's002'), ('lexicon', 's004'), ('lexicon', 's010'), ('lexicon', 's011')) AS t(kind, id)")
+@query(f"WITH {LEX} SELECT * FROM (VALUES ('lexicon', 's001'), ('lexicon', 's002'), ('lexicon', 's004'), ('lexicon', 's010'), ('lexicon', 's011')) AS t(kind, id) UNION ALL SELECT 'there', id FROM lex")
 def missing_files_fall_back(spark, sf_dir):
-    nowhere = shared_path(spark, "nowhere")
-    return kinds(lexicon=I.read_lexicon(spark, nowhere, "seed").select("id"), chunks=I.read_chunks(spark, nowhere, "empty").select("id"))
+    """The seed stands in where no lexicon is, and only there."""
+    nowhere, there = shared_path(spark, "nowhere"), shared_path(spark, "lexicon")
+    I.write_json(lexicon(spark, sf_dir), there)
+    return kinds(there=I.read_lexicon(spark, there, "seed").select("id"), lexicon=I.read_lexicon(spark, nowhere, "seed").select("id"), chunks=I.read_chunks(spark, nowhere, "empty").select("id"))
+
 
+#: The places of terms in banks of a hundred, which go by their names: bank 10 comes before bank 2.
+_BANKED = f"""{_TERMS}, k AS (SELECT *, row_ord // 100 AS bank FROM terms WHERE dictionary IS NOT NULL), c AS (SELECT dictionary, bank, count(*) AS n FROM k GROUP BY 1, 2),
+  f AS (SELECT dictionary, bank, coalesce(sum(n) OVER (PARTITION BY dictionary ORDER BY 'term_bank_' || bank || '.json' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c),
+  banked AS (SELECT k.*, CAST(first + row_number() OVER (PARTITION BY dictionary, bank ORDER BY row_ord) - 1 AS BIGINT) AS place FROM k JOIN f USING (dictionary, bank))"""
 
-@query("SELECT * FROM (VALUES ('T1', '風', 'かぜ', 0), ('T1', '夢', '', 3), ('T1', '雨', 'あめ', 4)) AS t(dictionary, term, reading, row_ord)")
+
+def term_files(spark, sf_dir) -> DataFrame:
+    """The banks and indexes of all documents' dictionaries."""
+    terms, dicts = dictionary_tables(spark, sf_dir)
+    return Z.bank_files(Z.term_cells(terms.where("dictionary IS NOT NULL")), "term", 100).unionByName(Z.index_files(dicts))
+
+
+@query(f"WITH {_BANKED} SELECT dictionary, term, reading, place AS row_ord, md5(text) AS digest FROM banked")
 def dictionary_archives(spark, sf_dir):
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for name, body in fx.BANKS.items():
-            z.writestr(name, body)
-    archives = spark.createDataFrame([("a.zip", bytearray(packed.getvalue()))], "path string, content binary")
-    return Z.parse_terms(Z.unpack(archives)).select("dictionary", "term", "reading", F.col("row_ord").cast("int").alias("row_ord"))
+    """Dictionaries are written as zip archives and read back, a member a task."""
+    path = shared_path(spark, "archives")
+    write_archives(term_files(spark, sf_dir), path)
+    terms = Z.parse_terms(read_rows(spark, path))
+    return terms.select("dictionary", "term", "reading", "row_ord", F.md5(F.col("definitions")[0]["content"][0]["text"]).alias("digest"))
 
 
-@query(f"SELECT id, term, dictionary, saved_at, folder FROM {fx.BOOKMARKS.sql()} UNION ALL SELECT 'event', query, '', last, '' FROM (SELECT event_type || ':' || user_id AS query, max(event_id) AS last FROM events GROUP BY 1) WHERE query LIKE '%:1'")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS term, 'T' || user_id AS dictionary, event_id AS saved_at, '' AS folder FROM events UNION ALL SELECT 'event', query, '', last, '' FROM (SELECT event_type || ':' || user_id AS query, max(event_id) AS last FROM events GROUP BY 1)")
 def library_json_round_trip(spark, sf_dir):
-    bookmarks, log = shared_path(spark, "bookmarks"), shared_path(spark, "history")
-    I.write_json(fx.BOOKMARKS.spark(spark), bookmarks)
+    kept_marks, log = shared_path(spark, "bookmarks"), shared_path(spark, "history")
+    I.write_json(bookmarks(spark, sf_dir)[0], kept_marks)
     events = read(spark, sf_dir, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("query"), F.col("event_id").alias("ts"), F.col("event_id").alias("ord"))
     I.write_json(events, log)
-    kept = B.history(spark.read.schema("query string, ts bigint, ord bigint").json(log).where("query LIKE '%:1'"), limit=1_000_000)
-    saved = spark.read.schema(fx.BOOKMARKS.columns).json(bookmarks)
+    kept = B.history(spark.read.schema("query string, ts bigint, ord bigint").json(log), limit=None)
+    saved = spark.read.schema(fx.BOOKMARKS.columns).json(kept_marks)
     return saved.unionByName(kept.select(F.lit("event").alias("id"), F.col("query").alias("term"), F.lit("").alias("dictionary"), F.col("ts").alias("saved_at"), F.lit("").alias("folder")))
 
 
@@ -134,6 +151,49 @@ def dict_import_store(spark, sf_dir):
     return known.groupBy("dictionary").agg(F.count(F.lit(1)).alias("n"), F.min("row_ord").alias("first_ord"))
 
 
+_STORED = f"""{_TERMS}, z AS (SELECT min(title) AS first, max(title) AS last FROM dicts), t AS (SELECT dictionary, term, reading, row_ord FROM terms JOIN dicts ON title = dictionary WHERE dictionary NOT IN (SELECT last FROM z) AND (dictionary <> (SELECT first FROM z) OR row_ord % 2 = 0)),
+  ka AS (SELECT source AS dictionary, count(*) AS n_kanji FROM documents, z WHERE text IS NOT NULL AND source IS NOT NULL AND source <> last AND doc_id % 3 <> 1 AND (source <> first OR doc_id % 2 = 0) GROUP BY 1)"""
+
+
+def stored(spark, sf_dir) -> tuple[DictionaryStore, list[str]]:
+    """A store of all documents' dictionaries, in which one is imported anew with half of its rows, one is deleted, and an
+    import fails between its tables and its commit."""
+
+    def fail() -> None:
+        raise RuntimeError("lost before the commit")
+
+    terms, dicts = dictionary_tables(spark, sf_dir)
+    kanji = Z.parse_kanji(kanji_files(spark, sf_dir))
+    named = dicts.select("title", F.lit(3).alias("format"), F.lit("1").alias("revision"))
+    ends = dicts.agg(F.min("title").alias("first"), F.max("title").alias("last")).first()
+    store = DictionaryStore(spark, shared_path(spark, "dictionary-store"))
+    store.import_dictionaries(terms, kanji, named, 1)
+    only = named.where(F.col("title") == ends["first"])
+    store.import_dictionaries(terms.where("row_ord % 2 = 0"), kanji.where("CAST(stats['id'] AS BIGINT) % 2 = 0 OR character <> '風' AND row_ord % 2 = 0"), only, 2)
+    try:
+        store.import_dictionaries(terms.limit(0), kanji.limit(0), named, 3, fail)
+    except RuntimeError:
+        store.vacuum(keep=9)
+    store.delete(ends["last"])
+    return store, [ends["first"], ends["last"]]
+
+
+@query(f"WITH {_STORED} SELECT dictionary AS title, count(*) AS n_terms, min(row_ord) AS first_ord, CAST(CASE WHEN dictionary = (SELECT first FROM z) THEN 2 ELSE 1 END AS BIGINT) AS imported_at, '専門用語' AS category FROM t GROUP BY 1")
+def dict_store_imports(spark, sf_dir):
+    """Terms and metadata by title after imports, a failed one and a delete."""
+    store, _ = stored(spark, sf_dir)
+    counts = store.table("terms").groupBy(F.col("dictionary").alias("title")).agg(F.count(F.lit(1)).alias("n_terms"), F.min("row_ord").alias("first_ord"))
+    return counts.join(store.dictionaries().select("title", "imported_at", "category"), "title")
+
+
+@query(f"WITH {_STORED} SELECT 'term' AS kind, row_ord FROM t WHERE term = 'The' UNION ALL SELECT 'reading', row_ord FROM t WHERE reading = 'the' UNION ALL SELECT 'prefix', row_ord FROM (SELECT row_ord FROM t WHERE starts_with(term, 'Th') ORDER BY term, row_ord LIMIT 40) UNION ALL SELECT 'reading prefix', row_ord FROM t WHERE starts_with(reading, 'an')")
+def dict_store_lookups(spark, sf_dir):
+    """Lookups that open only the files whose key range they meet."""
+    store, _ = stored(spark, sf_dir)
+    finds = {"term": store.lookup("terms", "The"), "reading": store.lookup("readings", "the"), "prefix": store.prefix("terms", "Th", 40), "reading prefix": store.prefix("readings", "an")}
+    return kinds(**finds_of(finds, "row_ord")).select("kind", F.col("id").cast("long").alias("row_ord"))
+
+
 @query(f"WITH {_TERMS} SELECT 'terms' AS kind, dictionary AS id FROM terms WHERE dictionary <> (SELECT min(title) FROM dicts) UNION ALL SELECT 'titles', title FROM dicts WHERE title <> (SELECT min(title) FROM dicts)")
 def dict_delete(spark, sf_dir):
     terms, dicts = dictionary_tables(spark, sf_dir)
@@ -142,23 +202,23 @@ def dict_delete(spark, sf_dir):
     return kinds(terms=left.select("dictionary"), titles=titles.select("title"))
 
 
-@query(f"WITH {_TERMS} SELECT 'reading' AS kind, CAST(row_ord AS VARCHAR) AS id FROM terms WHERE reading = 'the' UNION ALL SELECT 'term', CAST(row_ord AS VARCHAR) FROM terms WHERE term = 'The' UNION ALL SELECT 'kanji', '風'")
+@query(f"WITH {_TERMS} SELECT 'reading' AS kind, CAST(row_ord AS VARCHAR) AS id FROM terms WHERE reading = 'the' UNION ALL SELECT 'term', CAST(row_ord AS VARCHAR) FROM terms WHERE term = 'The' UNION ALL SELECT 'kanji', CAST(doc_id AS VARCHAR) FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND doc_id % 3 = 0")
 def dict_lookups(spark, sf_dir):
     terms, _ = dictionary_tables(spark, sf_dir)
-    kanji = Z.parse_kanji(Z.from_map(spark, fx.BANKS))
-    return kinds(reading=D.lookup_reading(terms, "the").select("row_ord"), term=D.lookup_term(terms, "The").select("row_ord"), kanji=D.lookup_kanji(kanji, "風").select("character"))
+    kanji = Z.parse_kanji(kanji_files(spark, sf_dir))
+    return kinds(reading=D.lookup_reading(terms, "the").select("row_ord"), term=D.lookup_term(terms, "The").select("row_ord"), kanji=D.lookup_kanji(kanji, "風").select(F.col("stats")["id"]))
+
 
+_ABBREVIATIONS = fx.Derived(fx.Fixture("asked string", (("大辞林4",), ("g6",), ("readers",), ("none such",))), "supplier", "s_suppkey")
 
-@query("SELECT * FROM (VALUES ('大辞林4', '大辞林 第四版'), ('G6', 'ジーニアス英和辞典 第6版'), ('readers', '研究社 リーダーズ英和辞典 第3版')) AS t(asked, ja_title)")
+
+@query(f"SELECT n, asked, ja_title FROM {_ABBREVIATIONS.sql('d')} JOIN (VALUES (0, '大辞林 第四版'), (1, 'ジーニアス英和辞典 第6版'), (2, '研究社 リーダーズ英和辞典 第3版')) AS t(k, ja_title) ON t.k = d.k")
 def meta_by_abbreviation(spark, sf_dir):
-    meta, out = D.meta_table(spark), None
-    for asked in ("大辞林4", "G6", "readers", "none such"):
-        some = D.meta_by_abbreviation(meta, asked).select(F.lit(asked).alias("asked"), "ja_title")
-        out = some if out is None else out.unionByName(some)
-    return out
+    """Metadata of the abbreviations that suppliers stand for; those that are unknown have none."""
+    return D.meta_for_abbreviations(_ABBREVIATIONS.over(spark, sf_dir), D.meta_table(spark), "asked").select("n", "asked", "ja_title")
 
 
-_CONTENT = fx.Fixture(
+_CONTENT = fx.Derived(fx.Fixture(
     "n int, body string",
     tuple(
         enumerate(
@@ -169,12 +229,12 @@ _CONTENT = fx.Fixture(
             )
         )
     ),
-)
+), "documents", "doc_id")
 
 
-@query("SELECT * FROM (VALUES (0, 'plain'), (1, 'ac'), (2, 'xyz'), (3, 'own'), (4, 'spare'), (5, ''), (6, '')) AS t(n, text)")
+@query(fx.over(_CONTENT, "SELECT * FROM (VALUES (0, 'plain'), (1, 'ac'), (2, 'xyz'), (3, 'own'), (4, 'spare'), (5, ''), (6, '')) AS t(n, text)"))
 def structured_content(spark, sf_dir):
-    return _CONTENT.spark(spark).select("n", D.content_text("body").alias("text"))
+    return _CONTENT.over(spark, sf_dir).select("n", D.content_text("body").alias("text"))
 
 
 @query(
@@ -185,13 +245,14 @@ def sense_examples(spark, sf_dir):
     return D.senses(terms).select("dictionary", "term", "row_ord", "sense_no", "label", "type", F.md5("text").alias("digest"), "is_example")
 
 
-@query(f"WITH {_TERMS}, o AS (SELECT min(title) AS title FROM dicts) SELECT row_ord, CASE WHEN term = 'The' THEN 100 WHEN starts_with(term, 'The') THEN 80 ELSE 0 END AS score FROM terms JOIN o ON dictionary = title WHERE starts_with(term, 'The') QUALIFY row_number() OVER (PARTITION BY term, reading ORDER BY row_ord) = 1")
+@query(f"WITH {_TERMS}, o AS (SELECT min(title) AS title FROM dicts) SELECT row_ord, CASE WHEN term = 'The' THEN 100 WHEN starts_with(term, 'The') THEN 80 ELSE 0 END AS score FROM terms JOIN o ON dictionary = title WHERE starts_with(term, 'The') QUALIFY row_number() OVER (PARTITION BY term, reading ORDER BY row_ord) = 1 UNION ALL SELECT -1, count(*) FROM (SELECT DISTINCT term, reading FROM terms JOIN o ON dictionary = title WHERE starts_with(reading, 'the') AND NOT starts_with(term, 'the'))")
 def dict_search_one(spark, sf_dir):
     """A search within one dictionary."""
     terms, dicts = dictionary_tables(spark, sf_dir)
     only = dicts.agg(F.min("title")).first()[0]
     hits = D.search(terms, dicts, D.DictionaryOptions("The", dictionaries=(only,), max_results=1_000_000))
-    return hits.where(F.col("term").startswith("The")).select("row_ord", F.when(F.col("term") == "The", 100).otherwise(80).alias("score"))
+    by_reading = D.search(terms, dicts, D.DictionaryOptions("the", dictionaries=(only,), max_results=1_000_000)).where(~F.col("term").startswith("the"))
+    return hits.select("row_ord", "score").unionByName(by_reading.agg(F.lit(-1).cast("long").alias("row_ord"), F.count(F.lit(1)).cast("int").alias("score")))
 
 
 @query(
@@ -204,20 +265,41 @@ def dict_score_levels(spark, sf_dir):
     return terms.select("row_ord", D.term_score("he").alias("score"))
 
 
-@query("SELECT * FROM (VALUES (0, 100), (1, 95), (2, 80), (3, 75), (4, 60), (5, 55), (6, 0)) AS t(row_ord, score)")
+_READ = fx.Derived(fx.Fixture("term string, reading string", (("かぜ", "x"), ("風", "かぜ"), ("かぜぐすり", "y"), ("風邪薬", "かぜぐすり"), ("はるかぜ", "z"), ("春風", "はるかぜ"), ("雨", "あめ"))), "documents", "doc_id")
+
+
+@query(fx.over(_READ, "SELECT * FROM (VALUES (0, 100), (1, 95), (2, 80), (3, 75), (4, 60), (5, 55), (6, 0)) AS t(n, score)"))
 def dict_score_readings(spark, sf_dir):
-    rows = [(0, "かぜ", "x"), (1, "風", "かぜ"), (2, "かぜぐすり", "y"), (3, "風邪薬", "かぜぐすり"), (4, "はるかぜ", "z"), (5, "春風", "はるかぜ"), (6, "雨", "あめ")]
-    return spark.createDataFrame(rows, "row_ord int, term string, reading string").select("row_ord", D.term_score("かぜ").alias("score"))
+    return _READ.over(spark, sf_dir).select("n", D.term_score("かぜ").alias("score"))
+
 
+_ASKED = fx.Derived(fx.texts("風", "wind", "wind 風", "カゼa", "x1", "123"))
 
-@query("SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, false), (4, true), (5, false)) AS t(n, english)")
+
+@query(fx.over(_ASKED, "SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, false), (4, true), (5, false)) AS t(n, english)"))
 def english_queries(spark, sf_dir):
-    some = fx.texts("風", "wind", "wind 風", "カゼa", "x1", "123")
-    return some.spark(spark).select("n", D.english_query(F.col("text")).alias("english"))
+    return _ASKED.over(spark, sf_dir).select("n", D.english_query(F.col("text")).alias("english"))
 
 
 # ------------------------------------------------------------------ library, words
 
+_MARKS = "m AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS term, 'T' || user_id AS dictionary, event_id AS saved_at, '' AS folder FROM events)"
+_SAVED = f"""{_MARKS}, old AS (SELECT * FROM m WHERE saved_at % 50 = 0 QUALIFY row_number() OVER (PARTITION BY term, dictionary ORDER BY saved_at) = 1),
+  b AS (SELECT * FROM old UNION ALL SELECT * FROM m WHERE saved_at % 50 <> 0 AND (term, dictionary) NOT IN (SELECT (term, dictionary) FROM old) QUALIFY row_number() OVER (PARTITION BY term, dictionary ORDER BY saved_at) = 1)"""
+
+
+def bookmarks(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All events as bookmarks, those that are there from the start, and those with what the rest adds."""
+    event = F.col("event_id")
+    marks = read(spark, sf_dir, "events").select(event.cast("string").alias("id"), F.col("event_type").alias("term"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("dictionary"), event.alias("saved_at"), F.lit("").alias("folder"))
+    first = B.add_bookmarks(marks.limit(0), marks.where("saved_at % 50 = 0"))
+    return marks, first, B.add_bookmarks(first, marks.where("saved_at % 50 <> 0"))
+
+
+@query(f"WITH {_SAVED} SELECT id, term, dictionary FROM b")
+def bookmarks_add_distinct(spark, sf_dir):
+    return bookmarks(spark, sf_dir)[2].select("id", "term", "dictionary")
+
 
 @query("SELECT a.p_partkey AS id, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def similarity_of_neighbours(spark, sf_dir):
@@ -226,31 +308,39 @@ def similarity_of_neighbours(spark, sf_dir):
     return part.join(other, "p_partkey").select(F.col("p_partkey").alias("id"), T.similarity(F.col("p_name"), F.col("other")).alias("similarity"))
 
 
-@query("SELECT * FROM (VALUES ('風','T1',true), ('風','T2',true), ('夢','T1',true), ('雨','T1',false)) AS t(term, dictionary, bookmarked)")
+@query(f"WITH {_SAVED} SELECT m.id, b.id IS NOT NULL AS bookmarked FROM m LEFT JOIN (SELECT * FROM b WHERE id <> '0') b USING (term, dictionary)")
 def bookmark_flags(spark, sf_dir):
     """Bookmarks are added, one is removed, and hits are flagged."""
-    marks = B.remove_bookmark(B.add_bookmarks(fx.BOOKMARKS.spark(spark), fx.NEW_BOOKMARKS.spark(spark)), "b2")
-    hits = spark.createDataFrame([("風", "T1"), ("風", "T2"), ("夢", "T1"), ("雨", "T1")], "term string, dictionary string")
-    return B.with_bookmark_flag(hits, marks)
+    hits, _, saved = bookmarks(spark, sf_dir)
+    return B.with_bookmark_flag(hits, B.remove_bookmark(saved, "0")).select("id", "bookmarked")
 
 
-@query("SELECT * FROM (VALUES (0,'n4'), (1,'n2'), (2,'b2'), (3,'b1')) AS t(nth, id)")
+@query(f"WITH {_SAVED} SELECT id, saved_at FROM b")
 def bookmarks_newest_first(spark, sf_dir):
-    marks = B.newest_bookmarks(B.add_bookmarks(fx.BOOKMARKS.spark(spark), fx.NEW_BOOKMARKS.spark(spark)))
-    return spark.createDataFrame([(i, r["id"]) for i, r in enumerate(marks.collect())], "nth int, id string")
+    return B.newest_bookmarks(bookmarks(spark, sf_dir)[2]).select("id", "saved_at")
 
 
-@query("SELECT * FROM (VALUES (0,'風'), (1,'夢'), (2,'雨 降り')) AS t(ord, word)")
+@query("WITH w AS (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS word, unnest([0, 1, 2]) AS ord FROM part) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY ord) - 1 AS INTEGER) AS ord, word FROM w")
 def word_list_parse(spark, sf_dir):
-    return K.word_list(spark, " 風, 夢 ,,風, 雨 降り , ")
+    """A list for each part, with blanks and repetitions."""
+    typed = F.concat(F.lit(" "), "p_name", F.lit(", "), "p_brand", F.lit(" ,,"), "p_name", F.lit(", "), "p_type", F.lit(" , "))
+    return K.word_lists(read(spark, sf_dir, "part").select("p_partkey", typed.alias("text")), "p_partkey")
+
+
+_WORDS = fx.Derived(fx.Fixture("word string", ((" 風 ",), ("",), ("none such",), ("風",), ("雨",))), "pages", "page_id")
 
 
-@query("SELECT * FROM (VALUES ('entry','風:が吹く'), ('missing','none such')) AS t(kind, id)")
+@query(
+    f"""WITH w AS (SELECT n, trim(word) || ':' || n % 7 AS word FROM {_WORDS.sql('d')} WHERE trim(word) <> ''), p AS (SELECT n, '風:' || n % 11 AS word, k FROM {fx.SCRAPED.sql('d')}), q AS (SELECT DISTINCT word FROM w),
+    r AS (SELECT p.n, p.k, q.word FROM q JOIN p USING (word)) SELECT 'entry' AS kind, word || ':' || n || ':' || t.collocate AS id FROM r JOIN (VALUES (0, 'が吹く'), (1, 'の中'), (1, 'よく')) AS t(k, collocate) ON t.k = r.k
+    UNION ALL SELECT 'missing', word FROM q WHERE word NOT IN (SELECT word FROM p)"""
+)
 def scrape_queue(spark, sf_dir):
-    """Words with and without a page."""
-    words = spark.createDataFrame([(0, " 風 "), (1, ""), (2, "none such"), (3, "風")], "ord long, word string")
-    entries, missing = P.scrape(words, fx.PAGES.spark(spark).withColumnRenamed("headword", "word"))
-    return kinds(entry=entries.select(F.concat_ws(":", "headword", "collocate")), missing=missing.select("word"))
+    """Words with and without pages."""
+    words = _WORDS.over(spark, sf_dir).select(F.col("n").alias("ord"), F.when(F.trim("word") != "", F.concat(F.trim("word"), F.lit(":"), (F.col("n") % 7).cast("string"), F.lit(" "))).otherwise(F.col("word")).alias("word"))
+    pages = fx.SCRAPED.over(spark, sf_dir).select(F.concat(F.lit("風:"), (F.col("n") % 11).cast("string")).alias("word"), F.col("n").alias("page_id"), "html")
+    entries, missing = P.scrape(words, pages)
+    return kinds(entry=entries.select(F.concat_ws(":", "headword", "page_id", "collocate")), missing=missing.select("word"))
 
 
 # ------------------------------------------------------------------ discourse
@@ -258,15 +348,14 @@ def scrape_queue(spark, sf_dir):
 _LABELLED = f"{_SPLIT}, {_labels_sql('bits')}, z AS (SELECT *, {_CATEGORY_SQL} AS category FROM lab)"
 
 
-def _marked(spark) -> DataFrame:
-    return G.split_bits(fx.MARKED.spark(spark))
+def _marked(spark, sf_dir) -> DataFrame:
+    return G.split_bits(fx.marked_graphs(spark, sf_dir))
 
 
 @query(f"WITH {_TURNS}, {_rules_sql('turns')}, best AS (SELECT graph_id, bit_idx, arg_max(type, confidence * 1000 - rank) AS rule_id FROM hits GROUP BY 1, 2) SELECT rule_id, count(*) AS n FROM best GROUP BY 1")
 def rule_hit_counts(spark, sf_dir):
     """Hits of each rule over all conversations; the seed rules are named after their types."""
-    bits = A.bits_from_conversations(read(spark, sf_dir, "conversations"))
-    labelled = G.label_bits(bits)
+    labelled = G.label_bits(fx.marked_turns(spark, sf_dir))
     types = {r.id: r.type for r in G.seed_rules().all()}
     named = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     return G.rule_hit_counts(labelled).select(F.element_at(named, F.col("rule_id")).alias("rule_id"), "n")
@@ -274,36 +363,39 @@ def rule_hit_counts(spark, sf_dir):
 
 @query(f"WITH {_LABELLED} SELECT graph_id, bit_idx, text, {_COLOUR_SQL} AS colour, bit_type FROM z")
 def coloured_tokens(spark, sf_dir):
-    return G.coloured_tokens(G.label_bits(_marked(spark)))
+    return G.coloured_tokens(G.label_bits(_marked(spark, sf_dir)))
 
 
 @query(f"WITH {_LABELLED}, c AS (SELECT graph_id, bit_type, category, count(*) AS n FROM z GROUP BY 1, 2, 3) SELECT graph_id, bit_type, n, {_COLOUR_SQL} AS colour FROM c")
 def summary_colours(spark, sf_dir):
-    return G.summary_table(G.label_bits(_marked(spark))).select("graph_id", "bit_type", "n", "colour")
+    return G.summary_table(G.label_bits(_marked(spark, sf_dir))).select("graph_id", "bit_type", "n", "colour")
+
+
+#: The evidence of each rule that names a target: what it found in the bit.
+_EVIDENCE = f"""CASE relationship_type WHEN 'sequential-adjacency' THEN 'adjacent bits' WHEN 'discontinuous-parallel' THEN regexp_extract(text, '{G.LISTING}')
+  WHEN 'epistemic-speculation-cascade' THEN trim(text) END"""
 
 
-@query(f"WITH {_SPLIT}, {_rules_sql('bits')}, {_EDGES_SQL} SELECT graph_id, edge_ord, 'forward' AS direction, CASE WHEN relationship_type = 'sequential-adjacency' THEN 'adjacent bits' END AS evidence FROM edges")
+@query(f"WITH {_SPLIT}, {_rules_sql('bits')}, {_EDGES_SQL} SELECT graph_id, edge_ord, 'forward' AS direction, {_EVIDENCE} AS evidence FROM edges JOIN bits USING (graph_id) WHERE bit_idx = src_idx")
 def edge_details(spark, sf_dir):
-    found = G.edges(_marked(spark))
-    plain = F.when(F.col("relationship_type") == G.ADJACENT, F.array_join("evidence", ","))
-    return found.select("graph_id", "edge_ord", "direction", plain.alias("evidence"))
+    return G.edges(_marked(spark, sf_dir)).select("graph_id", "edge_ord", "direction", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query(f"WITH {_LABELLED}, {_EDGES_SQL} SELECT 'bits' AS kind, graph_id || ':' || bit_idx || ':' || bit_type AS id FROM z UNION ALL SELECT 'edges', graph_id || ':' || edge_ord || ':' || dst_idx FROM edges")
 def analyze_graphs(spark, sf_dir):
     """Bits, edges and cascades of whole graphs at once (these graphs have no cascade)."""
-    labelled, found, cascades = G.analyze(fx.MARKED.spark(spark))
+    labelled, found, cascades = G.analyze(fx.marked_graphs(spark, sf_dir))
     return kinds(bits=labelled.select(F.concat_ws(":", "graph_id", "bit_idx", "bit_type")), edges=found.select(F.concat_ws(":", "graph_id", "edge_ord", "dst_idx")), cascades=cascades.select("graph_id"))
 
 
 @query(
-    f"""WITH {_TURNS}, {_labels_sql('turns')}, z AS (SELECT lab.*, {_CATEGORY_SQL} AS category, role AS speaker FROM lab JOIN (SELECT CAST(conv_id AS VARCHAR) AS graph_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS bit_idx, role FROM conversations) USING (graph_id, bit_idx))
+    f"""WITH {_TURNS}, {_labels_sql('turns')}, z AS (SELECT lab.*, {_CATEGORY_SQL} AS category, speaker FROM lab JOIN turns USING (graph_id, bit_idx))
     SELECT 'structural' AS kind, graph_id || ':' || bit_idx AS id FROM z WHERE category = 'structural' UNION ALL SELECT 'speaker', graph_id || ':' || bit_idx FROM z WHERE speaker = 'user' AND category = 'hedging'
     UNION ALL SELECT 'group', graph_id || ':' || bit_idx FROM z"""
 )
 def context_lookups(spark, sf_dir):
     """Labelled turns as context records, by category, speaker, group and (never) function."""
-    records = G.context_records(G.label_bits(A.bits_from_conversations(read(spark, sf_dir, "conversations"))), "chat", "all")
+    records = G.context_records(G.label_bits(fx.marked_turns(spark, sf_dir)), "chat", "all")
     name = F.concat_ws(":", "graph_id", "bit_idx")
     finds = {
         "structural": K.context_by(records, category="structural"), "speaker": K.context_by(records, speaker="user", category="hedging"), "group": K.context_by(records, group="all"), "function": K.context_by(records, function="x"),
@@ -311,33 +403,37 @@ def context_lookups(spark, sf_dir):
     return kinds(**{kind: df.select(name) for kind, df in finds.items()})
 
 
-@query(f"WITH {_LABELLED} SELECT CAST(row_number() OVER (ORDER BY list_position(['hedging', 'epistemic', 'interactional', 'causal-logical', 'enumerative', 'referential', 'stance', 'structural'], category), graph_id, bit_idx) AS INTEGER) AS nth, graph_id, bit_idx, category FROM z")
+@query(f"WITH {_LABELLED} SELECT graph_id, bit_idx, category FROM z WHERE category IN ('hedging', 'epistemic', 'interactional', 'causal-logical', 'enumerative', 'referential', 'stance', 'structural')")
 def contexts_by_category(spark, sf_dir):
-    rows = K.by_all_categories(G.context_records(G.label_bits(_marked(spark)), "fixture")).select("graph_id", "bit_idx", "category").collect()
-    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "nth int, graph_id string, bit_idx int, category string")
+    ordered = K.by_all_categories(G.context_records(G.label_bits(_marked(spark, sf_dir)), "fixture"))
+    return ordered.select("graph_id", "bit_idx", "category")
 
 
 @query(
-    """SELECT * FROM (VALUES ('own', 'shout', 90, 'a new description', 'Shouts', 'あ！', 3), ('own', 'whisper', 1, '', '', '', 0)) AS t(type, id, priority, description, name, examples, hit_count)"""
+    f"""WITH {_TURNS}, {_rules_sql('turns')}, best AS (SELECT graph_id, bit_idx, arg_max(type, confidence * 1000 - rank) AS type FROM hits GROUP BY 1, 2), n AS (SELECT type, count(*) AS n FROM best GROUP BY 1)
+    SELECT 'seed-' || type AS id, type, CASE WHEN type = 'connector-compounding' THEN 'a new description' ELSE '' END AS description, CASE WHEN type = 'connector-compounding' THEN 'まあ,だから' ELSE '' END AS examples, CAST(n AS INTEGER) AS hit_count
+    FROM n WHERE type <> 'perspective-framing' UNION ALL SELECT 'shout', 'own', '', '', 0"""
 )
 def rule_registry(spark, sf_dir):
-    """Rules are registered, replaced, removed, counted, saved and loaded."""
+    """The hits of all conversations are counted into the rules, which are registered, removed, saved and loaded."""
     none = lambda c: G.Hit(F.lit(None).cast("double"), F.array().cast("array<string>"))
-    rules = G.Rules((G.Rule("whisper", "own", 1, none), G.Rule("shout", "own", 5, none), G.Rule("gone", "other", 9, none)))
-    rules.unregister("gone")
-    saved = json.loads(rules.serialize())
-    saved[0] |= {"priority": 90, "description": "a new description", "name": "Shouts", "examples": ["あ！"], "hit_count": 1}
+    rules = G.seed_rules()
+    rules.register(G.Rule("shout", "own", 5, none))
+    rules.unregister("seed-perspective-framing")
+    saved = [r | {"description": "a new description", "examples": ["まあ", "だから"]} if r["type"] == "connector-compounding" else r for r in json.loads(rules.serialize())]
     rules.deserialize(json.dumps([*saved, {"id": "unknown", "type": "own"}]))
-    rules.count_hits(spark.createDataFrame([("shout", 2), ("unknown", 7)], "rule_id string, n long"))
-    rows = [(r.type, r.id, r.priority, r.description, r.name, ",".join(r.examples), r.hit_count) for r in rules.by_type("own")]
-    return spark.createDataFrame(rows, "type string, id string, priority int, description string, name string, examples string, hit_count int")
+    rules.count_hits(G.rule_hit_counts(G.label_bits(fx.marked_turns(spark, sf_dir))))
+    rows = [(r.id, r.type, r.description, ",".join(r.examples), r.hit_count) for r in rules.all() if r.hit_count or r.id == "shout"]
+    return spark.createDataFrame(rows, "id string, type string, description string, examples string, hit_count int")
 
 
-@query("SELECT type AS name FROM (VALUES ('shouting')) AS t(type) UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in G.CATEGORY if t not in (G.ADJACENT, G.UNKNOWN)) + ") AS u(type)")
+@query(f"WITH {_TURNS} SELECT DISTINCT 'from ' || speaker AS name FROM turns UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in G.CATEGORY if t not in (G.ADJACENT, G.UNKNOWN)) + ") AS u(type)")
 def relation_registry(spark, sf_dir):
+    """The built-in relation types, and one for each role that conversations have, registered twice."""
     relations = G.Relations()
-    relations.register("shouting")
-    relations.register("shouting")
+    for _ in range(2):
+        for r in fx.marked_turns(spark, sf_dir).select("speaker").distinct().collect():
+            relations.register(f"from {r['speaker']}")
     return spark.createDataFrame([(n,) for n in relations.all() if relations.has(n)], "name string")
 
 

@@ -145,6 +145,12 @@ def meta_by_abbreviation(meta: DataFrame, abbreviation: str) -> DataFrame:
     return meta.where(F.lower("abbreviation") == abbreviation.lower()).orderBy("ord").limit(1)
 
 
+def meta_for_abbreviations(asked: DataFrame, meta: DataFrame, column: str = "abbreviation") -> DataFrame:
+    """Rows of `asked` with the first registry row of that abbreviation, whatever its case; unknown ones have none."""
+    first = meta.groupBy(F.lower("abbreviation").alias("key_")).agg(F.min_by(F.struct(*[c for c in meta.columns if c not in ("ord", column)]), "ord").alias("m"))
+    return asked.join(first, F.lower(column) == F.col("key_")).select(asked["*"], "m.*")
+
+
 def meta_for_titles(titles: DataFrame, meta: DataFrame) -> DataFrame:
     """title with the first registry row that fits: the abbreviation equals it or lies in it, a
     title contains it, or it contains the English title's first word.  The registry is a short

@@ -28,7 +28,8 @@ def with_bookmark_flag(hits: DataFrame, bookmarks: DataFrame) -> DataFrame:
     return hits.join(keys, ["term", "dictionary"], "left").withColumn("bookmarked", F.coalesce("bookmarked", F.lit(False)))
 
 
-def history(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Most recent first, each query once, blanks ignored, of a log (query, ts, ord)."""
+def history(log: DataFrame, limit: int | None = HISTORY_LIMIT) -> DataFrame:
+    """Most recent first, each query once, blanks ignored, of a log (query, ts, ord); without a limit, all."""
     last = log.where(F.trim("query") != "").groupBy("query").agg(F.max(F.struct("ts", "ord")).alias("last"))
-    return last.select("query", F.col("last.ts").alias("ts"), F.col("last.ord").alias("ord")).orderBy(F.desc("ts"), F.desc("ord")).limit(limit)
+    out = last.select("query", F.col("last.ts").alias("ts"), F.col("last.ord").alias("ord")).orderBy(F.desc("ts"), F.desc("ord"))
+    return out if limit is None else out.limit(limit)

@@ -168,6 +168,14 @@ def word_list(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "ord long, word string")
 
 
+def word_lists(lists: DataFrame, *keys: str) -> DataFrame:
+    """keys, ord, word: the words of comma-separated lists (`text`), trimmed, blanks dropped, in order, once each."""
+    from ..functions.text import trim
+
+    words = F.array_distinct(F.filter(F.transform(F.split("text", ","), trim), lambda x: x != ""))
+    return lists.select(*keys, F.posexplode(words).alias("ord", "word"))
+
+
 def context_by(records: DataFrame, category: str | None = None, function: str | None = None, speaker: str | None = None, group: str | None = None) -> DataFrame:
     """Context records by each given criterion.  `functions` is empty at ingest, so a search by
     function finds only records that got one later."""

@@ -488,9 +488,20 @@ def bits_of_documents(spark, sf_dir):
     return G.split_bits(A.bits_from_documents(read(spark, sf_dir, "documents")), "\n").drop("text")
 
 
-@query("SELECT * FROM (VALUES ('t1', 0, '[00:05]', 'あ||うん'), ('t1', 1, '[01:10]', '雨だから'), ('t1', 2, NULL, 'plain'), ('t1', 3, NULL, '[1:02:03] x')) AS t(doc_id, line_no, ts_label, raw)")
+#: A line of each kind, and what is read of it.
+_LINES = fx.Fixture("line string, label string, said string", (("[00:05] %s", "[00:05]", "%s"), ("  [01:10]%s ", "[01:10]", "%s"), ("%s", None, "%s"), ("", None, None), ("[1:02:03] %s", None, "[1:02:03] %s")))
+
+
+@query(
+    f"""WITH {fx.MARKED_TURNS}, s AS (SELECT graph_id AS doc_id, bit_idx, label, replace(said, '%s', 'x' || text) AS raw FROM marked JOIN (VALUES (0, '[00:05]', '%s'), (1, '[01:10]', '%s'), (2, NULL, '%s'), (4, NULL, '[1:02:03] %s')) AS l(k, label, said) ON bit_idx % 5 = k)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bit_idx) - 1 AS INTEGER) AS line_no, label AS ts_label, trim(raw) AS raw FROM s"""
+)
 def transcript_lines(spark, sf_dir):
-    return G.transcript_lines(fx.TRANSCRIPT.spark(spark))
+    """Conversations as transcripts: a turn is a line, with a time or without, or a blank one."""
+    lines = F.array(*[F.lit(row[0]) for row in _LINES.rows])
+    turns = fx.marked_turns(spark, sf_dir).select("graph_id", "bit_idx", F.replace(F.element_at(lines, F.col("bit_idx") % 5 + 1), F.lit("%s"), F.concat(F.lit("x"), "text")).alias("line"))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bit_idx", "line"))), lambda x: x["line"]), "\n")
+    return G.transcript_lines(turns.groupBy(F.col("graph_id").alias("doc_id")).agg(raw.alias("raw")))
 
 
 @query(f"WITH {_SPLIT} SELECT graph_id, bit_idx, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([{G.PARTICLES}])', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS tokens FROM bits")
@@ -599,34 +610,35 @@ def dot_text(spark, sf_dir):
     return G.dot_text(G.label_bits(bits), G.edges(bits))
 
 
-@query(
-    f"""WITH RECURSIVE e AS (SELECT * FROM {fx.EDGES.sql()} WHERE relationship_type <> 'sequential-adjacency'),
-    r AS (SELECT graph_id, [edge_ord] AS path, [relationship_type] AS types, [src_idx, dst_idx] AS nodes FROM e WHERE src_idx <> dst_idx
-      UNION ALL SELECT r.graph_id, list_append(path, edge_ord), list_append(types, relationship_type), list_append(nodes, dst_idx) FROM r JOIN e ON e.graph_id = r.graph_id AND e.src_idx = nodes[-1] AND NOT list_contains(nodes, dst_idx))
-    SELECT graph_id, array_to_string(path, '-') AS path FROM r WHERE len(path) >= 3"""
-)
-def cascades_simple_paths(spark, sf_dir):
-    return G.cascades(fx.EDGES.spark(spark)).select("graph_id", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+#: Chains of twelve events each, whose every fourth chain also leads back into itself; every 29th edge is a plain neighbour.
+_KINDS = ("causal-concessive-cascade", "connector-compounding", "x", "epistemic-speculation-cascade", "y")
+_EVENT_EDGES = f"""e AS (SELECT CAST(event_id // 12 AS VARCHAR) AS graph_id, CAST(event_id % 12 AS INTEGER) AS edge_ord, CAST(event_id % 12 AS INTEGER) AS src_idx,
+  CAST(CASE WHEN event_id % 48 = 40 THEN 2 ELSE event_id % 12 + 1 END AS INTEGER) AS dst_idx, CASE WHEN event_id % 29 = 0 THEN 'sequential-adjacency' ELSE [{', '.join(map(repr, _KINDS))}][event_id * 7 // 3 % 5 + 1] END AS relationship_type FROM events)"""
+_PATHS = f"""{_EVENT_EDGES}, s AS (SELECT * FROM e WHERE relationship_type <> 'sequential-adjacency'), r AS (SELECT graph_id, [edge_ord] AS path, [relationship_type] AS types, [src_idx, dst_idx] AS nodes FROM s WHERE src_idx <> dst_idx
+  UNION ALL SELECT r.graph_id, list_append(path, edge_ord), list_append(types, relationship_type), list_append(nodes, dst_idx) FROM r JOIN s ON s.graph_id = r.graph_id AND s.src_idx = nodes[-1] AND NOT list_contains(nodes, dst_idx))"""
 
 
-#: Every stretch of three to eight edges of the one long path, and the paths of the short graphs.
-_LONG = ", ".join(
-    f"('long','{'-'.join(map(str, range(a, b)))}','t{a}-t{a + 1}-cascade','Emergent meaning from chained {', '.join(f't{i}' for i in range(a, b))} relationships')"
-    for a in range(8)
-    for b in range(a + 3, 9)
-)
+def event_edges(spark, sf_dir) -> DataFrame:
+    event = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.floor(event * 7 / 3) % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select(
+        F.floor(event / 12).cast("string").alias("graph_id"), (event % 12).cast("int").alias("edge_ord"), (event % 12).cast("int").alias("src_idx"),
+        F.when(event % 48 == 40, 2).otherwise(event % 12 + 1).cast("int").alias("dst_idx"), F.when(event % 29 == 0, G.ADJACENT).otherwise(kind).alias("relationship_type"),
+    )
+
+
+@query(f"WITH RECURSIVE {_PATHS} SELECT graph_id, array_to_string(path, '-') AS path FROM r WHERE len(path) >= 3")
+def cascades_simple_paths(spark, sf_dir):
+    return G.cascades(event_edges(spark, sf_dir)).select("graph_id", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
 @query(
-    f"""SELECT * FROM (VALUES ('g','0-1-2','causal-connector-cascade','Stacked connectors navigate a causal-concessive argument while managing face'),
-    ('g','1-2-3','connector-compounding-x-cascade','Emergent meaning from chained connector-compounding, x, assertion-deflation relationships'),
-    ('g','0-1-2-3','causal-connector-cascade','Stacked connectors navigate a causal-concessive argument while managing face'),
-    ('h','2-3-4','speculation-hedge-cascade','Speaker builds layered epistemic hedging through speculation then stance softening'),
-    ('h','1-2-3','y-z-cascade','Emergent meaning from chained y, z, hedge-stance-softening relationships'),
-    ('h','1-2-3-4','speculation-hedge-cascade','Speaker builds layered epistemic hedging through speculation then stance softening'), {_LONG}) AS t(graph_id, path, cascade_type, overall_function)"""
+    f"""WITH RECURSIVE {_PATHS}, u AS (SELECT *, list_filter(types, lambda x, i: list_position(types, x) = i) AS once FROM r WHERE len(path) >= 3)
+    SELECT graph_id, array_to_string(path, '-') AS path, CASE WHEN list_has_all(types, ['connector-compounding', 'causal-concessive-cascade']) THEN 'causal-connector-cascade' ELSE array_to_string(once[1:2], '-') || '-cascade' END AS cascade_type,
+    CASE WHEN list_has_all(types, ['connector-compounding', 'causal-concessive-cascade']) THEN 'Stacked connectors navigate a causal-concessive argument while managing face' ELSE 'Emergent meaning from chained ' || array_to_string(once, ', ') || ' relationships' END AS overall_function FROM u"""
 )
 def cascade_types(spark, sf_dir):
-    found = G.cascades(fx.EDGES.spark(spark))
+    found = G.cascades(event_edges(spark, sf_dir))
     return found.select("graph_id", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "cascade_type", "overall_function")
 
 
@@ -706,39 +718,89 @@ def dict_suggest(spark, sf_dir):
     return D.suggest(*dictionary_tables(spark, sf_dir), "an").select("dictionary", "term", "score")
 
 
-_TITLES = fx.Fixture("title string", (("大辞林 第四版",), ("デジタル大辞泉",), ("知らない長い辞書名です",)))
+_TITLES = fx.Derived(fx.Fixture("title string", (("大辞林 第四版",), ("デジタル大辞泉",), ("知らない長い辞書名です",))), "supplier", "s_suppkey")
 
 
-@query("SELECT * FROM (VALUES ('大辞林 第四版','大辞林4','国語辞典','ja'), ('デジタル大辞泉','大辞泉','国語辞典','ja'), ('知らない長い辞書名です','知らない長い辞書','専門用語','ja')) AS t(title, abbreviation, category, language)")
+@query(
+    f"""WITH d AS (SELECT title || CASE WHEN k = 2 THEN CAST(n AS VARCHAR) ELSE '' END AS title, k, min(n) AS n FROM {_TITLES.sql()} GROUP BY 1, 2)
+    SELECT title, abbreviation, category, language FROM d JOIN (VALUES (0,'大辞林4','国語辞典','ja'), (1,'大辞泉','国語辞典','ja'), (2,'知らない長い辞書','専門用語','ja')) AS t(k, abbreviation, category, language) ON t.k = d.k"""
+)
 def dict_meta_lookup(spark, sf_dir):
-    return D.meta_for_titles(_TITLES.spark(spark), D.meta_table(spark)).select("title", "abbreviation", "category", "language")
+    """A title for each supplier; those of the third kind are all different, and unknown."""
+    title = F.concat("title", F.when(F.col("k") == 2, F.col("n").cast("string")).otherwise(""))
+    return D.meta_for_titles(_TITLES.over(spark, sf_dir).select(title.alias("title")), D.meta_table(spark)).select("title", "abbreviation", "category", "language")
+
+
+#: Bank rows of every kind, and what is read of them; %d is the document's number.
+_BANK_ROWS = (
+    ('["風%d","かぜ","n","",5,["wind",{"type":"image","path":"a"},{"type":"structured-content","content":"s"}],1,"common"]', "風%d", "かぜ", "n common", "text:wind|image:|structured-content:"),
+    ('["夢%d","","n v","",1,["dream",null,7],3,"common rare"]', "夢%d", "", "n v common rare", "text:dream|text:null|text:7"),
+    ('["雨%d",5,"n","",1,["rain"],2,""]', "雨%d", "雨%d", "n", "text:rain"),
+    ('["短",1,"n","",5]', None, None, None, None),
+    ('[5,"x","n","",5,[],1,""]', None, None, None, None),
+    ('["空","そら","","",0,[],0,null]', "空", "そら", "", ""),
+    ('{"no":"row"}', None, None, None, None),
+)
+_KANJI_ROWS = (
+    ('["風","フウ フ","かぜ","jouyou",["wind","%d"],{"strokes":"9","id":"%d"}]', "風", "フウ フ", "かぜ", "jouyou", "wind %d", "9"),
+    ('["short","a","b","c"]', None, None, None, None, None, None),
+    ('["雨",1,"あめ",null,[],{}]', "雨", "", "あめ", "", "", None),
+)
+
+
+def _spread(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "NULL" if x is None else f"'{x}'" for x in (i, *row[1:])) + ")" for i, row in enumerate(rows))
+
+
+_OWN = "d AS (SELECT doc_id, source AS dictionary FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)"
+
+
+def _banked(spark, sf_dir, rows: tuple, kind: str) -> DataFrame:
+    """A bank row for each document, in banks of a hundred, and the indexes."""
+    docs = read(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    body = F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col("doc_id") % len(rows) + 1).cast("int"))
+    cells = docs.select(F.col("source").alias("dictionary"), F.col("doc_id").alias("row_ord"), F.replace(body, F.lit("%d"), F.col("doc_id").cast("string")).alias("row"))
+    return Z.bank_files(cells, kind, 100).unionByName(Z.index_files(A.dictionaries_from_documents(docs)))
+
+
+def kanji_files(spark, sf_dir) -> DataFrame:
+    return _banked(spark, sf_dir, _KANJI_ROWS, "kanji")
 
 
 @query(
-    """SELECT * FROM (VALUES ('風','かぜ','n common',0,'text:wind|image:|structured-content:'), ('夢','','n v common rare',3,'text:dream|text:null|text:7'), ('雨','あめ','n',4,'text:rain'))
-    AS t(term, reading, tags, row_ord, content)"""
+    f"""WITH {_OWN}, s AS (SELECT *, doc_id // 100 AS bank FROM d), c AS (SELECT dictionary, bank, count(*) AS n FROM s GROUP BY 1, 2),
+    f AS (SELECT dictionary, bank, coalesce(sum(n) OVER (PARTITION BY dictionary ORDER BY 'term_bank_' || bank || '.json' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c),
+    p AS (SELECT s.*, CAST(first + row_number() OVER (PARTITION BY dictionary, bank ORDER BY doc_id) - 1 AS BIGINT) AS row_ord FROM s JOIN f USING (dictionary, bank))
+    SELECT dictionary, replace(term, '%d', CAST(doc_id AS VARCHAR)) AS term, replace(reading, '%d', CAST(doc_id AS VARCHAR)) AS reading, tags, row_ord, content FROM p JOIN (VALUES {_spread(_BANK_ROWS)}) AS t(k, term, reading, tags, content) ON k = doc_id % {len(_BANK_ROWS)} WHERE term IS NOT NULL"""
 )
 def dict_import_terms(spark, sf_dir):
-    terms = Z.parse_terms(Z.from_map(spark, fx.BANKS))
+    terms = Z.parse_terms(_banked(spark, sf_dir, _BANK_ROWS, "term"))
     d = F.col("definitions")[0]
     items = F.transform(d["content"], lambda c: F.concat(c["type"], F.lit(":"), F.coalesce(c["text"], F.lit(""))))
-    return terms.select("term", "reading", F.array_join(d["tags"], " ").alias("tags"), F.col("row_ord").cast("int").alias("row_ord"), F.array_join(items, "|").alias("content"))
+    return terms.select("dictionary", "term", "reading", F.array_join(d["tags"], " ").alias("tags"), "row_ord", F.array_join(items, "|").alias("content"))
 
 
-@query("SELECT * FROM (VALUES ('風','フウ フ','かぜ','jouyou','wind','9')) AS t(character, onyomi, kunyomi, tags, meanings, strokes)")
+@query(f"WITH {_OWN} SELECT dictionary, character, onyomi, kunyomi, tags, replace(meanings, '%d', CAST(doc_id AS VARCHAR)) AS meanings, strokes FROM d JOIN (VALUES {_spread(_KANJI_ROWS)}) AS t(k, character, onyomi, kunyomi, tags, meanings, strokes) ON k = doc_id % {len(_KANJI_ROWS)} WHERE character IS NOT NULL")
 def dict_import_kanji(spark, sf_dir):
-    k = Z.parse_kanji(Z.from_map(spark, fx.BANKS))
-    return k.select("character", *[F.array_join(c, " ").alias(c) for c in ("onyomi", "kunyomi", "tags", "meanings")], F.col("stats")["strokes"].alias("strokes"))
+    k = Z.parse_kanji(kanji_files(spark, sf_dir))
+    return k.select("dictionary", "character", *[F.array_join(c, " ").alias(c) for c in ("onyomi", "kunyomi", "tags", "meanings")], F.col("stats")["strokes"].alias("strokes"))
 
 
-@query(f"WITH d AS (SELECT * FROM {fx.DICTS.sql()}) SELECT category, CAST(list_position([{', '.join(repr(c) for c in D.CATEGORY_ORDER)}], category) AS INTEGER) AS shelf, string_agg(title, ',' ORDER BY title) AS titles FROM d WHERE list_contains([{', '.join(repr(c) for c in D.CATEGORY_ORDER)}], category) GROUP BY category")
+_SHELVED = fx.Derived(fx.DICTS, "supplier", "s_suppkey")
+
+
+def _dictionaries(spark, sf_dir) -> DataFrame:
+    return _SHELVED.over(spark, sf_dir).withColumn("title", F.concat("title", F.lit("-"), F.col("n").cast("string")))
+
+
+@query(f"WITH d AS (SELECT category, title || '-' || n AS title FROM {_SHELVED.sql()}) SELECT category, CAST(list_position([{', '.join(repr(c) for c in D.CATEGORY_ORDER)}], category) AS INTEGER) AS shelf, string_agg(title, ',' ORDER BY title) AS titles FROM d WHERE list_contains([{', '.join(repr(c) for c in D.CATEGORY_ORDER)}], category) GROUP BY category")
 def dict_shelf(spark, sf_dir):
-    return D.shelf(fx.DICTS.spark(spark)).select("category", "shelf", F.array_join("titles", ",").alias("titles"))
+    return D.shelf(_dictionaries(spark, sf_dir)).select("category", "shelf", F.array_join("titles", ",").alias("titles"))
 
 
-@query("SELECT * FROM (VALUES ('T1','大','大辞林 第四版'), ('T2','NED','NED'), ('T3','と','とても長い題名の漢字辞…'), ('T4','そ','その他')) AS t(title, badge, label)")
+@query(f"SELECT d.title || '-' || n AS title, badge, label FROM {_SHELVED.sql('d')} JOIN (VALUES ('T1','大','大辞林 第四版'), ('T2','NED','NED'), ('T3','と','とても長い題名の漢字辞…'), ('T4','そ','その他')) AS t(title, badge, label) USING (title)")
 def dict_tiles(spark, sf_dir):
-    return D.tile(fx.DICTS.spark(spark))
+    return D.tile(_dictionaries(spark, sf_dir))
 
 
 @query(f"WITH {_TERMS} SELECT dictionary, CAST(floor(row_ord / 10000) AS BIGINT) AS part, min(row_ord) AS first_rank, md5(string_agg(term, ' ' ORDER BY row_ord)) AS terms FROM terms GROUP BY 1, 2")
@@ -754,19 +816,14 @@ def results_grouped_of_hits(spark, sf_dir):
     return D.grouped_results(hits).select("dictionary", "first_rank", F.size("terms").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('風',1,'①','text'), ('風',3,'③','structured-content'), ('夢',1,'①','text'), ('夢',2,'②','text'), ('夢',3,'③','text'), ('雨',1,'①','text')) AS t(term, sense_no, label, type)")
+@query(f"WITH {_OWN} SELECT dictionary, replace(term, '%d', CAST(doc_id AS VARCHAR)) AS term, sense_no, label, type FROM d JOIN (VALUES (0,'風%d',1,'①','text'), (0,'風%d',3,'③','structured-content'), (1,'夢%d',1,'①','text'), (1,'夢%d',2,'②','text'), (1,'夢%d',3,'③','text'), (2,'雨%d',1,'①','text')) AS t(k, term, sense_no, label, type) ON k = doc_id % {len(_BANK_ROWS)}")
 def sense_numbers(spark, sf_dir):
-    return D.senses(Z.parse_terms(Z.from_map(spark, fx.BANKS))).select("term", "sense_no", "label", "type")
+    return D.senses(Z.parse_terms(_banked(spark, sf_dir, _BANK_ROWS, "term"))).select("dictionary", "term", "sense_no", "label", "type")
 
 
 # ------------------------------------------------------------------ library
 
 
-@query("SELECT * FROM (VALUES ('b1','風','T1'), ('b2','雨','T1'), ('n2','風','T2'), ('n4','夢','T1')) AS t(id, term, dictionary)")
-def bookmarks_add_distinct(spark, sf_dir):
-    return B.add_bookmarks(fx.BOOKMARKS.spark(spark), fx.NEW_BOOKMARKS.spark(spark)).select("id", "term", "dictionary")
-
-
 @query("WITH h AS (SELECT event_type || ':' || user_id AS query, max(struct_pack(ts := ts, ord := event_id)) AS last FROM events GROUP BY 1) SELECT query, last.ord AS ord FROM h ORDER BY last.ts DESC, last.ord DESC LIMIT 100")
 def history_mru(spark, sf_dir):
     return B.history(A.history_from_events(read(spark, sf_dir, "events"))).select("query", "ord")
@@ -774,10 +831,10 @@ def history_mru(spark, sf_dir):
 
 # ------------------------------------------------------------------ catalogue
 
-_CORPUS = fx.texts(
+_CORPUS = fx.Derived(fx.texts(
     "まるで夢かのような", "理想から遠い", "大雨について話す。雨についての話", "走り始めた、歩き始めた", "行かざるを得ない", "雨とはいえ", "書きやすい", "正しいと考えられる", "旅を機に", "夏に比べて", "海を目指して",
     "君から遠い人", "星がきらきらする", "胸が躍る", "行くとしたら", "虹と呼ばれる", "百人に及ぶ", "彼のせいで", "𠮷野家らしい", "plain text", "",
-)
+), "documents", "doc_id")
 #: Results worked out by hand from the rows of the catalogue; a text for each family, and overlapping, repeated and wide ones.
 _MATCHES = """(VALUES
   (0,'比喩照合型','まるで+N+かのような','直喩照合型','夢','かのような','名詞','表現',0,9,85),
@@ -806,16 +863,19 @@ _MATCHES = """(VALUES
   ) AS m(n, family, pattern, label, headword, collocate, headword_pos, collocate_pos, start, "end", confidence)"""
 
 
-@query(f"SELECT * FROM {_MATCHES}")
+@query(fx.over(_CORPUS, f"SELECT * FROM {_MATCHES}"))
 def extract_patterns(spark, sf_dir):
-    return X.extract_patterns(_CORPUS.spark(spark), "n").drop("spec_id")
+    return X.extract_patterns(_CORPUS.over(spark, sf_dir), "n").drop("spec_id")
 
 
-@query(f"SELECT family, count(*) AS n FROM {_MATCHES} GROUP BY family")
+@query(f"SELECT family, count(*) AS n FROM ({fx.over(_CORPUS, f'SELECT * FROM {_MATCHES}')}) GROUP BY family")
 def extract_pattern_family_counts(spark, sf_dir):
-    return X.extract_patterns(_CORPUS.spark(spark), "n").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return X.extract_patterns(_CORPUS.over(spark, sf_dir), "n").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BEST = f'SELECT n, pattern, start, "end", confidence FROM {_MATCHES} QUALIFY row_number() OVER (PARTITION BY n, start ORDER BY confidence DESC, "end" DESC) = 1'
 
 
-@query(f"SELECT * EXCLUDE nth FROM (SELECT n, pattern, start, \"end\", confidence, row_number() OVER (PARTITION BY n, start ORDER BY confidence DESC, \"end\" DESC) AS nth FROM {_MATCHES}) WHERE nth = 1")
+@query(fx.over(_CORPUS, _BEST))
 def extract_patterns_best(spark, sf_dir):
-    return X.extract_patterns(_CORPUS.spark(spark), "n", best_only=True).select("n", "pattern", "start", "end", "confidence")
+    return X.extract_patterns(_CORPUS.over(spark, sf_dir), "n", best_only=True).select("n", "pattern", "start", "end", "confidence")

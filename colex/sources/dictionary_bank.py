@@ -1,4 +1,8 @@
-"""Dictionary banks: zip archives (or name -> JSON rows) of positional arrays to nested rows."""
+"""Dictionary banks: zip archives (or name -> JSON rows) of positional arrays to nested rows.
+
+Files come whole (archive, name, body) or in rows (archive, name, at, row), as the data source of
+sources.archives reads them: an element of a member's JSON array each.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FILES = "archive string, name string, body string"
+ROWS = "archive string, name string, at int, row string"
+#: Rows of a bank in archives that are written here.
+BANK = 10_000
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +54,19 @@ def from_map(spark: SparkSession, files: dict[str, str], archive: str = "") -> D
     return spark.createDataFrame([(archive, k, v) for k, v in files.items()], FILES)
 
 
+def rows_of(files: DataFrame) -> DataFrame:
+    """archive, name, at, row: the elements of each file's JSON array, or the file itself, at -1, if it is none."""
+    if "row" in files.columns:
+        return files
+    each = F.coalesce(F.from_json("body", "array<string>"), F.array().cast("array<string>"))
+    listed = F.ltrim("body").startswith("[")
+    return files.where(listed).select("archive", "name", F.posexplode(each).alias("at", "row")).union(files.where(~listed).select("archive", "name", F.lit(-1), "body"))
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """archive, title, format, revision of each index.json; archives without one are "unknown"."""
-    index = F.from_json("body", "title string, format int, revision string")
+    body = "row" if "row" in files.columns else "body"
+    index = F.from_json(body, "title string, format int, revision string")
     found = files.where("name = 'index.json'").select("archive", index.alias("i"))
     known = files.select("archive").distinct().join(found, "archive", "left")
     return known.select("archive", F.coalesce("i.title", F.lit("unknown")).alias("title"), "i.format", "i.revision")
@@ -58,13 +75,13 @@ def manifests(files: DataFrame) -> DataFrame:
 def _bank_rows(files: DataFrame, kind: str) -> DataFrame:
     """title, row_ord, cells (JSON text of each) for the rows of root-level banks, in the
     lexicographic order of the banks' names."""
-    banks = files.where(F.col("name").rlike(rf"^{kind}_bank_\d+\.json$"))
-    banks = banks.join(manifests(files).select("archive", "title"), "archive").select("title", "archive", "name", F.from_json("body", "array<string>").alias("rows"))
+    rows = rows_of(files.where(F.col("name").rlike(rf"^{kind}_bank_\d+\.json$"))).where("at >= 0")
+    rows = rows.join(manifests(files).select("archive", "title"), "archive")
     # a bank's first number follows from the sizes of the banks before it: only these are ordered
     before = W.partitionBy("title").orderBy("name", "archive").rowsBetween(W.unboundedPreceding, -1)
-    sizes = banks.select("title", "archive", "name", F.coalesce(F.size("rows"), F.lit(0)).alias("n"))
+    sizes = rows.groupBy("title", "archive", "name").agg((F.max("at") + 1).alias("n"))
     firsts = sizes.select("archive", "name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    each = banks.join(firsts, ["archive", "name"]).select("title", "first", F.posexplode("rows").alias("at", "row"))
+    each = rows.join(firsts, ["archive", "name"])
     return each.withColumn("cells", F.from_json("row", "array<string>")).withColumn("row_ord", (F.col("first") + F.col("at")).cast("long"))
 
 
@@ -126,3 +143,34 @@ def parse_kanji(files: DataFrame) -> DataFrame:
         F.coalesce(F.from_json(_cell(5), "map<string,string>"), F.create_map().cast("map<string,string>")).alias("stats"),
         "row_ord",
     )
+
+
+# ------------------------------------------------------------------ the other way
+
+
+def term_cells(terms: DataFrame) -> DataFrame:
+    """dictionary, row_ord, row: terms as the positional arrays that banks hold; a term's rules and score are blank."""
+    first = F.col("definitions")[0]
+
+    def bare(c: Column) -> Column:
+        """A text as JSON: a list of it, without the brackets."""
+        listed = F.to_json(F.array(c))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    item = F.transform(first["content"], lambda c: F.when(c["type"] == "text", bare(c["text"])).otherwise(c["content"]))
+    cells = [bare(F.col("term")), bare(F.col("reading")), bare(F.array_join(first["tags"], " ")), F.lit('""'), F.lit("0"), F.concat(F.lit("["), F.array_join(item, ","), F.lit("]")), first["sequence"].cast("string"), F.lit('""')]
+    return terms.select("dictionary", "row_ord", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("row"))
+
+
+def bank_files(cells: DataFrame, kind: str, size: int = BANK) -> DataFrame:
+    """archive, name, body: banks of `size` places (dictionary, row_ord, row) each, a dictionary's in the archive of its name."""
+    number = F.floor(F.col("row_ord") / size).alias("number")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "row"))), lambda x: x["row"]), ",")
+    banks = cells.groupBy(F.col("dictionary").alias("archive"), number).agg(F.concat(F.lit("["), body, F.lit("]")).alias("body"))
+    return banks.select("archive", F.concat(F.lit(f"{kind}_bank_"), F.col("number").cast("string"), F.lit(".json")).alias("name"), "body")
+
+
+def index_files(dictionaries: DataFrame) -> DataFrame:
+    """archive, name, body: the index of each title."""
+    body = F.to_json(F.struct("title", F.lit(3).alias("format"), F.lit("1").alias("revision")))
+    return dictionaries.select(F.col("title").alias("archive"), F.lit("index.json").alias("name"), body.alias("body"))
