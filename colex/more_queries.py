@@ -11,19 +11,22 @@ from .api import Workspace
 from .functions import text as T
 from .operators import dictionary as D
 from .operators import discourse as G
+from .operators import fuzzy_index as X
 from .operators import library as B
+from .operators import postings as N
 from .operators import search as S
 from .operators import store as K
 from .operators.dictionary_store import DictionaryStore
 from .plans import fixtures as fx
 from .plans import schemas as A
 from .plans.shared import shared_path
-from .queries import kanji_files, _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
+from .queries import SHOWN, both_sql, kanji_files, scored_sql, _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
 from .sources import dictionary_bank as Z
 from .sources import lexicon as I
 from .sources import pages as P
 from .sources.archives import read_rows, write_archives
-from .streaming import ingest
+from .streaming import history, ingest
+from .streaming.deltas import DeltaStore
 
 
 def kinds(**finds: DataFrame) -> DataFrame:
@@ -96,6 +99,42 @@ def library_json_round_trip(spark, sf_dir):
     return saved.unionByName(kept.select(F.lit("event").alias("id"), F.col("query").alias("term"), F.lit("").alias("dictionary"), F.col("ts").alias("saved_at"), F.lit("").alias("folder")))
 
 
+# ------------------------------------------------------------------ indexes
+
+
+def _indexed(query: str):
+    def run(spark, sf_dir):
+        lex = lexicon(spark, sf_dir)
+        return X.search(lex, X.build(lex), S.SearchOptions(query, max_results=None)).select(SHOWN)
+
+    return run
+
+
+@query(scored_sql(both_sql("smal rong"), tail=""))
+def search_fuzzy_whole_indexed(spark, sf_dir):
+    """search_fuzzy_whole by way of the index."""
+    return _indexed("smal rong")(spark, sf_dir)
+
+
+@query(scored_sql(both_sql("widgit"), tail=""))
+def search_fuzzy_window_indexed(spark, sf_dir):
+    """search_fuzzy_window by way of the index."""
+    return _indexed("widgit")(spark, sf_dir)
+
+
+@query(
+    f"""WITH {LEX}, n AS (SELECT id, ord, [headword, CAST(frequency AS VARCHAR)] AS tags FROM lex WHERE ord % 5 = 2 UNION ALL SELECT id, ord, tags FROM lex WHERE ord % 5 NOT IN (1, 2)),
+    e AS (SELECT DISTINCT unnest(tags) AS key, id, ord FROM n) SELECT key, CAST(ord // 100 AS BIGINT) AS block, string_agg(id, ' ' ORDER BY ord) AS ids FROM e GROUP BY 1, 2"""
+)
+def postings_maintained(spark, sf_dir):
+    """The index of all tags after a fifth of the entries changed theirs and a fifth is deleted, by the blocks that this touches."""
+    lex = lexicon(spark, sf_dir)
+    blocks = N.build(lex, "tags", 100)
+    before, after = lex.where("ord % 5 IN (1, 2)"), lex.where("ord % 5 = 2").withColumn("tags", F.array("headword", F.col("frequency").cast("string")))
+    now = N.maintain(blocks, N.changes(before, after, "tags"), 100)
+    return now.select("key", "block", F.array_join(F.transform("postings", lambda p: p["id"]), " ").alias("ids"))
+
+
 # ------------------------------------------------------------------ store
 
 
@@ -449,3 +488,29 @@ def stream_upserts(spark, sf_dir):
         rows.write.mode("append").json(source)
         ingest.upsert_into(ingest.read_entries(spark, source), target, f"{target}-checkpoint").awaitTermination()
     return ingest.latest_snapshot(spark, target).select("id", "full_phrase", "frequency")
+
+
+@query(f"WITH {LEX} SELECT id, full_phrase, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN frequency + 1000 ELSE frequency END AS frequency, CAST(CASE WHEN CAST(id AS BIGINT) % 10 = 4 THEN 1 ELSE 0 END AS BIGINT) AS batch FROM lex WHERE CAST(id AS BIGINT) % 10 <> 6")
+def stream_delta_upserts(spark, sf_dir):
+    """The same by buckets, with a compaction between the batches; some ids are deleted, and some of these come again."""
+    source = shared_path(spark, "incoming")
+    store = DeltaStore(spark, shared_path(spark, "deltas"), buckets=8)
+    lex = lexicon(spark, sf_dir)
+    lex.write.mode("append").json(source)
+    store.follow(ingest.read_entries(spark, source), f"{store.path}/checkpoint").awaitTermination()
+    store.compact()
+    store.delete(lex.where("CAST(id AS BIGINT) % 10 IN (4, 6)"), 1)
+    store.upsert(lex.where("CAST(id AS BIGINT) % 2 = 0 AND CAST(id AS BIGINT) % 10 <> 6").withColumn("frequency", F.col("frequency") + 1000), 2)
+    return store.read().select("id", "full_phrase", "frequency", F.when(F.shiftright("ord", 40) > 0, 1).otherwise(0).cast("long").alias("batch"))
+
+
+@query("WITH h AS (SELECT event_type || ':' || user_id AS query, max(struct_pack(ts := ts, ord := event_id)) AS last FROM events GROUP BY 1) SELECT query, last.ord AS ord FROM h ORDER BY last.ts DESC, last.ord DESC LIMIT 100")
+def history_stream(spark, sf_dir):
+    """The most recent queries of all events, which arrive in two files, the later ones first."""
+    source, target = shared_path(spark, "asked"), shared_path(spark, "recent")
+    log = A.history_from_events(read(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ("ord % 3 = 2", "ord % 3 <> 2"):
+        log.where(part).write.mode("append").parquet(source)
+        lists = history.most_recent(spark.readStream.schema(log.schema).parquet(source))
+        history.keep_history(lists, target, f"{target}-checkpoint").awaitTermination()
+    return history.recent(spark, target).select("query", "ord")

@@ -13,7 +13,6 @@ reading open only files whose range meets theirs.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -21,6 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.commits import Commits, children, remove
 from ..plans.schemas import DICTIONARIES, KANJI, TERMS
 from .dictionary import meta_for_titles, meta_table
 
@@ -30,46 +30,16 @@ _DIRECTORY = "kind string, file string, low string, high string, n long"
 _LAST = "\U0010ffff"
 
 
-class Conflict(RuntimeError):
-    """Another commit took the number first."""
-
-
 class DictionaryStore:
     """The dictionaries below a folder that all executors share; `rows_a_file` sets how fine key ranges are."""
 
     def __init__(self, spark: SparkSession, path: str, rows_a_file: int = 100_000):
         self.spark, self.path, self.rows_a_file = spark, path.rstrip("/"), rows_a_file
-
-    # -------------------------------------------------------------- commits
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[int]:
-        at, fs = self._fs(f"{self.path}/commits")
-        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json")) if fs.exists(at) else []
+        self.commits = Commits(spark, f"{self.path}/commits")
 
     def state(self, number: int | None = None) -> tuple[int, dict[str, dict]]:
         """(number, title -> version and metadata) of a commit, the newest by default; -1 before the first."""
-        if number is None:
-            number = max(self.commits(), default=-1)
-        if number < 0:
-            return -1, {}
-        text = self.spark.read.text(f"{self.path}/commits/{number:012d}.json", wholetext=True).first()[0]
-        return number, json.loads(text)
-
-    def _commit(self, number: int, titles: dict[str, dict]) -> None:
-        jvm = self.spark.sparkContext._jvm
-        draft, fs = self._fs(f"{self.path}/commits/.{uuid.uuid4().hex}")
-        final, _ = self._fs(f"{self.path}/commits/{number:012d}.json")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(titles, ensure_ascii=False, sort_keys=True).encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(draft.toString()), False)
-            raise Conflict(f"commit {number} is taken")
+        return self.commits.read(number)
 
     # -------------------------------------------------------------- changes
 
@@ -103,13 +73,13 @@ class DictionaryStore:
         for r in rows.toLocalIterator():  # titles are what the commit lists, a line each
             fresh[r["title"]] = {"version": version, **r.asDict(), "term_count": r["term_count"] or 0, "imported_at": now_ms}
         before_commit()
-        self._commit(number + 1, titles | fresh)
+        self.commits.write(number + 1, titles | fresh)
         return number + 1
 
     def delete(self, *titles: str) -> int:
         """Takes titles out, with their terms, kanji and metadata; unknown ones change nothing."""
         number, known = self.state()
-        self._commit(number + 1, {t: x for t, x in known.items() if t not in titles})
+        self.commits.write(number + 1, {t: x for t, x in known.items() if t not in titles})
         return number + 1
 
     def clear(self) -> int:
@@ -121,20 +91,18 @@ class DictionaryStore:
         terms, kanji = self.table("terms"), self.table("kanji")
         version = uuid.uuid4().hex
         self._write_version(version, terms, kanji)
-        self._commit(number + 1, {t: x | {"version": version} for t, x in titles.items()})
+        self.commits.write(number + 1, {t: x | {"version": version} for t, x in titles.items()})
         return number + 1
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the commits before the last `keep` and the versions that none of the rest names; returns how many versions."""
-        numbers = self.commits()
+        numbers = self.commits.numbers()
         for number in numbers[:-keep]:
-            at, fs = self._fs(f"{self.path}/commits/{number:012d}.json")
-            fs.delete(at, False)
+            remove(self.spark, self.commits.path(number))
         named = {x["version"] for number in numbers[-keep:] for x in self.state(number)[1].values()}
-        at, fs = self._fs(f"{self.path}/data")
-        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in named] if fs.exists(at) else []
-        for path in gone:
-            fs.delete(path, True)
+        gone = [version for version in children(self.spark, f"{self.path}/data") if version not in named]
+        for version in gone:
+            remove(self.spark, f"{self.path}/data/{version}")
         return len(gone)
 
     # -------------------------------------------------------------- reading

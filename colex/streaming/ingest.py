@@ -1,4 +1,4 @@
-"""Incremental ingest: file streams into the lexicon, and the search history as a stream."""
+"""Incremental ingest: file streams into snapshots of the lexicon (streaming.deltas keeps it in buckets instead)."""
 
 from __future__ import annotations
 
@@ -41,9 +41,3 @@ def latest_snapshot(spark: SparkSession, target: str, before: int | None = None)
     if before is not None:
         numbers = [n for n in numbers if n < before]
     return spark.read.schema(LEXICON).parquet(f"{target}/snapshot={numbers[-1]}") if numbers else None
-
-
-def streaming_history(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The latest time of each query of a stream (query, ts), with late rows dropped after `late`."""
-    asked = log.where(F.trim("query") != "").withWatermark("ts", late)
-    return asked.groupBy("query").agg(F.max("ts").alias("ts"))
