@@ -23,6 +23,9 @@ class Workspace:
     lexicon: DataFrame
     chunks: DataFrame
     rules: discourse.Rules = field(default_factory=discourse.seed_rules)
+    #: Queries of the dictionary view, the last one first, and the context records so far.
+    asked: list[str] = field(default_factory=list)
+    contexts: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, lexicon_path: str | None = None, chunks_path: str | None = None, on_error: str = "raise") -> Workspace:
@@ -74,9 +77,23 @@ class Workspace:
         source.write_json(self.chunks, chunks_path)
 
     def dictionary_view(self, terms: DataFrame, dictionaries: DataFrame, bookmarks: DataFrame, options: DictionaryOptions) -> DataFrame:
-        """Dictionary hits, each with whether it is bookmarked."""
+        """Dictionary hits, each with whether it is bookmarked; a query that isn't blank goes to the front of the history."""
+        if options.query.strip():
+            self.asked = [options.query, *(q for q in self.asked if q != options.query)][: library.HISTORY_LIMIT]
         return library.with_bookmark_flag(search_terms(terms, dictionaries, options), bookmarks)
 
+    def clear_history(self) -> None:
+        self.asked = []
+
+    def clear_contexts(self) -> None:
+        self.contexts = None
+
+    def ingest(self, graphs: DataFrame, source: str, group: str = "") -> None:
+        """Adds the labelled bits of graphs to the context records, under ids of their own content."""
+        labelled, _, _ = self.analyze(graphs)
+        records = discourse.context_records(labelled, source, group).withColumn("id", store.content_id("source", "graph_id", "bit_idx"))
+        self.contexts = records if self.contexts is None else self.contexts.join(records, "id", "left_anti").unionByName(records)
+
     def totals(self, hits: DataFrame) -> DataFrame:
         """n_hits, n_all: what a result list shows above itself."""
         everything = self.lexicon.agg(F.count(F.lit(1))).scalar()

@@ -20,7 +20,7 @@ from .operators.dictionary_store import DictionaryStore
 from .plans import fixtures as fx
 from .plans import schemas as A
 from .plans.shared import shared_path
-from .queries import SHOWN, both_sql, kanji_files, scored_sql, _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
+from .queries import SHOWN, _dict_sql, both_sql, kanji_files, scored_sql, _CATEGORY_SQL, _CHUNKS, _COLOUR_SQL, _EDGES_SQL, _SPLIT, _TERMS, _TURNS, LEX, _labels_sql, _rules_sql, chunks, dictionary_tables, lexicon, query, read
 from .sources import dictionary_bank as Z
 from .sources import lexicon as I
 from .sources import pages as P
@@ -217,6 +217,27 @@ def stored(spark, sf_dir) -> tuple[DictionaryStore, list[str]]:
     return store, [ends["first"], ends["last"]]
 
 
+@query(f"SELECT h.*, EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 2 = 0 AND d.source = h.dictionary AND regexp_extract(text, '^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]*)', 1) = h.term) AS bookmarked, 'th' AS asked FROM ({_dict_sql('th', 'true', 50)}) h")
+def dictionary_view(spark, sf_dir):
+    """Hits with whether they are bookmarked, and what the history has after three searches."""
+    terms, dicts = dictionary_tables(spark, sf_dir)
+    work = Workspace(spark, lexicon(spark, sf_dir), chunks(spark, sf_dir))
+    for asked in ("th", " ", "th"):
+        hits = work.dictionary_view(terms, dicts, terms.where("row_ord % 2 = 0").select("term", "dictionary"), D.DictionaryOptions("th" if asked == "th" else asked))
+    return hits.select("dictionary", "term", "score", "bookmarked", F.lit(",".join(work.asked)).alias("asked"))
+
+
+@query(f"WITH {_SPLIT}, {_labels_sql('bits')}, z AS (SELECT * FROM lab) SELECT sha256('chat' || chr(1) || graph_id || chr(1) || bit_idx) AS id, bit_type FROM z")
+def workspace_contexts(spark, sf_dir):
+    """Graphs are ingested twice; a record's id is that of its content, so it is there once."""
+    work = Workspace(spark, lexicon(spark, sf_dir), chunks(spark, sf_dir))
+    work.ingest(fx.marked_graphs(spark, sf_dir), "other")
+    work.clear_contexts()
+    for _ in range(2):
+        work.ingest(fx.marked_graphs(spark, sf_dir), "chat")
+    return work.contexts.select("id", "bit_type")
+
+
 @query(f"WITH {_STORED} SELECT dictionary AS title, count(*) AS n_terms, min(row_ord) AS first_ord, CAST(CASE WHEN dictionary = (SELECT first FROM z) THEN 2 ELSE 1 END AS BIGINT) AS imported_at, '専門用語' AS category FROM t GROUP BY 1")
 def dict_store_imports(spark, sf_dir):
     """Terms and metadata by title after imports, a failed one and a delete."""

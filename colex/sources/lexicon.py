@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -33,6 +34,18 @@ def _other_name(column: str) -> str:
     return first + "".join(x.upper() if x == "pos" else x.capitalize() for x in rest)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Gives rows without `ord` their place in the files, by file name and then by line, however Spark cuts the
+    files: rows are numbered within their split, and splits start where those before them end."""
+    split = ["file_", "block_"]
+    rows = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"))
+    rows = rows.withColumn("nth_", F.row_number().over(W.partitionBy(*split).orderBy("at_")))
+    before = F.coalesce(F.sum("n_").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("n_")).select(*split, before.alias("before_"))  # a row a split
+    place = F.col("before_") + F.col("nth_") - 1
+    return rows.join(starts, split).withColumn("ord", F.coalesce("ord", place)).drop(*split, "at_", "nth_", "before_")
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or JSON lines under a fixed schema, in either naming; `ord` is the place
     in the file(s).  Broken records are left out."""
@@ -41,7 +54,9 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     line = spark.read.text(path).where("trim(value) <> ''").head()
     reader = spark.read.schema(", ".join(f"{n} {t}" for n, t in both)).option("columnNameOfCorruptRecord", "_corrupt")
     df = reader.option("multiLine", bool(line and line[0].lstrip().startswith("["))).json(path)
-    df = df.where("_corrupt IS NULL").withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    df = df.where("_corrupt IS NULL")
+    if df.where("ord IS NULL").head(1):
+        df = _placed(df)
     return df.select(*[F.coalesce(n, _other_name(n)).alias(n) if "_" in n else F.col(n) for n, _ in fields])
 
 

@@ -74,8 +74,10 @@ class MostRecent(StatefulProcessor):
 
 
 def most_recent(log: DataFrame, limit: int = HISTORY_LIMIT, slots: int = SLOTS, retention: str | None = None, late: str = "1 hour") -> DataFrame:
-    """slot, query, ts, ord: the lists of the slots that a micro-batch of the stream (query, ts, ord) changes."""
-    asked = log.where(F.trim("query") != "").select(F.pmod(F.xxhash64("query"), F.lit(slots)).cast("int").alias("slot"), "query", "ts", "ord")
+    """slot, query, ts, ord: the lists of the slots that a micro-batch of the stream (query, ts, ord) changes.  Blank queries
+    and those without a time aren't kept; a null ord is 0."""
+    asked = log.where((F.trim("query") != "") & F.col("ts").isNotNull())
+    asked = asked.select(F.pmod(F.xxhash64("query"), F.lit(slots)).cast("int").alias("slot"), "query", "ts", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"))
     retention_ms = None
     if retention is not None:
         asked = asked.withWatermark("ts", late)
