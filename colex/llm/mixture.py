@@ -26,10 +26,11 @@ LEVELS = 5
 BROADCAST_SOURCES = 20_000
 
 
-def place(doc_id: Column) -> Column:
-    """The 60-bit place of a document; a null id has the place of the empty text."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def place(doc_id: Column, text: Column) -> Column:
+    """The 60-bit place of a document, by its id and text: rows that share an id, or have none, have places of
+    their own unless their texts are equal.  Null ids and texts count as empty."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -76,9 +77,10 @@ def word_count(text: str = "text"):
 
 def thresholds(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, bool]:
     """(sizes, plan, small): doc_id, source, size, place of every row of `docs`; source,
-    source_size, target, whole, threshold of every source; whether the plan may be broadcast.
+    source_size, target, whole, threshold, some of every source (`some`: how many of the rows at the
+    threshold itself are in); whether the plan may be broadcast.
     """
-    sizes = materialise(docs.select("doc_id", "source", word_count().alias("size"), place(F.col("doc_id")).alias("place")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", word_count().alias("size"), place(F.col("doc_id"), F.col("text")).alias("place")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     plan = targets.select(
@@ -87,7 +89,7 @@ def thresholds(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).alias("whole"),
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    state = plan.select("source", "rest", F.lit(0).cast("long").alias("low"))
+    state = plan.select("source", "rest", F.lit(0).cast("long").alias("low"), F.lit(None).cast("double").alias("each"))
     top = LEVEL_BITS * LEVELS
     for level in range(LEVELS):
         shift = top - LEVEL_BITS * (level + 1)
@@ -95,35 +97,46 @@ def thresholds(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
             (F.shiftright("place", shift + LEVEL_BITS) == F.shiftright("low", shift + LEVEL_BITS)) & (F.col("rest") > 0)
         )
         bucket = inside.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(
-            F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("low").alias("low")
+            F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("low").alias("low")
         )
         running = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
         bucket = bucket.withColumn("upto", running)
-        # the last level decides on one place: it is in if the sum comes nearer with it
-        reach = F.col("upto") if level < LEVELS - 1 else F.col("upto") - F.col("words") / 2
-        fits = reach <= F.col("rest")
+        # the last level decides on one place: its rows are all in if the sum comes nearer with the last of them
+        each = F.col("words") / F.col("n")
+        fits = (F.col("upto") if level < LEVELS - 1 else F.col("upto") - each / 2) <= F.col("rest")
         full = bucket.groupBy("source").agg(
             F.coalesce(F.min(F.when(~fits, F.col("bucket"))), F.max("bucket") + 1).alias("end"),
             F.max(F.when(fits, F.col("upto"))).alias("used"),
+            F.min_by(each, F.when(~fits, F.col("bucket"))).alias("each_"),
         )
         last, state = state, materialise(
             _by_source(state, full, small, "left").select(
                 "source",
                 (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"),
                 F.coalesce(F.shiftleft(F.col("end"), shift), F.col("low")).alias("low"),
+                F.col("each_").alias("each"),
             ),
             "mix-level",
         )
         if level:
             discard(last)
-    plan = _by_source(plan.drop("rest"), state.select("source", F.col("low").alias("threshold")), small)
+    # of equal rows at the threshold as many as bring the sum nearest
+    some = F.coalesce(F.when(F.col("each") > 0, F.floor(F.col("rest") / F.col("each") + 0.5)), F.lit(0)).cast("long")
+    plan = _by_source(plan.drop("rest"), state.select("source", F.col("low").alias("threshold"), F.greatest(some, F.lit(0)).alias("some")), small)
     return sizes, materialise(plan, "mix-plan"), small
 
 
 def taken(rows: DataFrame, plan: DataFrame, small: bool, most: float = MOST) -> DataFrame:
-    """rows (with source and place) with their source's plan and `times`, how often each is taken."""
+    """rows (with source and place) with their source's plan and `times`, how often each is taken.  Of equal rows
+    at the threshold `some` are in; only these rows are numbered, if there are any."""
+    planned = _by_source(rows, plan, small)
     extra = F.when((F.col("place") < F.col("threshold")) & (F.col("whole") < most), 1).otherwise(0)
-    return _by_source(rows, plan, small).withColumn("times", F.col("whole") + extra)
+    if not plan.where((F.col("some") > 0) & (F.col("whole") < most)).head(1):
+        return planned.withColumn("times", F.col("whole") + extra)
+    tied = (F.col("place") == F.col("threshold")) & (F.col("some") > 0) & (F.col("whole") < most)
+    nth = F.row_number().over(W.partitionBy("source", "place").orderBy("place"))
+    ties = planned.where(tied).withColumn("nth_", nth).withColumn("times", F.col("whole") + F.when(F.col("nth_") <= F.col("some"), 1).otherwise(0)).drop("nth_")
+    return planned.where(~tied).withColumn("times", F.col("whole") + extra).unionByName(ties)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -133,8 +146,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     Whole repeats come first: every document of a source is taken floor(target / source_size)
     times.  What is left of the target is filled with the documents whose place lies below
     the source's threshold.  Null and empty texts have size 0 and are taken as 0 words.
-    Repeated rows with one doc_id share a place, as do rows without one: they are taken together or not
-    at all.  A very long text is one document like any other and counts its own words.
+    Rows with one doc_id, or without any, are judged each; equal rows share a place, and as many of them are
+    taken as fit.  A very long text is one document like any other and counts its own words.
     Only `doc_id`, `text` and `source` are read; an empty table gives an empty result.
     """
     sizes, plan, small = thresholds(docs, weights, share, most)
@@ -148,12 +161,12 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: The same mix by sorting: running word sums in hash order, documents of one place together.
+#: The same mix by sorting: running word sums in hash order, row after row.
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
   FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight,
@@ -168,10 +181,9 @@ e AS (SELECT *, max(CASE WHEN nth = first_free THEN level END) OVER () AS common
 p AS (SELECT source, source_size, CASE WHEN first_free IS NULL OR nth < first_free THEN cap ELSE common * weight END AS target FROM e),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM p),
 u AS (SELECT d.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS upto,
-             sum(d.size) OVER (PARTITION BY d.source, d.place) AS words
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN rest > 0 AND upto - words / 2 <= rest AND whole < 2 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((whole + CASE WHEN rest > 0 AND upto - size / 2 <= rest AND whole < 2 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM u
 """

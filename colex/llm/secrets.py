@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,16 +62,13 @@ class Parts:
 
     def __init__(self, spans: list[tuple[int, int]]):
         self.spans = sorted(spans)
-        self.longest = max((e - s for s, e in self.spans), default=0)
+        #: The greatest end of the spans up to each: whether any of them reaches a place is one look.
+        self.reach = list(accumulate((e for _, e in self.spans), max))
 
     def meet(self, start: int, end: int) -> bool:
         """Whether one of them has a character in common with [start, end], or touches it."""
-        i = bisect_left(self.spans, (start - self.longest, 0))
-        while i < len(self.spans) and self.spans[i][0] <= end:
-            if self.spans[i][1] >= start:
-                return True
-            i += 1
-        return False
+        i = bisect_right(self.spans, end, key=itemgetter(0))
+        return i > 0 and self.reach[i - 1] >= start
 
     def near(self, others: Parts, scope: int) -> Parts:
         """Those with one of the others in scope."""

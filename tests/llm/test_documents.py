@@ -188,6 +188,33 @@ def test_mixture_against_sorting(docs):
     assert rows(out.toPandas()) == sql_rows(mixture.OP9_SQL, data.documents())
 
 
+def test_mixture_splits_rows_of_one_id(spark):
+    """Sources without ids, with one id and of one row over and over end within a document of their targets."""
+    texts = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows_ = [(None, texts(k), "en", "a", 0) for k in range(30)] + [(7, texts(k), "en", "b", 0) for k in range(25)] + [(8, texts(0), "en", "c", 0)] * 40
+    df = spark.createDataFrame(rows_, data.SCHEMA).repartition(3)
+    out = mixture.mix(df).toPandas()
+    for _, some in out.groupby("source"):
+        assert abs(some["taken"].sum() - some["target"].iloc[0]) <= 20
+        assert (some["taken"] <= 2 * some["size"]).all()
+    expected = sql_rows(mixture.OP9_SQL, rows_)
+    assert rows(mixture.mix(df).select("doc_id", "size", "source_size", "target", "taken").toPandas().astype({"doc_id": "Int64"})) == expected
+
+
+def test_secrets_of_a_long_text_take_linear_time():
+    import time
+
+    def took(n):
+        text = "password = " + "a1" * 20_000 + " " + " ".join(f"login: bob{i} key {i}aB{'x7' * 12} http://h{i}.example/x AKIA{'A1' * 10}{i}" for i in range(n))
+        began = time.perf_counter()
+        spans = secrets.spans_of(text)
+        return len(text), len(spans), time.perf_counter() - began
+
+    took(100)
+    size, found, seconds = took(12_000)
+    assert size > 1_000_000 and found > 12_000 and seconds < 3
+
+
 def test_mixture_meets_its_targets(spark, sf_dir):
     out = mixture.op9_mixture(spark, sf_dir).toPandas()
     assert (out["taken"] <= 2 * out["size"]).all()

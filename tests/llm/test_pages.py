@@ -211,6 +211,8 @@ def test_empty_pages(spark, pages):
 
 # ---------------------------------------------------------------- embeddings
 
+LAST = (1 << 63) - 1
+
 
 def vectors(n=300, d=16):
     rng = np.random.default_rng(9)
@@ -247,6 +249,37 @@ def brute(rows_, threshold=0.98):
     return sorted((r[0], count[i], least[group[i]], r[0] == least[group[i]]) for i, r in enumerate(rows_))
 
 
+def test_vectors_with_null_and_shared_ids(spark):
+    """Ids play no part in what links: near and far vectors share one, and many have none."""
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal((60, 12))
+    base[20:40] = base[:20] + 0.02 * rng.standard_normal((20, 12))
+    names = [5 if i in (0, 20, 41, 42) else None if i % 4 == 1 else 7 if i in (2, 3, 22) else i for i in range(60)]
+    rows_ = [(names[i], base[i].tolist(), 1) for i in range(60)] + [(None, base[1].tolist(), 1), (None, base[1].tolist(), 1), (9, None, 1), (None, None, 1)]
+    ids = [LAST if r[0] is None else r[0] for r in rows_]
+    expected = brute([(i, *r[1:]) for i, r in zip(ids, rows_, strict=True)])
+    found = [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int").repartition(3)).collect()]
+    assert sorted((LAST if a is None else a, n, LAST if c is None else c, kept) for a, n, c, kept in found) == expected
+
+
+def test_recall_on_planted_pairs(spark):
+    """Of a table's planted pairs from the threshold on nearly all are found, and nothing else is."""
+    rng = np.random.default_rng(77)
+    n, d = 20_000, 24
+    base = rng.standard_normal((n, d))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    noise = rng.standard_normal((n // 2, d))
+    noise -= (noise * base[: n // 2]).sum(axis=1)[:, None] * base[: n // 2]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    cosine = rng.uniform(0.97, 1, n // 2)
+    base[n // 2 :] = cosine[:, None] * base[: n // 2] + np.sqrt(1 - cosine**2)[:, None] * noise
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(base.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    exact = (base[: n // 2] * base[n // 2 :]).sum(axis=1)
+    linked = np.array([found[i + n // 2] == (1, i) for i in range(n // 2)])
+    assert linked[exact >= 0.98 + 1e-12].mean() >= 0.999 and not linked[exact < 0.98 - 1e-12].any()
+
+
 @pytest.mark.parametrize("block", [8192, 16])
 def test_near_vectors_against_all_pairs(spark, block):
     df = data.clashing(spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").repartition(3))
