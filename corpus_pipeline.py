@@ -86,7 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
     sizes, plan, small = mixture.thresholds(docs)
     discard(sizes)
-    rows = mixture.taken(docs.withColumn("place", mixture.place(F.col("doc_id"))), plan, small)
+    rows = mixture.taken(docs.withColumn("place", mixture.place(F.col("doc_id"), F.col("text"))), plan, small)
     times = F.when(mixture.word_count() == 0, 1).otherwise(F.col("times")).cast("int")
     return rows.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
