@@ -41,7 +41,9 @@ def _placed(df: DataFrame) -> DataFrame:
     rows = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"))
     rows = rows.withColumn("nth_", F.row_number().over(W.partitionBy(*split).orderBy("at_")))
     before = F.coalesce(F.sum("n_").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("n_")).select(*split, before.alias("before_"))  # a row a split
+    # Spark reads no JSON for the corrupt records alone, so the count looks at another column as well
+    one = F.when(F.length(F.coalesce("id", F.lit(""))) >= 0, 1)
+    starts = rows.groupBy(*split).agg(F.count(one).alias("n_")).select(*split, before.alias("before_"))  # a row a split
     place = F.col("before_") + F.col("nth_") - 1
     return rows.join(starts, split).withColumn("ord", F.coalesce("ord", place)).drop(*split, "at_", "nth_", "before_")
 
