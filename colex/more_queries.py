@@ -13,6 +13,7 @@ from .operators import dictionary as D
 from .operators import discourse as G
 from .operators import fuzzy_index as X
 from .operators import library as B
+from .operators import patterns as Y
 from .operators import postings as N
 from .operators import search as S
 from .operators import store as K
@@ -341,6 +342,28 @@ def english_queries(spark, sf_dir):
     return _ASKED.over(spark, sf_dir).select("n", D.english_query(F.col("text")).alias("english"))
 
 
+# ------------------------------------------------------------------ a catalogue from the data
+
+#: Words of nine letters, as a catalogue of markers; one that could overlap with itself isn't taken.
+_NINE = "(?<![a-z])[a-z]{9}(?![a-z])"
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents),
+    c AS (SELECT word FROM w WHERE length(word) = 9 AND len(list_filter(range(1, 9), lambda k: left(word, k) = right(word, k))) = 0),
+    g AS (SELECT doc_id, unnest(range(1, length(text) - 7)) AS i, text FROM documents) SELECT doc_id, word AS pattern, CAST(i - 1 AS INTEGER) AS start, CAST(i + 8 AS INTEGER) AS "end" FROM (SELECT doc_id, i, substr(text, i, 9) AS gram FROM g) JOIN c ON gram = word"""
+)
+def catalogue_scan(spark, sf_dir):
+    """Every place of every nine-letter word of the documents, by a catalogue file with a specification for each."""
+    docs, path = read(spark, sf_dir, "documents"), shared_path(spark, "catalogue")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_NINE), F.lit(0))).alias("word")).distinct()
+    free = words.where(~F.exists(F.array(*[F.left("word", F.lit(k)) == F.right("word", F.lit(k)) for k in range(1, 9)]), lambda x: x))
+    same = [F.lit("").alias(c) for c in ("head", "collocate", "label", "head_pos", "collocate_pos")]
+    rows = free.select(F.col("word").alias("pattern"), F.concat(F.lit("("), "word", F.lit(")")).alias("expression"), F.lit("words").alias("family"), *same, F.lit(50).alias("confidence"))
+    rows.withColumn("spec_id", F.monotonically_increasing_id()).write.json(path)
+    return Y.extract_by_catalogue(docs, "doc_id", Y.read_catalogue(spark, path)).select("doc_id", "pattern", "start", "end")
+
+
 # ------------------------------------------------------------------ library, words
 
 _MARKS = "m AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS term, 'T' || user_id AS dictionary, event_id AS saved_at, '' AS folder FROM events)"

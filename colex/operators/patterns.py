@@ -15,13 +15,18 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_SET
+from ..plans.shared import written
 from . import pattern_catalogue as given
 
 CONTENT_WORD = f"[^{SPACE_SET}。、！？「」（）『』【】…〜・]{{1,14}}"
@@ -146,7 +151,12 @@ def extract_patterns(df: DataFrame, key: str, column: str = "text", specs: tuple
         for i, s in enumerate(specs)
     ]
     catalogue = df.sparkSession.createDataFrame(rows, CATALOGUE)
-    hit = scanned.select(key, "body", F.explode(ids).alias("spec_id")).join(F.broadcast(catalogue), "spec_id")
+    hit = scanned.select(key, "body", F.explode(ids).alias("spec_id")).join(catalogue, "spec_id")
+    return _evaluated(hit, key, best_only)
+
+
+def _evaluated(hit: DataFrame, key: str, best_only: bool) -> DataFrame:
+    """The matches of (key, body and the columns of a specification that may match there)."""
     # a match starts behind the matches and the texts between matches before it
     matches, between = F.expr("regexp_extract_all(body, regex, 0)"), F.expr("split(body, regex, -1)")
     total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
@@ -162,3 +172,82 @@ def extract_patterns(df: DataFrame, key: str, column: str = "text", specs: tuple
     # the best of a text's matches that start at one place; the text tells rows with one key apart
     best = W.partitionBy(key, F.xxhash64("body"), "start").orderBy(F.desc("confidence"), F.desc("end"), "spec_id")
     return one.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(key, *MATCH)
+
+
+# ------------------------------------------------------------------ catalogues of any size
+
+SPEC_FILE = "spec_id long, family string, expression string, head string, collocate string, pattern string, label string, head_pos string, collocate_pos string, confidence int"
+#: Bytes of markers whose automaton is broadcast at once.
+AUTOMATON_BYTES = 64_000_000
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Specifications from JSON lines (the fields of SPEC_FILE), ready to be joined, with their markers: the columns of
+    CATALOGUE and `markers`.  A specification without a literal part has no marker and is never tried."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                spec_id = row.pop("spec_id")
+                s = Spec(**row)
+                parts = [[{"text": t, "group": g} for t, g in _parts(x)] for x in (s.head, s.collocate)]
+                out.append((spec_id, s.family, s.regex, re.compile(s.regex).groups, *parts, s.pattern, s.label, s.head_pos, s.collocate_pos, s.confidence, [m for m in s.markers if m]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _NAMES])
+
+    return spark.read.schema(SPEC_FILE).json(path).mapInPandas(work, f"{CATALOGUE.replace('spec_id int', 'spec_id long')}, markers array<string>")
+
+
+_NAMES = ("spec_id", "family", "regex", "groups", "head", "collocate_parts", "pattern", "label", "headword_pos", "collocate_pos", "confidence", "markers")
+
+
+def _rounds(markers: DataFrame, most: int) -> list[dict[str, list[int]]]:
+    """marker -> spec_ids, in parts of so many bytes, but for the rest of the markers with the same first one."""
+    out, size, last = [], most + 1, None
+    for r in markers.orderBy("first", "marker").toLocalIterator():
+        if size > most and r["first"] != last:
+            out.append({})
+            size = 0
+        out[-1].setdefault(r["marker"], []).extend(r["ids"])
+        size, last = size + len(r["marker"].encode()) + 4 * len(r["ids"]), r["first"]
+    return out
+
+
+def _scanned(texts: DataFrame, key: str, markers: dict[str, list[int]]) -> DataFrame:
+    """key, body, ids of the texts in which some marker stands: one walk over a text finds all of them."""
+    sent = texts.sparkSession.sparkContext.broadcast(markers)
+    kind = texts.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for marker, ids in sent.value.items():
+            automaton.add_word(marker, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, ids in automaton.iter(t) for i in ids}) if t else [] for t in batch.column(1).to_pylist()]
+            some = pa.array([i for i, ids in enumerate(found) if ids], pa.int64())
+            lists = pa.array([ids for ids in found if ids], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), lists], names=[key, "body", "ids"])
+
+    return texts.mapInArrow(work, f"{key} {kind}, body string, ids array<long>")
+
+
+def extract_by_catalogue(df: DataFrame, key: str, catalogue: DataFrame, column: str = "text", best_only: bool = False, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """extract_patterns for a catalogue table of any size (see read_catalogue).
+
+    Markers and specifications aren't part of the plan.  The markers' automaton is broadcast, `most` bytes of them at
+    a time; specifications join their texts by number.  A text in which markers of several rounds stand is
+    tried once for each specification all the same, because a specification has all its markers in one round.
+    """
+    ready = written(catalogue, "catalogue")
+    least = ready.select("spec_id", F.array_min("markers").alias("first"), F.explode("markers").alias("marker"))
+    # markers that share a specification are kept together: each is listed with the specification's first
+    groups = least.groupBy("first", "marker").agg(F.sort_array(F.collect_set("spec_id")).alias("ids"))
+    texts = df.select(key, F.col(column).alias("body"))
+    hits = None
+    for some in _rounds(groups, most):
+        found = _scanned(texts, key, some).select(key, "body", F.explode("ids").alias("spec_id"))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = texts.limit(0).select(key, "body", F.lit(0).cast("long").alias("spec_id"))
+    return _evaluated(hits.join(ready.drop("markers"), "spec_id"), key, best_only)

@@ -257,3 +257,28 @@ def test_word_lists(spark):
     df = spark.createDataFrame([(1, " 風, 夢 ,,風, 雨 降り , "), (2, ""), (3, None)], "n int, text string")
     assert [tuple(r) for r in K.word_lists(df, "n").collect()] == [(1, 0, "風"), (1, 1, "夢"), (1, 2, "雨 降り")]
     assert [tuple(r) for r in K.word_list(spark, " 風, 夢 ,,風").collect()] == [(0, "風"), (1, "夢")]
+
+
+# ------------------------------------------------------------------ catalogues of any size
+
+
+@pytest.mark.parametrize("most", [64_000_000, 200])
+def test_catalogue_file_matches_as_the_built_in_one(spark, most):
+    from colex.operators import patterns as Y
+    from colex.queries import _CORPUS
+
+    path = shared_path(spark, "catalogue")
+    rows = [(i, s.family, s.expression, s.head, s.collocate, s.pattern, s.label, s.head_pos, s.collocate_pos, s.confidence) for i, s in enumerate(Y.SPECS)]
+    spark.createDataFrame(rows, Y.SPEC_FILE).write.json(path)
+    texts = _CORPUS.fixture.spark(spark).unionByName(spark.createDataFrame([(98, None), (99, "")], "n int, text string"))
+    for best in (False, True):
+        found = Y.extract_by_catalogue(texts, "n", Y.read_catalogue(spark, path), best_only=best, most=most)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, Y.extract_patterns(texts, "n", best_only=best).collect()))
+
+
+def test_empty_catalogue(spark):
+    from colex.operators import patterns as Y
+
+    path = shared_path(spark, "catalogue")
+    spark.createDataFrame([], Y.SPEC_FILE).write.json(path)
+    assert Y.extract_by_catalogue(spark.createDataFrame([(1, "x")], "n int, text string"), "n", Y.read_catalogue(spark, path)).collect() == []
