@@ -282,3 +282,20 @@ def test_empty_catalogue(spark):
     path = shared_path(spark, "catalogue")
     spark.createDataFrame([], Y.SPEC_FILE).write.json(path)
     assert Y.extract_by_catalogue(spark.createDataFrame([(1, "x")], "n int, text string"), "n", Y.read_catalogue(spark, path)).collect() == []
+
+
+def test_paths_of_any_length_and_cycles(spark):
+    from colex.operators import discourse as G
+
+    edges = [("g", i, i, i + 1, f"t{i}") for i in range(14)] + [("g", 14, 9, 2, "back"), ("g", 15, 5, 5, "loop"), ("h", 0, 0, 1, "x"), ("h", 1, 1, 2, G.ADJACENT)]
+    df = spark.createDataFrame(edges, "graph_id string, edge_ord int, src_idx int, dst_idx int, relationship_type string")
+
+    def grown(paths):
+        return [(p + (e[1],), n + (e[3],)) for p, n in paths for e in edges[:16] if e[2] == n[-1] and e[3] not in n]
+
+    every, now = [], [((e[1],), (e[2], e[3])) for e in edges[:16] if e[2] != e[3]]
+    while now:
+        every += [p for p, _ in now if len(p) >= 3]
+        now = grown(now)
+    assert sorted(tuple(r["path"]) for r in G.cascades(df).collect()) == sorted(every) and max(map(len, every)) == 14
+    assert sorted(tuple(r["path"]) for r in G.cascades(df, longest=4).collect()) == sorted(p for p in every if len(p) <= 4)
