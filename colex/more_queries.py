@@ -53,6 +53,14 @@ def lexicon_json_round_trip(spark, sf_dir):
     return I.read_lexicon(spark, path).select("id", "headword", "full_phrase", F.array_join("tags", ",").alias("tags"), "frequency", "updated_at", "ord")
 
 
+@query(f"WITH {LEX} SELECT id, headword, full_phrase, array_to_string(tags, ',') AS tags, frequency, updated_at, ord FROM lex")
+def lexicon_array_round_trip(spark, sf_dir):
+    """The lexicon as one JSON array, and back."""
+    path = shared_path(spark, "array")
+    I.export_json(lexicon(spark, sf_dir), path)
+    return I.read_lexicon(spark, path).select("id", "headword", "full_phrase", F.array_join("tags", ",").alias("tags"), "frequency", "updated_at", "ord")
+
+
 @query(f"WITH {_CHUNKS} SELECT id, surface, category, array_to_string(collocations, ',') AS collocations FROM ch")
 def chunks_json_round_trip(spark, sf_dir):
     path = shared_path(spark, "chunks")

@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import SPACE_SET
-from ..plans.shared import written
 from . import pattern_catalogue as given
 
 CONTENT_WORD = f"[^{SPACE_SET}。、！？「」（）『』【】…〜・]{{1,14}}"
@@ -177,12 +178,14 @@ def _evaluated(hit: DataFrame, key: str, best_only: bool) -> DataFrame:
 # ------------------------------------------------------------------ catalogues of any size
 
 SPEC_FILE = "spec_id long, family string, expression string, head string, collocate string, pattern string, label string, head_pos string, collocate_pos string, confidence int"
-#: Bytes of markers whose automaton is broadcast at once.
-AUTOMATON_BYTES = 64_000_000
+#: Bytes of specifications that are broadcast at once.
+ROUND_BYTES = 64_000_000
+_LOADED = CATALOGUE.replace("spec_id int", "spec_id long")
+_NAMES = ("spec_id", "family", "regex", "groups", "head", "collocate_parts", "pattern", "label", "headword_pos", "collocate_pos", "confidence")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Specifications from JSON lines (the fields of SPEC_FILE), ready to be joined, with their markers: the columns of
+    """Specifications from JSON lines (the fields of SPEC_FILE), ready to be applied, with their markers: the columns of
     CATALOGUE and `markers`.  A specification without a literal part has no marker and is never tried."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,61 +196,68 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
                 s = Spec(**row)
                 parts = [[{"text": t, "group": g} for t, g in _parts(x)] for x in (s.head, s.collocate)]
                 out.append((spec_id, s.family, s.regex, re.compile(s.regex).groups, *parts, s.pattern, s.label, s.head_pos, s.collocate_pos, s.confidence, [m for m in s.markers if m]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _NAMES])
-
-    return spark.read.schema(SPEC_FILE).json(path).mapInPandas(work, f"{CATALOGUE.replace('spec_id int', 'spec_id long')}, markers array<string>")
-
-
-_NAMES = ("spec_id", "family", "regex", "groups", "head", "collocate_parts", "pattern", "label", "headword_pos", "collocate_pos", "confidence", "markers")
-
-
-def _rounds(markers: DataFrame, most: int) -> list[dict[str, list[int]]]:
-    """marker -> spec_ids, in parts of so many bytes, but for the rest of the markers with the same first one."""
-    out, size, last = [], most + 1, None
-    for r in markers.orderBy("first", "marker").toLocalIterator():
-        if size > most and r["first"] != last:
-            out.append({})
-            size = 0
-        out[-1].setdefault(r["marker"], []).extend(r["ids"])
-        size, last = size + len(r["marker"].encode()) + 4 * len(r["ids"]), r["first"]
-    return out
-
-
-def _scanned(texts: DataFrame, key: str, markers: dict[str, list[int]]) -> DataFrame:
-    """key, body, ids of the texts in which some marker stands: one walk over a text finds all of them."""
-    sent = texts.sparkSession.sparkContext.broadcast(markers)
+            yield pd.DataFrame(out, columns=[*_NAMES, "markers"])
+
+    return spark.read.schema(SPEC_FILE).json(path).mapInPandas(work, f"{_LOADED}, markers array<string>")
+
+
+def _rounds(catalogue: DataFrame, most: int) -> Iterator[list[dict]]:
+    """The specifications in parts of so many bytes at most (one at least)."""
+    some, size = [], 0
+    for r in catalogue.where(F.size("markers") > 0).toLocalIterator():
+        row = r.asDict(recursive=True)
+        n = len(json.dumps(row, ensure_ascii=False).encode())
+        if some and size + n > most:
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += n
+    if some:
+        yield some
+
+
+def _tried(texts: DataFrame, key: str, specs: list[dict]) -> DataFrame:
+    """key, body and a specification, for the specifications of which some marker stands in the text: one walk
+    over a text finds all of them, and they join it where it is."""
+    sent = texts.sparkSession.sparkContext.broadcast(specs)
     kind = texts.schema[key].dataType.simpleString()
+    inner = texts.sparkSession.createDataFrame([], _LOADED).schema
+    schema = f"{key} {kind}, body string, specs array<{inner.simpleString()}>"
+    listed = pa.list_(to_arrow_type(inner))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_marker: dict[str, list[int]] = {}
+        for i, spec in enumerate(sent.value):
+            for marker in spec["markers"]:
+                by_marker.setdefault(marker, []).append(i)
         automaton = ahocorasick.Automaton()
-        for marker, ids in sent.value.items():
+        for marker, ids in by_marker.items():
             automaton.add_word(marker, ids)
         automaton.make_automaton()
         for batch in batches:
-            found = [sorted({i for _, ids in automaton.iter(t) for i in ids}) if t else [] for t in batch.column(1).to_pylist()]
-            some = pa.array([i for i, ids in enumerate(found) if ids], pa.int64())
-            lists = pa.array([ids for ids in found if ids], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), lists], names=[key, "body", "ids"])
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                found = [sorted({i for _, ids in automaton.iter(t) for i in ids}) if t else [] for t in part.column(1).to_pylist()]
+                some = pa.array([i for i, ids in enumerate(found) if ids], pa.int64())
+                lists = pa.array([[{n: sent.value[i][n] for n in _NAMES} for i in ids] for ids in found if ids], listed)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(1).take(some), lists], names=[key, "body", "specs"])
+
+    return texts.mapInArrow(work, schema).select(key, "body", F.explode("specs").alias("s")).select(key, "body", "s.*")
+
 
-    return texts.mapInArrow(work, f"{key} {kind}, body string, ids array<long>")
+#: Texts whose specifications are listed at once.
+TEXTS = 64
 
 
-def extract_by_catalogue(df: DataFrame, key: str, catalogue: DataFrame, column: str = "text", best_only: bool = False, most: int = AUTOMATON_BYTES) -> DataFrame:
+def extract_by_catalogue(df: DataFrame, key: str, catalogue: DataFrame, column: str = "text", best_only: bool = False, most: int = ROUND_BYTES) -> DataFrame:
     """extract_patterns for a catalogue table of any size (see read_catalogue).
 
-    Markers and specifications aren't part of the plan.  The markers' automaton is broadcast, `most` bytes of them at
-    a time; specifications join their texts by number.  A text in which markers of several rounds stand is
-    tried once for each specification all the same, because a specification has all its markers in one round.
+    Specifications aren't part of the plan: they are broadcast, `most` bytes of them at a time, with an automaton of
+    their markers, and no text is shuffled.  A larger catalogue is more walks over the texts.
     """
-    ready = written(catalogue, "catalogue")
-    least = ready.select("spec_id", F.array_min("markers").alias("first"), F.explode("markers").alias("marker"))
-    # markers that share a specification are kept together: each is listed with the specification's first
-    groups = least.groupBy("first", "marker").agg(F.sort_array(F.collect_set("spec_id")).alias("ids"))
     texts = df.select(key, F.col(column).alias("body"))
-    hits = None
-    for some in _rounds(groups, most):
-        found = _scanned(texts, key, some).select(key, "body", F.explode("ids").alias("spec_id"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = texts.limit(0).select(key, "body", F.lit(0).cast("long").alias("spec_id"))
-    return _evaluated(hits.join(ready.drop("markers"), "spec_id"), key, best_only)
+    tried = [_tried(texts, key, some) for some in _rounds(catalogue, most)]
+    if not tried:
+        blank = df.sparkSession.createDataFrame([], _LOADED)
+        tried = [texts.limit(0).join(blank, F.lit(True))]
+    return _evaluated(reduce(DataFrame.unionByName, tried), key, best_only)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,5 +89,24 @@ def write_json(df: DataFrame, path: str) -> None:
     (df.orderBy("ord") if "ord" in df.columns else df).write.mode("overwrite").json(path)
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """A snapshot as one file that holds one JSON array, in insertion order, for programs that read a document as a
+    whole.  One task streams it, row by row."""
+
+    def array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for batch in batches:
+            lines = []
+            for row in batch["value"]:
+                lines.append(("[" if first else "," if row else "") + (row or "]"))
+                first = False
+            yield pd.DataFrame({"value": lines})
+
+    place = F.col("ord") if "ord" in df.columns else F.lit(0)
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"), place.cast("long").alias("place"), F.lit(False).alias("last"))
+    end = df.sparkSession.createDataFrame([(None, None, True)], "value string, place long, last boolean")  # closes the array, an empty one too
+    rows.union(end).repartition(1).sortWithinPartitions("last", "place").select("value").mapInPandas(array, "value string").write.mode("overwrite").text(path)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
