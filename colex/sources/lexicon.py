@@ -44,9 +44,7 @@ def _placed(df: DataFrame) -> DataFrame:
     rows = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"))
     rows = rows.withColumn("nth_", F.row_number().over(W.partitionBy(*split).orderBy("at_")))
     before = F.coalesce(F.sum("n_").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # Spark reads no JSON for the corrupt records alone, so the count looks at another column as well
-    one = F.when(F.length(F.coalesce("id", F.lit(""))) >= 0, 1)
-    starts = rows.groupBy(*split).agg(F.count(one).alias("n_")).select(*split, before.alias("before_"))  # a row a split
+    starts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("n_")).select(*split, before.alias("before_"))  # a row a split
     place = F.col("before_") + F.col("nth_") - 1
     return rows.join(starts, split).withColumn("ord", F.coalesce("ord", place)).drop(*split, "at_", "nth_", "before_")
 
@@ -59,7 +57,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     line = spark.read.text(path).where("trim(value) <> ''").head()
     reader = spark.read.schema(", ".join(f"{n} {t}" for n, t in both)).option("columnNameOfCorruptRecord", "_corrupt")
     df = reader.option("multiLine", bool(line and line[0].lstrip().startswith("["))).json(path)
-    df = df.where("_corrupt IS NULL")
+    # Spark reads no JSON for the corrupt records alone, so the filter looks at another column as well
+    df = df.where(F.col("_corrupt").isNull() & (F.length(F.coalesce("id", F.lit(""))) >= 0))
     if df.where("ord IS NULL").head(1):
         df = _placed(df)
     return df.select(*[F.coalesce(n, _other_name(n)).alias(n) if "_" in n else F.col(n) for n, _ in fields])
