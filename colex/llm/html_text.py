@@ -1,18 +1,18 @@
 """Main text of web pages by union-free wrapper inference.
 
-The pages of a host come from few templates.  A page is folded into an expression without
-unions: elements, text slots, repeated groups and optional groups, where the children of an
-element are one repeated group of optional elements, one per label: ((<h2>#</h2>)?(<p>#</p>)?)+.
-Folded so, two expressions are aligned label by label, in linear time: what only one has
-becomes optional, what one has twice a repeated group, and differing texts a slot.  Pages are
-aligned one after the other within a batch of the scan; batches' wrappers are tables of nodes,
-and aligning these is an ordinary aggregate by (host, node).  So every page counts, a hot host
-is pre-aggregated, no host is ever in one task, and there is no greatest depth or width.
-
-The wrapper decides what a host's main text is: where its varying text is (in its article
-elements, its main elements, or neither), and which blocks are template, because their text is
-the same on the pages that have them.  Extraction then reads each page once, within that
-region, without template blocks and without the parts that no article has (menus, headers, ..).
+The pages of a host come from few templates.  A page is an expression without unions: elements in
+page order, text slots, repeated groups and optional groups.  Siblings that repeat, one by one or
+in periods (h2 p h2 p), fold into a repeated group.  Two expressions are aligned element by element,
+their children in order by a longest common subsequence of labels: what only one has becomes
+optional, and differing texts become a slot.  Pages are aligned one after the other within a batch
+of the scan, batches' wrappers in levels of FAN_IN, so a hot host is pre-aggregated and no task
+gets more than about that many.  Wrappers are bounded: an expression with more than BREADTH children
+in one element, DEPTH levels or NODES nodes is generalised (labels lose their classes, then their
+tags; what is deeper becomes a slot), which only ever keeps more text.
+
+The wrapper decides which blocks are template: constant on pages that differ, outside article and
+main elements, and not prose of an element whose prose varies (a recipe's "Ingredients").  All else
+is kept, but for the parts that no article has (menus, headers, ..), told by tag, role or class.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ DROP_WORDS = frozenset(
     "footer header cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related recommended "
     "comment comments disqus respond reply replies".split()
 )
+#: Within an article these may hold text of its own; of such a part only blocks of mere links go.
+SOFT_WORDS = frozenset("alert popup modal share sharing social related recommended".split())
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 #: Words that may stand beside those: a class or id with any other word (social-impact, related-work) names a subject.
 NEUTRAL = frozenset(
@@ -68,10 +73,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 
-#: The host's text is that of its article elements if these hold at least one part in so many of its varying text; likewise for main.
-REGION_SHARE = 4
-#: Pages with different texts that must agree on a block's text to prove it template; within an article the block must have a class as well.
-PROOF, PROOF_IN_ARTICLE = 2, 3
+#: Elements of layout; text, and elements of any other tag, are prose.
+CONTAINERS = frozenset("html body div section main article center details fieldset header footer aside".split())
+#: Bounds of a wrapper, beyond which it is generalised, and wrappers that one task aligns.
+BREADTH, DEPTH, NODES, FAN_IN = 128, 128, 8_192, 64
+#: Wrappers of a batch that is sent on, and numbers of templates likewise.
+BATCH_CHARS, BATCH_NUMBERS = 16_000_000, 1_000_000
+#: Hosts up to which the templates are broadcast (a few numbers each, NODES at most).
 BROADCAST_HOSTS = 20_000
 
 
@@ -104,35 +112,49 @@ def _names(words: str, unwanted: frozenset) -> bool:
     return not parts.isdisjoint(unwanted) and parts <= unwanted | NEUTRAL
 
 
-def label(name: str, attributes: str, in_article: bool = False) -> tuple[str, bool]:
-    """The element's label (its tag, and the first class without a digit), and whether it is no part of an article."""
+NOTHING, LINKS, ALL = 0, 1, 2
+
+
+def label(name: str, attributes: str, in_article: bool = False) -> tuple[str, int]:
+    """The element's label (its tag, and the first class without a digit), and what of it is no part
+    of an article: NOTHING, its blocks of mere LINKS, or ALL."""
     of_article = name == "header" and in_article  # it holds the title
+    gone = ALL if name in DROP_TAGS and not of_article else NOTHING
     if not attributes or attributes.isspace():
-        return name, name in DROP_TAGS and not of_article
+        return name, gone
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
     classes = found.get("class", "").split()
-    hidden = name not in ("html", "body") and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
-    drop = (name in DROP_TAGS and not of_article) or hidden or role in DROP_ROLES
-    if not drop and name not in HEADINGS:
+    if role in DROP_ROLES:
+        gone = ALL
+    if not gone and name not in HEADINGS:
         unwanted = COMMENTS if name in KEEP_TAGS else DROP_WORDS
         if of_article or any(c.lower() in ("post-header", "entry-header", "article-header") for c in classes):
             unwanted = unwanted - {"header"}
-        drop = any(_names(c, unwanted) for c in (*classes, found.get("id", "")))
+        names = (*classes, found.get("id", ""))
+        if in_article and any(_names(c, unwanted & SOFT_WORDS) for c in names):
+            gone, unwanted = LINKS, unwanted - SOFT_WORDS
+        if any(_names(c, unwanted) for c in names):
+            gone = ALL
     first = next((c for c in classes if not any(map(str.isdigit, c))), "")
-    return name + (".main" if role == "main" else f".{first}" if first else ""), drop
+    return name + (".main" if role == "main" else f".{first}" if first else ""), gone
 
 
-def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
-    """(event, value, open labels, dropped) with implied end tags: events open, close, text."""
+def walk(page: str) -> Iterator[tuple[str, str, list, int, int]]:
+    """(event, value, open labels, what goes, open links) with implied end tags: events open, close, text."""
     stack: list[str] = []  # tags
     path: list[str] = []  # labels
-    drops: list[bool] = []
+    drops: list[int] = []
+    links = texts = 0  # open a, and open article and main
 
-    def close_to(depth: int) -> Iterator[tuple[str, str, list, bool]]:
+    def close_to(depth: int) -> Iterator[tuple[str, str, list, int, int]]:
+        nonlocal links, texts
         while len(stack) > depth:
-            yield "close", stack[-1], path, drops[-1]
-            stack.pop(), path.pop(), drops.pop()
+            yield "close", stack[-1], path, drops[-1], links
+            path.pop(), drops.pop()
+            tag = stack.pop()
+            links -= tag == "a"
+            texts -= tag in ("article", "main")
 
     def last(names: str, holders: tuple = ()) -> int | None:
         wanted = names.split()
@@ -145,7 +167,7 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
 
     for kind, value, attributes in tokens(page):
         if kind == "text":
-            yield "text", value, path, bool(drops) and drops[-1]
+            yield "text", value, path, drops[-1] if drops else NOTHING, links
         elif kind == "close":
             if (i := last(value)) is not None:
                 yield from close_to(i)
@@ -156,10 +178,12 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
                 yield from close_to(i)
             if value in ("html", "body") and value in stack:
                 continue
-            name, drop = label(value, attributes, value == "header" and not {"article", "main"}.isdisjoint(stack))
-            drop = drop or (bool(drops) and drops[-1])
+            name, drop = label(value, attributes, texts > 0)
+            drop = max(drop, drops[-1]) if drops else drop
             stack.append(value), path.append(name), drops.append(drop)
-            yield "open", value, path, drop
+            links += value == "a"
+            texts += value in ("article", "main")
+            yield "open", value, path, drop, links
             if value in VOID or (attributes.endswith("/") and value in ("path", "circle")):
                 yield from close_to(len(stack) - 1)
     yield from close_to(0)
@@ -170,7 +194,7 @@ def walk(page: str) -> Iterator[tuple[str, str, list, bool]]:
 
 @functools.lru_cache(65536)
 def _node(parent: int, name: str) -> int:
-    """The number of a child of a node in every wrapper."""
+    """The number of a path of labels, from its parent's."""
     digest = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8, key=parent.to_bytes(8, "big", signed=True)).digest()
     return int.from_bytes(digest, "big", signed=True)
 
@@ -179,211 +203,387 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-IN_MAIN, IN_ARTICLE = 1, 2
-
+def is_text_region(name: str) -> bool:
+    """Whether a label is that of an article or main element."""
+    tag, _, kind = name.partition(".")
+    return tag in ("article", "main") or kind == "main"
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, str, int, str]]:
-    """(event, node, parent, label, region, text) of a page's block elements, in page order, without dropped ones.
 
-    Events are open, and text, which has the text between two block boundaries, its white space
-    made one space; region has the bits IN_MAIN and IN_ARTICLE.
-    """
-    nodes = [(0, 0, "", 0)]
+def blocks(page: str) -> Iterator[tuple[str, str, int, bool, bool, str]]:
+    """(event, label, path, in an article or main, mere links, text) of a page's block elements, in
+    page order, without what goes.  Events are open, close, and text, which has the text between two
+    block boundaries, its white space made one space."""
+    nodes = [("", 0, False, True)]  # label, path, region, and whether it is kept
     depth = [0]  # of the path, for each open block
     buffer: list[str] = []
+    soft, linked = False, True
 
     def flush() -> Iterator[tuple]:
-        if buffer and (text := " ".join("".join(buffer).split())):
-            yield "text", *nodes[-1], text
+        nonlocal soft, linked
+        if buffer and (text := " ".join("".join(buffer).split())) and not (soft and linked):
+            yield "text", *nodes[-1][:3], linked, text
         buffer.clear()
+        soft, linked = False, True
 
-    for event, value, path, drop in walk(page):
+    for event, value, path, drop, links in walk(page):
         if event == "text":
-            if not drop:
+            if drop != ALL:
                 buffer.append(html.unescape(value))
+                soft |= drop == LINKS
+                linked &= links > 0 or value.isspace()
         elif value in BLOCK:
             yield from flush()
             if event == "open":
-                parent, _, _, region = nodes[-1]
+                _, parent, region, _ = nodes[-1]
                 name = path[-1]
-                region |= IN_ARTICLE if value == "article" else IN_MAIN if value == "main" or name.endswith(".main") else 0
-                nodes.append((_node(parent, name), parent, name, region))
+                nodes.append((name, _node(parent, name), region or is_text_region(name), drop != ALL))
                 depth.append(len(path))
-                if not drop:
-                    yield "open", *nodes[-1], ""
+                if drop != ALL:
+                    yield "open", *nodes[-1][:3], False, ""
             elif depth[-1] == len(path):
-                nodes.pop()
+                *gone, kept = nodes.pop()
                 depth.pop()
+                if kept:
+                    yield "close", *gone, False, ""
     yield from flush()
 
 
 # ------------------------------------------------------------------ wrappers
-# A node of a wrapper: [parent, label, region, pages, times, least and greatest digest of its text,
-# chars, least and greatest digest of its pages' whole texts].  Node 0 is the page.
-NODE = "node long, parent long, label string, region int, pages long, times long, low long, high long, chars long, page_low long, page_high long"
-_TEXT = slice(5, 7)
 
+TEXT = "#"
+
+
+class Node:
+    """A part of an expression: an element or a text.  seen: instances of its parent that have it;
+    times: its own; of a text the least and greatest digest, of its pages the same of their whole
+    texts; chars; loop: what repeats along with its neighbours."""
+
+    __slots__ = ("label", "seen", "times", "many", "loop", "low", "high", "page_low", "page_high", "chars", "kids")
+
+    def __init__(self, label: str, low: int = 0, chars: int = 0):
+        self.label, self.seen, self.times, self.many, self.loop, self.chars = label, 1, 1, False, 0, chars
+        self.low = self.high = low
+        self.page_low = self.page_high = 0
+        self.kids: list[Node] = []
+
+    def pack(self) -> list:
+        return [*(getattr(self, f) for f in self.__slots__[:-1]), [k.pack() for k in self.kids]]
+
+    @classmethod
+    def unpack(cls, row: list) -> Node:
+        node = cls.__new__(cls)
+        for field, value in zip(cls.__slots__, row, strict=True):
+            setattr(node, field, value)
+        node.kids = [cls.unpack(k) for k in node.kids]
+        return node
+
+
+def align(a: Node, b: Node, siblings: bool = False) -> Node:
+    """The expression of two instances of one label, in a's place."""
+    a.seen = max(a.seen, b.seen) if siblings else a.seen + b.seen
+    a.times += b.times
+    a.many |= b.many or siblings
+    a.loop = a.loop or b.loop
+    a.chars += b.chars
+    a.low, a.high = min(a.low, b.low), max(a.high, b.high)
+    a.page_low, a.page_high = min(a.page_low, b.page_low), max(a.page_high, b.page_high)
+    if b.kids:
+        a.kids = widen(align_children(a.kids, b.kids)) if a.kids else b.kids
+    return a
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places; of several the one that takes earlier places."""
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below, label = rows[i], rows[i + 1], a[i]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if label == b[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
-def fold(page: str) -> dict[int, list]:
-    """A page's expression.  Children with one label are a repeated group at once."""
-    nodes: dict[int, list] = {0: [0, "", 0, 1, 1, None, None, 0, 0, 0]}
-    whole = hashlib.blake2b(digest_size=8)
-    for event, node, parent, name, region, text in blocks(page):
-        if event == "open":
-            if node in nodes:
-                nodes[node][4] += 1
-            else:
-                nodes[node] = [parent, name, region, 1, 1, None, None, 0, 0, 0]
-            continue
-        x, d = nodes[node], _digest(text)
-        x[_TEXT] = (d, d) if x[5] is None else (min(x[5], d), max(x[6], d))
-        x[7] += len(text)
-        whole.update(f"{text}\n".encode("utf-8", "surrogatepass"))
-    of_page = int.from_bytes(whole.digest(), "big", signed=True)
-    for x in nodes.values():
-        x[8:] = of_page, of_page
-    return nodes
-
-
-def align(a: dict[int, list], b: dict[int, list]) -> dict[int, list]:
-    """The expression of two expressions."""
-    out = dict(a)
-    for node, y in b.items():
-        x = out.get(node)
-        if x is None:
-            out[node] = y
+
+def align_children(a: list[Node], b: list[Node]) -> list[Node]:
+    """Children of two instances in order: those in common aligned, the others optional."""
+    start, end = 0, 0
+    least = min(len(a), len(b))
+    while start < least and a[start].label == b[start].label:
+        start += 1
+    while end < least - start and a[-1 - end].label == b[-1 - end].label:
+        end += 1
+    mid_a, mid_b = a[start : len(a) - end], b[start : len(b) - end]
+    out = [align(x, y) for x, y in zip(a[:start], b[:start], strict=True)]
+    i = j = 0
+    pairs = common([x.label for x in mid_a], [y.label for y in mid_b]) if mid_a and mid_b else []
+    for x, y in [*pairs, (len(mid_a), len(mid_b))]:
+        out += mid_a[i:x] + mid_b[j:y]
+        if x < len(mid_a):
+            out.append(align(mid_a[x], mid_b[y]))
+        i, j = x + 1, y + 1
+    return out + [align(x, y) for x, y in zip(a[len(a) - end :], b[len(b) - end :], strict=True)]
+
+
+def squares(kids: list[Node]) -> list[Node]:
+    """Neighbouring periods of two and more labels (h2 p h2 p) made one repeated group."""
+    out: list[Node] = []
+    latest: dict[str, int] = {}
+    i = 0
+    while i < len(kids):
+        j = latest.get(kids[i].label)
+        if j is not None and (p := len(out) - j) > 1 and i + p <= len(kids) and all(out[j + t].label == kids[i + t].label for t in range(p)):
+            loop = _digest("\0".join(k.label for k in out[j:]))
+            for t in range(p):
+                align(out[j + t], kids[i + t], siblings=True).loop = loop
+            i += p
             continue
-        texts = [t for t in (*x[_TEXT], *y[_TEXT]) if t is not None]
-        out[node] = [*x[:3], x[3] + y[3], max(x[4], y[4]), *((min(texts), max(texts)) if texts else (None, None)), x[7] + y[7], min(x[8], y[8]), max(x[9], y[9])]
+        latest[kids[i].label] = len(out)
+        out.append(kids[i])
+        i += 1
     return out
 
 
-def expression(nodes: dict[int, list]) -> str:
-    """The wrapper as text: <p>, (..)+ repeated, (..)? optional, # a slot, and = a constant text.  Children in order of label."""
-    kids: dict[int, list[int]] = {}
-    for node, x in sorted(nodes.items(), key=lambda kv: kv[1][1]):
-        if node:
-            kids.setdefault(x[0], []).append(node)
-    out: list[str] = []
-    todo: list = [0]
-    while todo:
-        at = todo.pop()
-        if isinstance(at, str):
-            out.append(at)
+def widen(kids: list[Node]) -> list[Node]:
+    """At most BREADTH children: equal labels, else equal tags, else all elements become one repeated group."""
+    for key in (lambda k: k.label, lambda k: k.label.partition(".")[0], lambda k: k.label if k.label == TEXT else "*"):
+        if len(kids) <= BREADTH:
+            break
+        groups: dict[str, Node] = {}
+        for k in kids:
+            name = key(k)
+            if name in groups:
+                align(groups[name], k, siblings=True)
+            else:
+                groups[name], k.label = k, name
+        kids = list(groups.values())
+        for k in kids:
+            k.loop = 1
+    return kids
+
+
+def prune(root: Node) -> Node:
+    """A wrapper of at most NODES nodes: what is deeper than fits becomes a slot."""
+    level, total = [root], 0
+    while level:
+        total += len(level)
+        below = [k for node in level for k in node.kids]
+        if total + len(below) > NODES:
+            for node in level:
+                if node.kids:
+                    slot = Node(TEXT, 0, sum(k.chars for k in node.kids))
+                    slot.high, slot.many, node.kids = 1, True, [slot]
+            break
+        level = below
+    return root
+
+
+def fold(page: str) -> Node:
+    """A page's expression."""
+    root = Node("")
+    stack, over, leaves = [root], 0, []
+    whole = hashlib.blake2b(digest_size=8)
+
+    def add(node: Node) -> None:
+        kids = stack[-1].kids
+        if kids and kids[-1].label == node.label:
+            align(kids[-1], node, siblings=True)
+        else:
+            kids.append(node)
+
+    def shut() -> None:
+        node = stack.pop()
+        node.kids = widen(squares(node.kids))
+        add(node)
+
+    for event, name, _, _, _, text in blocks(page):
+        if event == "text":
+            whole.update(f"{text}\n".encode("utf-8", "surrogatepass"))
+            add(Node(TEXT, _digest(text), len(text)))
+        elif name.partition(".")[0] in VOID:
             continue
-        parent, name, _, pages, times, low, high, *_ = nodes[at]
-        optional = at != 0 and pages < nodes[parent][3]
-        group = "*" if times > 1 and optional else "+" if times > 1 else "?" if optional else ""
-        text = "" if low is None else "=" if low == high else "#"
-        shut = f"</{name.partition('.')[0]}>" * bool(name) + f"){group}" * bool(group)
-        todo += [shut, *reversed(kids.get(at, []))]
-        out.append("(" * bool(group) + f"<{name}>" * bool(name) + text)
-    return "".join(out)
+        elif event == "open":
+            if len(stack) > DEPTH:
+                over += 1
+            else:
+                stack.append(Node(name))
+        elif over:
+            over -= 1
+        else:
+            shut()
+    while len(stack) > 1:
+        shut()
+    root.kids = widen(squares(root.kids))
+    of_page = int.from_bytes(whole.digest(), "big", signed=True)
+    leaves = [root]
+    while leaves:
+        node = leaves.pop()
+        node.page_low = node.page_high = of_page
+        leaves += node.kids
+    return prune(root)
+
+
+def expression(root: Node) -> str:
+    """The wrapper as text: <p>, (..)+ repeated, (..)? optional, (..)* both, # a slot, = a constant text."""
+
+    def inside(node: Node) -> str:
+        out = [one(k, node) for k in node.kids]
+        for loop in dict.fromkeys(k.loop for k in node.kids if k.loop):
+            places = [i for i, k in enumerate(node.kids) if k.loop == loop]
+            out[places[0]] = "(" + out[places[0]]
+            out[places[-1]] += ")+"
+        return "".join(out)
+
+    def one(node: Node, parent: Node) -> str:
+        body = ("=" if node.low == node.high else "#") if node.label == TEXT else f"<{node.label}>{inside(node)}</{node.label.partition('.')[0]}>"
+        optional, many = node.seen < parent.times, node.many and not node.loop
+        group = "*" if many and optional else "+" if many else "?" if optional else ""
+        return f"({body}){group}" if group else body
+
+    return inside(root)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """The wrapper of every host of (host, html) as rows: host and the fields of NODE."""
+    """host, wrapper (JSON of Node.pack) of every host of (host, html)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            known: dict[str, dict[int, list]] = {}
+            known: dict[str, Node] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 one = fold(page.as_py() or "")
-                known[host] = align(known[host], one) if host in known else one
-            rows = [(host, node, *x) for host, nodes in known.items() for node, x in nodes.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
-
-    long, text = pa.int64(), pa.string()
-    schema = {"host": text} | {f.split()[0]: {"long": long, "int": pa.int32(), "string": text}[f.split()[1]] for f in NODE.split(", ")}
-    parts = pages.select("host", "html").mapInArrow(partial, f"host string, {NODE}")
-    least, most, total = (lambda c: F.min(c).alias(c)), (lambda c: F.max(c).alias(c)), (lambda c: F.sum(c).alias(c))
-    return parts.groupBy("host", "node").agg(
-        *map(least, ("parent", "label", "region")), total("pages"), most("times"), least("low"), most("high"), total("chars"), least("page_low"), most("page_high")
-    )
-
-
-def regions(nodes: DataFrame) -> DataFrame:
-    """host, region (IN_ARTICLE, IN_MAIN, or 0 for the whole page), template (nodes whose blocks aren't
-    main text) of every host of wrappers().
-
-    A block is template if all its texts are equal on pages that differ, and it is on at least half of
-    the host's pages, so a host has at most twice as many as a page has blocks.  h1 never is, and
-    within articles only blocks with a class are.  Two pages that agree on most of their text may
-    be near copies and prove nothing.  What varies decides on the region.
-    """
-    root = nodes.where("node = 0").select("host", F.col("pages").alias("all_pages"))
-    known = nodes.where("low IS NOT NULL").join(root, "host")
-    differ = F.col("page_low") != F.col("page_high")
-    inside = F.col("region") != 0
-    enough = F.when(inside, (F.col("pages") >= PROOF_IN_ARTICLE) & F.col("label").contains(".")).otherwise(F.col("pages") >= PROOF)
-    same = (F.col("low") == F.col("high")) & differ & enough & (2 * F.col("pages") >= F.col("all_pages")) & ~F.col("label").rlike(r"^h1\b")
-    known = known.withColumn("same", same)
-    chars = lambda where: F.coalesce(F.sum(F.when(where & ~F.col("same"), F.col("chars"))), F.lit(0))
-    of = lambda bit: F.col("region").bitwiseAND(bit) != 0
-    found = known.groupBy("host").agg(
-        chars(F.lit(True)).alias("all"),
-        chars(of(IN_ARTICLE)).alias("article"),
-        chars(of(IN_MAIN)).alias("main"),
-        F.sum(F.when(F.col("same"), F.col("chars")).otherwise(0)).alias("constant"),
-        F.collect_list(F.when(F.col("same"), F.col("node"))).alias("template"),
-        F.first("all_pages").alias("all_pages"),
-    )
-    proven = F.when((F.col("all_pages") > 2) | (F.col("constant") <= F.col("all")), F.col("template")).otherwise(F.array().cast("array<long>"))
-    big = lambda c: (F.col(c) > 0) & (REGION_SHARE * F.col(c) >= F.col("all"))
-    return found.select("host", F.when(big("article"), IN_ARTICLE).when(big("main"), IN_MAIN).otherwise(0).alias("region"), proven.alias("template"))
+                known[host] = prune(align(known[host], one)) if host in known else one
+            rows: list[tuple[str, int, str]] = []
+            size = 0
+            for host, root in known.items():
+                rows.append((host, block, json.dumps(root.pack())))
+                size += len(rows[-1][2])
+                if size > BATCH_CHARS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+            block += 1
+
+    def batch_of(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "block", "wrapper"])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        roots = (Node.unpack(json.loads(w)) for w in group["wrapper"])
+        root = next(roots)
+        for other in roots:
+            root = prune(align(root, other))
+        return pd.DataFrame({"host": group["host"].iloc[:1], "block": group["block"].iloc[:1], "wrapper": [json.dumps(root.pack())]})
+
+    schema = "host string, block long, wrapper string"
+    known = materialise(pages.select("host", "html").mapInArrow(partial, schema), "html-wrappers")
+    while (most := known.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        salt = F.pmod(F.xxhash64("block"), F.lit(-(-most // FAN_IN)))
+        merged = materialise(known.groupBy("host", salt.alias("salt")).applyInPandas(merge, schema), "html-wrappers")
+        discard(known)
+        known = merged
+    return known
+
+
+def templates(root: Node) -> list[int]:
+    """What is template on a wrapper's host, as numbers of (path of labels, text): constant texts on
+    pages that differ, on at least half of those that have the parent, outside article and main
+    elements.  No h1 is, nor prose of an element with prose that varies.  Pages that agree on more
+    than they differ in may be near copies and prove nothing."""
+    varying = constant = 0
+    found: list[int] = []
+
+    def varies(node: Node) -> bool:
+        return node.low != node.high if node.label == TEXT else any(map(varies, node.kids))
+
+    def visit(node: Node, path: int) -> None:
+        nonlocal constant
+        prose = {id(k) for k in node.kids if k.label.partition(".")[0] not in CONTAINERS}
+        in_prose = any(id(k) in prose and varies(k) for k in node.kids)
+        for k in node.kids:
+            if is_text_region(k.label) or k.label.partition(".")[0] == "h1" or (in_prose and id(k) in prose):
+                continue
+            if k.label != TEXT:
+                visit(k, _node(path, k.label))
+            elif k.low == k.high and k.page_low != k.page_high and 2 * k.seen >= node.times:
+                found.append(_node(path, str(k.low)))
+                constant += k.chars
+
+    visit(root, 0)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        varying += node.chars if node.label == TEXT and node.low != node.high else 0
+        todo += node.kids
+    return found if constant <= varying else []
 
 
 # ------------------------------------------------------------------ extraction
 
 
-def extract(page: str | None, region: int = IN_ARTICLE, template: frozenset = frozenset()) -> str:
-    """The text of the blocks within the region that aren't template, joined by newlines.
-
-    A page without the region is read by its article, else its main element, else as a whole.
-    White space in a block becomes one space; empty blocks are none.
+def extract(page: str | None, template: frozenset = frozenset()) -> str:
+    """The text of a page's blocks, joined by newlines, without template blocks outside article and
+    main elements; beside such elements blocks of mere links are menus.  White space in a block
+    becomes one space; empty blocks are none.
     """
-    if not page:
-        return ""
-    found: list[tuple[int, str]] = []
-    for event, node, _, _, where, text in blocks(page):
-        if event == "text" and node not in template:
-            found.append((where, text))
-    for bit in (region, IN_ARTICLE, IN_MAIN) if region else ():
-        if some := [text for where, text in found if where & bit]:
-            return "\n".join(some)
-    return "\n".join(text for _, text in found)
+    found = [b for b in blocks(page or "") if b[0] == "text"]
+    has_region = any(region for _, _, _, region, _, _ in found)
+    return "\n".join(
+        text
+        for _, _, path, region, linked, text in found
+        if region or not ((has_region and linked) or (template and _node(path, str(_digest(text))) in template))
+    )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html).
 
     Null and empty html give an empty text; a null url or one without a host belongs to the
-    host ''; repeated rows are read each, and equal pages prove nothing about a template; an
-    empty table gives an empty result.  Time and memory are linear in a page's length, however
-    long, deep or broken it is.  Other columns are ignored.
+    host ''; null, repeated and equal ids play no part, repeated rows are read each, and equal pages
+    prove nothing about a template; an empty table gives an empty result.  Time and memory are linear
+    in a page's length, however long, deep or broken it is.  Other columns are ignored.
     """
     hosted = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), "html")
-    nodes = materialise(wrappers(hosted), "html-wrappers")
-    found = materialise(regions(nodes), "html-regions")
-    discard(nodes)
-    side = found.withColumnRenamed("host", "h")
-    joined = hosted.join(F.broadcast(side) if found.count() <= BROADCAST_HOSTS else side, F.col("host") == F.col("h"), "left")
+    known = wrappers(hosted)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str, list[int]]] = []
+            held = 0
+            for host, wrapper in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if numbers := templates(Node.unpack(json.loads(wrapper.as_py()))):
+                    rows.append((host, numbers))
+                    held += len(numbers)
+                    if held > BATCH_NUMBERS:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple[str, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], type=pa.list_(pa.int64()))], names=["h", "template"])
+
+    side = materialise(known.select("host", "wrapper").mapInArrow(decide, "h string, template array<long>"), "html-templates")
+    discard(known)
+    joined = hosted.join(F.broadcast(side) if side.count() <= BROADCAST_HOSTS else side, F.col("host") == F.col("h"), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            settings = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            texts = [
-                extract(page.as_py(), IN_ARTICLE if region is None else region, frozenset(template or ()))
-                for page, (region, template) in zip(batch.column(4), settings, strict=True)
-            ]
+            texts = [extract(page.as_py(), frozenset(template or ())) for page, template in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array(list(map(len, texts)), type=pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "region", "template", "html").mapInArrow(work, f"page_id {key}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "template", "html").mapInArrow(work, f"page_id {key}, url string, text string, n_chars long")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

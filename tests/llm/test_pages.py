@@ -1,11 +1,14 @@
 """Page texts, archives and embeddings."""
 
+import functools
 import gzip
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from colex.llm import embeddings, html_text, warc
 from colex.llm.common import scratch
@@ -39,7 +42,7 @@ PAGES = [
 ]
 TEXT = {
     1: "T & U\nOne two three\nCafé 一 x", 2: "V\nOnly", 3: "Long text that varies one.\nMore of it here.", 4: "Another page with other words.\nAnd its second part.\nThird.", 5: "plain text, no tags",
-    6: "", 7: "", 8: "a\nb c\nd\ne\nf", 9: "T & U\nOne two three\nCafé 一 x", 10: "unclosed bold\nnext",
+    6: "", 7: "", 8: "a\nb c\nd\ne\nf", 9: "T & U\nOne two three\nCafé 一 x", 10: "unclosed bold\nnext\n< 3 <tag>",
 }
 
 
@@ -56,72 +59,78 @@ def test_texts(pages):
 
 
 def inferred(df):
-    """host -> (expression, region, template) by html_text.wrappers and regions."""
-    from pyspark.sql import functions as F
-
+    """host -> (expression, number of templates)."""
     hosted = df.select(F.regexp_extract(F.coalesce("url", F.lit("")), html_text.HOST, 1).alias("host"), "html")
-    nodes = html_text.wrappers(hosted)
-    trees = {}
-    for r in nodes.select("host", *[f.split()[0] for f in html_text.NODE.split(", ")]).collect():
-        trees.setdefault(r["host"], {})[r["node"]] = list(r[2:])
-    found = {r["host"]: r for r in html_text.regions(nodes).collect()}
-    return {host: (html_text.expression(trees[host]), r["region"], set(r["template"])) for host, r in found.items()}
+    roots = {r["host"]: html_text.Node.unpack(json.loads(r["wrapper"])) for r in html_text.wrappers(hosted).collect()}
+    return {host: (html_text.expression(root), len(html_text.templates(root))) for host, root in roots.items()}
+
+
+def texts(spark, some, parts=3):
+    return {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(some, SCHEMA).repartition(parts)).collect()}
 
 
 def test_wrappers_are_union_free_expressions(pages):
     found = inferred(pages)
-    expression, region, template = found["b.example"]
-    assert expression == "<body><div.bottom>=</div><div.content><div>(<p>#</p>)+</div></div><div.top>=</div></body>"
-    assert region == 0 and len(template) == 2
-    expression, region, template = found["a.example"]
-    assert expression == "<html><body.has-sidebar><article><h1>#</h1>(<p>#</p>)+</article></body></html>" and region == html_text.IN_ARTICLE
-    assert not template
+    assert found["b.example"] == ("<body><div.top>=</div><div.content><div>(<p>#</p>)+</div></div><div.bottom>=</div></body>", 2)
+    assert found["a.example"] == ("<html><body.has-sidebar><article><h1>#</h1>(<p>#</p>)+</article></body></html>", 0)
+
 
+def test_alignment_keeps_order_and_makes_groups():
+    fold, show = html_text.fold, html_text.expression
+    tree = lambda *pages: functools.reduce(html_text.align, map(fold, pages))
+    a, b = "<div><p>x</p></div>", "<div><h1>t</h1><p>x</p><p>y</p></div>"
+    assert show(tree(a, b)) == show(tree(a, b, a)) == "<div>(<h1>=</h1>)?(<p>#</p>)+</div>"
+    assert show(fold("<ul><li>a</li><p>b</p></ul>")) == "<ul><li>=</li><p>=</p></ul>" != show(fold("<ul><p>b</p><li>a</li></ul>"))
+    assert show(fold("<h2>a</h2><p>b</p><p>c</p><h2>d</h2><p>e</p><h3>f</h3>")) == "(<h2>#</h2><p>#</p>)+<h3>=</h3>"
+    assert show(tree("<h1>a</h1><p>b</p>", "<p>c</p><h2>d</h2>")) == "(<h1>=</h1>)?<p>#</p>(<h2>=</h2>)?"
+    assert show(tree("<p>a</p><h2>b</h2><p>c</p>", "<p>a</p><h2>b</h2><p>d</p>")) == "<p>=</p><h2>=</h2><p>#</p>"
 
-def test_alignment_makes_optional_and_repeated_groups():
-    a, b = html_text.fold("<div><p>x</p></div>"), html_text.fold("<div><h1>t</h1><p>x</p><p>y</p></div>")
-    tree = html_text.align(a, b)
-    assert html_text.expression(tree) == "<div>(<h1>=</h1>)?(<p>#</p>)+</div>"
-    assert html_text.expression(html_text.align(tree, a)) == html_text.expression(tree)
-    c = html_text.fold("<section><p>z</p></section>")
-    assert html_text.align(html_text.align(a, b), c) == html_text.align(a, html_text.align(c, b))
+
+def test_wrappers_are_bounded():
+    def size(node):
+        return 1 + sum(map(size, node.kids))
+
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    one = lambda k: "<body>" + "".join(f"<div class='{name(k * 1000 + i)}'><b class=x>{i}</b><section class='{name(i)}'><p>{k}</p></section></div>" for i in range(300))
+    root = html_text.fold(one(1))
+    for k in range(2, 8):
+        root = html_text.prune(html_text.align(root, html_text.fold(one(k))))
+    assert size(root) <= html_text.NODES and all(len(n.kids) <= html_text.BREADTH for n in root.kids)
+    bushy = "<body>" + "".join(f"<div class={name(i)}>" + "".join(f"<div class={name(j)}>{i}</div>" for j in range(120)) + "</div>" for i in range(120))
+    assert size(html_text.fold(bushy)) <= html_text.NODES and html_text.extract(bushy).count("\n") == 120 * 120 - 1
 
 
 def test_the_wrapper_decides(spark):
     """Hosts on which the text without its wrapper would be another."""
     notice = "This site may earn a commission when you buy through the links on its pages. " * 5
     div = lambda i, extra="": f"<body><div class='teasers'><article>Teaser {i}</article></div><div class='strip'>{notice}</div><div class=content><h2 id='social-impact'>Impact {i}</h2><p>{f'Body words {i}. ' * 40}</p>{extra}</div></body>"
-    art = lambda i: f"<body><div class=intro>Welcome to our pages</div><article id='post-{i}'><header><h1>Title {i}</h1></header><section id='related-work'><p>Work {i}</p></section><div class='hint'>Get our app</div><footer>By {i}</footer></article></body>"
+    art = lambda i: f"<body><div class=intro>Welcome to our pages</div><article id='post-{i}'><header><h1>Title {i}</h1></header><section id='related-work'><p>Work {i} {'and more words ' * 9}</p></section><div class='hint'>Get our app</div><footer>By {i}</footer></article></body>"
     bare = lambda i: f"<body><div class=intro>Welcome to our pages</div><div class=text>Plain {i}</div></body>"
     some = [(i, f"http://div.example/{i}", div(i)) for i in range(3)]
     some += [(i, f"http://two.example/{i}", art(i)) for i in range(10, 14)] + [(i, f"http://two.example/{i}", bare(i)) for i in range(20, 22)]
     wide = "<body><article>" + "".join(f"<section class='k{i}'>s{i}</section><p>p{i}</p>" for i in range(20_000)) + "</article></body>"
     some += [(30, "http://wide.example/1", wide), (31, "http://wide.example/2", wide.replace("s7<", "other<"))]
-    table_ = spark.createDataFrame(some, SCHEMA).repartition(4)
-    found = {r["page_id"]: r["text"] for r in html_text.main_text(table_).collect()}
+    found = texts(spark, some, 4)
     for i in range(3):
         assert found[i] == f"Teaser {i}\nImpact {i}\n" + f"Body words {i}. " * 39 + f"Body words {i}."
-        assert html_text.extract(div(i)) == f"Teaser {i}"
-    for i in range(10, 14):
-        assert found[i] == f"Title {i}\nWork {i}" and html_text.extract(art(i)).endswith("Get our app")
+        assert notice.strip() in html_text.extract(div(i))
+    for i in range(10, 14):  # within an article nothing is template
+        assert found[i] == f"Title {i}\nWork {i} {'and more words ' * 9}".strip() + "\nGet our app"
     for i in range(20, 22):
         assert found[i] == f"Plain {i}" and html_text.extract(bare(i)) == f"Welcome to our pages\nPlain {i}"
     assert found[30] == "\n".join(f"s{i}\np{i}" for i in range(20_000)) and found[31] == found[30].replace("s7\n", "other\n")
-    expression, region, template = inferred(table_)["div.example"]
-    assert region == 0 and len(template) == 1 and "<div.strip>=</div>" in expression
 
 
 def test_near_copies_prove_no_template(spark):
     page = lambda title: f"<body><h1>{title}</h1><div class=text>{'The same words. ' * 30}</div></body>"
-    some = [(1, "http://x.example/1", page("One")), (2, "http://x.example/2", page("Two"))]
-    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(some, SCHEMA)).collect()}
+    found = texts(spark, [(1, "http://x.example/1", page("One")), (2, "http://x.example/2", page("Two"))])
     assert found[1].startswith("One\nThe same words.") and found[2].startswith("Two\nThe same words.")
 
 
 def test_all_blocks_that_vary_are_kept(spark):
     long = "A sentence of this page alone. " * 12
     page = lambda i, lead: f"<body><div class=top>Home</div><div class=wrap><div class=lead>Lead {i}</div><div class=text><h2>Story</h2><p>{long}{i} <b>Note</b> end</p>{lead}</div><div class=bar>Same bar</div></div></body>"
-    want = lambda i: f"Lead {i}\n{long}{i} Note end"
+    want = lambda i: f"Lead {i}\nStory\n{long}{i} Note end"
     two = lambda i, text: f"<body><article class=teaser><p>More {i}</p></article><article class=post><h1>Head {i}</h1><p>{text} {i}</p></article></body>"
     alone = "<body><h1>Head</h1><div class=a><p>Short one.</p></div><div class=b><p>" + long + "</p></div></body>"
     some = [
@@ -129,12 +138,95 @@ def test_all_blocks_that_vary_are_kept(spark):
         (4, "http://two.example/1", two(1, "Text")), (5, "http://two.example/2", two(2, "Text")),
         (6, "http://one.example/1", alone), (7, "http://copies.example/1", alone), (8, "http://copies.example/2", alone),
     ]
-    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(some, SCHEMA).repartition(3)).collect()}
+    found = texts(spark, some)
     assert found[1] == want(1) and found[2] == want(2) and found[3] == want(3) + "\nOnly here"
     assert found[4] == "More 1\nHead 1\nText 1" and found[5] == "More 2\nHead 2\nText 2"
     assert found[6] == found[7] == found[8] == "Head\nShort one.\n" + long.strip()
 
 
+def test_no_line_of_an_article_is_lost(spark):
+    """Constant headings, leads beside the article, a story beside a teaser, parts with text of their own."""
+    words = lambda i: f"words of page {i} only " * 6
+    hosts = {
+        "recipe": (lambda i: f"<body><div class=top>Our site</div><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>egg {i}</li></ul><h3>Method</h3><p>{words(i)}</p></body>", lambda i: f"Dish {i}\nIngredients\negg {i}\nMethod\n{words(i).strip()}"),
+        "section": (lambda i: f"<body><article><h1>T {i}</h1><p>{words(i)}</p><h2 class=sec>Conclusion</h2><p>{i}</p></article></body>", lambda i: f"T {i}\n{words(i).strip()}\nConclusion\n{i}"),
+        "main": (lambda i: f"<body><main><h1>H {i}</h1><p class=lead>Lead {i}</p><article><p>{words(i)}</p></article></main></body>", lambda i: f"H {i}\nLead {i}\n{words(i).strip()}"),
+        "teaser": (lambda i: f"<body><article class=teaser>{words(i)}</article><div class=story><p>Story {i} {words(i) * 3}</p></div></body>", lambda i: f"{words(i).strip()}\nStory {i} {(words(i) * 3).strip()}"),
+        "alert": (lambda i: f"<body><article><p>{words(i)}</p><div class=alert>Mind {i}</div><div class=related>See {i}</div><div class=related><a href=x>Other {i}</a></div><p hidden>Hid {i}</p></article></body>", lambda i: f"{words(i).strip()}\nMind {i}\nSee {i}\nHid {i}"),
+        "crumbs": (lambda i: f"<body><div class=crumbs><a href=x>Home</a> <a href=y>P {i}</a></div><article>{words(i)}</article></body>", lambda i: words(i).strip()),
+    }
+    for n in (2, 5):  # however many pages a host has
+        some = [(1000 * h + i, f"https://{name}.example/{i}", page(i)) for h, (name, (page, _)) in enumerate(hosts.items()) for i in range(n)]
+        found = texts(spark, some + some[:1])
+        for h, (name, (_, want)) in enumerate(hosts.items()):
+            assert [found[1000 * h + i] for i in range(n)] == [want(i) for i in range(n)], name
+    for name, (page, want) in list(hosts.items())[1:]:
+        assert html_text.extract(page(0)) == want(0), name
+
+
+def brute_force(pages):
+    """page_id -> text by html.parser and comparison of all pages of a host, for well-formed pages
+    without classes to drop: what isn't in the article goes if all of the host's pages have it in its place."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.found = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class", "")))
+            self.found.append(None)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+            self.found.append(None)
+
+        def handle_data(self, text):
+            if text.strip() and not {"nav", "title", "footer"} & {t for t, _ in self.open}:
+                self.found.append((tuple(self.open), " ".join(text.split())))
+
+    hosts = {}
+    for i, url, page in pages:
+        reader = Reader()
+        reader.feed(page)
+        hosts.setdefault(url.split("/")[2], {})[i] = [f for f in reader.found if f]
+    out = {}
+    for found in hosts.values():
+        same = set.intersection(*map(set, found.values())) if len(found) > 1 else set()
+        for i, blocks in found.items():
+            out[i] = "\n".join(text for path, text in blocks if ("article", "") in path or (path, text) not in same)
+    return out
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Random hosts, some of one page and one of many, with pre-aggregation in several levels."""
+    monkeypatch.setattr(html_text, "FAN_IN", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join("w%x" % x for x in rng.integers(0, 1 << 30, n))
+    some = []
+    for h, n in enumerate([1, 2, 3, 10, 120]):
+        fixed = {c: word(3) for c in "abcdef"}
+        bar = lambda c: f"<div class='{c}'>{fixed[c]}</div>"  # noqa: B023, E731
+        for k in range(n):
+            parts = [f"<p>{word(30)}</p>" if rng.random() < 0.8 else f"<h2>{word(2)}</h2><ul><li>{word(9)}</li><li>{word(4)}</li></ul>" for _ in range(rng.integers(1, 9))]
+            story = f"<article><h1>{word(3)}</h1>{''.join(parts)}</article>" if h % 2 else f"<div class='story'>{''.join(parts)}<p>{word(20)}</p></div>"
+            page = f"<html><head><title>{word(2)}</title></head><body>{bar('a')}<nav><ul><li>{word(1)}</li></ul></nav><section class='s'>{bar('b')}{bar('c')}</section>{story}{bar('d')}<footer>{word(4)}</footer></body></html>"
+            some.append((len(some), f"http://h{h}.example/{k}", page))
+    try:
+        assert texts(spark, some, 8) == brute_force(some)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_awkward_rows(spark):
+    some = [(None, None, None), (None, "http://a.example", "<p>x</p>"), (1, "http://a.example", "<p>x</p>"), (1, "http://a.example", "<p>y</p>"), (2, "//a.example/b", "")]
+    out = html_text.main_text(data.clashing(spark.createDataFrame(some, SCHEMA))).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out) == [(0, "", 0), (0, "x", 1), (1, "x", 1), (1, "y", 1), (2, "", 0)]
+    assert html_text.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_broken_markup_takes_linear_time():
     import time
 
@@ -146,7 +238,7 @@ def test_broken_markup_takes_linear_time():
     assert html_text.extract("<script>" * 1000 + "x") == ""
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     tree = html_text.align(html_text.fold(deep), html_text.fold(deep + "<p>x</p>"))
-    assert html_text.extract(deep, 0) == "deep" and len(tree) == 3002 and html_text.expression(tree).count("<div>") == 3000
+    assert html_text.extract(deep) == "deep" and html_text.expression(tree).count("<div>") == html_text.DEPTH
     assert time.time() - began < 20
 
 
