@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 SPACE_SET = r"\s   -     　﻿"
 SPACE = f"[{SPACE_SET}]"
+#: The same characters as a literal, for trim.
+SPACE_CHARS = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 SOLID = f"[^{SPACE_SET}]"
 
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
@@ -68,27 +70,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Elements whose sum is taken anew for each place, in running_starts.
+#: Elements of a run in running_starts.
 _RUN = 64
 
 
 def running_starts(sizes: Column) -> Column:
-    """For each element of an array of sizes the sum of those before it, in the row.  Sums of runs of
-    elements come first, so that a long array doesn't cost the square of its length."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x)
-    block = lambda i: F.floor(i / _RUN).cast("int")
+    """For each element of an array of sizes the sum of those before it, in the row.  Each run of
+    elements is added up once, and so are the sums of runs, so that a long array doesn't cost the
+    square of its length."""
+    none = F.array().cast("array<bigint>")
+    empty = F.struct(none.alias("starts"), F.lit(0).cast("bigint").alias("sum"))
 
-    def starts(sizes: Column, before: Column) -> Column:
-        return F.transform(sizes, lambda _, i: before[block(i)] + total(F.slice(sizes, block(i) * _RUN + 1, i % _RUN)))
+    def added(sizes: Column) -> Column:
+        step = lambda so_far, x: F.struct(F.array_append(so_far["starts"], so_far["sum"]).alias("starts"), (so_far["sum"] + x).alias("sum"))
+        return F.aggregate(sizes, empty, step)
 
-    def with_sums(sizes: Column, sums: Column) -> Column:
-        return let(F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))), lambda before: starts(sizes, before))
+    def joined(runs: Column) -> Column:
+        bases = added(F.transform(runs, lambda run: run["sum"]))["starts"]
+        return F.flatten(F.zip_with(runs, bases, lambda run, base: F.transform(run["starts"], lambda start: start + base)))
 
-    def with_sizes(sizes: Column) -> Column:
-        runs = F.sequence(F.lit(0), block(F.size(sizes) - 1))
-        return let(F.transform(runs, lambda b: total(F.slice(sizes, b * _RUN + 1, _RUN))), lambda sums: with_sums(sizes, sums))
+    def of_runs(sizes: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(sizes), F.lit(_RUN))
+        return let(F.transform(first, lambda i: added(F.slice(sizes, i, _RUN))), joined)
 
-    return F.when(F.size(sizes) > 0, let(sizes, with_sizes)).otherwise(F.array().cast("array<bigint>"))
+    def of_any(sizes: Column) -> Column:
+        return F.when(F.size(sizes) == 0, none).when(F.size(sizes) <= _RUN, added(sizes)["starts"]).otherwise(of_runs(sizes))
+
+    return let(sizes, of_any)
 
 
 def to_hiragana(c: Column) -> Column:
@@ -161,7 +169,8 @@ def romaji_to_hiragana_text(text: str) -> str:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without the white space (SPACE) at both ends; no regular expression, which would look at every space within."""
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def similarity(a: Column, b: Column) -> Column:

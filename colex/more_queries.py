@@ -188,15 +188,19 @@ def inverted_index_by_span(spark, sf_dir):
 # ------------------------------------------------------------------ dictionaries
 
 
-@query(f"WITH {_TERMS}, z AS (SELECT min(title) AS title FROM dicts) SELECT dictionary, count(*) AS n, min(row_ord) AS first_ord FROM terms WHERE dictionary <> (SELECT title FROM z) GROUP BY 1 UNION ALL SELECT title, 2, -2 FROM z")
+@query(
+    f"""WITH {_TERMS}, z AS (SELECT min(title) AS title FROM dicts) SELECT dictionary, term, reading, row_ord FROM terms JOIN dicts ON title = dictionary WHERE dictionary <> (SELECT title FROM z)
+    UNION ALL SELECT dictionary, term || '!', reading, -1 - row_ord FROM terms WHERE dictionary = (SELECT title FROM z) AND row_ord % 2 = 0"""
+)
 def dict_import_store(spark, sf_dir):
-    """One dictionary is imported anew, with two terms."""
+    """One dictionary is imported anew: half of its terms, changed.  Every row of the store afterwards."""
     terms, dicts = dictionary_tables(spark, sf_dir)
     row = dicts.orderBy("title").limit(1)
-    new = terms.limit(1).crossJoin(spark.range(2)).withColumn("row_ord", F.col("id") - 2).drop("id", "dictionary").crossJoin(row.select(F.col("title").alias("dictionary")))
+    old = terms.join(F.broadcast(row.select(F.col("title").alias("dictionary"))), "dictionary").where("row_ord % 2 = 0")
+    new = old.withColumn("term", F.concat("term", F.lit("!"))).withColumn("row_ord", -1 - F.col("row_ord")).select(*terms.columns)
     after, titles = D.import_dictionary(terms, dicts, new, row)
     known = after.join(titles.select(F.col("title").alias("dictionary")), "dictionary")
-    return known.groupBy("dictionary").agg(F.count(F.lit(1)).alias("n"), F.min("row_ord").alias("first_ord"))
+    return known.select("dictionary", "term", "reading", "row_ord")
 
 
 _STORED = f"""{_TERMS}, z AS (SELECT min(title) AS first, max(title) AS last FROM dicts), t AS (SELECT dictionary, term, reading, row_ord FROM terms JOIN dicts ON title = dictionary WHERE dictionary NOT IN (SELECT last FROM z) AND (dictionary <> (SELECT first FROM z) OR row_ord % 2 = 0)),
@@ -314,14 +318,18 @@ def sense_examples(spark, sf_dir):
     return D.senses(terms).select("dictionary", "term", "row_ord", "sense_no", "label", "type", F.md5("text").alias("digest"), "is_example")
 
 
-@query(f"WITH {_TERMS}, o AS (SELECT min(title) AS title FROM dicts) SELECT row_ord, CASE WHEN term = 'The' THEN 100 WHEN starts_with(term, 'The') THEN 80 ELSE 0 END AS score FROM terms JOIN o ON dictionary = title WHERE starts_with(term, 'The') QUALIFY row_number() OVER (PARTITION BY term, reading ORDER BY row_ord) = 1 UNION ALL SELECT -1, count(*) FROM (SELECT DISTINCT term, reading FROM terms JOIN o ON dictionary = title WHERE starts_with(reading, 'the') AND NOT starts_with(term, 'the'))")
+@query(
+    f"""WITH {_TERMS}, o AS (SELECT min(title) AS title FROM dicts), t AS (SELECT terms.* FROM terms JOIN o ON dictionary = title), q AS (SELECT * FROM (VALUES ('The', 'the'), ('the', 'the')) AS v(query, w)),
+    hits AS (SELECT query, w, t.*, CASE WHEN starts_with(term, query) THEN 1 ELSE 2 END AS rank FROM t, q WHERE starts_with(term, query) OR starts_with(reading, query)),
+    once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query, term, reading ORDER BY rank, row_ord) = 1)
+    SELECT query, row_ord, term, reading, CAST(CASE WHEN lower(trim(term)) = w THEN 100 WHEN starts_with(lower(trim(term)), w) THEN 80 END AS INTEGER) AS score FROM once"""
+)
 def dict_search_one(spark, sf_dir):
-    """A search within one dictionary."""
+    """Searches within one dictionary, by term, and by reading too: every hit."""
     terms, dicts = dictionary_tables(spark, sf_dir)
     only = dicts.agg(F.min("title")).first()[0]
-    hits = D.search(terms, dicts, D.DictionaryOptions("The", dictionaries=(only,), max_results=1_000_000))
-    by_reading = D.search(terms, dicts, D.DictionaryOptions("the", dictionaries=(only,), max_results=1_000_000)).where(~F.col("term").startswith("the"))
-    return hits.select("row_ord", "score").unionByName(by_reading.agg(F.lit(-1).cast("long").alias("row_ord"), F.count(F.lit(1)).cast("int").alias("score")))
+    found = lambda q: D.search(terms, dicts, D.DictionaryOptions(q, dictionaries=(only,), max_results=1_000_000)).select(F.lit(q).alias("query"), "row_ord", "term", "reading", "score")
+    return found("The").unionByName(found("the"))
 
 
 @query(

@@ -61,3 +61,17 @@ def test_vectors(spark):
     assert column(spark, ["　x 　"], T.trim) == ["x"]
     for q in ("高い", "書く", "食べる", "風", ""):
         assert T.expand_search_text(q) == column(spark, [q], T.expand_search)[0]
+
+
+def test_running_starts_and_trim(spark):
+    from itertools import accumulate
+
+    rows = [[], None, [3], [0, 0, 5], list(range(64)), list(range(65)), list(range(1000))]
+    out = spark.createDataFrame([(r,) for r in rows], "a array<int>").select("a", T.running_starts(F.col("a")).alias("s")).collect()
+    for r in out:
+        assert r.s == (None if r.a is None else [0, *accumulate(r.a)][: len(r.a)])
+    texts = ["  a b　", "", "　﻿ ", "x", None, "\n\t a  \U0001f600 \r", "​ y"]
+    found = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.trim(F.col("s")).alias("t")).collect()
+    for r in found:
+        assert r.t == (None if r.s is None else r.s.strip(T.SPACE_CHARS))
+    assert [r.t for r in found] == ["a b", "", "", "x", None, "a  \U0001f600", "​ y"]
