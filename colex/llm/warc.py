@@ -1,6 +1,6 @@
 """WARC archives with revisit resolution.
 
-Only headers (digest and id) are shuffled by payload digest; the payloads move once, by
+Headers (digest, bytes and id) are written once, and only they are shuffled by payload digest; the payloads move once, by
 page, to their decision and into the archives.  Of the records with one payload the first by
 page_id is the response, the others become revisit records that point to it.
 
@@ -49,15 +49,20 @@ def _digested(pages: DataFrame) -> DataFrame:
     )
 
 
-def resolve(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, payload_digest, first_id, times for every page whose payload another record has too.
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest of every page: all that resolution needs of it."""
+    return _digested(pages).select("page_id", "payload_bytes", "payload_digest")
+
+
+def resolve(heads: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """page_id, payload_digest, first_id, times for every page of headers() whose payload another record has too.
 
     first_id is the smallest page_id with the payload, null ids last.  Only headers are
     shuffled; the groups are counted and their first id found before the shuffle, so a
     payload that a third of all pages share is a few rows, and payloads that occur once,
     which are most, are dropped there.
     """
-    heads = _digested(pages).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
+    heads = heads.where(F.col("payload_bytes") >= least)
     groups = heads.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).where("n > 1")
     times = heads.groupBy("page_id", "payload_digest").agg(F.count(F.lit(1)).alias("times"))
     return times.join(groups.drop("n"), "payload_digest")
@@ -141,13 +146,14 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, per_
     page_id, url and html are ignored.
     """
     pages = pages.select("page_id", "url", "html")
-    found = materialise(resolve(pages, least), "warc-resolved")
+    heads = materialise(headers(pages), "warc-headers")
+    found = materialise(resolve(heads, least), "warc-resolved")
     out = records(pages, found)
-    sizes = _digested(pages).select(size_class(F.col("payload_bytes")).alias("c")).distinct()
+    sizes = heads.select(size_class(F.col("payload_bytes")).alias("c")).distinct()
     for c in sorted(r["c"] for r in sizes.collect()) or [0]:
         some = out.where(F.col("size_class") == c).select("value")
         some.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file // STEP**c)).text(f"{path}/{c}")
-    discard(found)
+    discard(found, heads)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
