@@ -111,6 +111,14 @@ def library_json_round_trip(spark, sf_dir):
 # ------------------------------------------------------------------ indexes
 
 
+@query(scored_sql(both_sql("ring"), tail=""))
+def search_stored(spark, sf_dir):
+    """Every hit in a lexicon that was stored with its normal forms."""
+    path = shared_path(spark, "fields")
+    S.write_with_fields(lexicon(spark, sf_dir), path)
+    return S.search(spark.read.parquet(path), S.SearchOptions("ring", max_results=None)).select(SHOWN)
+
+
 def _indexed(query: str):
     def run(spark, sf_dir):
         lex = lexicon(spark, sf_dir)

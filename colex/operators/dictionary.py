@@ -257,10 +257,3 @@ def import_dictionary(terms: DataFrame, dictionaries: DataFrame, new_terms: Data
 def delete_dictionary(terms: DataFrame, kanji: DataFrame, dictionaries: DataFrame, title: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without a title."""
     return terms.where(F.col("dictionary") != title), kanji.where(F.col("dictionary") != title), dictionaries.where(F.col("title") != title)
-
-
-def write_terms(terms: DataFrame, path: str) -> None:
-    """Partitioned by dictionary and sorted by term, so that imports overwrite one partition and
-    lookups prune files and row groups."""
-    ordered = terms.repartition("dictionary", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("dictionary", "term")
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dictionary").parquet(path)

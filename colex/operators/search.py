@@ -95,6 +95,12 @@ def with_fields(lexicon: DataFrame) -> DataFrame:
     return both.withColumn("fields", F.arrays_zip(F.col("raw_fields").alias("raw"), F.col("norm_fields").alias("norm"))).drop("raw_fields", "norm_fields")
 
 
+def write_with_fields(lexicon: DataFrame, path: str) -> None:
+    """Stores a lexicon with its `fields`, which are worked out once, at ingest: searches over what is
+    read back from `path` are JVM plans without a Python worker.  An empty lexicon gives an empty store."""
+    with_fields(lexicon).write.mode("overwrite").parquet(path)
+
+
 def _rounded(similarity: Column, over: float, weight: int) -> Column:
     return F.when(similarity > over, F.floor(similarity * weight + 0.5)).otherwise(0).cast("int")
 
@@ -162,7 +168,7 @@ def search(lexicon: DataFrame, options: SearchOptions) -> DataFrame:
     rows = filtered(lexicon, options)
     q = query_terms(options.query)
     if not q.normalised:
-        hits = rows.withColumn("score", F.col("frequency").cast("int"))
+        hits = rows.drop("fields").withColumn("score", F.col("frequency").cast("int"))
     else:
         hits = with_fields(rows).withColumn("score", score(q, options.fuzzy).cast("int")).drop("fields").where("score > 0")
     return sort_and_limit(hits, options.sort_by, options.sort_dir, options.max_results)

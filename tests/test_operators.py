@@ -192,3 +192,20 @@ def test_index_lists_in_parts(spark, sf_dir):
         assert len(r["ids"]) <= 50
         joined[r["key"]] = joined.get(r["key"], []) + r["ids"]
     assert joined == whole
+
+
+def test_stored_fields_need_no_python(spark, sf_dir):
+    from colex import queries as Q
+    from colex.operators import search as S
+    from colex.plans.shared import shared_path
+
+    lexicon, path = Q.lexicon(spark, sf_dir), shared_path(spark, "fields")
+    S.write_with_fields(lexicon, path)
+    stored = spark.read.parquet(path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for options in (S.SearchOptions("ring"), S.SearchOptions("*in?"), S.SearchOptions(""), S.SearchOptions("ポット", fuzzy=False)):
+        fresh, kept = S.search(lexicon, options), S.search(stored, options)
+        assert kept.columns == fresh.columns and kept.select("id", "score").collect() == fresh.select("id", "score").collect()
+        assert "Python" not in plan(kept) and "Pandas" not in plan(kept)
+    S.write_with_fields(lexicon.limit(0), path)
+    assert S.quick_search(spark.read.parquet(path), "ring").collect() == []
