@@ -9,7 +9,8 @@ What first meets in a bucket are 64 more sign bits of each class, not its vector
 that differs in more than FAR bits from all others of its bucket has no near one there.
 Only the others' vectors are fetched, for the exact cosine in double precision.  A bucket
 larger than a block is compared block against block in as many tasks as there are pairs of
-blocks; pairs are counted, not written.
+blocks; pairs are counted, not written.  A cosine that rounding leaves open is worked out anew
+with twice the digits, so a pair right at the threshold links however its vectors are scaled.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ROWS = 512
 #: Sign bits that meet before vectors do, and the chance that a pair at the threshold differs in more than the bits allowed.
 SKETCH = 64
 MISSED = 1e-7
+#: Roundings per component within which a product is open, and pairs whose products are worked out anew at once.
+ROUNDINGS, PAIRS = 8, 1 << 16
 #: Bytes of vectors and places that meet in a slot (a frame of buckets), on average, at most.
 SLOT_BYTES = 16_000_000
 SEED = 20_011
@@ -85,6 +88,48 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a * b as a rounded product and what rounding lost (Dekker)."""
+    p, parts = a * b, []
+    for x in (a, b):
+        c = x * 134_217_729.0  # 2**27 + 1 halves the digits
+        high = c - (c - x)
+        parts.append((high, x - high))
+    (ah, al), (bh, bl) = parts
+    return p, al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+
+
+def _plus(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' scalar products with twice the digits of a double."""
+    high = low = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        p, lost = _product(a[:, k], b[:, k])
+        high, more = _plus(high, p)
+        low = low + (more + lost)
+    return _plus(high, low)
+
+
+def _times(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    p, lost = _product(a[0], b[0])
+    return _plus(p, lost + (a[0] * b[1] + a[1] * b[0]))
+
+
+def meets(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of each row of a with that of b is at least the threshold, by the squares with twice the digits."""
+    scaled = [np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (a.astype(np.float64), b.astype(np.float64))]
+    a, b = scaled  # by powers of two, which lose nothing
+    dot = _dot(a, b)
+    wanted = _times(_times(_dot(a, a), _dot(b, b)), _product(np.float64(threshold), np.float64(abs(threshold))))
+    square = _times(dot, (np.abs(dot[0]), dot[1] * np.where(dot[0] < 0, -1, 1)))
+    return (square[0] - wanted[0]) + (square[1] - wanted[1]) >= 0
+
+
 def _matrices(values: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, their unit vectors) of an array of lists, by dimension."""
     import pyarrow.compute as pc
@@ -141,33 +186,50 @@ def _not_alone(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return pdf.loc[keep, ["label", "tab", "bucket", "cls"]]
 
 
-def _compare(pdf: pd.DataFrame, threshold: float, bits: int) -> pd.DataFrame:
+def _places(some: np.ndarray, tab: int) -> np.ndarray:
+    """(classes, tab) buckets of the first tables in which the classes were kept, from their tables and buckets in turn; where one
+    wasn't, a number that no other has."""
+    out = np.repeat(-1 - np.arange(len(some), dtype=np.int64)[:, None], tab, axis=1)
+    for row, kept in zip(out, some, strict=True):
+        tabs, buckets = kept[::2], kept[1::2]
+        row[tabs[tabs < tab]] = buckets[tabs < tab]
+    return out
+
+
+def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """cls, links, root of the classes of some pairs of blocks that have a link there; root is the
     least class that it links with, or itself.
 
-    A pair is counted in the first table in which it shares a bucket.
+    A pair is counted in the first table in which both were kept in one bucket.
     """
     out = [pd.DataFrame({"cls": [], "links": [], "root": []}, dtype="int64")]
-    values, classes, weights, blocks = (pdf[c].to_numpy() for c in ("embedding", "cls", "weight", "block"))
+    values, classes, weights, blocks, kept = (pdf[c].to_numpy() for c in ("embedding", "cls", "weight", "block", "kept"))
     tabs, ones, others = (pdf[c].to_numpy() for c in ("tab", "one", "other"))
     for at in _groups(pdf, ["label", "tab", "bucket", "one", "other"]):
         cls, weight, tab, one, other = classes[at], weights[at], int(tabs[at[0]]), ones[at[0]], others[at[0]]
         side = blocks[at] == one
-        x = unit(np.stack(values[at]))
-        buckets = signatures(x, bits, tab) if tab else None
+        raw = np.stack(values[at])
+        x, buckets = unit(raw), None
         links, root = np.zeros(len(cls), np.int64), cls.copy()
+        open_ = ROUNDINGS * (x.shape[1] + 8) * np.finfo(np.float64).eps
         for a in range(0, len(cls), ROWS):
             rows = slice(a, a + ROWS)
-            linked = x[rows] @ x.T >= threshold
-            linked[np.arange(len(linked)), np.arange(a, a + len(linked))] = False
+            product = x[rows] @ x.T
+            pairs = product >= threshold - open_
+            pairs[np.arange(len(pairs)), np.arange(a, a + len(pairs))] = False
             if one != other:
-                linked &= side[rows, None] != side[None, :]
-            if not linked.any():
+                pairs &= side[rows, None] != side[None, :]
+            if not pairs.any():
                 continue
-            root[rows] = np.minimum(root[rows], np.where(linked, cls[None, :], np.iinfo(np.int64).max).min(axis=1))
+            i, j = np.nonzero(pairs & (product <= threshold + open_))
+            for k in range(0, len(i), PAIRS):
+                some, with_ = i[k : k + PAIRS], j[k : k + PAIRS]
+                pairs[some, with_] = meets(raw[a + some], raw[with_], threshold)
+            root[rows] = np.minimum(root[rows], np.where(pairs, cls[None, :], np.iinfo(np.int64).max).min(axis=1))
+            buckets = _places(kept[at], tab) if buckets is None else buckets
             for t in range(tab):
-                linked &= buckets[rows, t, None] != buckets[None, :, t]
-            links[rows] = linked @ weight
+                pairs &= buckets[rows, t, None] != buckets[None, :, t]
+            links[rows] = pairs @ weight
         some = (root != cls) | (links > 0)
         out.append(pd.DataFrame({"cls": cls[some], "links": links[some], "root": root[some]}))
     return pd.concat(out)
@@ -208,12 +270,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     small = met.where("blocks = 1").withColumn("slot", slot(*place)).drop("blocks")
     small = small.groupBy("slot").applyInPandas(lambda pdf: _not_alone(pdf, most), found_at).withColumn("blocks", F.lit(1))
     suspects = materialise(small.unionByName(met.where("blocks > 1").select(*small.columns)), "embedding-suspects")
-    fetched = suspects.drop("label").join(classes.select("cls", "label", "weight", "embedding"), "cls")
+    kept = suspects.groupBy("cls").agg(F.flatten(F.collect_list(F.array(F.col("tab").cast("long"), "bucket"))).alias("kept"))
+    vectors_of = classes.select("cls", "label", "weight", "embedding").join(kept, "cls")
+    fetched = suspects.drop("label").join(vectors_of, "cls")
     own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
     fetched = fetched.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fetched = fetched.withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
     fetched = fetched.withColumn("slot", slot(*place, "one", "other"))
-    found = fetched.groupBy("slot").applyInPandas(lambda pdf: _compare(pdf, threshold, bits), "cls long, links long, root long")
+    found = fetched.groupBy("slot").applyInPandas(lambda pdf: _compare(pdf, threshold), "cls long, links long, root long")
     found = materialise(found, "embedding-links")
     discard(split, suspects)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))

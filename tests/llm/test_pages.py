@@ -390,6 +390,31 @@ def test_cosine_in_double_precision(spark):
     assert {r[0]: r[2] for r in found} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 10: 10, 11: 10, 12: 12, 13: 12}
 
 
+def test_a_cosine_of_exactly_the_threshold_links_however_it_is_rounded(spark):
+    """Of n ones, all but a fiftieth stand at the same places: the cosine is 49/50, and just below it where one more is moved."""
+    rows_, sizes = [], (50, 250, 400)
+    for g, n in enumerate(sizes):
+        for v, moved in enumerate((0, n // 50, -n // 50 - 1)):
+            x = np.zeros(1300)
+            x[400 + moved : 400 + moved + n] = 3.0
+            rows_.append((10 * g + v, x.tolist(), g))
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int")
+    found = sorted(tuple(r) for r in embeddings.near_duplicates(df).select("vec_id", "n_links", "component_id").collect())
+    assert found == [r for g in range(len(sizes)) for r in ((10 * g, 1, 10 * g), (10 * g + 1, 1, 10 * g), (10 * g + 2, 0, 10 * g + 2))]
+
+
+def test_a_pair_counts_where_both_were_kept(spark):
+    """Two equal-bucket vectors of which the first table kept only one are counted in the second table."""
+    x = np.array([[1.0, 0.0], [1.0, 0.01]])
+    frame = lambda kept: pd.DataFrame({
+        "label": [1, 1], "tab": [1, 1], "bucket": [7, 7], "one": [0, 0], "other": [0, 0], "block": [0, 0], "cls": [3, 4], "weight": [1, 1],
+        "embedding": list(x), "kept": [np.array(k, dtype=np.int64) for k in kept],
+    })
+    one, both = (embeddings._compare(frame(k), 0.98) for k in (([0, 5, 1, 7], [1, 7]), ([0, 5, 1, 7], [0, 5, 1, 7])))
+    assert one["links"].tolist() == [1, 1] and one["root"].tolist() == [3, 3]
+    assert both["links"].tolist() == [0] and both["root"].tolist() == [3]
+
+
 def test_sketches_of_near_vectors():
     rng = np.random.default_rng(3)
     x = embeddings.unit(rng.standard_normal((3000, 64)))
