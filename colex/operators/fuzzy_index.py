@@ -48,14 +48,6 @@ def build(lexicon: DataFrame) -> FuzzyIndex:
     return FuzzyIndex(uses, grams, forms)
 
 
-def pieces(term: str) -> list[str]:
-    """Pieces of the term of which any window that scores has one unchanged; the whole term if no window does."""
-    n = len(term)
-    edits = max(e for e in range(n + 1) if 1 - e / n > S.WINDOW_OVER) if n >= 4 else 0
-    cuts = [i * n // (edits + 1) for i in range(edits + 2)]
-    return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _common(term: str) -> Column:
     """How many characters form and term have in common, counted with their repetitions."""
     times = [F.least(F.lit(n), F.col("size") - F.length(F.replace("form", F.lit(ch)))) for ch, n in Counter(term).items()]
@@ -73,7 +65,7 @@ def candidates(index: FuzzyIndex, query: str, fuzzy: bool = True) -> DataFrame |
     """id of the entries that may score; None if the query is blank, has a wildcard or a piece without a gram."""
     q = S.query_terms(query)
     close = [t for t in dict.fromkeys([q.normalised, q.hiragana, q.romaji]) if len(t) >= 2] if fuzzy and len(q.normalised) >= 2 else []
-    ways = list(dict.fromkeys([*q.terms, *(p for t in close for p in pieces(t))]))
+    ways = list(dict.fromkeys([*q.terms, *(p for t in close for p in S.pieces(t))]))
     if not q.normalised or q.wildcard or any(len(w) < GRAM for w in ways):
         return None
     grams = {w: sorted({w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}) for w in ways}

@@ -79,6 +79,11 @@ def filtered(lexicon: DataFrame, o: SearchOptions) -> DataFrame:
     return lexicon
 
 
+def spread(lexicon: DataFrame) -> DataFrame:
+    """Entries dealt out over the cluster: they are few bytes, which a scan reads in a task or two, and much work."""
+    return lexicon.repartition(int(lexicon.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "ord")
+
+
 def with_fields(lexicon: DataFrame) -> DataFrame:
     """Adds `fields`: (raw, norm) of every non-empty field.  Texts that are plain ASCII are their
     own normal form: Python gets a null for such rows, and the table is read once.  A lexicon that
@@ -88,9 +93,10 @@ def with_fields(lexicon: DataFrame) -> DataFrame:
     single = F.array("headword", "headword_reading", "collocate", "full_phrase", "pattern")
     empty = F.array().cast("array<string>")
     raw = F.concat(single, F.coalesce("tags", empty), F.coalesce("example_sentences", empty))
-    known = lexicon.withColumn("raw_fields", F.filter(raw, lambda x: F.length(x) > 0))
+    known = spread(lexicon).withColumn("raw_fields", F.filter(raw, lambda x: F.length(x) > 0))
     wide = F.exists("raw_fields", lambda x: x.rlike(r"[^\x00-\x7f]"))
-    normal = T.nfkc_all(F.when(wide, F.col("raw_fields")))
+    # not deterministic for Spark, so that no filter on what follows from it goes back to where the entries aren't dealt out
+    normal = T.nfkc_all.asNondeterministic()(F.when(wide, F.col("raw_fields")))
     both = known.withColumn("norm_fields", normal).withColumn("norm_fields", F.coalesce("norm_fields", "raw_fields"))
     return both.withColumn("fields", F.arrays_zip(F.col("raw_fields").alias("raw"), F.col("norm_fields").alias("norm"))).drop("raw_fields", "norm_fields")
 
@@ -105,9 +111,18 @@ def _rounded(similarity: Column, over: float, weight: int) -> Column:
     return F.when(similarity > over, F.floor(similarity * weight + 0.5)).otherwise(0).cast("int")
 
 
+def pieces(term: str) -> list[str]:
+    """Pieces of the term of which any window that scores has one unchanged; the whole term if no window does."""
+    n = len(term)
+    edits = max(e for e in range(n + 1) if 1 - e / n > WINDOW_OVER) if n >= 4 else 0
+    cuts = [i * n // (edits + 1) for i in range(edits + 2)]
+    return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _fuzzy(norm: Column, term: str) -> Column:
     """Whole-field similarity, and for terms of 4 or more the best window of the term's length
-    (below that a window over the threshold is equal, which containment has scored higher)."""
+    (below that a window over the threshold is equal, which containment has scored higher), which
+    only fields with a piece of the term have."""
     n, wanted = len(term), F.lit(term)
     # over the threshold only if the shorter is longer than half the longer
     whole = F.when((F.length(norm) * 2 > n) & (F.length(norm) < 2 * n), _rounded(T.similarity(norm, wanted), WHOLE_OVER, WHOLE_WEIGHT)).otherwise(0)
@@ -117,7 +132,8 @@ def _fuzzy(norm: Column, term: str) -> Column:
     most = math.ceil(n * (1 - WINDOW_OVER))
     windows = F.transform(F.sequence(F.lit(1), F.length(norm) - n + 1), lambda i: F.levenshtein(F.substring(norm, i, F.lit(n)), wanted, most))
     least = F.array_min(F.filter(windows, lambda d: d >= 0))
-    near = F.when(F.length(norm) >= n, F.coalesce(_rounded(1 - least / F.lit(n), WINDOW_OVER, WINDOW_WEIGHT), F.lit(0))).otherwise(0)
+    may = reduce(Column.__or__, [norm.contains(p) for p in pieces(term)])
+    near = F.when((F.length(norm) >= n) & may, F.coalesce(_rounded(1 - least / F.lit(n), WINDOW_OVER, WINDOW_WEIGHT), F.lit(0))).otherwise(0)
     return F.greatest(whole, near)
 
 
@@ -159,8 +175,9 @@ def order(sort_by: str = "frequency", sort_dir: str = "desc") -> list[Column]:
 
 
 def sort_and_limit(hits: DataFrame, sort_by: str = "frequency", sort_dir: str = "desc", max_results: int | None = DEFAULT_LIMIT) -> DataFrame:
-    out = hits.orderBy(*order(sort_by, sort_dir))
-    return out if max_results is None else out.limit(max_results)
+    if max_results is None:
+        return hits.repartition("id", "ord").orderBy(*order(sort_by, sort_dir))  # a sort samples its input first: hits are worked out once
+    return hits.orderBy(*order(sort_by, sort_dir)).limit(max_results)
 
 
 def search(lexicon: DataFrame, options: SearchOptions) -> DataFrame:

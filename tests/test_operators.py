@@ -209,3 +209,30 @@ def test_stored_fields_need_no_python(spark, sf_dir):
         assert "Python" not in plan(kept) and "Pandas" not in plan(kept)
     S.write_with_fields(lexicon.limit(0), path)
     assert S.quick_search(spark.read.parquet(path), "ring").collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entries_are_dealt_out_before_they_are_scored(spark, sf_dir):
+    """A scan of one task doesn't score: the filter on the score stays behind the exchange."""
+    lex = Q.lexicon(spark, sf_dir).coalesce(1)
+    assert S.with_fields(lex).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for query in ("widgit", "smal rong", "ring"):
+        plan = plan_of(S.search(lex, S.SearchOptions(query, max_results=None)))
+        assert max(i for i, line in enumerate(plan.splitlines()) if "levenshtein" in line) < max(i for i, line in enumerate(plan.splitlines()) if "RepartitionByExpression" in line)
+
+
+def test_windows_without_a_piece_of_the_term_score_nothing(spark):
+    """Against every window: only those with a piece of the term come over the threshold."""
+    rng, n = random.Random(3), 300
+    fields = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(n)]
+    for term in ("abcd", "abcdab", "abcdabcdab"):
+        df = spark.createDataFrame([(f,) for f in fields], "norm string")
+        windows = F.transform(F.sequence(F.lit(1), F.length("norm") - len(term) + 1), lambda i: 1 - F.levenshtein(F.substring("norm", i, F.lit(len(term))), F.lit(term)) / len(term))
+        best = F.when(F.length("norm") >= len(term), F.array_max(windows)).otherwise(0.0)
+        has = F.lit(False)
+        for piece in S.pieces(term):
+            has = has | F.col("norm").contains(piece)
+        assert df.where((best > S.WINDOW_OVER) & ~has).count() == 0
