@@ -12,6 +12,7 @@ from colex.api import Workspace
 from colex.operators import dictionary as D
 from colex.operators import discourse as G
 from colex.operators import library as B
+from colex.operators import parse
 from colex.operators import patterns as X
 from colex.operators import search as S
 from colex.operators import store as K
@@ -236,3 +237,12 @@ def test_windows_without_a_piece_of_the_term_score_nothing(spark):
         for piece in S.pieces(term):
             has = has | F.col("norm").contains(piece)
         assert df.where((best > S.WINDOW_OVER) & ~has).count() == 0
+
+
+def test_texts_are_dealt_out_before_they_are_matched(spark):
+    df = spark.createDataFrame([(i, "雨が降る。風が吹く") for i in range(40)], "n long, text string").coalesce(1)
+    out = parse.parse_collocations(df, "n")
+    plan = plan_of(out).splitlines()
+    assert max(i for i, line in enumerate(plan) if "regexp_extract_all" in line) < next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    one = parse.parse_collocations(df.limit(1), "n").drop("n").collect()
+    assert out.count() == 40 * len(one) and all(r["headword"] + "が" + r["collocate"] == r["full_phrase"] for r in one if r["pattern"] == "N+V")
