@@ -49,14 +49,36 @@ def _placed(df: DataFrame) -> DataFrame:
     return rows.join(starts, split).withColumn("ord", F.coalesce("ord", place)).drop(*split, "at_", "nth_", "before_")
 
 
+def _elements(lines: DataFrame, kinds: str) -> DataFrame | None:
+    """The elements of arrays that have each on a line of its own and their places (`ord`), as export_json writes them: such
+    files are read in splits.  None if a line is anything else, for then only the file as a whole is JSON."""
+    body = F.regexp_replace("value", r"^[\[,]", "")
+    one = body.startswith("{") & (F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1)
+    start, close = one & F.col("value").startswith("["), F.col("value") == "]"
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    seen = lines.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), start.alias("start"), close.alias("close"), (one & F.col("value").startswith(",")).alias("more"))
+    files = seen.groupBy("file").agg(
+        F.count_if("start").alias("starts"), F.count_if("close").alias("closes"), F.count_if(~F.coalesce(F.col("start") | F.col("close") | F.col("more"), F.lit(False))).alias("others"),
+        F.min(F.when(F.col("start"), F.col("at"))).alias("start"), F.min("at").alias("first"), F.max(F.when(F.col("close"), F.col("at"))).alias("close"), F.max("at").alias("last"),
+    )
+    if files.where("NOT (starts = 1 AND closes = 1 AND others = 0 AND start = first AND close = last) IS TRUE").head(1):
+        return None
+    rows = lines.where(~close).select(F.from_json(body, kinds, {"columnNameOfCorruptRecord": "_corrupt"}).alias("row")).select("row.*")
+    return None if rows.where("_corrupt IS NULL AND ord IS NULL").head(1) else rows
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or JSON lines under a fixed schema, in either naming; `ord` is the place
     in the file(s).  Broken records are left out."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
     both = [*fields, *((_other_name(n), t) for n, t in fields if "_" in n), ("_corrupt", "string")]
-    line = spark.read.text(path).where("trim(value) <> ''").head()
-    reader = spark.read.schema(", ".join(f"{n} {t}" for n, t in both)).option("columnNameOfCorruptRecord", "_corrupt")
-    df = reader.option("multiLine", bool(line and line[0].lstrip().startswith("["))).json(path)
+    kinds = ", ".join(f"{n} {t}" for n, t in both)
+    lines = spark.read.text(path)
+    line = lines.where("trim(value) <> ''").head()
+    array = bool(line and line[0].lstrip().startswith("["))
+    df = _elements(lines, kinds) if array else None
+    if df is None:
+        df = spark.read.schema(kinds).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", array).json(path)
     # Spark reads no JSON for the corrupt records alone, so the filter looks at another column as well
     df = df.where(F.col("_corrupt").isNull() & (F.length(F.coalesce("id", F.lit(""))) >= 0))
     if df.where("ord IS NULL").head(1):

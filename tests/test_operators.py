@@ -246,3 +246,30 @@ def test_texts_are_dealt_out_before_they_are_matched(spark):
     assert max(i for i, line in enumerate(plan) if "regexp_extract_all" in line) < next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
     one = parse.parse_collocations(df.limit(1), "n").drop("n").collect()
     assert out.count() == 40 * len(one) and all(r["headword"] + "が" + r["collocate"] == r["full_phrase"] for r in one if r["pattern"] == "N+V")
+
+
+def test_an_array_with_an_element_a_line_is_read_in_splits(spark, sf_dir, tmp_path):
+    lex, path = Q.lexicon(spark, sf_dir), str(tmp_path / "array")
+    I.export_json(lex, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = I.read_lexicon(spark, path)
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted(map(str, found.collect())) == sorted(map(str, lex.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_arrays_of_any_layout(spark, tmp_path):
+    """Elements over several lines, two in a line, in brackets of their own lines, without a place."""
+    one, two, three = ('{"id": "%d", "headword": "[,]{}", "ord": %d}' % (i, i) for i in (1, 2, 3))
+    layouts = (f"[{one}\n,{two}\n,{three}\n]\n", f"[{one}\n,{two},{three}\n]", f"[\n{one},\n{two},\n{three}\n]", f"[{one.replace(', ', ',' + chr(10))},{two}\n,{three}]", f"[{one},{two},{three}]")
+    for i, text in enumerate(layouts):
+        (tmp_path / f"{i}.json").write_text(text)
+        found = I.read_lexicon(spark, str(tmp_path / f"{i}.json"))
+        assert sorted((r["id"], r["headword"], r["ord"]) for r in found.collect()) == [(str(k), "[,]{}", k) for k in (1, 2, 3)]
+    (tmp_path / "x.json").write_text('[{"id": "b"}\n,{"id": "a"}\n]\n')
+    assert sorted((r["ord"], r["id"]) for r in I.read_lexicon(spark, str(tmp_path / "x.json")).collect()) == [(0, "b"), (1, "a")]
+    (tmp_path / "none.json").write_text("[]")
+    assert I.read_lexicon(spark, str(tmp_path / "none.json")).count() == 0
