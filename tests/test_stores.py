@@ -307,3 +307,23 @@ def test_one_array_in_one_file(spark, tmp_path):
         I.export_json(df.repartition(3), str(tmp_path / name))
         (file,) = [f for f in (tmp_path / name).iterdir() if f.name.startswith("part-")]
         assert [r["id"] for r in json.loads(file.read_text(encoding="utf-8"))] == [r["id"] for r in df.orderBy("ord").collect()]
+
+
+def test_plain_texts_match_where_the_expression_does(spark, tmp_path):
+    """Texts that overlap with themselves, in groups and bare, several at one place, beside wide characters, against Python's."""
+    import re
+
+    from colex.operators import patterns as Y
+
+    expressions = ["(aa)", "aba", "(aab)", "風が", "(b)(a)"]
+    fields = dict(family="f", head="", collocate="", label="", head_pos="", collocate_pos="", confidence=50)
+    (tmp_path / "c.json").write_text("\n".join(json.dumps({"spec_id": i, "expression": x, "pattern": x, **fields}) for i, x in enumerate(expressions)))
+    texts = ["aaaaa", "ababababa", "𝒳風が風風がaab", "", None, "baabaaabaa", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    catalogue = Y.read_catalogue(spark, str(tmp_path / "c.json"))
+    found = sorted((r["n"], r["pattern"], r["start"], r["end"]) for r in Y.extract_by_catalogue(df, "n", catalogue).collect())
+    marked = [r["pattern"] for r in catalogue.where("size(markers) > 0").collect()]
+    assert {"(aa)", "aba", "(aab)", "風が"} <= set(marked)
+    assert found == sorted((n, x, *m.span()) for n, t in enumerate(texts) for x in marked for m in re.finditer(x, t or ""))
+    starts = Y._tried(df.select("n", F.col("text").alias("body")), "n", [r.asDict(recursive=True) for r in catalogue.where("pattern = '(aa)'").collect()])
+    assert {r["n"]: r["starts"] for r in starts.collect()} == {0: [0, 2], 2: [6], 5: [1, 4, 8]}
