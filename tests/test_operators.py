@@ -5,6 +5,7 @@ import random
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from colex import queries as Q
@@ -273,3 +274,42 @@ def test_arrays_of_any_layout(spark, tmp_path):
     assert sorted((r["ord"], r["id"]) for r in I.read_lexicon(spark, str(tmp_path / "x.json")).collect()) == [(0, "b"), (1, "a")]
     (tmp_path / "none.json").write_text("[]")
     assert I.read_lexicon(spark, str(tmp_path / "none.json")).count() == 0
+
+
+_EDGES = "graph_id string, edge_ord int, src_idx int, dst_idx int, relationship_type string"
+
+
+def simple_paths(rows, least, longest):
+    """Brute force: (graph_id, path, types)."""
+    rows = [r for r in rows if r[4] not in (None, G.ADJACENT) and None not in r[2:4] and r[2] != r[3]]
+    out, last = [], [(r,) for r in rows]
+    for _ in range(longest):
+        out += last
+        last = [(*p, r) for p in last for r in rows if p[-1][0] is not None and r[0] == p[-1][0] and r[2] == p[-1][3] and r[3] not in {x[2] for x in p}]
+    return sorted((str(p[0][0]), [r[1] for r in p], [r[4] for r in p]) for p in out if len(p) >= least)
+
+
+@pytest.mark.parametrize(("bound", "least", "longest"), [(None, 3, None), (None, 1, 4), (None, 1, 1), (0, 2, 5), (200, 1, None)])
+def test_cascades_of_small_and_large_graphs(spark, monkeypatch, bound, least, longest):
+    """Cycles, loops, parallel steps, bits and graphs that are null, whether paths grow in a row or by joins."""
+    if bound is not None:
+        monkeypatch.setattr(G, "ROW_PATHS", bound)
+    rows = [("chain", i, i, i + 1, "xyz"[i % 3]) for i in range(9)] + [("cycle", i, i, (i + 1) % 4, "x") for i in range(4)]
+    rows += [("many", 10 * i + j, i, j, "x" if i < j else "y") for i in range(4) for j in range(4)] + [("twice", i, i // 2, i // 2 + 1, "z") for i in range(6)]
+    rows += [("broken", 0, 0, 1, "x"), ("broken", 1, 1, 2, G.ADJACENT), ("broken", 2, 2, 3, "x"), ("broken", 3, 1, None, "x"), ("broken", 4, None, 1, "x"), ("broken", 5, 3, 3, "x"), ("broken", 6, 3, 1, None)]
+    rows += [(None, 0, 0, 1, "x"), (None, 1, 1, 2, "x")]
+    found = G.cascades(spark.createDataFrame(rows, _EDGES).repartition(3), least, longest).collect()
+    assert sorted((str(r["graph_id"]), r["path"], r["types"]) for r in found) == simple_paths(rows, least, longest or 20)
+
+
+def test_a_chain_of_many_steps_is_shuffled_once(spark):
+    """No join for each step of a path."""
+    rows = [(str(k), i, i, i + 1, "x") for k in range(5) for i in range(30)]
+    context = spark.sparkContext
+    context.setJobGroup("chains", "chains")
+    try:
+        assert G.cascades(spark.createDataFrame(rows, _EDGES)).count() == 5 * 28 * 29 // 2
+        jobs = context.statusTracker().getJobIdsForGroup("chains")
+    finally:
+        context.setJobGroup("", "")
+    assert len(jobs) < 15  # with a join each, 30 rounds and more
