@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, discard, hash_words, materialise, mix, table
+from .common import CHUNK_BYTES, Rolling, discard, hash_words, input_bytes, materialise, mix, partitions, table
 from .components import connect
-from .exchange import SCHEMA, blocks, by_part, parts_of, runs, split
+from .exchange import SCHEMA, blocks, by_part, part_of, runs
 
 SHINGLE = 4
 #: A link: 100 * intersection >= THRESHOLD * union.
@@ -42,10 +42,12 @@ HUBS = 6
 #: Words of the parity sketch of a set (64 bits each).
 SKETCH = 8
 
+#: Bytes of text of a block, and of input for each key partition.
+BLOCK_BYTES, PART_BYTES = 4_000_000, 4_000_000
+
 #: Pairs of a posting list above which it is split by the next order.
 LIST_PAIRS = 1_000_000
 
-_ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u2")])
 #: A class as one posting list knows it: 64 bits of its digest, its place in the block, and how many
 #: of the shingles that follow are its.
 _TAG = np.dtype([("tag", "<u8"), ("doc", "<u2"), ("n", "<u4")])
@@ -65,14 +67,24 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
     text = np.repeat(np.arange(len(texts)), per_text)
     first = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text) + np.repeat(ends - counts, per_text)
     value = Rolling(h).of(first, first + width[text])
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+    order = np.argsort(value)  # equal ones of a text are one, so ties don't matter
+    value, text = value.take(order), text.take(order)
+    order = np.argsort(text.astype(np.uint16) if len(texts) <= 1 << 16 else text, kind="stable")  # 16 bits are sorted by radix
+    value, text = value.take(order), text.take(order)
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     value, text = value[fresh], text[fresh]
     return value, text, np.bincount(text, minlength=len(texts))
 
 
+def block_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() of a block's texts, a chunk at a time, which a processor's caches hold."""
+    chunk = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+    found = [shingle_sets(texts[a:b], k) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.concatenate([v for v, _, _ in found]), np.concatenate([t + a for a, (_, t, _) in zip(cuts, found, strict=False)]), np.concatenate([n for _, _, n in found])
+
+
 def digests(value: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A digest of two 64-bit words of each set of hashes; empty sets have zeros."""
     out = np.zeros((len(sizes), 2), np.uint64)
@@ -84,98 +96,117 @@ def digests(value: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_key, digest, n_shingles of every row of (doc_id, text_key, text)."""
+def key_parts(docs: DataFrame) -> int:
+    """Key partitions, by the input's bytes: a block sends a row to each, so rows grow with the product of both."""
+    return max(partitions(docs.sparkSession), -(-input_bytes(docs) // PART_BYTES))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digest, size = [], [np.empty(0, np.int64)]
-            for _, texts in chunks(batch.column(2)):
-                value, text, sizes = shingle_sets(texts, k)
-                digest += [d.tobytes() for d in digests(value, text, sizes)]
-                size.append(sizes)
-            columns = [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(np.concatenate(size).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "digest", "n_shingles"])
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {key}, text_key long, digest binary, n_shingles long")
+def packed_by_part(value: np.ndarray, owner: np.ndarray, digest: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, payload): the tags of the part's classes, then their shingles; entries come sorted by owner, then value."""
+    part = part_of(value, parts)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # 16 bits are sorted by radix
+    value, owner, part = value.take(order), owner.take(order), part.take(order)
+    start, end = runs(part * (len(digest) + 1) + owner)
+    tags = np.empty(len(start), _TAG)
+    tags["doc"], tags["n"] = owner.take(start), end - start
+    tags["tag"] = digest.take(owner.take(start))
+    first, last = runs(part.take(start))
+    values, tagged = value.tobytes(), tags.tobytes()
+    lists = zip(part.take(start.take(first)).tolist(), first.tolist(), last.tolist(), start.take(first).tolist(), end.take(last - 1).tolist(), strict=True)
+    for p, a, b, i, j in lists:
+        yield p, (b - a).to_bytes(8, "little") + tagged[a * _TAG.itemsize : b * _TAG.itemsize] + values[8 * i : 8 * j]
 
 
 def _sent(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """Every block's classes (payload 0, by block) and its packed shingles (by shingle)."""
+    """Of (doc_id, text_key, text), in one pass over the texts: every block's classes (payload 0) and rows
+    (payload 2: doc_id, text_key, digest, n_shingles), by block, and its packed shingles (by shingle)."""
 
     def send(batch: pa.RecordBatch, first: int, texts: list[bytes], block: int) -> Iterator[tuple[int, int, bytes]]:
-        value, text, sizes = shingle_sets(texts, k)
+        value, text, sizes = block_sets(texts, k)
         digest = digests(value, text, sizes)
+        own = batch.slice(first, len(texts))
+        columns = [own.column(0), own.column(1), pa.array([d.tobytes() for d in digest], type=pa.binary()), pa.array(sizes.astype(np.int64))]
+        yield block % parts, block, b"\2" + ipc_bytes(pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "digest", "n_shingles"]))
         _, lead = np.unique(digest, axis=0, return_index=True)
-        lead = lead[sizes[lead] > 0]  # of equal sets one is enough
+        lead = np.sort(lead[sizes[lead] > 0])  # of equal sets one is enough
         if not len(lead):
             return
         place = np.full(len(sizes), -1)
         place[lead] = np.arange(len(lead))
         sets = np.empty(len(lead), _SETS)
         sets["digest"], sets["size"] = digest[lead], sizes[lead]
-        own = place[text] >= 0
-        value, owner = value[own], place[text[own]]
+        owner = place[text]
+        own = owner >= 0
+        value, owner = value[own], owner[own]
         # a shingle that COMMON classes of the block hold is known to be common: the others
         # needn't hear of more, and its holders need no answer
-        order = np.lexsort((owner, value))
-        value, owner = value[order], owner[order]
-        start, end = runs(value)
-        held = np.repeat(end - start, end - start)
-        nth = np.arange(len(value)) - np.repeat(start, end - start)
-        known = held >= COMMON
-        back = np.empty(int(known.sum()), _BACK)
+        order = np.argsort(value)
+        start, end = runs(value.take(order))
+        often = np.flatnonzero(end - start >= COMMON)
+        n = (end - start).take(often)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        known = order.take(nth + np.repeat(start.take(often), n))
+        back = np.empty(len(known), _BACK)
         back["hash"], back["doc"], back["held"] = value[known], owner[known], COMMON
         head = np.array([len(sets), len(back)], "<u8").tobytes()
         yield block % parts, block, b"\0" + head + sets.tobytes() + back.tobytes()
-        travels = np.flatnonzero(~known | (nth < COMMON))
-        travels = travels[np.argsort(owner[travels], kind="stable")]
-        entry = np.empty(len(travels), _ENTRY)
-        entry["hash"], entry["doc"] = value[travels], owner[travels]
-        for part, packed in split(entry["hash"], entry, parts):
-            some = np.frombuffer(packed, _ENTRY)
-            start, end = runs(some["doc"])
-            tags = np.empty(len(start), _TAG)
-            tags["doc"], tags["n"] = some["doc"][start], end - start
-            tags["tag"] = sets["digest"][tags["doc"], 0]
-            yield part, block, b"\1" + np.array([len(tags)], "<u8").tobytes() + tags.tobytes() + some["hash"].tobytes()
+        travels = np.ones(len(value), bool)
+        travels[known[nth >= COMMON]] = False
+        for part, payload in packed_by_part(value[travels], owner[travels], sets["digest"][:, 0], parts):
+            yield part, block, b"\1" + payload
+
+    return docs.mapInArrow(lambda batches: blocks(batches, send, BLOCK_BYTES), SCHEMA)
+
+
+def ipc_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(raw: DataFrame, key: str) -> DataFrame:
+    """doc_id, text_key, digest, n_shingles of every row, from the blocks' packed ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                yield from pa.ipc.open_stream(rows.as_py())
 
-    return docs.mapInArrow(lambda batches: blocks(batches, send), SCHEMA)
+    return raw.where("rows IS NOT NULL").select("rows").mapInArrow(work, f"doc_id {key}, text_key long, digest binary, n_shingles long")
 
 
 def _count(sent: pd.DataFrame) -> pd.DataFrame:
     """For one key partition: to each block, the shingles of its classes that other classes hold
-    too, and by how many.  Of a class in several blocks only the first block hears."""
-    out, short, tags, owner, block, numbers = [], [], [], [], [], []
-    for number, payload in zip(sent["block"], sent["payload"], strict=True):
-        if payload[0] == 0:
+    too, and by how many.  Of a class in several blocks only the first block counts and hears (where COMMON
+    classes of that block hold a shingle, its holders know, and enough of them travel)."""
+    out, shorts, tags, numbers = [], [], [], []
+    for number, payload in sorted(zip(sent["block"], sent["payload"], strict=True), key=lambda row: row[0]):
+        if payload[0] != 1:
             out.append((number, payload))
             continue
         n = int(np.frombuffer(payload, "<u8", 1, 1)[0])
-        tag = np.frombuffer(payload, _TAG, n, 9)
-        short.append(np.frombuffer(payload, "<u8", offset=9 + n * _TAG.itemsize))
-        tags.append(np.repeat(tag["tag"], tag["n"]))
-        owner.append(np.repeat(tag["doc"], tag["n"]))
-        block.append(np.full(len(short[-1]), len(numbers)))
+        tags.append(np.frombuffer(payload, _TAG, n, 9))
+        shorts.append(np.frombuffer(payload, "<u8", offset=9 + n * _TAG.itemsize))
         numbers.append(number)
-    if short:
-        short, tags, owner, block = map(np.concatenate, (short, tags, owner, block))
-        rank = np.argsort(np.argsort(numbers, kind="stable"), kind="stable")
-        order = np.lexsort((owner, rank[block], tags, short))
-        short, tags, owner, block = short[order], tags[order], owner[order], block[order]
-        fresh = np.ones(len(short), bool)
-        fresh[1:] = (short[1:] != short[:-1]) | (tags[1:] != tags[:-1])
-        short, owner, block = short[fresh], owner[fresh], block[fresh]
-        start, end = runs(short)
-        held = np.repeat(np.minimum(end - start, COMMON), end - start)
-        several = held > 1
-        back = np.empty(int(several.sum()), _BACK)
-        back["hash"], back["doc"], back["held"] = short[several], owner[several], held[several]
-        block = block[several]
-        order = np.argsort(block, kind="stable")
-        back, block = back[order], block[order]
-        out += [(numbers[block[a]], b"\1" + back[a:b].tobytes()) for a, b in zip(*runs(block), strict=True)]
+    if shorts:
+        block = np.repeat(np.arange(len(tags)), list(map(len, tags)))
+        tags, short = np.concatenate(tags), np.concatenate(shorts)
+        first = np.zeros(len(tags), bool)
+        first[np.unique(tags["tag"], return_index=True)[1]] = True
+        if not first.all():
+            short = short[np.repeat(first, tags["n"])]
+            tags, block = tags[first], block[first]
+        order = np.argsort(short)
+        start, end = runs(short.take(order))
+        held = np.empty(len(short), np.uint8)
+        held[order] = np.repeat(np.minimum(end - start, COMMON).astype(np.uint8), end - start)
+        several = np.flatnonzero(held > 1)
+        tag = np.repeat(np.arange(len(tags)), tags["n"]).take(several)
+        back = np.empty(len(several), _BACK)
+        back["hash"], back["doc"], back["held"] = short.take(several), tags["doc"].take(tag), held.take(several)
+        start, end = runs(block.take(tag))
+        out += [(numbers[block[tag[a]]], b"\1" + back[a:b].tobytes()) for a, b in zip(start, end, strict=True)]
     return pd.DataFrame(out, columns=["block", "payload"])
 
 
@@ -201,10 +232,13 @@ def may_link(a: str, b: str, threshold: int) -> Column:
 
 
 def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
-    """For one block: each class with a joinable prefix, its shared shingles, its prefixes."""
-    sets, backs = None, []
+    """For one block: its packed rows, as a row of their own, and each class with a joinable prefix, its shared
+    shingles, its prefixes."""
+    sets, backs, rows = None, [np.empty(0, _BACK)], []
     for payload in sent["payload"]:
-        if payload[0] == 0:
+        if payload[0] == 2:
+            rows.append({"rows": payload[1:], "size": 0} | dict.fromkeys(SKETCHES, 0))
+        elif payload[0] == 0:
             n, m = (int(x) for x in np.frombuffer(payload, "<u8", 2, 1))
             sets = np.frombuffer(payload, _SETS, n, 17)
             backs.append(np.frombuffer(payload, _BACK, m, 17 + n * _SETS.itemsize))
@@ -215,7 +249,6 @@ def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
     fresh = np.ones(len(back), bool)  # a block's common shingles may be answered as well
     fresh[1:] = (back["hash"][1:] != back["hash"][:-1]) | (back["doc"][1:] != back["doc"][:-1])
     back = back[fresh]
-    rows = []
     for a, b in zip(*runs(back["doc"]), strict=True):
         size = int(sets["size"][back["doc"][a]])
         prefix = size - (threshold * size + 99) // 100 + 1 - (size - (b - a))
@@ -230,7 +263,8 @@ def _prefixes(sent: pd.DataFrame, threshold: int, orders: int) -> pd.DataFrame:
             order = np.argsort(own) if k else np.lexsort((own, held))
             row[f"prefix{k}"] = hashes[order[:prefix]].astype(np.int64)
         rows.append(row)
-    return pd.DataFrame(rows, columns=["digest", "size", "shared", *SKETCHES, *[f"prefix{k}" for k in range(orders)]])
+    columns = ["rows", "digest", "size", "shared", *SKETCHES, *[f"prefix{k}" for k in range(orders)]]
+    return pd.DataFrame([tuple(map(row.get, columns)) for row in rows], columns=columns)
 
 
 def _verified(pairs: DataFrame, active: DataFrame, threshold: int, orders: int) -> DataFrame:
@@ -262,18 +296,19 @@ def _open_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b"))
 
 
-def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """digest, component: the classes that link with another one and the least digest of their
-    component; (doc_id, text) in."""
-    spark = docs.sparkSession
-    parts = parts_of(docs)
-    heard = by_part(_sent(docs, k, parts), _count, "block long, payload binary")
+def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, digest, n_shingles of every row of (doc_id, text_key, text); and digest, component: the
+    classes that link with another one and the least digest of their component."""
+    heard = by_part(_sent(docs, k, key_parts(docs)), _count, "block long, payload binary")
     arrays = ", ".join(f"prefix{i} array<long>" for i in range(orders))
-    schema = f"digest binary, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"
-    active = heard.groupBy("block").applyInPandas(lambda sent: _prefixes(sent, threshold, orders), schema)
+    schema = f"rows binary, digest binary, size int, shared array<long>, {', '.join(f'{c} long' for c in SKETCHES)}, {arrays}"
+    raw = materialise(heard.groupBy("block").applyInPandas(lambda sent: _prefixes(sent, threshold, orders), schema), "jaccard-blocks")
+    known = materialise(_rows(raw, docs.schema["doc_id"].dataType.simpleString()), "jaccard-documents")
+    active = raw.where("rows IS NULL").drop("rows")
     # a class whose texts lie in several blocks may come from each; the first heard of all its shingles
     whole = F.max_by(F.struct(*active.columns), F.size("shared"))
     active = materialise(active.groupBy("digest").agg(whole.alias("c")).select("c.*", (F.col("c.size") - F.size("c.shared")).alias("alone")), "jaccard-classes")
+    discard(raw)
     posting = materialise(active.select("digest", "alone", F.explode("prefix0").alias("token")), "jaccard-postings")
     # classes with few shingles of their own are near the middle of their group; chance makes the hubs differ
     distance = [(F.col("alone") + 1) * (1000 + F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(1000))) for i in range(HUBS)]
@@ -288,13 +323,13 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     label = materialise(_labels(active, links), "jaccard-components")
     # the rest: pairs from different components.  Of a list's components the one with most
     # classes isn't joined with itself, so a list costs (classes outside it) * (classes).
-    known = posting.drop("alone").join(label, "digest")
-    parted = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    held = posting.drop("alone").join(label, "digest")
+    parted = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     lists = parted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), *_pairs_of_list()).where("components > 1")
     lists = materialise(lists, "jaccard-lists")
     # filters stand in the join itself, so that only pairs that may link are ever rows
     sketch = active.select("digest", "size", "alone", *SKETCHES)
-    rows = known.join(lists.drop("components"), "token").withColumn("key", F.xxhash64("token"))
+    rows = held.join(lists.drop("components"), "token").withColumn("key", F.xxhash64("token"))
     rows = materialise(rows.join(sketch, "digest"), "jaccard-open")
     ready, written = [], [lists, rows]
     for k in range(1, orders):
@@ -319,7 +354,7 @@ def class_links(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, o
     final = label.join(joined, "component", "left").select("digest", F.coalesce("c", "component").alias("component"))
     final = materialise(final, "jaccard-components")
     discard(active, posting, hub, links, label, *written, more)
-    return final
+    return known, final
 
 
 def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,8 +375,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     own length.  Other columns are ignored.
     """
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    known = materialise(_classes(docs, k), "jaccard-documents")
-    label = class_links(docs.drop("text_key"), k, threshold)
+    known, label = class_links(docs, k, threshold)
     linked = label.where("component <> digest").withColumnRenamed("digest", "d")
     full = known.join(linked, known["digest"] == linked["d"], "left")
     full = full.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")))

@@ -75,3 +75,44 @@ def test_near_duplicates_judge_rows_by_their_texts(spark, monkeypatch, few):
     assert len(one) == 1 and one[0] in (text("a"), text("a", True))
     expected = [(4, text("b", True)), (5, text("c")), (5, text("d")), (7, text("e")), (8, None), (8, None), (9, " ")]
     assert sorted(((i, t) for i, t in kept if i is not None), key=str) == sorted(expected, key=str)
+
+
+def test_texts_are_read_once_to_be_joined_and_sent_in_few_rows(spark):
+    """Work that grows with the input alone: one pass over the texts, and a row for a key partition and 4 MB of text."""
+    from pyspark.sql import functions as F
+
+    passed = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        passed.add(1)
+        return " ".join(f"w{i}x{j}" for j in range(1300))
+
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.udf(text, "string")("id").alias("text"))
+    assert jaccard.join_components(docs, k=5).where("n_shingles = 1296 AND component_id = doc_id").count() == 300
+    assert passed.value == 300
+    keyed = docs.select("doc_id", F.hash("doc_id").cast("long").alias("text_key"), "text")
+    sent = jaccard._sent(keyed, 5, jaccard.key_parts(keyed)).collect()
+    assert len(sent) == 2 + jaccard.key_parts(keyed) and jaccard.key_parts(keyed) == 4
+    entries = sum((len(r["payload"]) - 9 - (n := int.from_bytes(r["payload"][1:9], "little")) * jaccard._TAG.itemsize) // 8 for r in sent if r["payload"][0] == 1)
+    assert entries == 300 * 1296
+
+
+def test_more_verdicts_than_before_meet_texts_where_they_are(spark, monkeypatch):
+    """200,001 verdicts, null and shared ids among them: no join, and the rows that a join gives."""
+    from pyspark.sql import functions as F
+
+    key = F.xxhash64(F.concat(F.lit("t"), F.col("id")))
+    verdict = spark.range(0, 200_001).select(F.when(F.col("id") % 1000 != 0, F.col("id") % 50_000).alias("id"), key.alias("key"), (F.col("id") % 3 == 0).alias("stays")).cache()
+    text = F.concat(F.lit("t"), (F.col("id") * 7 + F.col("id") % 2).cast("string"))
+    keyed = spark.range(0, 40_000).select(F.when(F.col("id") % 400 != 0, (F.col("id") * 7) % 50_000).alias("doc_id"), text.alias("text")).withColumn("key_", F.xxhash64("text"))
+    keyed = keyed.union(keyed.limit(3)).cache()
+    here = pipeline.with_verdicts(keyed, verdict)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan.split("InMemoryTableScan")[0]
+    monkeypatch.setattr(pipeline, "BROADCAST_ROWS", 0)
+    there = pipeline.with_verdicts(keyed, verdict)
+    assert "ShuffledHashJoin" in there._jdf.queryExecution().executedPlan().toString()
+    rows = [sorted(map(tuple, x.select("doc_id", "key_", "stays").collect()), key=str) for x in (here, there)]
+    assert rows[0] == rows[1] and {r[2] for r in rows[0]} == {None, True, False} and len(rows[0]) == 40_003
+    monkeypatch.undo()
+    assert pipeline.with_verdicts(keyed, verdict.limit(0)).where("stays IS NULL").count() == 40_003
